@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("analysis",)
+MODULES = ("analysis", "pages")
 
 
 def load() -> tuple[dict, dict]:
