@@ -37,7 +37,9 @@ def extract_price(text: Column) -> Column:
 def extract_rating(text: Column) -> Column:
     """First number of a text on a scale of five; ten-point ratings are halved."""
     number = to_number(F.regexp_extract(text, r"([0-9]+\.?[0-9]*)", 1))
-    return F.least(F.when(number > MAX_RATING, number / 2).otherwise(number), F.lit(MAX_RATING))
+    return (
+        F.when(number > 2 * MAX_RATING, F.lit(MAX_RATING)).when(number > MAX_RATING, number / 2).otherwise(number)
+    )
 
 
 def round_even(value: Column, digits: int | None = 2) -> Column:

@@ -1,13 +1,42 @@
-"""Report tables, findings and recommendations."""
+"""Report tables, findings and recommendations, each a DataFrame over the listings."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from shelfspark.operators import trends
+from shelfspark.functions.numbers import money
+from shelfspark.functions.text import label
+from shelfspark.operators import outliers, quality, stats, trends
 from shelfspark.operators.filters import recent
+from shelfspark.operators.history import price_changes
+
+# Wording of the findings.
+FINDING_AVERAGE = "Average product price across all sources: %s"
+FINDING_MAJORITY = "Majority of products (%d) are priced under $100"
+FINDING_LARGEST = "%s provided the most products (%d)"
+FINDING_QUALITY = "Overall data quality score: %.1f%%"
+
+# Thresholds and wording of the recommendations.
+MIN_COMPLETENESS = 90
+MAX_DUPLICATE_RATE = 5
+MAX_SOURCE_RATIO = 3
+MIN_DAILY_ROWS = 100
+ADVICE_COMPLETENESS = "Data completeness score is %.1f%%. Consider improving data validation and extraction rules."
+ADVICE_DUPLICATES = "Duplicate rate is %.1f%%. Implement better deduplication strategies."
+ADVICE_SOURCE = "Consider optimizing scraping strategy for %s - it's underperforming compared to %s."
+ADVICE_OUTLIERS = "Found %d price outliers. Review data cleaning rules to handle extreme values."
+ADVICE_VELOCITY = "Collection velocity is %.1f products/day. Consider parallel processing to increase throughput."
+ADVICE_GENERAL = (
+    "Implement automated monitoring to track data quality metrics over time.",
+    "Consider adding more data sources to increase coverage and comparison opportunities.",
+    "Set up alerts for significant price changes or anomalies in the collected data.",
+    "Regularly review and update scraping selectors to maintain data extraction accuracy.",
+)
 
 
 def price_by_day(
@@ -15,3 +44,181 @@ def price_by_day(
 ) -> DataFrame:
     """Daily price figures of the last days."""
     return trends.daily_trend(recent(df, ts, days, as_of), ts, digits)
+
+
+def _numbered(lines: Sequence[Column], one_row: DataFrame, name: str) -> DataFrame:
+    """The lines that apply, numbered from 1."""
+    kept = F.array_compact(F.array(*lines))
+    return one_row.select(F.posexplode(kept).alias("_at", name)).select((F.col("_at") + 1).alias("position"), name)
+
+
+def _source_extremes(df: DataFrame) -> DataFrame:
+    """Largest and smallest source by rows; ties go to the first by name."""
+    counts = df.where(F.col("source").isNotNull()).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(
+        F.struct(
+            F.min_by("source", F.struct(-F.col("n"), F.col("source"))).alias("largest"),
+            F.max("n").alias("most"),
+            F.min_by("source", F.struct(F.col("n"), F.col("source"))).alias("smallest"),
+            F.min("n").alias("fewest"),
+        )
+    )
+
+
+def key_findings(df: DataFrame) -> DataFrame:
+    """Average price, majority under the lowest bound, largest source, and data quality, as sentences."""
+    sources = _source_extremes(df).scalar()
+    one = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg("price").alias("mean"),
+        F.count_if(F.col("price") < stats.PRICE_BOUNDS[0]).alias("cheap"),
+        (reduce(lambda a, b: a + b, [stats.share_present(c) for c in ("price", "title", "source", "url")]) / 4).alias(
+            "complete"
+        ),
+    ).withColumn("sources", sources)
+    largest = F.col("sources.largest")
+    lines = [
+        F.when(F.col("mean").isNotNull(), F.format_string(FINDING_AVERAGE, money(F.col("mean")))),
+        F.when(F.col("cheap") > F.col("n") * 0.5, F.format_string(FINDING_MAJORITY, F.col("cheap"))),
+        F.when(largest.isNotNull(), F.format_string(FINDING_LARGEST, label(largest), F.col("sources.most"))),
+        F.when(F.col("complete").isNotNull(), F.format_string(FINDING_QUALITY, F.col("complete") * 100)),
+    ]
+    return _numbered(lines, one, "finding")
+
+
+def recommendations(df: DataFrame, ts: str = "scraped_at") -> DataFrame:
+    """Advice whose conditions hold, followed by the general advice; none for an empty input."""
+    sources = _source_extremes(df).scalar()
+    found = outliers.iqr_outliers(df.select("price"), "price").agg(F.count(F.lit(1))).scalar()
+    pace = trends.velocity(df, ts).select("avg_products_per_day").scalar()
+    rows = df.agg(F.count(F.lit(1))).scalar()
+    one = quality.data_quality(df).withColumns({"sources": sources, "outliers": found, "pace": pace, "n": rows})
+    score = F.col("completeness_score") * 100
+    uneven = F.col("sources.most") > F.col("sources.fewest") * MAX_SOURCE_RATIO
+    lines = [
+        F.when(score < MIN_COMPLETENESS, F.format_string(ADVICE_COMPLETENESS, score)),
+        F.when(
+            F.col("duplicate_rate") > MAX_DUPLICATE_RATE, F.format_string(ADVICE_DUPLICATES, F.col("duplicate_rate"))
+        ),
+        F.when(uneven, F.format_string(ADVICE_SOURCE, F.col("sources.smallest"), F.col("sources.largest"))),
+        F.when(F.col("outliers") > 0, F.format_string(ADVICE_OUTLIERS, F.col("outliers"))),
+        F.when(F.col("pace") < MIN_DAILY_ROWS, F.format_string(ADVICE_VELOCITY, F.col("pace"))),
+        *[F.lit(text) for text in ADVICE_GENERAL],
+    ]
+    return _numbered(lines, one.where("n > 0"), "recommendation")
+
+
+def report_tables(df: DataFrame, ts: str = "scraped_at") -> dict[str, DataFrame]:
+    """The sections of the report as named tables."""
+    return {
+        "metadata": stats.report_metadata(df, ts),
+        "overview": stats.overview(df, ts),
+        "price_statistics": stats.price_summary(df),
+        "price_distribution": stats.price_ranges(df),
+        "source_comparison": stats.source_comparison(df),
+        "velocity": trends.velocity(df, ts),
+        "price_trend": trends.weekly_trend(df, ts),
+        "data_quality": quality.data_quality(df),
+        "findings": key_findings(df),
+        "recommendations": recommendations(df, ts),
+    }
+
+
+def report_sheets(df: DataFrame) -> dict[str, DataFrame]:
+    """The sheets of the workbook export as named tables."""
+    return {
+        "Products": df,
+        "Source_Summary": stats.source_summary(df),
+        "Price_Analysis": stats.price_ranges(df).select("range", F.col("n").alias("count")),
+        "Summary": summary_sheet(df),
+    }
+
+
+def summary_sheet(df: DataFrame, ts: str = "scraped_at") -> DataFrame:
+    """(position, metric, value) with totals, average price and period as text."""
+    one = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("source").alias("sources"),
+        F.avg("price").alias("mean"),
+        F.min(ts).alias("a"),
+        F.max(ts).alias("b"),
+    )
+    values = {
+        "Total Products": F.col("n").cast("string"),
+        "Unique Sources": F.col("sources").cast("string"),
+        "Average Price": money(F.col("mean")),
+        "Date Range": F.concat_ws(" to ", F.col("a").cast("string"), F.col("b").cast("string")),
+    }
+    rows = [F.struct(F.lit(i).alias("position"), F.lit(m).alias("metric"), v.alias("value"))
+            for i, (m, v) in enumerate(values.items(), 1)]
+    return one.select(F.inline(F.array(*rows)))
+
+
+def _long(df: DataFrame, section: str, entry: Column) -> DataFrame:
+    """Numeric columns of a table as (section, entry, metric, value)."""
+    numeric = [c for c, t in df.dtypes if t in ("double", "bigint", "int")]
+    pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in numeric])
+    return df.select(F.lit(section).alias("section"), entry.cast("string").alias("entry"), F.inline(pairs))
+
+
+def statistics_document(df: DataFrame, ts: str = "scraped_at") -> DataFrame:
+    """All statistics in one long table (section, entry, metric, value), ready for a JSON sink.
+
+    Long form keeps the result distributed however many keywords or days there are.
+    """
+    everything = F.lit("all")
+    parts = [
+        _long(stats.overview(df, ts), "overview", everything),
+        _long(stats.price_summary(df), "price_summary", everything),
+        _long(stats.cumulative_price_counts(df), "price_distribution", everything),
+        _long(stats.source_comparison(df), "source_comparison", F.col("source")),
+        _long(quality.data_quality(df), "data_quality", everything),
+        _long(trends.daily_trend(df, ts), "daily_trend", F.col("day")),
+        _long(trends.weekly_mean(df, ts), "weekly_averages", F.col("week")),
+        _long(trends.weekly_trend(df, ts), "price_trend", everything),
+        _long(trends.velocity(df, ts), "velocity", everything),
+        _long(stats.keyword_performance(df), "keyword_performance", F.col("search_keyword")),
+        _long(stats.scraper_performance(df), "scraper_performance", F.col("scraper_type")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def trend_report(
+    df: DataFrame, days: int, as_of: datetime | str, ts: str = "scraped_at", tiebreak: str = "id"
+) -> dict[str, DataFrame]:
+    """Trends and price changes of a period as named tables."""
+    rows = recent(df, ts, days, as_of)
+    return {
+        "daily": trends.daily_trend(rows, ts),
+        "weekly": trends.weekly_mean(rows, ts),
+        "price_trend": trends.weekly_trend(rows, ts),
+        "velocity": trends.velocity(rows, ts),
+        "daily_fit": trends.daily_fit(rows, ts),
+        "moving_average": trends.moving_average(trends.daily_prices(rows, ts)),
+        "price_changes": price_changes(rows, ts=ts, tiebreak=tiebreak),
+    }
+
+
+def change_totals(df: DataFrame, days: int, as_of: datetime | str, ts: str, tiebreak: str = "id") -> DataFrame:
+    """Price moves per source in a period: rises, falls and mean move."""
+    moves = price_changes(recent(df, ts, days, as_of), ts=ts, tiebreak=tiebreak).where(
+        F.col("previous_price").isNotNull()
+    )
+    move = F.col("price") - F.col("previous_price")
+    return moves.groupBy("source").agg(
+        F.count_if(move > 0).alias("rises"), F.count_if(move < 0).alias("falls"), F.avg(move).alias("mean_move")
+    )
+
+
+def price_comparison(df: DataFrame, sources: Sequence[str]) -> DataFrame:
+    """Mean price per keyword with one column per source, and the cheapest source."""
+    wide = (
+        df.where(F.col("search_keyword").isNotNull())
+        .groupBy("search_keyword")
+        .agg(*[F.avg(F.when(F.col("source") == s, F.col("price"))).alias(s) for s in sources])
+    )
+    offers = F.filter(
+        F.array(*[F.struct(F.col(s).alias("price"), F.lit(s).alias("source")) for s in sources]),
+        lambda o: o.price.isNotNull(),
+    )
+    return wide.withColumn("cheapest", F.array_min(offers).getField("source"))

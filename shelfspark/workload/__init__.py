@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("analysis", "pages")
+MODULES = ("analysis", "pages", "scalars", "store")
 
 
 def load() -> tuple[dict, dict]:
