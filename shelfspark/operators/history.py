@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.operators.skew import HOT_FLOOR_ROWS, HOT_SHARE, hot_groups
+from shelfspark.session import checkpointed
 
 SLICES = 256
 
@@ -35,13 +36,16 @@ def price_changes(
     """
     keys = list(keys)
     rows, _ = split_null_keys(ticks.where(F.col("price").isNotNull()), keys)
-    cuts = F.approx_percentile(F.unix_micros(F.col(ts).cast("timestamp")), _slice_points(), 10_000)
-    hot = hot_groups(rows, keys, [cuts.alias("_cuts")], hot_share, hot_floor)
+    hot = hot_groups(rows, keys, hot_share, hot_floor)
     if hot is None:
         changes = _changes_in_window(rows, keys, ts, tiebreak)
     else:
-        cold_rows = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-        hot_rows = rows.join(F.broadcast(hot.select(*keys, "_cuts")), keys)
+        cold_rows = rows.join(F.broadcast(hot), keys, "left_anti")
+        moment = F.unix_micros(F.col(ts).cast("timestamp"))
+        cuts = F.approx_percentile(moment, _slice_points(), 10_000)
+        # Stored, so that both uses below cut at the same places.
+        sliced = checkpointed(rows.join(F.broadcast(hot), keys).groupBy(*keys).agg(cuts.alias("_cuts")))
+        hot_rows = rows.join(F.broadcast(sliced), keys)
         changes = _changes_in_window(cold_rows, keys, ts, tiebreak).unionByName(
             _changes_in_slices(hot_rows, keys, ts, tiebreak)
         )

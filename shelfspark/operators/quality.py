@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions.hashing import listing_hash
@@ -109,12 +109,11 @@ def mark_duplicates(df: DataFrame, order: str, keys: Sequence[str] = ("title", "
         .agg(F.count(F.lit(1)).alias("copies"), F.min(order).alias("_first"))
         .where("copies > 1")
     )
-    repeated = join_group_table(keyed, groups, list(named.values()), "copies")
-    single = keyed.join(groups.select(*named.values()), list(named.values()), "left_anti")
-    return repeated.select(
-        *df.columns, "copies", (F.col(order) != F.col("_first")).alias("is_repeat")
-    ).unionByName(
-        single.select(*df.columns, F.lit(1).cast("long").alias("copies"), F.lit(False).alias("is_repeat"))
+    joined = join_group_table(keyed, groups, list(named.values()), "copies", "left")
+    return joined.select(
+        *df.columns,
+        F.coalesce("copies", F.lit(1)).alias("copies"),
+        F.coalesce(F.col(order) != F.col("_first"), F.lit(False)).alias("is_repeat"),
     )
 
 
@@ -130,18 +129,22 @@ def source_quality(df: DataFrame) -> DataFrame:
     return df.where(F.col("source").isNotNull()).groupBy("source").agg(score.alias("data_quality_score"))
 
 
-def data_quality(df: DataFrame) -> DataFrame:
-    """Completeness score, duplicate rate and invalid rate in one pass."""
+def quality_columns(df: DataFrame) -> list[Column]:
+    """Completeness score, duplicate rate and invalid rate as aggregates."""
     columns = [c for c in ("price", "title", "source", "url") if c in df.columns]
     score = sum((share_present(c) for c in columns), F.lit(0.0)) / len(columns)
     rows = F.count(F.lit(1))
-    return df.agg(
+    return [
         score.alias("completeness_score"),
         F.try_divide((rows - F.count_distinct("title")) * 100.0, rows).alias("duplicate_rate"),
         F.try_divide(
             (F.count_if(F.col("price") <= 0) + F.count_if(F.col("title").isNull())) * 100.0, rows
         ).alias("invalid_data_rate"),
-    )
+    ]
+
+
+def data_quality(df: DataFrame) -> DataFrame:
+    return df.agg(*quality_columns(df))
 
 
 def completeness_by_source(df: DataFrame, columns: Sequence[str] = ("price", "title")) -> DataFrame:

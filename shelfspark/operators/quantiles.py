@@ -40,6 +40,8 @@ def exact_quantiles(
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_bin", _bin(F.col("_v")))
+        # States what the join below implies, so that both uses have one plan and share one shuffle.
+        .where(F.col("_bin").isNotNull())
     )
     within = Window.partitionBy(*keys)
     bins = counted.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_bin_rows"))

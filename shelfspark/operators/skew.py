@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.session import checkpointed
@@ -18,41 +18,37 @@ HOT_FLOOR_ROWS = 2_000_000
 
 
 def hot_groups(
-    df: DataFrame,
-    keys: Sequence[str],
-    measures: Sequence = (),
-    share: int = HOT_SHARE,
-    floor_rows: int = HOT_FLOOR_ROWS,
+    df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE, floor_rows: int = HOT_FLOOR_ROWS
 ) -> DataFrame | None:
-    """Stored table of the hot groups (keys, group_rows, measures), or None when there is none.
+    """Stored keys of the hot groups, or None when there is none.
 
     Groups of fewer than ``floor_rows`` rows fit one task and never count as hot.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_rows"), *measures)
-    total = sizes.agg(F.sum("group_rows")).scalar()
-    hot = checkpointed(
-        sizes.where((F.col("group_rows") > floor_rows) & (F.col("group_rows") * share > total))
-    )
+    total = df.agg(F.count(F.lit(1))).scalar()
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > floor_rows)
+    hot = checkpointed(sizes.where(F.col("_rows") * share > total).select(*keys))
     return None if hot.isEmpty() else hot
 
 
-def join_group_table(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size_column: str) -> DataFrame:
-    """Inner join of rows with one-row-per-group values, safe when one group holds most rows.
+def join_group_table(
+    rows: DataFrame, groups: DataFrame, keys: Sequence[str], size_column: str, how: str = "inner"
+) -> DataFrame:
+    """Join of rows with one-row-per-group values, inner or left, safe when one group holds most rows.
 
     Hot groups, at most ``HOT_SHARE`` of them, are broadcast; their rows are never shuffled. The
     other groups are small and go through an ordinary join on the keys.
     """
+    keys = list(keys)
     stored = checkpointed(groups)
     total = stored.agg(F.sum(size_column)).scalar()
     is_hot = F.col(size_column) * HOT_SHARE > total
-    if not stored.where(~is_hot).isEmpty():
-        hot = stored.where(is_hot)
-        hot_keys = hot.select(*keys)
-        cold = stored.where(~is_hot)
-        hot_rows = rows.join(F.broadcast(hot), list(keys))
-        cold_rows = rows.join(F.broadcast(hot_keys), list(keys), "left_anti").join(cold, list(keys))
-        return hot_rows.unionByName(cold_rows)
-    return rows.join(F.broadcast(stored), list(keys))
+    cold = stored.where(~is_hot)
+    if cold.isEmpty():
+        return rows.join(F.broadcast(stored), keys, how)
+    hot = stored.where(is_hot)
+    hot_rows = rows.join(F.broadcast(hot), keys)
+    cold_rows = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
+    return hot_rows.unionByName(cold_rows)
 
 
 def first_n_per(df: DataFrame, keys: Sequence[str], order: Sequence, n: int) -> DataFrame:
@@ -61,8 +57,6 @@ def first_n_per(df: DataFrame, keys: Sequence[str], order: Sequence, n: int) ->
     Spark limits each group inside the map tasks before the shuffle, so a hot group sends at most ``n``
     rows per task.
     """
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 

@@ -32,17 +32,16 @@ def _count(name: str = "total_products") -> Column:
     return F.count(F.lit(1)).alias(name)
 
 
-def overview(df: DataFrame, ts: str = "scraped_at") -> DataFrame:
+def overview_columns(df: DataFrame) -> list[Column]:
+    """Rows, distinct sources and completeness in percent as aggregates."""
     completeness = [
         (share_present(c) * 100).alias(f"has_{c}") for c in ("price", "rating", "url") if c in df.columns
     ]
-    return df.agg(
-        _count(),
-        F.count_distinct("source").alias("unique_sources"),
-        F.min(ts).alias("earliest"),
-        F.max(ts).alias("latest"),
-        *completeness,
-    )
+    return [_count(), F.count_distinct("source").alias("unique_sources"), *completeness]
+
+
+def overview(df: DataFrame, ts: str = "scraped_at") -> DataFrame:
+    return df.agg(*overview_columns(df), F.min(ts).alias("earliest"), F.max(ts).alias("latest"))
 
 
 def price_summary(df: DataFrame, by: Sequence[str] = (), column: str = "price") -> DataFrame:
@@ -68,10 +67,14 @@ def price_summary(df: DataFrame, by: Sequence[str] = (), column: str = "price")
     return moments.select("*", *[value.alias(name) for name, value in one_row.items()])
 
 
-def cumulative_price_counts(df: DataFrame, bounds: Sequence[int] = PRICE_BOUNDS) -> DataFrame:
-    """Rows under each bound, and rows at or over the last one."""
+def cumulative_columns(bounds: Sequence[int] = PRICE_BOUNDS) -> list[Column]:
+    """Rows under each bound, and rows at or over the last one, as aggregates."""
     under = [F.count_if(F.col("price") < b).alias(f"under_{b}") for b in bounds]
-    return df.agg(*under, F.count_if(F.col("price") >= bounds[-1]).alias(f"over_{bounds[-1]}"))
+    return [*under, F.count_if(F.col("price") >= bounds[-1]).alias(f"over_{bounds[-1]}")]
+
+
+def cumulative_price_counts(df: DataFrame, bounds: Sequence[int] = PRICE_BOUNDS) -> DataFrame:
+    return df.agg(*cumulative_columns(bounds))
 
 
 def price_ranges(df: DataFrame) -> DataFrame:
@@ -303,7 +306,7 @@ def batch_progress(batches: DataFrame, target: int, chunk: int = 10_000) -> Data
     A two-level prefix sum: chunks of consecutive batches are summed first, so no window sees more
     than one chunk of batches or one row per chunk.
     """
-    numbered = batches.withColumn("_chunk", F.floor(F.col("batch") / chunk))
+    numbered = batches.withColumn("_chunk", F.floor(F.col("batch") / chunk)).where(F.col("_chunk").isNotNull())
     chunk_sums = numbered.groupBy("_chunk").agg(F.sum("batch_records").alias("_sum"))
     before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = chunk_sums.select("_chunk", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))

@@ -161,6 +161,28 @@ def _long(df: DataFrame, section: str, entry: Column) -> DataFrame:
     return df.select(F.lit(section).alias("section"), entry.cast("string").alias("entry"), F.inline(pairs))
 
 
+def _one_row_statistics(df: DataFrame) -> DataFrame:
+    """The one-row sections in long form, all from a single pass over the listings."""
+    sections = {
+        "overview": stats.overview_columns(df),
+        "price_distribution": stats.cumulative_columns(),
+        "data_quality": quality.quality_columns(df),
+    }
+    named = [(section, f"{section}.{i}", column) for section, columns in sections.items() for i, column in enumerate(columns)]
+    titles = {name: df.agg(column).columns[0] for _, name, column in named}
+    one = df.agg(*[column.alias(name) for _, name, column in named])
+    rows = [
+        F.struct(
+            F.lit(section).alias("section"),
+            F.lit("all").alias("entry"),
+            F.lit(titles[name]).alias("metric"),
+            F.col(f"`{name}`").cast("double").alias("value"),
+        )
+        for section, name, _ in named
+    ]
+    return one.select(F.inline(F.array(*rows)))
+
+
 def statistics_document(df: DataFrame, ts: str = "scraped_at") -> DataFrame:
     """All statistics in one long table (section, entry, metric, value), ready for a JSON sink.
 
@@ -168,11 +190,9 @@ def statistics_document(df: DataFrame, ts: str = "scraped_at") -> DataFrame:
     """
     everything = F.lit("all")
     parts = [
-        _long(stats.overview(df, ts), "overview", everything),
+        _one_row_statistics(df),
         _long(stats.price_summary(df), "price_summary", everything),
-        _long(stats.cumulative_price_counts(df), "price_distribution", everything),
         _long(stats.source_comparison(df), "source_comparison", F.col("source")),
-        _long(quality.data_quality(df), "data_quality", everything),
         _long(trends.daily_trend(df, ts), "daily_trend", F.col("day")),
         _long(trends.weekly_mean(df, ts), "weekly_averages", F.col("week")),
         _long(trends.weekly_trend(df, ts), "price_trend", everything),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.adapters import table
 from shelfspark.operators import classify, extract
+from shelfspark.sources.readers import read_pages, spread
 from shelfspark.workload.registry import query, rounded
 
 # --- Pages written from the catalogue: a complete card, one without title, one without price ----------
@@ -17,7 +18,8 @@ def _parts(spark, sf) -> DataFrame:
     dollars = F.expr("CAST(round(p_retailprice * 100) AS BIGINT) div 100")
     amount = F.concat(F.lit("$"), F.format_number(dollars, 0), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
     asin = F.concat(F.lit("B"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"))
-    return table(spark, sf, "part").select(
+    # Few narrow rows become long pages, so they are spread before the markup is written.
+    return spread(table(spark, sf, "part"), "p_partkey").select(
         "p_partkey",
         F.concat_ws(" ", "p_name", "p_brand", F.lit("&amp; more")).alias("label"),
         F.col("p_type").alias("keyword"),
@@ -186,7 +188,7 @@ def x9_amazon_details(spark, sf):
         F.lit('<div id="feature-bullets"><h3>About</h3><ul><li>'), "p_name", F.lit("</li> <li>from "), "p_brand",
         F.lit('</li></ul></div><div id="availability"><span>'), stock, F.lit("</span></div>"),
     )
-    pages = table(spark, sf, "part").select(
+    pages = spread(table(spark, sf, "part"), "p_partkey").select(
         F.col("p_partkey").alias("page_id"), F.lit("amazon").alias("source"), html.alias("html")
     )
     return extract.extract_details(pages).select("page_id", "description", "availability")
@@ -198,7 +200,7 @@ def x9_amazon_details(spark, sf):
 )
 def x9_generic_page_fields(spark, sf):
     rules = {None: {"description": ["article"], "availability": [".ad"]}}
-    pages = table(spark, sf, "pages").select("page_id", F.lit("web").alias("source"), "html")
+    pages = read_pages(spark, f"{sf}/pages.parquet").select("page_id", F.lit("web").alias("source"), "html")
     found = extract.extract_details(pages, rules)
     return found.select(
         "page_id",
@@ -217,7 +219,7 @@ def x9_generic_page_fields(spark, sf):
     '&copy;', '©'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')), '[^\x20-\x7E]', '', 'g') AS text FROM b"""
 )
 def x12_page_links(spark, sf):
-    return extract.page_links(table(spark, sf, "pages"))
+    return extract.page_links(read_pages(spark, f"{sf}/pages.parquet"))
 
 
 @query(
@@ -228,7 +230,7 @@ def x12_page_links(spark, sf):
     '&copy;', '©'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')), '[^\x20-\x7E]', '', 'g') AS heading FROM b"""
 )
 def x12_page_headings(spark, sf):
-    return extract.page_headings(table(spark, sf, "pages"))
+    return extract.page_headings(read_pages(spark, f"{sf}/pages.parquet"))
 
 
 # --- Classification ----------------------------------------------------------------------------------
@@ -252,7 +254,7 @@ def suspect_pages(spark, sf) -> DataFrame:
     snippet = F.element_at(F.array(*[F.lit(s) for s in SNIPPETS]), (F.col("page_id") % 8 + 1).cast("int"))
     status = F.element_at(F.array(*[F.lit(s) for s in STATUSES]), (F.col("page_id") % 5 + 1).cast("int"))
     marked = F.concat("url", F.when(F.col("page_id") % 3 == 0, "&verify=recaptcha").otherwise(""))
-    return table(spark, sf, "pages").select(
+    return read_pages(spark, f"{sf}/pages.parquet").select(
         "page_id",
         marked.alias("url"),
         F.regexp_extract("url", "^[a-z]+://(?:[^/?#]*\\.)?([^/?#.]+\\.[a-z]+)", 1).alias("source"),
