@@ -10,8 +10,8 @@ MAX_RATING = 5.0
 
 
 def to_number(value: Column) -> Column:
-    """Number, or null when the value is no number."""
-    return value.try_cast("double")
+    """Number, or null when the value is no number (the word nan included)."""
+    return F.nullif(value.try_cast("double"), F.lit(float("nan")))
 
 
 def extract_price(text: Column) -> Column:

@@ -1,8 +1,9 @@
 """Exact quantiles without holding a group's values in one task.
 
 The built-in exact percentile keeps every distinct value of a group in one aggregation buffer. Here the
-values are counted first (one evenly hashed shuffle of distinct values), each value falls into a narrow
-relative bin, and only the few bins that contain a wanted rank are sorted.
+values are counted first (one evenly hashed shuffle of distinct values). Each value falls into a narrow relative
+bin; bins that contain a wanted rank are cut once more into equal parts; and only the parts that contain a wanted rank
+are sorted.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS_PER_OCTAVE = 256
+PARTS_PER_BIN = 4096
 
 
 def _bin(value: Column) -> Column:
@@ -26,55 +28,69 @@ def _rank_ends(rows: Column, probability: float) -> tuple[Column, Column, Column
     return low, F.ceil(position), position - low
 
 
+def _holds(rank: Column, start: Column, rows: Column) -> Column:
+    return (rank >= start) & (rank < start + rows)
+
+
+def _narrow(values: DataFrame, keys: list[str], cell: str, probabilities: Sequence[float]) -> DataFrame:
+    """Values of the cells that hold a wanted rank, with the rows of the group and those before the cell.
+
+    ``values`` has the keys, the cell number, _v and _c, and from an earlier call _rows and _before.
+    """
+    within = Window.partitionBy(*keys)
+    earlier = "_rows" in values.columns
+    cells = values.groupBy(*keys, cell).agg(
+        F.sum("_c").alias("_cell_rows"),
+        F.min("_v").alias("_low"),
+        F.max("_v").alias("_high"),
+        *([F.max("_rows").alias("_rows"), F.max("_before").alias("_base")] if earlier else []),
+    )
+    running = F.sum("_cell_rows").over(within.orderBy(cell).rowsBetween(Window.unboundedPreceding, 0))
+    placed = cells.withColumns(
+        {
+            "_rows": F.col("_rows") if earlier else F.sum("_cell_rows").over(within),
+            "_before": running - F.col("_cell_rows") + (F.col("_base") if earlier else F.lit(0)),
+        }
+    )
+    wanted = F.lit(False)
+    for p in probabilities:
+        low, high, _ = _rank_ends(F.col("_rows"), p)
+        for rank in (low, high):
+            wanted = wanted | _holds(rank, F.col("_before"), F.col("_cell_rows"))
+    target = placed.where(wanted).select(*keys, cell, "_rows", "_before", "_low", "_high")
+    return values.select(*keys, cell, "_v", "_c").join(target, [*keys, cell])
+
+
 def exact_quantiles(
     df: DataFrame, value: str, probabilities: dict[str, float], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Linear-interpolated quantiles of the non-null values, one row per group.
+    """Linear-interpolated quantiles of the present values, one row per group.
 
     ``probabilities`` maps output column names to probabilities. Null group keys drop out.
     """
     keys = list(by)
+    wanted = list(probabilities.values())
+    number = F.col(value).cast("double")
     counted = (
-        df.where(F.col(value).isNotNull())
-        .where(_all_present(keys))
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
+        df.where(number.isNotNull() & ~F.isnan(number) & _all_present(keys))
+        .groupBy(*keys, number.alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_bin", _bin(F.col("_v")))
-        # States what the join below implies, so that both uses have one plan and share one shuffle.
+        # States what the join implies, so that both uses have one plan and share one shuffle.
         .where(F.col("_bin").isNotNull())
     )
-    within = Window.partitionBy(*keys)
-    bins = counted.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_bin_rows"))
-    placed = bins.select(
-        *keys,
-        "_bin",
-        F.sum("_bin_rows").over(within).alias("_rows"),
-        "_bin_rows",
-        (
-            F.sum("_bin_rows").over(within.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
-            - F.col("_bin_rows")
-        ).alias("_before_bin"),
-    )
-    wanted = F.lit(False)
-    for p in probabilities.values():
-        low, high, _ = _rank_ends(F.col("_rows"), p)
-        for rank in (low, high):
-            wanted = wanted | (
-                (rank >= F.col("_before_bin")) & (rank < F.col("_before_bin") + F.col("_bin_rows"))
-            )
-    target = placed.where(wanted).drop("_bin_rows")
-    candidates = counted.join(target, [*keys, "_bin"])
-    running = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = candidates.withColumn(
-        "_start", F.col("_before_bin") + F.sum("_c").over(running) - F.col("_c")
-    )
+    in_bins = _narrow(counted, keys, "_bin", wanted)
+    share = F.try_divide(F.col("_v") - F.col("_low"), F.col("_high") - F.col("_low"))
+    cut = in_bins.withColumn("_part", F.coalesce(F.floor(share * PARTS_PER_BIN), F.lit(0)))
+    in_parts = _narrow(cut, [*keys, "_bin"], "_part", wanted)
+    running = Window.partitionBy(*keys, "_bin", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = in_parts.withColumn("_start", F.col("_before") + F.sum("_c").over(running) - F.col("_c"))
     picks = []
     outputs = []
     for i, (name, p) in enumerate(probabilities.items()):
         low, high, fraction = _rank_ends(F.col("_rows"), p)
         for end, rank in (("lo", low), ("hi", high)):
-            inside = (rank >= F.col("_start")) & (rank < F.col("_start") + F.col("_c"))
-            picks.append(F.max(F.when(inside, F.col("_v"))).alias(f"_{end}{i}"))
+            picks.append(F.max(F.when(_holds(rank, F.col("_start"), F.col("_c")), F.col("_v"))).alias(f"_{end}{i}"))
         outputs.append(
             (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * fraction).alias(name)
         )

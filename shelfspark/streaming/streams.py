@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from shelfspark.operators.quality import clean_listings, validate, with_listing_hash
-from shelfspark.operators.history import split_null_keys
+from shelfspark.operators.history import price_changes, split_null_keys
+from shelfspark.operators.skew import first_per_key, join_group_table
 from shelfspark.schemas import LISTING
 from shelfspark.session import scratch_path
 from shelfspark.sources.store import KEYS, publish, read_version, upsert, versions
@@ -96,11 +97,12 @@ class PriceChanges(StatefulProcessor):
         pass
 
 
-def stream_price_changes(ticks: DataFrame) -> DataFrame:
+def keyed_price_changes(ticks: DataFrame) -> DataFrame:
     """First sightings and price changes as ticks arrive; ticks older than the last one are marked late.
 
-    State is one row per product. A product's ticks of one micro-batch meet in one task, so the size of a
-    micro-batch (files per trigger) bounds the work of a hot product. Needs the RocksDB state store.
+    Keyed state, one row per product, in the RocksDB state store. A product's ticks of one micro-batch meet in one
+    task, so the source must bound its micro-batches (maxBytesPerTrigger, maxFilesPerTrigger). For micro-batches of
+    any size there is :func:`price_change_batches`.
     """
     rows, _ = split_null_keys(ticks.where(F.col("price").isNotNull()), KEYS)
     ticks_only = rows.select(*KEYS, "id", F.col("price").cast("double").alias("price"), "recorded_at")
@@ -111,10 +113,59 @@ def stream_price_changes(ticks: DataFrame) -> DataFrame:
     return changes.withColumn("previous_price", previous)
 
 
+def price_change_batches(root: str) -> Callable[[DataFrame, int], None]:
+    """Batch function with the same results, for micro-batches of any size and with hot products.
+
+    Below ``root``: ``changes/batch=N`` and ``last/v=N``, the last tick of every product. Both are replaced when a
+    batch is repeated.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        priced, _ = split_null_keys(batch.where(F.col("price").isNotNull()), KEYS)
+        ticks = priced.select(*KEYS, "id", F.col("price").cast("double").alias("price"), "recorded_at")
+        last = read_version(spark, f"{root}/last", before=batch_id)
+        if last is None:
+            fresh, late, seeds = ticks, ticks.where(F.lit(False)), ticks.where(F.lit(False))
+        else:
+            # Keys of this batch with their last known tick; only they can make a tick late or a change.
+            known = ticks.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).join(last, list(KEYS), "left")
+            known = known.select(
+                *KEYS, "_n", F.col("id").alias("_id"), F.col("recorded_at").alias("_at"), F.col("price").alias("_price")
+            )
+            marked = join_group_table(ticks, known, KEYS, "_n")
+            is_late = F.coalesce(
+                F.struct(F.col("recorded_at"), F.col("id")) <= F.when(F.col("_at").isNotNull(), F.struct("_at", "_id")),
+                F.lit(False),
+            )
+            fresh, late = marked.where(~is_late).select(*ticks.columns), marked.where(is_late).select(*ticks.columns)
+            seeds = known.where(F.col("_at").isNotNull()).select(
+                *KEYS, F.col("_id").alias("id"), F.col("_price").alias("price"), F.col("_at").alias("recorded_at")
+            )
+        rows = fresh.withColumn("_seed", F.lit(False)).unionByName(seeds.withColumn("_seed", F.lit(True)))
+        changes = price_changes(rows, KEYS).where(~F.col("_seed")).drop("_seed").withColumn("late", F.lit(False))
+        dropped = late.withColumns({"previous_price": F.lit(None).cast("double"), "late": F.lit(True)})
+        names = [f.name for f in CHANGE.fields]
+        changes.select(*names).unionByName(dropped.select(*names)).write.mode("overwrite").parquet(
+            f"{root}/changes/batch={batch_id:09d}"
+        )
+        ends = fresh if last is None else fresh.unionByName(last.select(*fresh.columns))
+        publish(first_per_key(ends, list(KEYS), ("recorded_at", "id"), last=True), f"{root}/last", batch_id)
+
+    return run
+
+
+def run_price_changes(ticks: DataFrame, name: str) -> DataFrame:
+    """Run price changes over everything available now and read them."""
+    root = scratch_path(ticks.sparkSession, name)
+    _run_batches(ticks, root, price_change_batches(root))
+    return ticks.sparkSession.read.schema(CHANGE).parquet(f"{root}/changes").drop("batch")
+
+
 # --- ingestion --------------------------------------------------------------------------------------
 
 
-def ingest(root: str, compact_every: int = 1) -> Callable[[DataFrame, int], None]:
+def ingest(root: str, compact_every: int = 10) -> Callable[[DataFrame, int], None]:
     """Batch function: clean, validate, append to the log, and now and then fold the log into the product table.
 
     Below ``root``: ``checked/batch=N/outcome=accepted`` and ``=rejected`` rows, and ``products/v=N``, the table.
@@ -183,16 +234,19 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     return read_version(spark, f"{root}/out")
 
 
-def run_ingest(stream: DataFrame, name: str, compact_every: int = 1) -> str:
-    """Run ingestion over everything available now; returns the root folder."""
-    root = scratch_path(stream.sparkSession, name)
-    (
-        stream.writeStream.option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True)
-        .foreachBatch(ingest(root, compact_every))
-        .start()
-        .awaitTermination()
-    )
+def _run_batches(stream: DataFrame, root: str, run: Callable[[DataFrame, int], None]) -> None:
+    writer = stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+    writer.foreachBatch(run).start().awaitTermination()
+
+
+def run_ingest(stream: DataFrame, name: str, compact_every: int = 10) -> str:
+    """Run ingestion over everything available now and fold what is left; returns the root folder."""
+    spark = stream.sparkSession
+    root = scratch_path(spark, name)
+    _run_batches(stream, root, ingest(root, compact_every))
+    logged = spark.read.parquet(f"{root}/checked").agg(F.max("batch")).first()[0]
+    if logged is not None and logged not in versions(spark, f"{root}/products"):
+        compact(spark, root, int(logged))
     return root
 
 

@@ -528,9 +528,14 @@ def d7_price_comparison(spark, sf):
 # --- S1-S4: streams over the events files ---------------------------------------------------------------------
 
 
-def _tick_stream(spark, sf):
+# Bound of a micro-batch of the keyed-state stream.
+MICRO_BATCH_BYTES = 64 * 1024 * 1024
+
+
+def _tick_stream(spark, sf, max_bytes: int | None = None):
     schema = table(spark, sf, "events").schema
-    raw = spark.readStream.schema(schema).format("parquet").option("pathGlobFilter", "events*.parquet").load(sf)
+    source = spark.readStream.schema(schema).format("parquet").option("pathGlobFilter", "events*.parquet")
+    raw = (source if max_bytes is None else source.option("maxBytesPerTrigger", max_bytes)).load(sf)
     return raw.select(
         F.col("event_type").alias("source"),
         F.col("user_id").cast("string").alias("product_id"),
@@ -587,5 +592,15 @@ def s3_stream_weekly_mean(spark, sf):
     ("ticks",),
 )
 def s4_stream_price_changes(spark, sf):
+    return streams.run_price_changes(_tick_stream(spark, sf), "changes")
+
+
+@query(
+    """SELECT id, source, product_id, price, previous_price, recorded_at, false AS late FROM (
+    SELECT *, lag(price) OVER (PARTITION BY source, product_id ORDER BY recorded_at, id) AS previous_price FROM ticks)
+    WHERE previous_price IS NULL OR price <> previous_price""",
+    ("ticks",),
+)
+def s4_keyed_price_changes(spark, sf):
     streams.use_rocksdb(spark)
-    return streams.run_available(streams.stream_price_changes(_tick_stream(spark, sf)), "changes")
+    return streams.run_available(streams.keyed_price_changes(_tick_stream(spark, sf, MICRO_BATCH_BYTES)), "keyed-changes")

@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.operators.history import price_changes
@@ -22,24 +23,43 @@ def tick(hour, price, i, product="p", source="s"):
     return (source, product, price, START + timedelta(hours=hour), i)
 
 
-def test_price_changes_over_micro_batches(spark, tmp_path):
-    streams.use_rocksdb(spark)
+def keyed(stream):
+    streams.use_rocksdb(stream.sparkSession)
+    return streams.run_available(streams.keyed_price_changes(stream), "keyed")
+
+
+def batched(stream):
+    return streams.run_price_changes(stream, "batched")
+
+
+@pytest.mark.parametrize("run", [keyed, batched])
+def test_price_changes_over_micro_batches(spark, tmp_path, run):
     files = [
         [tick(0, 10.0, 0), tick(1, 10.0, 1), tick(2, 12.0, 2), tick(0, 1.0, 3, "q"), tick(0, 1.0, 9, None)],
-        [tick(3, 12.0, 4), tick(4, 10.0, 5), tick(1, 2.0, 6, "q"), tick(1, None, 10, "q")],
+        [tick(3, 12.0, 4), tick(4, 10.0, 5), tick(1, 2.0, 6, "q"), tick(1, None, 10, "q"), tick(0, 5.0, 11, "r")],
     ]
-    got = streams.run_available(streams.stream_price_changes(land(spark, tmp_path, *files)), "t").collect()
+    got = run(land(spark, tmp_path, *files)).collect()
     batch = spark.createDataFrame([r for f in files for r in f], TICK)
     assert {(r.id, r.previous_price) for r in got} == {(r.id, r.previous_price) for r in price_changes(batch).collect()}
 
 
-def test_late_ticks_are_marked(spark, tmp_path):
-    streams.use_rocksdb(spark)
+@pytest.mark.parametrize("run", [keyed, batched])
+def test_late_ticks_are_marked(spark, tmp_path, run):
     stream = land(spark, tmp_path, [tick(5, 10.0, 5)], [tick(1, 99.0, 1), tick(6, 11.0, 6), tick(5, 12.0, 5)])
-    got = {(r.id, r.price, r.previous_price, r.late) for r in streams.run_available(streams.stream_price_changes(stream), "t").collect()}
+    got = {(r.id, r.price, r.previous_price, r.late) for r in run(stream).collect()}
     assert got == {(5, 10.0, None, False), (6, 11.0, 10.0, False), (1, 99.0, None, True), (5, 12.0, None, True)}
 
 
+def test_repeated_batch_changes_nothing(spark, tmp_path):
+    root = str(tmp_path / "r")
+    run = streams.price_change_batches(root)
+    run(spark.createDataFrame([tick(0, 1.0, 0)], TICK), 0)
+    for _ in range(2):
+        run(spark.createDataFrame([tick(1, 2.0, 1)], TICK), 1)
+    rows = spark.read.parquet(f"{root}/changes").collect()
+    assert sorted((r.id, r.previous_price) for r in rows) == [(0, None), (1, 1.0)]
+
+
 def test_windows_equal_batch(spark, tmp_path):
     files = [[tick(h, float(h), h) for h in range(0, 300, 7)], [tick(h, float(h), h) for h in range(300, 700, 7)]]
     stream = land(spark, tmp_path, *files)
@@ -82,3 +102,15 @@ def test_ingest_compacts_and_survives_a_repeated_batch(spark, tmp_path):
     run(listing(spark, ("4", 1.0, 3)), 3)
     table = {r.product_id: r.price for r in store.read_version(spark, f"{root}/products").collect()}
     assert table == {"1": 6.0, "2": 9.0, "4": 1.0}
+
+
+def test_run_ingest_folds_the_rest(spark, tmp_path):
+    for i, price in enumerate((5.0, 6.0, 7.0)):
+        listing(spark, ("1", price, i)).coalesce(1).write.parquet(str(tmp_path / f"f{i}"))
+    schema = listing(spark, ("1", 1.0, 0)).schema
+    stream = streams.stream_listings(
+        spark, str(tmp_path), "parquet", schema, recursiveFileLookup="true", maxFilesPerTrigger="1"
+    )
+    root = streams.run_ingest(stream, "shop", compact_every=2)
+    assert store.versions(spark, f"{root}/products") == [1, 2]
+    assert [r.price for r in store.read_version(spark, f"{root}/products").collect()] == [7.0]
