@@ -21,22 +21,26 @@ def extract_price(text: Column) -> Column:
     a decimal comma.
     """
     digits = F.regexp_replace(text, r"[^0-9.,]", "")
+    comma, point = F.contains(digits, F.lit(",")), F.contains(digits, F.lit("."))
+    without_commas = F.replace(digits, F.lit(","), F.lit(""))
+    one_comma = F.length(digits) - F.length(without_commas) == 1
     after_comma = F.length(digits) - F.instr(digits, ",")
-    commas = F.length(digits) - F.length(F.replace(digits, F.lit(","), F.lit("")))
-    plain = (
-        F.when(
-            F.contains(digits, F.lit(",")) & F.contains(digits, F.lit(".")),
-            F.replace(digits, F.lit(","), F.lit("")),
-        )
-        .when((commas == 1) & (after_comma <= 2), F.replace(digits, F.lit(","), F.lit(".")))
-        .otherwise(digits)
+
+    def read(number_text: Column) -> Column:
+        free = F.contains(F.lower(text), F.lit("free"))
+        return F.when(free, F.lit(0.0)).otherwise(number_text.try_cast("double"))
+
+    # The digits stand in the first condition, which is always evaluated; so each row computes them once.
+    return (
+        F.when(comma & point, read(without_commas))
+        .when(one_comma & (after_comma <= 2), read(F.replace(digits, F.lit(","), F.lit("."))))
+        .otherwise(read(digits))
     )
-    return F.when(F.contains(F.lower(text), F.lit("free")), F.lit(0.0)).otherwise(to_number(plain))
 
 
 def extract_rating(text: Column) -> Column:
     """First number of a text on a scale of five; ten-point ratings are halved."""
-    number = to_number(F.regexp_extract(text, r"([0-9]+\.?[0-9]*)", 1))
+    number = F.regexp_extract(text, r"([0-9]+\.?[0-9]*)", 1).try_cast("double")
     return (
         F.when(number > 2 * MAX_RATING, F.lit(MAX_RATING)).when(number > MAX_RATING, number / 2).otherwise(number)
     )

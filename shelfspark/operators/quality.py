@@ -13,7 +13,7 @@ from shelfspark.functions.text import clean_text
 from shelfspark.functions.times import to_time
 from shelfspark.functions.urls import BASE_URLS, by_source, is_valid_url, normalize_url
 from shelfspark.operators.skew import first_per_key, join_group_table
-from shelfspark.operators.stats import share_present
+from shelfspark.operators.stats import named, share_present
 
 # Required fields and the price bounds of a valid row.
 REQUIRED_FIELDS = ("title", "url", "source")
@@ -129,22 +129,20 @@ def source_quality(df: DataFrame) -> DataFrame:
     return df.where(F.col("source").isNotNull()).groupBy("source").agg(score.alias("data_quality_score"))
 
 
-def quality_columns(df: DataFrame) -> list[Column]:
+def quality_columns(df: DataFrame) -> dict[str, Column]:
     """Completeness score, duplicate rate and invalid rate as aggregates."""
     columns = [c for c in ("price", "title", "source", "url") if c in df.columns]
-    score = sum((share_present(c) for c in columns), F.lit(0.0)) / len(columns)
     rows = F.count(F.lit(1))
-    return [
-        score.alias("completeness_score"),
-        F.try_divide((rows - F.count_distinct("title")) * 100.0, rows).alias("duplicate_rate"),
-        F.try_divide(
-            (F.count_if(F.col("price") <= 0) + F.count_if(F.col("title").isNull())) * 100.0, rows
-        ).alias("invalid_data_rate"),
-    ]
+    invalid = F.count_if(F.col("price") <= 0) + F.count_if(F.col("title").isNull())
+    return {
+        "completeness_score": sum((share_present(c) for c in columns), F.lit(0.0)) / len(columns),
+        "duplicate_rate": F.try_divide((rows - F.count_distinct("title")) * 100.0, rows),
+        "invalid_data_rate": F.try_divide(invalid * 100.0, rows),
+    }
 
 
 def data_quality(df: DataFrame) -> DataFrame:
-    return df.agg(*quality_columns(df))
+    return df.agg(*named(quality_columns(df)))
 
 
 def completeness_by_source(df: DataFrame, columns: Sequence[str] = ("price", "title")) -> DataFrame:

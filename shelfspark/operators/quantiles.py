@@ -32,7 +32,9 @@ def _holds(rank: Column, start: Column, rows: Column) -> Column:
     return (rank >= start) & (rank < start + rows)
 
 
-def _narrow(values: DataFrame, keys: list[str], cell: str, probabilities: Sequence[float]) -> DataFrame:
+def _narrow(
+    values: DataFrame, keys: list[str], cell: str, probabilities: Sequence[float], one_group: bool
+) -> DataFrame:
     """Values of the cells that hold a wanted rank, with the rows of the group and those before the cell.
 
     ``values`` has the keys, the cell number, _v and _c, and from an earlier call _rows and _before.
@@ -58,6 +60,9 @@ def _narrow(values: DataFrame, keys: list[str], cell: str, probabilities: Sequen
         for rank in (low, high):
             wanted = wanted | _holds(rank, F.col("_before"), F.col("_cell_rows"))
     target = placed.where(wanted).select(*keys, cell, "_rows", "_before", "_low", "_high")
+    if one_group:
+        # At most two cells per probability.
+        target = F.broadcast(target)
     return values.select(*keys, cell, "_v", "_c").join(target, [*keys, cell])
 
 
@@ -79,10 +84,10 @@ def exact_quantiles(
         # States what the join implies, so that both uses have one plan and share one shuffle.
         .where(F.col("_bin").isNotNull())
     )
-    in_bins = _narrow(counted, keys, "_bin", wanted)
+    in_bins = _narrow(counted, keys, "_bin", wanted, not keys)
     share = F.try_divide(F.col("_v") - F.col("_low"), F.col("_high") - F.col("_low"))
     cut = in_bins.withColumn("_part", F.coalesce(F.floor(share * PARTS_PER_BIN), F.lit(0)))
-    in_parts = _narrow(cut, [*keys, "_bin"], "_part", wanted)
+    in_parts = _narrow(cut, [*keys, "_bin"], "_part", wanted, not keys)
     running = Window.partitionBy(*keys, "_bin", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = in_parts.withColumn("_start", F.col("_before") + F.sum("_c").over(running) - F.col("_c"))
     picks = []

@@ -32,16 +32,22 @@ def _count(name: str = "total_products") -> Column:
     return F.count(F.lit(1)).alias(name)
 
 
-def overview_columns(df: DataFrame) -> list[Column]:
+def named(columns: dict[str, Column]) -> list[Column]:
+    return [column.alias(name) for name, column in columns.items()]
+
+
+def overview_columns(df: DataFrame) -> dict[str, Column]:
     """Rows, distinct sources and completeness in percent as aggregates."""
-    completeness = [
-        (share_present(c) * 100).alias(f"has_{c}") for c in ("price", "rating", "url") if c in df.columns
-    ]
-    return [_count(), F.count_distinct("source").alias("unique_sources"), *completeness]
+    present = [c for c in ("price", "rating", "url") if c in df.columns]
+    return {
+        "total_products": F.count(F.lit(1)),
+        "unique_sources": F.count_distinct("source"),
+        **{f"has_{c}": share_present(c) * 100 for c in present},
+    }
 
 
 def overview(df: DataFrame, ts: str = "scraped_at") -> DataFrame:
-    return df.agg(*overview_columns(df), F.min(ts).alias("earliest"), F.max(ts).alias("latest"))
+    return df.agg(*named(overview_columns(df)), F.min(ts).alias("earliest"), F.max(ts).alias("latest"))
 
 
 def price_summary(df: DataFrame, by: Sequence[str] = (), column: str = "price") -> DataFrame:
@@ -67,14 +73,14 @@ def price_summary(df: DataFrame, by: Sequence[str] = (), column: str = "price")
     return moments.select("*", *[value.alias(name) for name, value in one_row.items()])
 
 
-def cumulative_columns(bounds: Sequence[int] = PRICE_BOUNDS) -> list[Column]:
+def cumulative_columns(bounds: Sequence[int] = PRICE_BOUNDS) -> dict[str, Column]:
     """Rows under each bound, and rows at or over the last one, as aggregates."""
-    under = [F.count_if(F.col("price") < b).alias(f"under_{b}") for b in bounds]
-    return [*under, F.count_if(F.col("price") >= bounds[-1]).alias(f"over_{bounds[-1]}")]
+    under = {f"under_{b}": F.count_if(F.col("price") < b) for b in bounds}
+    return {**under, f"over_{bounds[-1]}": F.count_if(F.col("price") >= bounds[-1])}
 
 
 def cumulative_price_counts(df: DataFrame, bounds: Sequence[int] = PRICE_BOUNDS) -> DataFrame:
-    return df.agg(*cumulative_columns(bounds))
+    return df.agg(*named(cumulative_columns(bounds)))
 
 
 def price_ranges(df: DataFrame) -> DataFrame:

@@ -168,17 +168,16 @@ def _one_row_statistics(df: DataFrame) -> DataFrame:
         "price_distribution": stats.cumulative_columns(),
         "data_quality": quality.quality_columns(df),
     }
-    named = [(section, f"{section}.{i}", column) for section, columns in sections.items() for i, column in enumerate(columns)]
-    titles = {name: df.agg(column).columns[0] for _, name, column in named}
-    one = df.agg(*[column.alias(name) for _, name, column in named])
+    columns = {(section, metric): c for section, metrics in sections.items() for metric, c in metrics.items()}
+    one = df.agg(*[c.alias(f"{section}_{metric}") for (section, metric), c in columns.items()])
     rows = [
         F.struct(
             F.lit(section).alias("section"),
             F.lit("all").alias("entry"),
-            F.lit(titles[name]).alias("metric"),
-            F.col(f"`{name}`").cast("double").alias("value"),
+            F.lit(metric).alias("metric"),
+            F.col(f"{section}_{metric}").cast("double").alias("value"),
         )
-        for section, name, _ in named
+        for section, metric in columns
     ]
     return one.select(F.inline(F.array(*rows)))
 

@@ -215,8 +215,9 @@ def x9_generic_page_fields(spark, sf):
     b AS (SELECT page_id, url, CAST(unnest(range(1, len(h) + 1)) AS INTEGER) AS position, unnest(h) AS href, unnest(t) AS t FROM a)
     SELECT page_id, position, href,
     CASE WHEN href LIKE 'http%' THEN href ELSE regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href END AS link,
-    regexp_replace(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&middot;', '·'),
-    '&copy;', '©'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')), '[^\x20-\x7E]', '', 'g') AS text FROM b"""
+    regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    regexp_replace(t, '<[^>]*>', '', 'g'), '&middot;?', '·', 'g'),
+    '&copy;?', '©', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')), '[^\x20-\x7E]', '', 'g') AS text FROM b"""
 )
 def x12_page_links(spark, sf):
     return extract.page_links(read_pages(spark, f"{sf}/pages.parquet"))
@@ -226,8 +227,8 @@ def x12_page_links(spark, sf):
     r"""WITH a AS (SELECT page_id, regexp_extract_all(html, '(?s)<(?:h1|title)\b[^>]*>(.*?)</(?:h1|title)>', 1) AS t FROM pages),
     b AS (SELECT page_id, CAST(unnest(range(1, len(t) + 1)) AS INTEGER) AS position, unnest(t) AS t FROM a)
     SELECT page_id, position,
-    regexp_replace(trim(regexp_replace(replace(replace(replace(replace(t, '&middot;', '·'),
-    '&copy;', '©'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')), '[^\x20-\x7E]', '', 'g') AS heading FROM b"""
+    regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&middot;?', '·', 'g'),
+    '&copy;?', '©', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')), '[^\x20-\x7E]', '', 'g') AS heading FROM b"""
 )
 def x12_page_headings(spark, sf):
     return extract.page_headings(read_pages(spark, f"{sf}/pages.parquet"))

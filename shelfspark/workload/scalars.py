@@ -13,12 +13,14 @@ from shelfspark.workload.registry import query, rounded
 # --- F1 ---------------------------------------------------------------------------------------------
 
 _BLANKS = r"[\s\x0b\x1c-\x1f\x{85}\pZ]+"
+# Entities that occur in the pages; like the decoder, the closing semicolon may be missing.
+_DECODED = (
+    "regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '&middot;?', '·', 'g'), '&copy;?', '©', 'g'), "
+    "'&quot;?', '\"', 'g'), '&amp;?', '&', 'g')"
+)
 _CLEAN = (
-    "regexp_replace(trim(regexp_replace(replace(replace(replace(replace({c}, '&middot;', '·'), '&copy;', '©'), "
-    "'&quot;', '\"'), '&amp;', '&'), '" + _BLANKS + "', ' ', 'g')), '[^\\x20-\\x7E]', '', 'g')"
+    "regexp_replace(trim(regexp_replace(" + _DECODED + ", '" + _BLANKS + "', ' ', 'g')), '[^\\x20-\\x7E]', '', 'g')"
 )
-
-
 _CLEAN_HTML = _CLEAN.replace("{c}", "html")
 
 
