@@ -28,6 +28,7 @@ from shelfspark.functions.text import (
 from shelfspark.functions.urls import BASE_URLS, by_source, normalize_url, product_id_from_url
 from shelfspark.operators.quality import clean_listings
 
+CARDS_PER_BATCH = 2_000
 FIELDS = ("title", "link", "price", "rating", "image", "condition", "shipping")
 _ATTRIBUTES = {
     "href": "href",
@@ -163,9 +164,11 @@ def find_cards(pages: DataFrame, rules: dict, fields: tuple[str, ...] = FIELDS)
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
+        rows = []
         for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
+            names, columns = batch.schema.names, batch.columns
+            for i in range(batch.num_rows):
+                row = {name: column[i].as_py() for name, column in zip(names, columns)}
                 markup = row.pop("html")
                 rule = rules.get(row["source"], fallback)
                 if markup is None or rule is None:
@@ -178,6 +181,11 @@ def find_cards(pages: DataFrame, rules: dict, fields: tuple[str, ...] = FIELDS)
                         "card_text": card.lines() if "containers" in rule else None,
                     }
                     rows.append({**row, **place, **hits})
+                # Findings leave in small batches; many long pages never pile up in a worker.
+                if len(rows) >= CARDS_PER_BATCH:
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                    rows = []
+        if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return pages.mapInArrow(read, schema)

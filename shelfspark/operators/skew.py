@@ -24,9 +24,11 @@ def hot_groups(
 
     Groups of fewer than ``floor_rows`` rows fit one task and never count as hot.
     """
-    total = df.agg(F.count(F.lit(1))).scalar()
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > floor_rows)
-    hot = checkpointed(sizes.where(F.col("_rows") * share > total).select(*keys))
+    total = df.count()
+    if total <= floor_rows:
+        return None
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = checkpointed(sizes.where(F.col("_rows") > max(floor_rows, total // share)).select(*keys))
     return None if hot.isEmpty() else hot
 
 

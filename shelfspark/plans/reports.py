@@ -91,8 +91,8 @@ def recommendations(df: DataFrame, ts: str = "scraped_at") -> DataFrame:
     sources = _source_extremes(df).scalar()
     found = outliers.iqr_outliers(df.select("price"), "price").agg(F.count(F.lit(1))).scalar()
     pace = trends.velocity(df, ts).select("avg_products_per_day").scalar()
-    rows = df.agg(F.count(F.lit(1))).scalar()
-    one = quality.data_quality(df).withColumns({"sources": sources, "outliers": found, "pace": pace, "n": rows})
+    quality_row = df.agg(*stats.named(quality.quality_columns(df)), F.count(F.lit(1)).alias("n"))
+    one = quality_row.withColumns({"sources": sources, "outliers": found, "pace": pace})
     score = F.col("completeness_score") * 100
     uneven = F.col("sources.most") > F.col("sources.fewest") * MAX_SOURCE_RATIO
     lines = [
@@ -182,7 +182,7 @@ def _one_row_statistics(df: DataFrame) -> DataFrame:
     return one.select(F.inline(F.array(*rows)))
 
 
-def statistics_document(df: DataFrame, ts: str = "scraped_at") -> DataFrame:
+def statistics_document(df: DataFrame, ts: str = "scraped_at", digits: int | None = 2) -> DataFrame:
     """All statistics in one long table (section, entry, metric, value), ready for a JSON sink.
 
     Long form keeps the result distributed however many keywords or days there are.
@@ -192,11 +192,11 @@ def statistics_document(df: DataFrame, ts: str = "scraped_at") -> DataFrame:
         _one_row_statistics(df),
         _long(stats.price_summary(df), "price_summary", everything),
         _long(stats.source_comparison(df), "source_comparison", F.col("source")),
-        _long(trends.daily_trend(df, ts), "daily_trend", F.col("day")),
+        _long(trends.daily_trend(df, ts, digits), "daily_trend", F.col("day")),
         _long(trends.weekly_mean(df, ts), "weekly_averages", F.col("week")),
         _long(trends.weekly_trend(df, ts), "price_trend", everything),
         _long(trends.velocity(df, ts), "velocity", everything),
-        _long(stats.keyword_performance(df), "keyword_performance", F.col("search_keyword")),
+        _long(stats.keyword_performance(df, digits=digits), "keyword_performance", F.col("search_keyword")),
         _long(stats.scraper_performance(df), "scraper_performance", F.col("scraper_type")),
     ]
     return reduce(DataFrame.unionByName, parts)
