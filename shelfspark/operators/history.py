@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.operators.skew import HOT_FLOOR_ROWS, HOT_SHARE, hot_groups
-from shelfspark.session import checkpointed
 
-SLICES = 256
+# Rows a time slice of a hot product should hold, and how many times more slices are made for uneven times.
+SLICE_ROWS = 2_000_000
+SLICE_SPREAD = 8
 
 
 def split_null_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -28,6 +29,7 @@ def price_changes(
     tiebreak: str = "id",
     hot_share: int = HOT_SHARE,
     hot_floor: int = HOT_FLOOR_ROWS,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Ticks whose price differs from the previous non-null price of the same product.
 
@@ -36,24 +38,27 @@ def price_changes(
     """
     keys = list(keys)
     rows, _ = split_null_keys(ticks.where(F.col("price").isNotNull()), keys)
-    hot = hot_groups(rows, keys, hot_share, hot_floor)
+    span = (F.min(_micros(ts)).alias("_from"), F.max(_micros(ts)).alias("_to"))
+    hot = hot_groups(rows, keys, span, hot_share, hot_floor)
     if hot is None:
         changes = _changes_in_window(rows, keys, ts, tiebreak)
     else:
-        cold_rows = rows.join(F.broadcast(hot), keys, "left_anti")
-        moment = F.unix_micros(F.col(ts).cast("timestamp"))
-        cuts = F.approx_percentile(moment, _slice_points(), 10_000)
-        # Stored, so that both uses below cut at the same places.
-        sliced = checkpointed(rows.join(F.broadcast(hot), keys).groupBy(*keys).agg(cuts.alias("_cuts")))
-        hot_rows = rows.join(F.broadcast(sliced), keys)
+        # At most hot_share rows of three numbers each.
+        slices = F.ceil(F.col("group_rows") / slice_rows) * SLICE_SPREAD
+        width = F.greatest((F.col("_to") - F.col("_from")) / slices, F.lit(1.0))
+        widths = F.broadcast(hot.select(*keys, "_from", width.alias("_width")))
+        cold_rows = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+        sliced = rows.join(widths, keys).withColumn(
+            "_slice", F.floor((_micros(ts) - F.col("_from")) / F.col("_width"))
+        )
         changes = _changes_in_window(cold_rows, keys, ts, tiebreak).unionByName(
-            _changes_in_slices(hot_rows, keys, ts, tiebreak)
+            _changes_in_slices(sliced.drop("_from", "_width"), keys, ts, tiebreak)
         )
     return changes.where(F.col("previous_price").isNull() | (F.col("price") != F.col("previous_price")))
 
 
-def _slice_points() -> list[float]:
-    return [i / SLICES for i in range(1, SLICES)]
+def _micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
 def _changes_in_window(rows: DataFrame, keys: list[str], ts: str, tiebreak: str) -> DataFrame:
@@ -61,20 +66,18 @@ def _changes_in_window(rows: DataFrame, keys: list[str], ts: str, tiebreak: str)
     return rows.withColumn("previous_price", F.lag("price").over(order))
 
 
-def _changes_in_slices(rows: DataFrame, keys: list[str], ts: str, tiebreak: str) -> DataFrame:
+def _changes_in_slices(sliced: DataFrame, keys: list[str], ts: str, tiebreak: str) -> DataFrame:
     """Previous price inside each time slice; the first row of a slice looks at the slice before."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    sliced = rows.withColumn("_slice", F.size(F.filter("_cuts", lambda cut: cut <= micros))).drop("_cuts")
     last = sliced.groupBy(*keys, "_slice").agg(
         F.max_by("price", F.struct(F.col(ts), F.col(tiebreak))).alias("_last")
     )
     slices = Window.partitionBy(*keys).orderBy("_slice")
     carried = last.select(*keys, "_slice", F.lag("_last").over(slices).alias("_carried"))
     inside = Window.partitionBy(*keys, "_slice").orderBy(ts, tiebreak)
-    # At most HOT_SHARE hot products with SLICES slices each.
+    # The rows already lie by key and slice, so only the short table of slices moves for the join.
     return (
         sliced.withColumn("_before", F.lag("price").over(inside))
-        .join(F.broadcast(carried), [*keys, "_slice"])
+        .join(carried, [*keys, "_slice"])
         .withColumn("previous_price", F.coalesce("_before", "_carried"))
         .drop("_slice", "_before", "_carried")
     )

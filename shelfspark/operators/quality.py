@@ -51,7 +51,7 @@ def validate(df: DataFrame, min_price: float = MIN_PRICE, max_price: float = MAX
     ]
     checks.append(
         F.when(
-            price.isNotNull() & number.isNull(),
+            price.isNotNull() & price.try_cast("double").isNull(),
             F.concat(F.lit("Invalid price format: "), price.cast("string")),
         ).when((number < min_price) | (number > max_price), F.concat(F.lit("Price out of range: "), float_text(number)))
     )

@@ -1,34 +1,39 @@
 """Handling of groups that hold a large share of all rows.
 
 A group is *hot* when it holds more than ``1 / HOT_SHARE`` of the rows. At most ``HOT_SHARE`` groups can be
-hot, which is the proven bound under which a table of hot groups is broadcast.
+hot, which is the proven bound under which a table of hot groups is broadcast; a group that is not hot is small
+enough for one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.session import checkpointed
 
-HOT_SHARE = 2_000
+HOT_SHARE = 100_000
 HOT_FLOOR_ROWS = 2_000_000
 
 
 def hot_groups(
-    df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE, floor_rows: int = HOT_FLOOR_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    measures: Sequence[Column] = (),
+    share: int = HOT_SHARE,
+    floor_rows: int = HOT_FLOOR_ROWS,
 ) -> DataFrame | None:
-    """Stored keys of the hot groups, or None when there is none.
+    """Stored table of the hot groups (keys, group_rows, measures), or None when there is none.
 
     Groups of fewer than ``floor_rows`` rows fit one task and never count as hot.
     """
     total = df.count()
     if total <= floor_rows:
         return None
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = checkpointed(sizes.where(F.col("_rows") > max(floor_rows, total // share)).select(*keys))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_rows"), *measures)
+    hot = checkpointed(sizes.where(F.col("group_rows") > max(floor_rows, total // share)))
     return None if hot.isEmpty() else hot
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.operators.filters import by_keyword, by_source, positive_price, with_created_at
-from shelfspark.operators.quality import coerce
+from shelfspark.operators.quality import clean_frame, coerce
 from shelfspark.schemas import ANALYSIS_COLUMNS, LISTING
 
 _CORRUPT = "_corrupt_record"
@@ -63,6 +63,17 @@ def analysis_scan(df: DataFrame, newest_first: bool = True) -> DataFrame:
     return rows.orderBy(F.desc("scraped_at")) if newest_first else rows
 
 
+def load_listings(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
+    """Listings ready for analysis: stored tables as a scan, files cleaned and without repeated titles.
+
+    Among files the earliest sighting of a title counts, then the smallest address and price.
+    """
+    rows = read_listings(spark, path, fmt, **options)
+    if fmt != "json":
+        return analysis_scan(rows, newest_first=False)
+    return with_created_at(clean_frame(rows, ["scraped_at", "url", "price"]))
+
+
 def find_listings(
     df: DataFrame,
     source: str | None = None,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,8 @@ def start_run(spark: SparkSession, source: str, keywords: Sequence[str], config:
     """One row for a run that begins: new id, keywords and settings, status running."""
     settings = [F.lit(x) for item in config.items() for x in map(str, item)]
     row = spark.range(1).select(
-        F.uuid().alias("session_id"),
+        # Drawn once, so that a recomputed row keeps its id.
+        F.lit(str(uuid.uuid4())).alias("session_id"),
         F.lit(source).alias("source"),
         F.array(*[F.lit(k) for k in keywords]).alias("search_keywords"),
         F.lit(int(config.get("max_pages", DEFAULT_MAX_PAGES))).alias("max_pages"),

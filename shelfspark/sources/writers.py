@@ -12,6 +12,12 @@ from pyspark.sql import types as T
 from shelfspark.operators.filters import recent
 
 
+def write_listings(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Parquet by source and day, so that filters on either skip whole folders."""
+    dated = df.withColumn("scraped_date", F.to_date("scraped_at"))
+    dated.write.mode(mode).partitionBy("source", "scraped_date").parquet(path)
+
+
 def write_json(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "errorifexists") -> None:
     """JSON lines, one folder per value of the partition columns."""
     df.write.mode(mode).partitionBy(*partition_by).json(path)

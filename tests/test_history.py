@@ -53,12 +53,23 @@ def test_hot_products_in_slices_equal_plain_order(spark, seed):
             expected.add((i, last.get(p)))
         last[p] = price
     df = spark.createDataFrame(rows, SCHEMA)
-    sliced = price_changes(df, hot_share=50, hot_floor=100)
+    sliced = price_changes(df, hot_share=50, hot_floor=100, slice_rows=200)
     assert "_slice" in sliced._jdf.queryExecution().toString()
     assert {(r.id, r.previous_price) for r in sliced.collect()} == expected
     assert {(r.id, r.previous_price) for r in price_changes(df).collect()} == expected
 
 
+def test_slices_need_no_second_shuffle_of_the_rows(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([("s", "hot", float(i % 3), START + timedelta(hours=i), i) for i in range(500)], SCHEMA)
+        text = price_changes(df, hot_floor=10, slice_rows=10)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Cold rows by product; hot rows by product and slice; slice ends by product and slice, by product, and back.
+    assert text.count("Exchange hashpartitioning") == 5
+
+
 def test_history_of_a_batch(spark):
     current = spark.createDataFrame([("s", "a", 5.0), ("s", "b", 7.0), ("s", "c", None)], "source string, product_id string, price double")
     batch = spark.createDataFrame(

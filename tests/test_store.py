@@ -25,6 +25,16 @@ def test_listing_files_of_all_shapes(spark, tmp_path):
     (tmp_path / "other.json").write_text(json.dumps({"total": 5}))
     got = {r.title: (r.price, r.scraped_at) for r in readers.read_listings(spark, str(tmp_path), "json").collect()}
     assert got == {"A": (12.5, datetime(2024, 1, 1)), "B": (3.0, None), "C": (None, None)}
+    assert sorted(r.title for r in readers.load_listings(spark, str(tmp_path), "json").collect()) == ["A", "B"]
+
+
+def test_stored_listings_are_pruned(spark, golden, tmp_path):
+    path = str(tmp_path / "t")
+    writers.write_listings(golden, path)
+    rows = readers.load_listings(spark, path).where("source = 'ebay'")
+    assert [r.product_id for r in rows.collect()] == ["prod2"]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(source" in plan and "GreaterThan(price,0.0)" in plan
 
 
 def test_find_listings(spark, golden):
@@ -66,6 +76,7 @@ def test_retention_keeps_rows_without_time(spark):
 def test_run_log(spark):
     run = runs.start_run(spark, "ebay", ["a", "b"], {"max_pages": 3, "deep": True}, "2024-01-01 00:00:00")
     row = run.first()
+    assert run.first().session_id == row.session_id
     assert run.schema.fieldNames() == RUN_LOG.fieldNames()
     assert (row.status, row.max_pages, row.search_keywords, row.scraper_config["deep"], row.total_errors) == ("running", 3, ["a", "b"], "True", 0)
     log = spark.createDataFrame([("x", datetime(2024, 1, 1), None, None, "running"), ("y", None, None, None, "running")],
