@@ -149,17 +149,16 @@ def verdict_weights() -> dict[str, list[tuple[str, float]]]:
     }
 
 
-def challenge_type(indicators: Column, otherwise: Column | None = None) -> Column:
-    """Type from the indicators found: recaptcha before hcaptcha before cloudflare before any other."""
+def challenge_type(indicators: Column, otherwise: Column) -> Column:
+    """Type from the indicators found: recaptcha before hcaptcha before cloudflare before the given other one."""
 
     def has(term: str) -> Column:
         return F.exists(indicators, lambda i: F.contains(i, F.lit(term)))
 
-    rest = F.when(F.size(indicators) > 0, "Generic CAPTCHA").otherwise("unknown") if otherwise is None else otherwise
-    names = ("reCAPTCHA", "hCAPTCHA", "Cloudflare") if otherwise is None else ELEMENT_TERMS_HIGH
-    return (
-        F.when(has("recaptcha"), names[0]).when(has("hcaptcha"), names[1]).when(has("cloudflare"), names[2]).otherwise(rest)
-    )
+    kind = F.when(has(ELEMENT_TERMS_HIGH[0]), ELEMENT_TERMS_HIGH[0])
+    for term in ELEMENT_TERMS_HIGH[1:]:
+        kind = kind.when(has(term), term)
+    return kind.otherwise(otherwise)
 
 
 def challenge_score(html: Column, url: Column, title: Column) -> Column:
@@ -174,12 +173,18 @@ def challenge_score(html: Column, url: Column, title: Column) -> Column:
         [(test, x) for test, _, x in text + elements]
         + [(_any(address, SCORE_URL), 0.3), (_any(name, SCORE_TITLE), 0.25)]
     )
-    indicators = _hits([(test, w) for test, w, _ in text + elements] + in_url + in_title)
+    tests = [(test, w) for test, w, _ in text + elements] + in_url + in_title
+
+    def has(term: str) -> Column:
+        """Whether a test fired whose indicator holds the term; which tests those are is known beforehand."""
+        return reduce(lambda a, b: a | b, [test for test, indicator in tests if term in indicator])
+
+    kind = F.when(has("recaptcha"), "reCAPTCHA").when(has("hcaptcha"), "hCAPTCHA").when(has("cloudflare"), "Cloudflare")
     detected = score > SCORE_THRESHOLD
     return F.struct(
         score.alias("score"),
         detected.alias("detected"),
-        F.when(detected, challenge_type(indicators)).alias("challenge_type"),
+        F.when(detected, kind.otherwise("Generic CAPTCHA")).alias("challenge_type"),
     )
 
 

@@ -92,6 +92,11 @@ def history_rows(changes: DataFrame, ts: str = "scraped_at") -> DataFrame:
     return conform(keyed, PRICE_HISTORY, {"currency": "USD"})
 
 
+def append_history(changes: DataFrame, path: str, batch_id: int) -> None:
+    """History rows of one batch added to the stored history; repeating a batch replaces its own rows."""
+    changes.write.mode("overwrite").parquet(f"{path}/batch={batch_id:09d}")
+
+
 def retain(df: DataFrame, ts: str, days: int, as_of: datetime | str) -> tuple[DataFrame, DataFrame]:
     """Rows not older than ``days``, and the number of older ones; rows without a time stay."""
     old = F.coalesce(F.col(ts) < days_before(as_of, days), F.lit(False))

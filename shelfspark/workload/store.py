@@ -570,6 +570,8 @@ MICRO_BATCH_BYTES = 64 * 1024 * 1024
 
 
 def _tick_stream(spark, sf, max_bytes: int | None = None):
+    # Days and weeks of the windows are those of the session zone.
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     schema = table(spark, sf, "events").schema
     source = spark.readStream.schema(schema).format("parquet").option("pathGlobFilter", "events*.parquet")
     raw = (source if max_bytes is None else source.option("maxBytesPerTrigger", max_bytes)).load(sf)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.operators.history import price_changes, split_null_keys
-from shelfspark.sources.store import history_rows, new_history
+from shelfspark.sources.store import append_history, history_rows, new_history
 
 SCHEMA = "source string, product_id string, price double, recorded_at timestamp_ntz, id long"
 START = datetime(2024, 1, 1)
@@ -70,7 +70,7 @@ def test_slices_need_no_second_shuffle_of_the_rows(spark):
     assert text.count("Exchange hashpartitioning") == 5
 
 
-def test_history_of_a_batch(spark):
+def test_history_of_a_batch(spark, tmp_path):
     current = spark.createDataFrame([("s", "a", 5.0), ("s", "b", 7.0), ("s", "c", None)], "source string, product_id string, price double")
     batch = spark.createDataFrame(
         [("s", "a", 5.0, START, 1), ("s", "a", 6.0, START + timedelta(1), 2), ("s", "b", 8.0, START, 3),
@@ -81,3 +81,6 @@ def test_history_of_a_batch(spark):
     assert shaped.columns[:3] == ["product_key", "source_product_id", "source"]
     assert {r.currency for r in shaped.collect()} == {"USD"}
     assert shaped.where(F.col("product_key").isNull()).count() == 0
+    for _ in range(2):
+        append_history(shaped, str(tmp_path / "h"), 7)
+    assert spark.read.parquet(str(tmp_path / "h")).count() == 4

@@ -198,3 +198,9 @@ def test_price_comparison(spark):
     df = spark.createDataFrame([("k", "a", 5.0), ("k", "b", 3.0), ("z", "a", 1.0)], "search_keyword string, source string, price double")
     got = {r.search_keyword: (r.a, r.b, r.cheapest) for r in reports.price_comparison(df, ["a", "b"]).collect()}
     assert got == {"k": (5.0, 3.0, "b"), "z": (1.0, None, "a")}
+
+
+def test_trend_report(spark, golden):
+    tables = reports.trend_report(golden, 2, "2025-07-01 00:00:00", tiebreak="product_id")
+    assert {name: t.count() for name, t in tables.items()} == {
+        "daily": 1, "weekly": 1, "price_trend": 1, "velocity": 1, "daily_fit": 1, "moving_average": 3, "price_changes": 3}
