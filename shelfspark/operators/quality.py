@@ -73,9 +73,10 @@ def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def coerce(df: DataFrame) -> DataFrame:
     """Prices and ratings as numbers, times as timestamps; what cannot be read becomes null."""
-    present = set(df.columns)
-    changed = {c: to_number(F.col(c)) for c in ("price", "rating") if c in present}
-    changed |= {c: to_time(F.col(c)) for c in ("created_at", "scraped_at", "timestamp") if c in present}
+    types = dict(df.dtypes)
+    changed = {c: to_number(F.col(c)) for c in ("price", "rating") if c in types}
+    # Only text needs parsing; real timestamps stay as they are.
+    changed |= {c: to_time(F.col(c)) for c in ("created_at", "scraped_at", "timestamp") if types.get(c) == "string"}
     return df.withColumns(changed)
 
 

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
+TASKS_PER_BATCH = 200
+
+
 def apply_per_task(tasks: DataFrame, fn: Callable[[dict], Iterable[dict]], schema: T.StructType) -> DataFrame:
     """Calls ``fn`` with every task row; its result rows land in ``data``, an exception in ``error``.
 
@@ -27,8 +30,8 @@ def apply_per_task(tasks: DataFrame, fn: Callable[[dict], Iterable[dict]], schem
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(out)
+        rows = []
         for batch in batches:
-            rows = []
             for task in batch.to_pylist():
                 started = time.perf_counter()
                 try:
@@ -36,6 +39,10 @@ def apply_per_task(tasks: DataFrame, fn: Callable[[dict], Iterable[dict]], schem
                 except Exception as problem:  # noqa: BLE001 - reported per row
                     outcome = {"success": False, "data": [], "error": f"{type(problem).__name__}: {problem}"}
                 rows.append({**task, **outcome, "execution_time": time.perf_counter() - started})
+                if len(rows) >= TASKS_PER_BATCH:
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                    rows = []
+        if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return tasks.mapInArrow(run, out)
