@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm.common import table
+from shelfspark.llm.decontamination import benchmark_items, find_leaks
+from shelfspark.llm.licenses import scan_licenses
 from shelfspark.llm.mixing import as_units, mix_plan
 from shelfspark.llm.quality import quality_rules
 from shelfspark.llm.sharding import shard_by_curve
+from shelfspark.llm.substrings import remove_repeated_substrings
 from shelfspark.llm.token_counts import count_tokens
+from shelfspark.llm.toxicity import fold, score_toxicity
 from shelfspark.llm.warc import read_archives, write_archives
 from shelfspark.session import scratch_path
 
@@ -50,6 +54,19 @@ def op3_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), benchmark_items(table(spark, sf_dir, "benchmark")))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold() != 2)
+    return scores.select(
+        "doc_id", (fold() == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 @query
 def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = shard_by_curve(table(spark, sf_dir, "documents"))
@@ -59,6 +76,17 @@ def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeated_substrings(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = count_tokens(
