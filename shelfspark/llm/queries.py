@@ -12,6 +12,7 @@ from shelfspark.llm.common import table
 from shelfspark.llm.decontamination import benchmark_items, find_leaks
 from shelfspark.llm.licenses import scan_licenses
 from shelfspark.llm.mixing import as_units, mix_plan
+from shelfspark.llm.ngram_join import link_components
 from shelfspark.llm.quality import quality_rules
 from shelfspark.llm.sharding import shard_by_curve
 from shelfspark.llm.substrings import remove_repeated_substrings
@@ -81,6 +82,11 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @query
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeated_substrings(table(spark, sf_dir, "documents"))

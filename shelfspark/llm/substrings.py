@@ -52,7 +52,7 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), dtype=np.uint8)
 
 
-def _sketch(bits: int, width: int, flush: int = 8_000_000):
+def _sketch(bits: int, width: int, flush: int = 2_000_000):
     """Segments of the sketch of a task's windows: cells reached once or more, and twice or more."""
     size = min(SEGMENT, 1 << bits)
 
@@ -139,7 +139,7 @@ _START_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.i
 _START_NAMES = [c.split()[0] for c in _STARTS.split(", ")]
 
 
-def _starts(segments, bits: int, width: int, flush: int = 1_000_000):
+def _starts(segments, bits: int, width: int, flush: int = 500_000):
     """Window starts that may be repeated elsewhere (stop -1), and stretches that are settled within the batch."""
 
     def batch(*columns) -> pa.RecordBatch:
@@ -168,6 +168,7 @@ def _starts(segments, bits: int, width: int, flush: int = 1_000_000):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if _LOADED.get("key") != segments.id_key:
+            _LOADED.clear()  # an earlier sketch goes before the next is unpacked
             _LOADED.update(key=segments.id_key, repeated=Repeated(segments.load(), bits))
         repeated, held, n = _LOADED["repeated"], [], 0
         for rows in batches:
@@ -277,9 +278,9 @@ def removed_stretches(docs: DataFrame, width: int = 13, max_cells: int = 1 << 29
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for part in (batch.slice(at, 500) for batch in batches for at in range(0, batch.num_rows, 500)):
         out = []
-        for key, text, cuts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for key, text, cuts in zip(*(c.to_pylist() for c in part.columns), strict=True):
             words = (text or b"").split()
             kept, at = [], 0
             for start, stop in zip((cuts or [])[::2], (cuts or [])[1::2], strict=True):

@@ -232,7 +232,7 @@ def _score(model, name: str, known_words: int = 400_000):
                     pairs = np.array([known[w] for w in words], dtype=np.float64).reshape(-1, 2)
                     rows.append(features(pairs[:, 0], pairs[:, 1]))
                 columns = [pa.array(c, pa.float64()) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), *columns], ["id", *FEATURES])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("mark"), *columns], ["id", "mark", *FEATURES])
 
     return run
 
@@ -260,9 +260,12 @@ def score_toxicity(
     max_labelled: int = 50_000,
     buckets: int = 1 << 20,
 ) -> DataFrame:
-    """id and ``score`` of every row of ``docs``. ``usable`` selects the rows of ``labels`` that may be learnt from."""
+    """id, ``score`` and a hash of the text (``mark``) of every row of ``docs``.
+
+    ``usable`` selects the rows of ``labels`` that may be learnt from.
+    """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_column).alias("id"), F.col("text").cast("binary").alias("text"))
+    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
     known = labels.where(usable) if usable is not None else labels
     known = known.select(F.col(id_column).alias("id"), F.col(label_column).cast("boolean").alias("kind")).dropna()
     known = known.groupBy("id").agg(F.max("kind").alias("kind"))
@@ -279,7 +282,7 @@ def score_toxicity(
     arrays = [model.column(c).to_numpy() for c in ("n_all", "n_toxic", "n_plain")]
     shared = spark.sparkContext.broadcast((spellings, *arrays))
     id_type = docs.schema[id_column].dataType.simpleString()
-    scored = rows.mapInArrow(_score(shared, name), f"id {id_type}, " + ", ".join(f"{f} double" for f in FEATURES))
+    scored = rows.mapInArrow(_score(shared, name), f"id {id_type}, mark long, " + ", ".join(f"{f} double" for f in FEATURES))
     scored = stored(scored, "toxicity")
     fit = scored.join(F.broadcast(sample.where("fit")), "id").select(*FEATURES, F.col("kind").cast("int").alias("kind")).toArrow()
     y = fit.column("kind").to_numpy().astype(float)
@@ -289,7 +292,7 @@ def score_toxicity(
     else:
         weights = np.array([0.0] * len(FEATURES) + [30.0 if len(y) and y[0] else -30.0])
     margin = sum((F.col(f) * float(w) for f, w in zip(FEATURES, weights, strict=False)), F.lit(float(weights[-1])))
-    return scored.select(F.col("id").alias(id_column), (1.0 / (1.0 + F.exp(-margin))).alias("score"), *FEATURES)
+    return scored.select(F.col("id").alias(id_column), "mark", (1.0 / (1.0 + F.exp(-margin))).alias("score"), *FEATURES)
 
 
 def fold(id_column: str = "doc_id") -> Column:
