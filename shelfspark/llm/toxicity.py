@@ -7,7 +7,8 @@ counts come from every document of the corpus, labelled or not. Characters inste
 compounded expressions share evidence with those that were seen.
 
 Score of a text: the length-normalised difference of the two log-likelihoods over the whole text, over its words with
-the largest differences, and over its most toxic stretch of words; a logistic function of these, fitted on labelled rows
+the largest differences, over its most toxic stretch of words, and the excess of words over a level that counts as
+evidence, per word and per square root of words; a logistic function of these and of the length, fitted on labelled rows
 that the counts did not use, gives a value between 0 and 1.
 
 Bounds (parameters): class counts and the fit use at most ``max_labelled`` labelled rows, those with the smallest hash;
@@ -34,7 +35,9 @@ from shelfspark.llm.common import mix64, stored
 ORDER = 5
 DISCOUNT = 0.75
 _EDGES = b"\"'.,;:!?()[]{}<>|-*#$%&+_=/\\~`"
-FEATURES = ("mean_llr", "top_llr", "third_llr", "window_llr")
+FEATURES = ("mean_llr", "top_llr", "third_llr", "window_llr", "excess_llr", "evidence_llr", "log_words")
+#: A word's difference counts as evidence above this value: about twelve to one.
+EVIDENCE = 2.5
 MODELS, CALIBRATION = 2, 1  # shares of the labelled rows
 
 
@@ -194,18 +197,22 @@ class Backoff:
         return np.clip(np.bincount(owner, logs[0] - logs[1], len(words)), -12.0, 12.0)
 
 
-def features(values: np.ndarray, lengths: np.ndarray, window: int = 8) -> tuple[float, float, float, float]:
-    """Length-normalised differences of one text: whole, top words, and most toxic stretch."""
+def features(values: np.ndarray, lengths: np.ndarray, window: int = 8) -> tuple[float, ...]:
+    """Length-normalised differences of one text: whole, top words, most toxic stretch, excess over the evidence level."""
     if not len(values):
-        return 0.0, 0.0, 0.0, 0.0
+        return (0.0,) * len(FEATURES)
     top = np.sort(values)[-3:]
     sums = np.concatenate([[0.0], np.cumsum(values)])
     width = min(window, len(values))
+    excess = float(np.maximum(values - EVIDENCE, 0.0).sum())
     return (
         float(values.sum() / lengths.sum()) * 5.0,
         float(top[-1]),
         float(top[0]) if len(top) == 3 else 0.0,
         float((sums[width:] - sums[:-width]).max() / width),
+        excess / len(values) * 10.0,
+        excess / len(values) ** 0.5,
+        float(np.log(len(values))),
     )
 
 
