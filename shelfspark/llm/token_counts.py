@@ -2,7 +2,8 @@
 
 The cache is a table (content digest, tokenizer digest, n_tokens). Documents are joined with it by the digests of their
 normalised content and of the tokenizer file; only one document of each missing content is encoded, and its count is
-appended. The text of the missing ones is the only text that is shuffled, by document, so copies make no hot key.
+appended. Texts are shuffled only when neither the missing nor the other documents are few, and then by document, so
+copies make no hot key.
 
 Encoding: white space is dropped by the tokenizer and no token spans it, so a text is cut there into pieces; each
 distinct piece of a batch is encoded once, all new pieces of a batch in one call, and the counts are added up. Counts of
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from shelfspark.llm.common import stored
 
 PIECES = 400_000
+#: At most so many (id, hash) pairs of sixteen bytes are broadcast.
+FEW = 1_000_000
 CACHE = "content string, tokenizer string, n_tokens long"
 _PUNCTUATION = b".,"
 
@@ -116,6 +119,24 @@ def _encode(path: str, rows: int = 256):
     return run
 
 
+def _chosen(texts: DataFrame, keys: DataFrame, missing: DataFrame) -> DataFrame:
+    """content and content_text of the documents that stand for the missing contents.
+
+    Either those documents or all the others are named to every task when they are few; else the texts are shuffled.
+    """
+    rows = texts.withColumn("content", F.sha2(F.col("content_text").cast("binary"), 256)).withColumn("_mark", F.xxhash64("content"))
+    same = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_mark") == F.col("mark"))
+    n_missing = missing.count()
+    if n_missing > FEW and keys.count() - n_missing <= FEW:
+        marked = keys.withColumn("mark", F.xxhash64("content"))
+        others = marked.join(missing.select(F.col("id").alias("_id"), F.col("mark").alias("_mark")), same, "left_anti")
+        rows = rows.join(F.broadcast(others.select("id", "mark").distinct()), same, "left_anti")
+    else:
+        wanted = missing.select("id", "mark")
+        rows = rows.join(F.broadcast(wanted) if n_missing <= FEW else wanted.hint("shuffle_hash"), same, "left_semi")
+    return rows.select("content", "content_text")
+
+
 def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, id_column: str = "doc_id") -> DataFrame:
     """id, n_bytes, n_tokens of every row; counts of contents that the cache lacks are added to it.
 
@@ -125,17 +146,13 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, id_colum
     version = tokenizer_digest(tokenizer_path)
     text = F.coalesce(F.col("text"), F.lit(""))
     digest = F.sha2(collapsed(F.col("text")).cast("binary"), 256)
-    # A row is told from others that repeat its id by its content.
-    keys = stored(docs.select(F.col(id_column).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("content")), "token-keys")
+    keys = docs.select(F.col(id_column).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("content"))
+    keys = stored(keys, "token-keys")
     spark.createDataFrame([], CACHE).write.mode("append").parquet(cache_path)
     held = spark.read.schema(CACHE).parquet(cache_path).where(F.col("tokenizer") == version).select("content")
     missing = keys.join(held.distinct(), "content", "left_anti").groupBy("content").agg(F.min("id").alias("id"))
-    chosen = docs.select(F.col(id_column).alias("_id"), F.col("text"))
-    wanted = missing.hint("shuffle_hash")
-    texts = chosen.join(wanted, F.col("_id").eqNullSafe(F.col("id"))).select(
-        "content", collapsed(F.col("text")).alias("content_text")
-    )
-    texts = texts.where(F.sha2(F.col("content_text").cast("binary"), 256) == F.col("content"))
+    missing = stored(missing.withColumn("mark", F.xxhash64("content")), "to-encode")
+    texts = _chosen(docs.select(F.col(id_column).alias("_id"), collapsed(F.col("text")).alias("content_text")), keys, missing)
     encoded = texts.select("content", F.col("content_text").cast("binary").alias("content_text")).mapInArrow(
         _encode(tokenizer_path), "content string, n_tokens long"
     )
