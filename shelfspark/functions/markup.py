@@ -20,24 +20,33 @@ _PART = re.compile(
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "parent", "content")
+    __slots__ = ("tag", "attrs", "parent", "content", "above")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Element | None):
         self.tag, self.attrs, self.parent, self.content = tag, attrs, parent, []
+        self.above: dict[tuple, bool] = {}  # whether this element or one around it matches a chain
 
     def walk(self):
-        """Elements below this one in document order."""
-        for child in self.content:
-            if isinstance(child, Element):
+        """Elements below this one in document order, however deep they lie."""
+        rest = [iter(self.content)]
+        while rest:
+            child = next(rest[-1], None)
+            if child is None:
+                rest.pop()
+            elif isinstance(child, Element):
                 yield child
-                yield from child.walk()
+                rest.append(iter(child.content))
 
     def pieces(self):
-        for child in self.content:
-            if isinstance(child, str):
+        rest = [iter(self.content)]
+        while rest:
+            child = next(rest[-1], None)
+            if child is None:
+                rest.pop()
+            elif isinstance(child, str):
                 yield child
             elif child.tag not in _SILENT:
-                yield from child.pieces()
+                rest.append(iter(child.content))
 
     def text(self) -> str:
         return "".join(self.pieces())
@@ -57,29 +66,42 @@ class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.open = Element("", {}, None)
+        self.pending: dict[str, int] = {}  # open elements by tag
 
     def handle_starttag(self, tag, attrs):
         element = Element(tag, {k: v or "" for k, v in attrs}, self.open)
         self.open.content.append(element)
         if tag not in _VOID:
             self.open = element
+            self.pending[tag] = self.pending.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.open.content.append(Element(tag, {k: v or "" for k, v in attrs}, self.open))
 
     def handle_endtag(self, tag):
         # An end tag closes everything left open inside its element; one without a start is ignored.
+        if not self.pending.get(tag):
+            return
         element = self.open
-        while element is not None and element.tag != tag:
+        while element.tag != tag:
+            self.pending[element.tag] -= 1
             element = element.parent
-        if element is not None and element.parent is not None:
-            self.open = element.parent
+        self.pending[tag] -= 1
+        self.open = element.parent
 
     def handle_data(self, data):
         self.open.content.append(data)
 
 
 def parse(html: str) -> Element:
+    """The page as a tree. Declarations that the parser refuses are read as text."""
+    try:
+        return _build(html)
+    except AssertionError:
+        return _build(html.replace("<!", "&lt;!"))
+
+
+def _build(html: str) -> Element:
     builder = _Builder()
     builder.feed(html)
     builder.close()
@@ -112,14 +134,58 @@ def _chains(selector: str) -> tuple:
     )
 
 
-def _matches(element: Element | None, chain: tuple) -> bool:
-    if not all(test(element) for test in chain[-1]):
-        return False
-    if len(chain) == 1:
-        return True
-    ancestor = element.parent
-    while ancestor is not None:
-        if _matches(ancestor, chain[:-1]):
-            return True
-        ancestor = ancestor.parent
-    return False
+def _matches(element: Element, chain: tuple) -> bool:
+    return all(test(element) for test in chain[-1]) and (len(chain) == 1 or _inside(element.parent, chain[:-1]))
+
+
+def _inside(element: Element | None, chain: tuple) -> bool:
+    """Whether this element or one around it matches the chain; every element is tested once."""
+    path = []
+    while element is not None and chain not in element.above:
+        path.append(element)
+        element = element.parent
+    found = element is not None and element.above[chain]
+    for inner in reversed(path):
+        found = found or _matches(inner, chain)
+        inner.above[chain] = found
+    return found
+
+
+def _entry(step: str) -> tuple[str, str]:
+    """What an element must carry for a step: its tag, a class, or an attribute; ("", "") if it may be any element."""
+    kinds = {k: v for m in _PART.finditer(step) for k, v in m.groupdict().items() if v is not None}
+    if kinds.get("tag", "*") != "*":
+        return "tag", kinds["tag"]
+    if "cls" in kinds:
+        return "cls", kinds["cls"]
+    if "id" in kinds:
+        return "name", "id"
+    return ("name", kinds["name"]) if "name" in kinds else ("", "")
+
+
+class FirstFinder:
+    """First element for each of several selectors, all in one walk; the walk ends when every selector has its element."""
+
+    def __init__(self, selectors: list[str]):
+        self.selectors = list(dict.fromkeys(selectors))
+        self.index: dict[tuple[str, str], list[tuple[int, tuple]]] = {}
+        for place, selector in enumerate(self.selectors):
+            for alternative, chain in zip(selector.split(","), _chains(selector), strict=True):
+                self.index.setdefault(_entry(alternative.split()[-1]), []).append((place, chain))
+
+    def find(self, element: Element) -> dict[str, Element]:
+        found: dict[int, Element] = {}
+        index, open_count = self.index, len(self.selectors)
+        anywhere = index.get(("", ""), [])
+        for e in element.walk():
+            candidates = anywhere + index.get(("tag", e.tag), [])
+            for name in e.attrs:
+                candidates = candidates + index.get(("name", name), [])
+            for name in e.attrs.get("class", "").split():
+                candidates = candidates + index.get(("cls", name), [])
+            for place, chain in candidates:
+                if place not in found and _matches(e, chain):
+                    found[place] = e
+            if len(found) == open_count:
+                break
+        return {self.selectors[place]: e for place, e in found.items()}

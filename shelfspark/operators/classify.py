@@ -189,7 +189,8 @@ def challenge_score(html: Column, url: Column, title: Column) -> Column:
 
 
 def _capped(score: Column) -> Column:
-    return F.least(score, F.lit(1.0))
+    # A page that is missing scores nothing; the smaller of null and one would be one.
+    return F.least(F.coalesce(score, F.lit(0.0)), F.lit(1.0))
 
 
 def _most_frequent(values: Column) -> Column:
@@ -215,7 +216,7 @@ def challenge_verdict(pages: DataFrame) -> DataFrame:
     frames = F.regexp_extract_all(source, F.lit(r"<iframe\b[^>]*\ssrc\s*=\s*[\"']([^\"']*)"), F.lit(1))
     behaviour = F.when(_any(title, VERDICT_TITLE), 0.3).otherwise(0.0)
     behaviour = behaviour + F.when(F.exists(forms, lambda f: _any(f, VERDICT_FORM)), 0.4).otherwise(0.0)
-    behaviour = behaviour + F.size(F.filter(frames, lambda f: _any(f, VERDICT_IFRAME))) * F.lit(0.5)
+    behaviour = behaviour + F.coalesce(F.size(F.filter(frames, lambda f: _any(f, VERDICT_IFRAME))), F.lit(0)) * F.lit(0.5)
     network = [(F.contains(html, F.lit(s)), 0.3) for s in VERDICT_SERVICES]
 
     def hits(tests: list) -> Column:

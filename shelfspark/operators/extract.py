@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.functions.markup import Element, parse
+from shelfspark.functions.markup import Element, FirstFinder, parse
 from shelfspark.functions.numbers import extract_price, extract_rating
 from shelfspark.functions.text import (
     PROMOTIONAL_TITLES,
@@ -70,7 +70,6 @@ LISTING_RULES = {
     },
     None: {
         "containers": [".product", ".item", ".result", '[data-testid*="product"]', '[class*="product"]'],
-        "cap": 20,
         "title": ["h1", "h2", "h3", ".title", '[class*="title"]', '[class*="name"]'],
         "link": ["a"],
         "price": [".price", '[class*="price"]', '[data-testid*="price"]'],
@@ -85,7 +84,6 @@ ROBUST_RULES = {
             '[data-component-type="s-search-result"]', ".s-result-item", '[data-asin]:not([data-asin=""])',
             ".sg-col-inner", "[data-asin]", ".s-item", ".product", "[data-component-type]",
         ],
-        "cap": 20,
         "title": [
             "h2 a span", ".s-title-instructions-style span", "h2 span", ".s-color-base", "a[title]",
             ".a-link-normal span",
@@ -100,7 +98,6 @@ ROBUST_RULES = {
             ".s-item", ".srp-item", ".srp-river-results .s-item", '[data-view="mi:1686"]', '[id*="item"]', ".item",
             ".listing", ".product",
         ],
-        "cap": 20,
         "title": [".s-item__title", ".s-item__title span", ".it-ttl a", ".vip-title", "h3.it-ttl", '[role="heading"]'],
         "link": [".s-item__link", ".it-ttl a", 'a[href*="/itm/"]', "a"],
         "price": [
@@ -134,21 +131,23 @@ def _finding(element: Element | None) -> dict | None:
     return {"text": html_entities.unescape(element.text()), **found}
 
 
-def _cards(page: Element, rules: dict) -> list[Element]:
+def _cards(page: Element, rules: dict, max_cards: int | None) -> list[Element]:
     if "containers" not in rules:
         return [page]
     for selector in rules["containers"]:
         found = list(page.select(selector))
         if found:
-            return found[: rules.get("cap")]
+            return found[:max_cards]
     return []
 
 
-def find_cards(pages: DataFrame, rules: dict, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+def find_cards(
+    pages: DataFrame, rules: dict, fields: tuple[str, ...] = FIELDS, max_cards: int | None = None
+) -> DataFrame:
     """One row per card: the columns of the page without html, position over all cards, and findings per field.
 
     ``pages`` needs html and source. Each field is an array with one entry per selector, null where the selector
-    found nothing.
+    found nothing. ``max_cards`` limits the cards of a page; by default all count.
     """
     carried = [f for f in pages.schema.fields if f.name != "html"]
     added = [
@@ -164,17 +163,21 @@ def find_cards(pages: DataFrame, rules: dict, fields: tuple[str, ...] = FIELDS)
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
+        finders = {k: FirstFinder([s for f in fields for s in rule.get(f, ())]) for k, rule in rules.items()}
         rows = []
         for batch in batches:
             names, columns = batch.schema.names, batch.columns
             for i in range(batch.num_rows):
                 row = {name: column[i].as_py() for name, column in zip(names, columns)}
                 markup = row.pop("html")
-                rule = rules.get(row["source"], fallback)
+                kind = row["source"] if row["source"] in rules else None
+                rule = rules.get(kind, fallback)
                 if markup is None or rule is None:
                     continue
-                for position, card in enumerate(_cards(parse(markup), rule), 1):
-                    hits = {f: [_finding(card.first(s)) for s in rule.get(f, ())] for f in fields}
+                for position, card in enumerate(_cards(parse(markup), rule, max_cards), 1):
+                    first = finders[kind].find(card)
+                    read_once = {s: _finding(e) for s, e in first.items()}
+                    hits = {f: [read_once.get(s) for s in rule.get(f, ())] for f in fields}
                     place = {
                         "position": position,
                         "card_id": card.attrs.get("data-asin"),
@@ -216,9 +219,11 @@ def _rows(cards: DataFrame, scraper_type: str, picked: dict[str, Column]) -> Dat
     )
 
 
-def extract_listings(pages: DataFrame, rules: dict = LISTING_RULES, base_urls: dict = BASE_URLS) -> DataFrame:
+def extract_listings(
+    pages: DataFrame, rules: dict = LISTING_RULES, base_urls: dict = BASE_URLS, max_cards: int | None = None
+) -> DataFrame:
     """Listing rows of fetched pages: page_id, url, html, source and, where known, keyword and page number."""
-    cards = find_cards(pages, rules)
+    cards = find_cards(pages, rules, max_cards=max_cards)
     source = F.col("source")
     base = F.coalesce(by_source(source, base_urls), F.lit(""))
     href, src = _first(F.col("link")).getField("href"), _first(F.col("image")).getField("src")
@@ -243,9 +248,11 @@ def extract_listings(pages: DataFrame, rules: dict = LISTING_RULES, base_urls: d
     return clean_listings(rows, base_urls)
 
 
-def extract_framework_listings(pages: DataFrame, rules: dict = LISTING_RULES) -> DataFrame:
+def extract_framework_listings(
+    pages: DataFrame, rules: dict = LISTING_RULES, max_cards: int | None = None
+) -> DataFrame:
     """Variant of the crawling framework: addresses resolve against the page, ids only for one source."""
-    cards = find_cards(pages.withColumn("_page_url", F.col("url")), rules)
+    cards = find_cards(pages.withColumn("_page_url", F.col("url")), rules, max_cards=max_cards)
     href = _first(F.col("link")).getField("href")
     picked = {
         "_title": clean_text(_first(F.col("title")).getField("text")),
@@ -259,9 +266,11 @@ def extract_framework_listings(pages: DataFrame, rules: dict = LISTING_RULES) ->
     return rows.withColumn("product_id", amazon_id)
 
 
-def extract_rendered_listings(pages: DataFrame, rules: dict = ROBUST_RULES, base_urls: dict = BASE_URLS) -> DataFrame:
+def extract_rendered_listings(
+    pages: DataFrame, rules: dict = ROBUST_RULES, base_urls: dict = BASE_URLS, max_cards: int | None = None
+) -> DataFrame:
     """Variant for browser-rendered pages: every field falls back over several selectors."""
-    cards = find_cards(pages, rules)
+    cards = find_cards(pages, rules, max_cards=max_cards)
     source = F.col("source")
     base = by_source(source, base_urls)
     titles = F.transform(F.filter("title", lambda h: h.isNotNull()), lambda h: squeeze(h.text))
@@ -339,14 +348,28 @@ def route(df: DataFrame) -> DataFrame:
     return df.withColumn("scraper_type", mode)
 
 
+# A start tag up to its end; quoted attribute values may hold the closing bracket.
+_ATTRIBUTES_OF_TAG = r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*)"
+_HREF = r"(?is)(?:^|\s)href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """Anchors of a page in order: position, address as written and resolved, text."""
-    pattern = F.lit(r"(?s)<a\s+href=\"([^\"]*)\"[^>]*>(.*?)</a>")
+    """Anchors of a page in order: position, address as written and resolved, text.
+
+    Attributes may stand in any order, case and quotes; anchors without an address are no links.
+    """
+    pattern = F.lit(rf"(?is)<a(?=[\s/>]){_ATTRIBUTES_OF_TAG}>(.*?)</a\s*>")
     pairs = F.arrays_zip(
-        F.regexp_extract_all("html", pattern, F.lit(1)).alias("href"),
+        F.regexp_extract_all("html", pattern, F.lit(1)).alias("tag"),
         F.regexp_extract_all("html", pattern, F.lit(2)).alias("text"),
     )
-    return pages.select("page_id", "url", F.posexplode(pairs).alias("_at", "_link")).select(
+    links = F.transform(
+        F.filter(pairs, lambda p: F.regexp(p["tag"], F.lit(_HREF))),
+        lambda p: F.struct(
+            F.concat(*[F.regexp_extract(p["tag"], _HREF, i) for i in (1, 2, 3)]).alias("href"), p["text"].alias("text")
+        ),
+    )
+    return pages.select("page_id", "url", F.posexplode(links).alias("_at", "_link")).select(
         "page_id",
         (F.col("_at") + 1).alias("position"),
         F.col("_link.href").alias("href"),
@@ -356,8 +379,9 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 
 def page_headings(pages: DataFrame) -> DataFrame:
-    """Title and top headings of a page in order."""
-    pattern = F.lit(r"(?s)<(?:h1|title)\b[^>]*>(.*?)</(?:h1|title)>")
-    return pages.select(
-        "page_id", F.posexplode(F.regexp_extract_all("html", pattern, F.lit(1))).alias("_at", "_text")
-    ).select("page_id", (F.col("_at") + 1).alias("position"), clean_text(F.col("_text")).alias("heading"))
+    """Title and top headings of a page in order; an unclosed one ends where the next element starts."""
+    pattern = F.lit(rf"(?is)<(?:h1|title)(?=[\s/>]){_ATTRIBUTES_OF_TAG}>((?:[^<]|<(?!/?(?:h1|title|body|p|div)\b))*)")
+    found = F.regexp_extract_all("html", pattern, F.lit(2))
+    return pages.select("page_id", F.posexplode(found).alias("_at", "_text")).select(
+        "page_id", (F.col("_at") + 1).alias("position"), clean_text(F.col("_text")).alias("heading")
+    )

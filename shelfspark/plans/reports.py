@@ -214,15 +214,15 @@ def trend_report(
         "velocity": trends.velocity(rows, ts),
         "daily_fit": trends.daily_fit(rows, ts),
         "moving_average": trends.moving_average(trends.daily_prices(rows, ts)),
-        "price_changes": price_changes(rows, ts=ts, tiebreak=tiebreak),
+        # Changes first, the period afterwards: the price before the period counts.
+        "price_changes": recent(price_changes(df, ts=ts, tiebreak=tiebreak), ts, days, as_of),
     }
 
 
 def change_totals(df: DataFrame, days: int, as_of: datetime | str, ts: str, tiebreak: str = "id") -> DataFrame:
-    """Price moves per source in a period: rises, falls and mean move."""
-    moves = price_changes(recent(df, ts, days, as_of), ts=ts, tiebreak=tiebreak).where(
-        F.col("previous_price").isNotNull()
-    )
+    """Price moves per source in a period: rises, falls and mean move, from the last price before each tick."""
+    changes = recent(price_changes(df, ts=ts, tiebreak=tiebreak), ts, days, as_of)
+    moves = changes.where(F.col("previous_price").isNotNull())
     move = F.col("price") - F.col("previous_price")
     return moves.groupBy("source").agg(
         F.count_if(move > 0).alias("rises"), F.count_if(move < 0).alias("falls"), F.avg(move).alias("mean_move")

@@ -5,44 +5,71 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfspark.functions.numbers import to_number
+from shelfspark.functions.times import to_time
 from shelfspark.operators.filters import by_keyword, by_source, positive_price, with_created_at
-from shelfspark.operators.quality import clean_frame, coerce
+from shelfspark.operators.quality import clean_frame
 from shelfspark.schemas import ANALYSIS_COLUMNS, LISTING
 
 _CORRUPT = "_corrupt_record"
 
 
-def _lenient(schema: T.StructType) -> T.StructType:
-    """Numbers and times that may come as text are read as text and coerced afterwards."""
-    loose = {"price", "rating", "scraped_at"}
-    return T.StructType([T.StructField(f.name, T.StringType()) if f.name in loose else f for f in schema.fields])
+_AS_TEXT = T.StructType([T.StructField(f.name, T.StringType()) for f in LISTING.fields])
 
 
-def read_listing_files(spark: SparkSession, path: str, recursive: bool = True, multiline: bool = True) -> DataFrame:
-    """Listings out of JSON: an object with a products array, or a root array of listings.
+def _typed(value: Column, kind: T.DataType) -> Column:
+    """A value read as text in its declared type; what does not fit becomes null, and only that."""
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        return F.from_json(value, kind)
+    if isinstance(kind, T.DoubleType):
+        return to_number(value)
+    if isinstance(kind, T.IntegerType):
+        return to_number(value).try_cast("int")
+    if isinstance(kind, T.BooleanType):
+        return value.try_cast("boolean")
+    return to_time(value) if isinstance(kind, T.TimestampNTZType) else value
 
-    Broken files are skipped. ``multiline=False`` reads one document per line, which splits large files.
-    """
-    row = _lenient(LISTING)
+
+def _documents(spark: SparkSession, path: str, recursive: bool, multiline: bool) -> DataFrame:
+    """Every document with all its fields as text; text that is no JSON stands in its own column."""
     whole = T.StructType(
-        [*row.fields, T.StructField("products", T.ArrayType(row)), T.StructField(_CORRUPT, T.StringType())]
+        [*_AS_TEXT.fields, T.StructField("products", T.StringType()), T.StructField(_CORRUPT, T.StringType())]
     )
-    raw = (
+    return (
         spark.read.schema(whole)
         .option("multiLine", multiline)
         .option("recursiveFileLookup", recursive)
         .option("columnNameOfCorruptRecord", _CORRUPT)
         .json(path)
-        .where(F.col(_CORRUPT).isNull())
     )
-    # A row without a products array is one element of a root array; files of other kinds give no title or price.
-    single = F.when(F.col("title").isNotNull() | F.col("price").isNotNull(), F.array(F.struct(*row.fieldNames())))
-    rows = raw.select(F.explode(F.coalesce("products", single)).alias("_row"))
-    return coerce(rows.select("_row.*"))
+
+
+def read_listing_files(spark: SparkSession, path: str, recursive: bool = True, multiline: bool = True) -> DataFrame:
+    """Listings out of JSON: an object with a products array, or a root array of listings.
+
+    Fields are read as text and coerced one by one, so an odd value costs only itself. Documents that are no JSON are
+    skipped; :func:`broken_documents` lists them. ``multiline=False`` reads one document per line, which splits large files.
+    """
+    raw = _documents(spark, path, recursive, multiline).where(F.col(_CORRUPT).isNull())
+    # A row without a products array is one element of a root array; files of other kinds have none of the fields.
+    anything = F.coalesce(*_AS_TEXT.fieldNames()).isNotNull()
+    single = F.when(F.col("products").isNull() & anything, F.array(F.struct(*_AS_TEXT.fieldNames())))
+    listed = F.transform(F.from_json("products", T.ArrayType(T.StringType())), lambda p: F.from_json(p, _AS_TEXT))
+    rows = raw.select(F.explode(F.coalesce(listed, single)).alias("_row")).where(F.col("_row").isNotNull())
+    return rows.select(*[_typed(F.col(f"_row.{f.name}"), f.dataType).alias(f.name) for f in LISTING.fields])
+
+
+def broken_documents(spark: SparkSession, path: str, recursive: bool = True, multiline: bool = True) -> DataFrame:
+    """(file, document) of what :func:`read_listing_files` skips because it is no JSON."""
+    raw = _documents(spark, path, recursive, multiline)
+    # Spark wants a column of the schema besides the text of the broken document.
+    seen = F.length(F.concat_ws("", F.col(_CORRUPT), F.col("products"))) >= 0
+    broken = raw.where(F.col(_CORRUPT).isNotNull() & seen)
+    return broken.select(F.col("_metadata.file_path").alias("file"), F.col(_CORRUPT).alias("document"))
 
 
 def read_listings(

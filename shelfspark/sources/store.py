@@ -36,8 +36,10 @@ def upsert(
 ) -> tuple[DataFrame, DataFrame]:
     """Product table after a batch, and the rejected rows.
 
-    The last row of the batch wins per product. Columns the batch carries overwrite, also with null; other columns
-    keep their value. Both sides have one row per key, so the join cannot be skewed.
+    Per product the newer of the stored row and the batch's last row wins, by the order's columns as far as both sides
+    have them; on a tie the batch does. So the table does not depend on how rows are cut into batches. Columns the winning
+    batch row carries overwrite, also with null; other columns keep their value. Both sides have one row per key, so the join
+    cannot be skewed.
     """
     newest, rejects = last_sightings(batch, order)
     new_columns = set(newest.columns)
@@ -49,14 +51,19 @@ def upsert(
     new = newest.withColumn("_new", F.lit(True)).alias("new")
     joined = old.join(new, [F.col(f"old.{k}") == F.col(f"new.{k}") for k in KEYS], "full_outer")
 
+    compared = [c for c in order if c in current.columns and c in new_columns]
+    ranks = [F.struct(*[F.col(f"{side}.{c}") for c in compared]) for side in ("old", "new")] if compared else None
+    takes_over = F.col("new._new") & F.col("old._old").isNull()
+    takes_over = takes_over | (F.col("new._new") & (ranks[1] >= ranks[0] if ranks else F.lit(True)))
+
     def value(name: str):
         if name in KEYS:
             return F.coalesce(f"new.{name}", f"old.{name}")
         if name not in new_columns:
             return F.col(f"old.{name}")
         if name not in current.columns:
-            return F.col(f"new.{name}")
-        return F.when(F.col("new._new"), F.col(f"new.{name}")).otherwise(F.col(f"old.{name}"))
+            return F.when(takes_over, F.col(f"new.{name}"))
+        return F.when(takes_over, F.col(f"new.{name}")).otherwise(F.col(f"old.{name}"))
 
     return joined.select(*[value(c).alias(c) for c in columns]), rejects
 
@@ -67,10 +74,18 @@ def split_existing(current: DataFrame, batch: DataFrame) -> tuple[DataFrame, Dat
     return batch.join(known, list(KEYS), "left_semi"), batch.join(known, list(KEYS), "left_anti")
 
 
+def last_prices(history: DataFrame, at: str = "recorded_at") -> DataFrame:
+    """Last known price per product of the stored history, for :func:`new_history`."""
+    product = F.col("source_product_id") if "source_product_id" in history.columns else F.col("product_id")
+    known = history.where(F.col("price").isNotNull()).select("source", product.alias("product_id"), "price", at)
+    return known.groupBy(*KEYS).agg(F.max_by("price", F.struct(at, "price")).alias("price"))
+
+
 def new_history(current: DataFrame, batch: DataFrame, ts: str = "scraped_at", tiebreak: str = "id") -> DataFrame:
     """History rows a batch adds: first sightings, and prices that differ from the one before.
 
-    ``current`` holds one row per product with its last price; its prices take part as the earliest sighting.
+    ``current`` holds one row per product with its last price; its prices take part as the earliest sighting. Where null
+    prices may overwrite those of the product table, pass :func:`last_prices` of the stored history instead.
     """
     carried = [c for c in batch.columns if c not in (*KEYS, "price", ts, tiebreak)]
     known = current.where(F.col("price").isNotNull()).select(*KEYS, "price")

@@ -18,6 +18,7 @@ from shelfspark.session import scratch_path
 from shelfspark.sources.store import KEYS, publish, read_version, upsert, versions
 
 EVENT_TIME = "event_time"
+DEFAULT_STATE_STORE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -252,4 +253,6 @@ def run_ingest(stream: DataFrame, name: str, compact_every: int = 10) -> str:
 
 def use_rocksdb(spark: SparkSession) -> None:
     """State store required by keyed state; set only where the session names none of its own."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if spark.conf.get(name, DEFAULT_STATE_STORE) == DEFAULT_STATE_STORE:
+        spark.conf.set(name, STATE_STORE)

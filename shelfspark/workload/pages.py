@@ -92,7 +92,7 @@ def walmart_pages(spark, sf) -> DataFrame:
 
 
 def generic_pages(spark, sf) -> DataFrame:
-    """25 equal cards per page, of which the first 20 count."""
+    """25 equal cards per page."""
     card = _html(GENERIC_CARD % ("{label}", GENERIC_PRICE))
     return _page(_parts(spark, sf), "shop", F.lit("https://shop.example.com/a"), F.repeat(card, F.lit(25)))
 
@@ -137,7 +137,7 @@ def x3_walmart_cards(spark, sf):
 @query(
     f"""SELECT page_id, CAST(pos AS INTEGER) AS position_on_page, search_keyword, title, round(price, 2) AS price,
     'p/' || id AS url, '/i/' || id || '.jpg' AS image_url
-    FROM ({_CATALOGUE}), (SELECT unnest(range(1, 21)) AS pos)"""
+    FROM ({_CATALOGUE}), (SELECT unnest(range(1, 26)) AS pos)"""
 )
 def x4_generic_cards(spark, sf):
     return extract.extract_listings(generic_pages(spark, sf)).select(*_COMMON, "url", "image_url")

@@ -541,10 +541,9 @@ def g3_report_sections(spark, sf):
 
 
 @query(
-    """WITH c AS (SELECT *, lag(price) OVER (PARTITION BY source, product_id ORDER BY recorded_at, id) AS p FROM ticks
-    WHERE recorded_at >= TIMESTAMP '2024-01-11 00:00:00')
+    """WITH c AS (SELECT *, lag(price) OVER (PARTITION BY source, product_id ORDER BY recorded_at, id) AS p FROM ticks)
     SELECT source, count(*) FILTER (price > p) AS rises, count(*) FILTER (price < p) AS falls, round(avg(price - p), 4) AS mean_move
-    FROM c WHERE p IS NOT NULL AND p <> price GROUP BY source""",
+    FROM c WHERE p IS NOT NULL AND p <> price AND recorded_at >= TIMESTAMP '2024-01-11 00:00:00' GROUP BY source""",
     ("ticks",),
 )
 def d5_price_moves(spark, sf):
@@ -570,8 +569,6 @@ MICRO_BATCH_BYTES = 64 * 1024 * 1024
 
 
 def _tick_stream(spark, sf, max_bytes: int | None = None):
-    # Days and weeks of the windows are those of the session zone.
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     schema = table(spark, sf, "events").schema
     source = spark.readStream.schema(schema).format("parquet").option("pathGlobFilter", "events*.parquet")
     raw = (source if max_bytes is None else source.option("maxBytesPerTrigger", max_bytes)).load(sf)

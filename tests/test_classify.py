@@ -84,3 +84,9 @@ def test_first_indicator_and_rates(spark):
     assert [r[0] for r in pages.select(classify.first_indicator(F.col("html"))).collect()] == [None, None, "robot"]
     rates = {r.source: (r.attempted, r.successful, r.blocked) for r in classify.block_rates(pages).collect()}
     assert rates == {"a": (2, 1, 1), "b": (1, 0, 1)}
+
+
+def test_missing_page_is_no_challenge(spark):
+    page = spark.createDataFrame([(1, None, None)], "page_id long, url string, html string")
+    got = classify.challenge_verdict(page).first()
+    assert got.confidence == 0.0 and not got.detected and got.behaviour_score == 0.0

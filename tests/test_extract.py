@@ -45,7 +45,8 @@ def test_static_cards(spark):
     assert ("ebay", 2) not in got and ("ebay", 3) not in got and got["ebay", 4].title == "Case"
     lamp = got["walmart", 1]
     assert (lamp.title, lamp.price, lamp.rating, lamp.product_id) == ("Lamp", 9.99, 4.2, "555")
-    assert len([k for k in got if k[0] == "x"]) == 20 and got["x", 20].price == 5.0
+    assert len([k for k in got if k[0] == "x"]) == 25 and got["x", 25].price == 5.0
+    assert extract.extract_listings(pages(spark, ("x", GENERIC)), max_cards=20).count() == 20
 
 
 def test_generic_falls_back_over_containers_and_prices(spark):
@@ -106,3 +107,33 @@ def test_selectors():
     assert root.first("a[title]").text() == "1" and root.first("h3.it-ttl a").text() == "2"
     assert [e.text() for e in root.select("h3 a, a[title]")] == ["1", "2"]
     assert root.first('[class*="ttl"]').tag == "h3" and root.first("ul") is None
+
+
+def test_deep_and_damaged_pages(spark):
+    deep = "<p>" * 100_000 + "</i>" * 1000
+    got = extract.extract_listings(
+        pages(spark, ("x", deep + GENERIC), ("x", "<![foo[bar" + GENERIC), ("x", "<div class='product'><h2>Open"), ("x", None))
+    ).collect()
+    assert sorted((r.page_id, r.title) for r in got if r.position_on_page == 1) == [(0, "Title"), (1, "Title"), (2, "Open")]
+    assert len(got) == 51
+
+
+def test_one_walk_finds_what_single_selectors_find():
+    from shelfspark.functions.markup import FirstFinder
+
+    page = parse('<div id="a" class="x y"><span data-q="ab">1</span><p><span class="x">2</span></p></div><a href="/itm/3" class="y">3</a>')
+    selectors = ["span", ".x", ".x span", "p span, .none", '[data-q*="b"]', "#a", ".y", 'a[href*="/itm/"]', ".none", '[class]:not([id="a"])', "*"]
+    found = FirstFinder(selectors).find(page)
+    assert {s: found.get(s) for s in selectors} == {s: page.first(s) for s in selectors}
+
+
+def test_links_of_any_form(spark):
+    html = (
+        "<a href=\"/one\">1</a><A class='b' HREF='/two' title=\"a > b\">2</A><a\nhref=/three>3</a><a name=x>no</a>"
+        "<article>no</article><a data-href='/no'>no</a><a href=\"\">4</a><H1 class=x>Head</H1><title>Open <b>bold</b><body>rest"
+    )
+    page = spark.createDataFrame([(1, "https://s.com/p", html), (2, "https://s.com/p", None)], "page_id long, url string, html string")
+    assert [(r.position, r.href, r.text) for r in extract.page_links(page).collect()] == [
+        (1, "/one", "1"), (2, "/two", "2"), (3, "/three", "3"), (4, "", "4"),
+    ]
+    assert [r.heading for r in extract.page_headings(page).collect()][0] == "Head"

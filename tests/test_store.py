@@ -28,6 +28,25 @@ def test_listing_files_of_all_shapes(spark, tmp_path):
     assert sorted(r.title for r in readers.load_listings(spark, str(tmp_path), "json").collect()) == ["A", "B"]
 
 
+def test_odd_fields_cost_only_themselves(spark, tmp_path):
+    odd = {
+        "review_count": "1,234", "original_price": "12.00", "seller_rating": "99.1%", "position_on_page": "3",
+        "shipping_cost": "Free", "additional_images": '["a", "b"]', "specifications": "none", "is_valid": "maybe", "page_number": 2.0,
+    }
+    for i, (name, value) in enumerate(odd.items()):
+        products = [{"title": f"{name}-{k}", "price": k + 1, **({name: value} if k == 1 else {})} for k in range(3)]
+        (tmp_path / f"{i}.json").write_text(json.dumps({"products": products}, indent=2))
+    (tmp_path / "array.json").write_text(json.dumps([{"source": "s"}, {"title": "T", "specifications": {"a": "b"}}], indent=2))
+    (tmp_path / "broken.json").write_text("{[")
+    got = {r.title: r for r in readers.read_listing_files(spark, str(tmp_path)).collect()}
+    assert len(got) == 29 and got["T"].specifications == {"a": "b"} and got[None].source == "s"
+    assert got["original_price-1"].original_price == 12.0 and got["position_on_page-1"].position_on_page == 3
+    assert got["additional_images-1"].additional_images == ["a", "b"] and got["page_number-1"].page_number == 2
+    assert got["review_count-1"].review_count is None and got["shipping_cost-1"].shipping_cost is None
+    broken = readers.broken_documents(spark, str(tmp_path)).collect()
+    assert len(broken) == 1 and broken[0].file.endswith("broken.json")
+
+
 def test_stored_listings_are_pruned(spark, golden, tmp_path):
     path = str(tmp_path / "t")
     writers.write_listings(golden, path)
@@ -56,6 +75,15 @@ def test_upsert(spark):
     assert updates.count() == 1 and inserts.count() == 2
 
 
+def test_upsert_keeps_the_newer_row(spark):
+    new, old = datetime(2024, 1, 10), datetime(2024, 1, 1)
+    stored = batch(spark, ("s", "p", "T", 20.0, new))
+    late, _ = store.upsert(stored, batch(spark, ("s", "p", "T", 10.0, old), ("s", "q", "Q", 1.0, old)))
+    assert {r.product_id: r.price for r in late.collect()} == {"p": 20.0, "q": 1.0}
+    newer, _ = store.upsert(batch(spark, ("s", "p", "T", 10.0, old)), stored)
+    assert [r.price for r in newer.collect()] == [20.0]
+
+
 def test_versions_are_replaced_and_incomplete_ones_ignored(spark, tmp_path):
     root = str(tmp_path / "t")
     assert store.read_version(spark, root) is None
