@@ -104,7 +104,7 @@ def mark_duplicates(df: DataFrame, order: str, keys: Sequence[str] = ("title", "
     """
     keys = list(keys)
     named = {k: f"_k_{k}" for k in keys}
-    keyed = df.withColumns({v: F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k, v in named.items()})
+    keyed = df.withColumns({v: F.md5(F.coalesce(F.col(k).cast("string"), F.lit("\u0000"))) for k, v in named.items()})
     groups = (
         keyed.groupBy(*named.values())
         .agg(F.count(F.lit(1)).alias("copies"), F.min(order).alias("_first"))

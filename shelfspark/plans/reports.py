@@ -124,11 +124,11 @@ def report_tables(df: DataFrame, ts: str = "scraped_at") -> dict[str, DataFrame]
     }
 
 
-def report_sheets(df: DataFrame) -> dict[str, DataFrame]:
+def report_sheets(df: DataFrame, digits: int | None = 2) -> dict[str, DataFrame]:
     """The sheets of the workbook export as named tables."""
     return {
         "Products": df,
-        "Source_Summary": stats.source_summary(df),
+        "Source_Summary": stats.source_summary(df, digits=digits),
         "Price_Analysis": stats.price_ranges(df).select("range", F.col("n").alias("count")),
         "Summary": summary_sheet(df),
     }
@@ -182,14 +182,67 @@ def _one_row_statistics(df: DataFrame) -> DataFrame:
     return one.select(F.inline(F.array(*rows)))
 
 
-def statistics_document(df: DataFrame, ts: str = "scraped_at", digits: int | None = 2) -> DataFrame:
-    """All statistics in one long table (section, entry, metric, value), ready for a JSON sink.
+def _outlier_statistics(df: DataFrame) -> DataFrame:
+    """Counts and shares of price outliers by both rules, with the quartile bounds, from one flagged pass."""
+    summary = stats.price_summary(df).select(F.struct("q1", "q3", "mean", "std").alias("s")).scalar()
+    s = F.col("s")
+    iqr = s["q3"] - s["q1"]
+    lower, upper = s["q1"] - 1.5 * iqr, s["q3"] + 1.5 * iqr
+    z = F.try_divide(F.col("price") - s["mean"], s["std"])
+    one = df.select("price", summary.alias("s")).agg(
+        F.count("price").alias("n"),
+        F.count_if((F.col("price") < lower) | (F.col("price") > upper)).alias("iqr"),
+        F.count_if(F.abs(z) > 3.0).alias("z"),
+        F.first(lower, ignorenulls=True).alias("lower"),
+        F.first(upper, ignorenulls=True).alias("upper"),
+    )
+    share = lambda c: F.coalesce(F.try_divide(F.col(c) * 100.0, F.col("n")), F.lit(0.0))
+    metrics = [
+        ("outliers_iqr", "count", F.col("iqr")), ("outliers_iqr", "percentage", share("iqr")),
+        ("outliers_iqr", "lower_bound", F.col("lower")), ("outliers_iqr", "upper_bound", F.col("upper")),
+        ("outliers_z_score", "count", F.col("z")), ("outliers_z_score", "percentage", share("z")),
+    ]
+    rows = [
+        F.struct(F.lit(s).alias("section"), F.lit("all").alias("entry"), F.lit(m).alias("metric"), v.cast("double").alias("value"))
+        for s, m, v in metrics
+    ]
+    return one.select(F.inline(F.array(*rows)))
+
+
+def _header(df: DataFrame, ts: str, generated_at: datetime | str | None) -> DataFrame:
+    """Period, number of records, columns and, where given, the time of the report; texts in a column of their own."""
+    one = df.agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("a"), F.max(ts).alias("b"))
+    none = F.lit(None).cast("string")
+    entries = [
+        ("date_range", "earliest", None, F.col("a").cast("string")),
+        ("date_range", "latest", None, F.col("b").cast("string")),
+        ("header", "total_records", F.col("n"), none),
+        ("header", "columns", F.lit(len(df.columns)), F.lit(", ".join(df.columns))),
+    ]
+    if generated_at is not None:
+        entries.append(("header", "generated_at", None, F.lit(str(generated_at))))
+    rows = [
+        F.struct(
+            F.lit(section).alias("section"), F.lit("all").alias("entry"), F.lit(metric).alias("metric"),
+            (F.lit(None) if value is None else value).cast("double").alias("value"), text.alias("text"),
+        )
+        for section, metric, value, text in entries
+    ]
+    return one.select(F.inline(F.array(*rows)))
+
+
+def statistics_document(
+    df: DataFrame, ts: str = "scraped_at", digits: int | None = 2, generated_at: datetime | str | None = None
+) -> DataFrame:
+    """All statistics in one long table (section, entry, metric, value, text), ready for a JSON sink.
 
     Long form keeps the result distributed however many keywords or days there are.
     """
     everything = F.lit("all")
     parts = [
+        _header(df, ts, generated_at),
         _one_row_statistics(df),
+        _outlier_statistics(df),
         _long(stats.price_summary(df), "price_summary", everything),
         _long(stats.source_comparison(df), "source_comparison", F.col("source")),
         _long(trends.daily_trend(df, ts, digits), "daily_trend", F.col("day")),
@@ -199,7 +252,7 @@ def statistics_document(df: DataFrame, ts: str = "scraped_at", digits: int | Non
         _long(stats.keyword_performance(df, digits=digits), "keyword_performance", F.col("search_keyword")),
         _long(stats.scraper_performance(df), "scraper_performance", F.col("scraper_type")),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def trend_report(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfspark.adapters import listings, sightings, table, ticks
 from shelfspark.operators import frontier as tasks
 from shelfspark.operators import stats
-from shelfspark.operators.filters import flatten_success
+from shelfspark.operators.filters import flatten_success, priced
 from shelfspark.operators.skew import first_n_per
 from shelfspark.operators.tasks import apply_per_task
 from shelfspark.plans import reports
@@ -123,8 +123,39 @@ def w9_d4_csv_export(spark, sf):
 )
 def w11_report_sheets(spark, sf):
     rows = ticks(spark, sf).withColumnRenamed("recorded_at", "scraped_at")
-    sheet = stats.source_summary(rows, digits=None)
-    return rounded(sheet)
+    return rounded(reports.report_sheets(rows, digits=None)["Source_Summary"])
+
+
+@query(
+    """SELECT r AS "range", (SELECT count(*) FROM listings WHERE price >= lo AND price < hi) AS "count"
+    FROM (VALUES ('Under $100', -1e300, 100.0), ('$100-$500', 100.0, 500.0),
+    ('$500-$1000', 500.0, 1000.0), ('Over $1000', 1000.0, 1e300)) v(r, lo, hi)""",
+    ("listings",),
+)
+def w11_price_sheet(spark, sf):
+    """The price sheet of the workbook written as CSV and read back."""
+    path = scratch_path(spark, "sheets")
+    writers.export(listings(spark, sf), "excel", path)
+    return spark.read.schema("range string, count long").option("header", True).csv(f"{path}/Price_Analysis")
+
+
+@query(
+    """SELECT source, product_id, title, round(price, 4) AS price, scraped_at FROM listings
+    WHERE scraped_at >= TIMESTAMP '2001-10-28 00:00:00'""",
+    ("listings",),
+)
+def d4_json_export(spark, sf):
+    path = scratch_path(spark, "json")
+    rows = listings(spark, sf).select("source", "product_id", "title", "price", "scraped_at")
+    writers.export(rows, "json", path, 7, "2001-11-04 00:00:00")
+    return rounded(readers.read_json(spark, path, rows.schema, multiline=False))
+
+
+@query("SELECT id, source, product_id, round(price, 4) AS price FROM ticks WHERE id % 7 <> 0", ("ticks",))
+def p9_priced(spark, sf):
+    """Rows with a price, where every seventh has lost it."""
+    rows = ticks(spark, sf).withColumn("price", F.when(F.col("id") % 7 != 0, F.col("price")))
+    return rounded(priced(rows).select("id", "source", "product_id", "price"))
 
 
 @query(
@@ -192,12 +223,31 @@ _DOCUMENT = " UNION ALL ".join(
 )
 
 
-@query(f"SELECT section, entry, metric, round(value + 1e-6, 4) AS value FROM ({_DOCUMENT})", ("listings",))
+_BOUNDS = """(SELECT *, q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high FROM (SELECT quantile_cont(price, 0.25) AS q1,
+    quantile_cont(price, 0.75) AS q3, avg(price) AS m, stddev_samp(price) AS s FROM listings))"""
+_OUTLIERS = f"""SELECT 'outliers_iqr' AS section, 'all' AS entry, unnest(['count', 'percentage', 'lower_bound', 'upper_bound']) AS metric,
+    unnest([n, n * 100.0 / p, low, high]) AS value FROM (SELECT count(*) FILTER (price < low OR price > high) AS n,
+    count(price) AS p, min(low) AS low, min(high) AS high FROM listings, {_BOUNDS})
+    UNION ALL SELECT 'outliers_z_score', 'all', unnest(['count', 'percentage']), unnest([n, n * 100.0 / p]) FROM (
+    SELECT count(*) FILTER (abs((price - m) / s) > 3) AS n, count(price) AS p FROM listings, {_BOUNDS})"""
+_HEADER = f"""SELECT 'header' AS section, 'all' AS entry, 'total_records' AS metric, count(*)::DOUBLE AS value, NULL AS text FROM listings
+    UNION ALL SELECT 'header', 'all', 'generated_at', NULL, '2024-02-01'
+    UNION ALL SELECT 'date_range', 'all', 'earliest', NULL, strftime(min(scraped_at), '%Y-%m-%d %H:%M:%S') FROM listings
+    UNION ALL SELECT 'date_range', 'all', 'latest', NULL, strftime(max(scraped_at), '%Y-%m-%d %H:%M:%S') FROM listings"""
+
+
+@query(
+    f"""SELECT section, entry, metric, round(value + 1e-6, 4) AS value, text FROM (
+    SELECT *, NULL AS text FROM ({_DOCUMENT} UNION ALL {_OUTLIERS}) UNION ALL {_HEADER})""",
+    ("listings",),
+)
 def w12_statistics_document(spark, sf):
-    """The document, written as JSON and read back."""
+    """The document, written as JSON and read back; the list of columns is that of the view and is left out."""
     path = scratch_path(spark, "statistics")
-    writers.write_json(reports.statistics_document(listings(spark, sf), digits=None), path)
-    document = readers.read_json(spark, path, "section string, entry string, metric string, value double", multiline=False)
+    rows = reports.statistics_document(listings(spark, sf), digits=None, generated_at="2024-02-01")
+    writers.write_json(rows.where("metric <> 'columns'"), path)
+    shape = "section string, entry string, metric string, value double, text string"
+    document = readers.read_json(spark, path, shape, multiline=False)
     # The small offset moves values that lie exactly between two rounded ones.
     return document.withColumn("value", F.round(F.col("value") + 1e-6, 4))
 
@@ -605,10 +655,20 @@ def s2_stream_dedup(spark, sf):
     return streams.run_available(unique.select("data_hash"), "dedup")
 
 
+def _closed_tick_stream(spark, sf):
+    """The ticks from files of a folder, and one tick far later that lets every window close."""
+    path = scratch_path(spark, "ticks")
+    rows = ticks(spark, sf)
+    last = rows.orderBy(F.col("id").desc()).limit(1).withColumn("recorded_at", F.col("recorded_at") + F.expr("INTERVAL 400 DAYS"))
+    rows.unionByName(last).write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
 @query("SELECT CAST(recorded_at AS DATE) AS day, count(*) AS n FROM ticks GROUP BY 1", ("ticks",))
 def s3_stream_daily_counts(spark, sf):
-    counts = streams.stream_daily_counts(_tick_stream(spark, sf), "1 day", "recorded_at")
-    return streams.run_available(counts, "daily", "complete")
+    """Windows leave the state as the watermark passes them."""
+    counts = streams.stream_daily_counts(_closed_tick_stream(spark, sf), "1 day", "recorded_at")
+    return streams.run_available(counts, "daily")
 
 
 @query(
@@ -617,8 +677,8 @@ def s3_stream_daily_counts(spark, sf):
     ("ticks",),
 )
 def s3_stream_weekly_mean(spark, sf):
-    means = streams.stream_weekly_mean(_tick_stream(spark, sf), "1 day", "recorded_at")
-    return rounded(streams.run_available(means, "weekly", "complete"))
+    means = streams.stream_weekly_mean(_closed_tick_stream(spark, sf), "1 day", "recorded_at")
+    return rounded(streams.run_available(means, "weekly"))
 
 
 @query(
