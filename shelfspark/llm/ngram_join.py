@@ -2,18 +2,22 @@
 
 Two sets of sizes a and b with Jaccard similarity at least s differ in at most ``(a + b) (1 - s) / (1 + s)`` shingles.
 Sets are put into size bands; a *scheme* serves the pairs inside a band, another the pairs across two neighbouring bands,
-each with its own bound k on the difference. A scheme cuts the shingle domain into n1 parts of n2 sections. Two sets
-within k of each other agree, in at least ``n1 - k // 2`` parts, in all sections but one; so for every part all
-subsets of n2 - 1 sections are enumerated, and the shingles inside one subset make one signature. Linked sets
-share a signature; sharing one is only a reason to compare.
-
-Signatures over very few shingles would bring unrelated sets together. A set leaves out those over fewer than two
-shingles as long as fewer of its parts are affected than agree for certain, then those over none; if a set is too thin for
-that, it emits them all. Whatever two linked sets leave out, one common signature remains.
-
-Equal sets are one node from the start. Within a signature's group every member is first compared with the smallest one
-only; links found make components, and only members of different components of a group are compared after that.
-So every link between different components is found, while groups of near copies cost one comparison per member.
+each with its own bound k on the difference. A scheme cuts the shingle domain into parts of a few sections. Two sets within k
+of each other differ in at most t sections of at least ``parts - k // (t + 1)`` parts; so for every part all subsets of all
+but t sections are enumerated, and the shingles inside one subset make one signature (t is 1 for sets of up to about a
+hundred shingles; larger ones have parts enough to ask for equal parts). Linked sets share a signature; sharing one is only
+a reason to compare.
+
+Signatures over very few telling shingles would bring unrelated sets together. Telling are the shingles that are not
+frequent in a sample of ``SAMPLE`` documents. A set leaves out its weakest parts' signatures, as long as fewer parts are
+affected than agree for certain: whatever two linked sets leave out, one common signature remains. The sample only
+decides which signatures are left out, never which links are found.
+
+Equal sets are one node from the start. Candidates are first compared by counts of their shingles in 128 cells, which bound
+the difference from below, then exactly. Within a signature's group every member is first compared with the smallest one
+only; links found make components, and only members of different components of a group are compared after that. So every
+link between different components is found, while groups of near copies cost one comparison per member. Unrelated sets that
+share a signature in spite of all that are still compared in pairs.
 Nodes are known by 64-bit fingerprints of their sets; shingles by 64-bit hashes.
 
 Cases. Null, empty and blank texts have empty sets and are linked with nothing. Rows that repeat an id are nodes by their
@@ -36,6 +40,11 @@ from pyspark.sql import functions as F
 from shelfspark.llm.common import mix64, shingle_set, stored
 
 NULL_ID = 1 << 62
+CELLS = 128
+#: Largest difference up to which subsets of sections are enumerated.
+ENUMERATED = 30
+#: Documents of the sample that tells frequent shingles; a shingle in so many of them is frequent.
+SAMPLE, FREQUENT, MOST_FREQUENT = 5_000, 5, 200_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -51,41 +60,45 @@ def fingerprint(marks: np.ndarray) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
+def cell_counts(marks: np.ndarray) -> bytes:
+    """How many shingles fall into each of 128 cells, up to 255."""
+    cells = np.bincount((marks >> np.uint64(57)).astype(np.int64), minlength=CELLS)
+    return np.minimum(cells, 255).astype(np.uint8).tobytes()
+
+
 class Scheme:
     """One instance of the enumeration: sets whose difference is at most ``k``."""
 
-    def __init__(self, name: int, k: int, sections: int):
-        self.k = k
-        # One section per part (no enumeration) is enough where the sets must be equal.
-        self.tolerated = 0 if k == 0 else 1
-        sections = 1 if k == 0 else sections
+    def __init__(self, name: int, k: int):
+        self.tolerated = 1 if 0 < k <= ENUMERATED else 0
+        sections = 3 if self.tolerated else 1
         least = k // (self.tolerated + 1) + 1
         self.parts = 1 if k == 0 else least + 1 + least // 6  # the surplus makes up for parts left out
-        self.sections = sections
+        self.shape = (self.parts, sections)
         cells = self.parts * sections
         self.edges = np.array([(j << 64) // cells for j in range(1, cells)], dtype=np.uint64)
         self.subsets = np.array(list(combinations(range(sections), sections - self.tolerated)), dtype=np.int64)
         salt = np.arange(self.parts * len(self.subsets), dtype=np.uint64) + np.uint64(name << 32)
         self.salt = mix64(salt).reshape(self.parts, len(self.subsets))
 
-    def signatures(self, marks: np.ndarray, sums: np.ndarray, bound: int) -> np.ndarray:
-        """Signatures of a sorted set; ``sums`` are running sums of its scrambled shingles, ``bound`` the largest
-        difference to any set it can be linked with here."""
+    def signatures(self, marks: np.ndarray, sums: np.ndarray, telling: np.ndarray, bound: int) -> np.ndarray:
+        """Signatures of a sorted set. ``sums`` are running sums of its scrambled shingles, ``telling`` running counts
+        of those that are not frequent, ``bound`` is the largest difference to any set it can be linked with here."""
         at = np.concatenate([[0], np.searchsorted(marks, self.edges), [len(marks)]])
-        shape = (self.parts, self.sections)
-        content = (sums[at[1:]] - sums[at[:-1]]).reshape(shape)[:, self.subsets].sum(axis=2, dtype=np.uint64)
-        counts = np.diff(at).reshape(shape)[:, self.subsets].sum(axis=2)
+        content = (sums[at[1:]] - sums[at[:-1]]).reshape(self.shape)[:, self.subsets].sum(axis=2, dtype=np.uint64)
+        counts = np.diff(telling[at]).reshape(self.shape)[:, self.subsets].sum(axis=2)
         agreeing = self.parts - bound // (self.tolerated + 1)
-        low = counts.min(axis=1)
-        least = 2 if (low < 2).sum() < agreeing else 1 if (low < 1).sum() < agreeing else 0
+        # Fewer parts than agree have a subset below this strength.
+        least = np.partition(counts.min(axis=1), agreeing - 1)[agreeing - 1]
         return mix64(content ^ self.salt)[counts >= least]
 
 
 class Bands:
     """Size bands and their schemes for a similarity of ``percent`` / 100."""
 
-    def __init__(self, percent: int, sections: int = 3):
-        self.percent, self.sections = percent, sections
+    def __init__(self, percent: int, frequent: np.ndarray | None = None):
+        self.percent = percent
+        self.frequent = np.empty(0, np.uint64) if frequent is None else frequent
 
     def linkable(self, a: int, b: int) -> bool:
         return 100 * min(a, b) >= self.percent * max(a, b)
@@ -109,21 +122,26 @@ class Bands:
     def scheme(self, band: int, across: bool) -> Scheme:
         high = self.limits(band)[1]
         largest = high + high * 100 // self.percent if across else 2 * high
-        return Scheme(2 * band + across, self.bound(largest), self.sections)
+        return Scheme(2 * band + across, self.bound(largest))
 
     def signatures(self, marks: np.ndarray) -> np.ndarray:
         size = len(marks)
         if not size:
             return np.empty(0, dtype=np.uint64)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(marks), dtype=np.uint64)])
+        telling = np.ones(size, dtype=np.int64)
+        if len(self.frequent):
+            place = np.minimum(np.searchsorted(self.frequent, marks), len(self.frequent) - 1)
+            telling[self.frequent[place] == marks] = 0
+        telling = np.concatenate([[0], np.cumsum(telling)])
         band = self.band(size)
         low, high = self.limits(band)
         partner = size * 100 // self.percent
-        out = [self.scheme(band, False).signatures(marks, sums, self.bound(size + min(high, partner)))]
+        out = [self.scheme(band, False).signatures(marks, sums, telling, self.bound(size + min(high, partner)))]
         if partner > high:
-            out.append(self.scheme(band, True).signatures(marks, sums, self.bound(size + partner)))
+            out.append(self.scheme(band, True).signatures(marks, sums, telling, self.bound(size + partner)))
         if band and self.linkable(low - 1, size):
-            out.append(self.scheme(band - 1, True).signatures(marks, sums, self.bound(size + low - 1)))
+            out.append(self.scheme(band - 1, True).signatures(marks, sums, telling, self.bound(size + low - 1)))
         return np.concatenate(out)
 
 
@@ -132,30 +150,36 @@ def _nodes(width: int):
         for batch in batches:
             sets = [set_of(t.as_py(), width) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("mark"), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())],
-                ["id", "mark", "node", "n"],
+                [
+                    batch.column("id"), batch.column("mark"), pa.array([fingerprint(s) for s in sets], pa.int64()),
+                    pa.array([len(s) for s in sets], pa.int64()), pa.array([cell_counts(s) for s in sets], pa.binary()),
+                ],
+                ["id", "mark", "node", "n", "cells"],
             )
 
     return run
 
 
-def _signatures(width: int, percent: int, slices: int, flush: int = 2_000_000):
-    """(slice, node, its signatures in the slice); sets seen before in the task are passed over."""
+def _signatures(width: int, percent: int, slices: int, frequent, flush: int = 2_000_000):
+    """(slice, node, its signatures in the slice); sets seen before in the task are passed over.
+
+    A slice holds some two million signatures, so 32 bits tell them apart there but for a few in ten thousand.
+    """
 
     def emit(nodes: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
         values = np.concatenate(found)
         owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
-        piece = (values % np.uint64(slices)).astype(np.int64)
+        piece = ((values >> np.uint64(32)) % np.uint64(slices)).astype(np.int64)
         order = np.argsort(piece * len(found) + owner, kind="stable")
         values, owner, piece = values[order], owner[order], piece[order]
         first = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (owner[1:] != owner[:-1])]))
         offsets = pa.array(np.append(first, len(values)), pa.int32())
-        lists = pa.ListArray.from_arrays(offsets, pa.array(values.view(np.int64)))
+        lists = pa.ListArray.from_arrays(offsets, pa.array(values.astype(np.uint32).view(np.int32)))
         members = np.array(nodes, dtype=np.int64)[owner[first]]
         return pa.RecordBatch.from_arrays([pa.array(piece[first]), pa.array(members), lists], ["slice", "node", "signatures"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, seen = Bands(percent), set()
+        bands, seen = Bands(percent, frequent.value), set()
         nodes, found, n = [], [], 0
         for batch in batches:
             for text in batch.column("text"):
@@ -237,7 +261,12 @@ def _marks(width: int):
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
-                sets = [set_of(t.as_py(), width) for t in part.column("text")]
+                sets, last, held = [], None, None
+                for text in part.column("text"):
+                    data = text.as_py()
+                    if data != last or held is None:  # one text stands here once for every hub
+                        last, held = data, set_of(data, width)
+                    sets.append(held)
                 # Ids may repeat: only the text whose set is the node's counts.
                 own = [i for i, (s, n) in enumerate(zip(sets, part.column("node").to_pylist(), strict=True)) if fingerprint(s) == n]
                 arrays = [part.column(c).take(pa.array(own, pa.int64())) for c in ("hub", "salt", "node")]
@@ -307,30 +336,60 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def cross_pairs(groups: DataFrame, labels: DataFrame, sizes: DataFrame, percent: int, block: int = 64) -> DataFrame:
-    """Pairs of members of one group whose components differ and whose sizes allow a link.
+def _possible(percent: int):
+    """Pairs that their sizes and cell counts do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, CELLS).astype(np.int16) for c in ("x", "y")
+            )
+            n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
+            # A full cell tells nothing beyond 255, so the sum stays a lower bound of the difference.
+            fits = np.abs(a - b).sum(axis=1) <= (n + m) * (100 - percent) // (100 + percent)
+            fits &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+            keep = pa.array(np.flatnonzero(fits))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["a", "b"])
+
+    return run
+
+
+def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may be links by their sizes and cell counts."""
+    left = classes.select(F.col("node").alias("a"), "n", F.col("cells").alias("x"))
+    right = classes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("cells").alias("y"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y")
+    return joined.mapInArrow(_possible(percent), "a long, b long")
+
+
+def cross_pairs(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of members of one group that lie in different components.
 
-    Groups lie in blocks of about ``block`` members, and blocks meet in pairs, each pair in a row of its own.
+    Only members outside a group's largest component are paired, with the members of other components.
     """
-    member = groups.select("name", "node").distinct().join(sizes, "node").join(labels, "node", "left")
-    member = member.withColumn("label", F.coalesce("label", "node"))
-    open_groups = member.groupBy("name").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")
-    )
-    rows = member.join(open_groups.where("low != high").drop("low", "high"), "name")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    blocks = stored(
-        rows.groupBy("name", "blocks", "block").agg(F.collect_list(F.struct("node", "label", "n")).alias("members")), "blocks"
-    )
-    left = blocks.select("name", "block", F.col("members").alias("xs"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("other"))
-    right = blocks.select("name", F.col("block").alias("other"), F.col("members").alias("ys"))
-    met = left.join(right, ["name", "other"]).select("ys", F.explode("xs").alias("x")).select("x", F.explode("ys").alias("y"))
-    fits = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-    return (
-        met.where((F.col("x.label") != F.col("y.label")) & fits)
-        .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        .distinct()
+    member = groups.select("name", "node").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    parts = member.groupBy("name", "label").agg(F.count(F.lit(1)).alias("size"))
+    main = parts.groupBy("name").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("parts"))
+    rows = stored(member.join(main.where("parts > 1").drop("parts"), "name"), "open-groups")
+    outside = rows.where("label != main").select("name", F.col("node").alias("x"), F.col("label").alias("x_label"))
+    met = rows.join(outside, "name").where(
+        (F.col("label") != F.col("x_label")) & ((F.col("label") == F.col("main")) | (F.col("node") < F.col("x")))
     )
+    return met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+
+
+def frequent_shingles(texts: DataFrame, rows: int, width: int) -> np.ndarray:
+    """Sorted hashes of the shingles that many documents of a bounded sample share."""
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(set_of(text.as_py(), width).view(np.int64))], ["mark"])
+
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(rows // SAMPLE)) == 0) if rows > SAMPLE else texts
+    counts = sample.select("text").mapInArrow(marks, "mark long").groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "mark").limit(MOST_FREQUENT)
+    return np.sort(most.toArrow().column("mark").to_numpy().view(np.uint64))
 
 
 def link_components(docs: DataFrame, width: int = 5, percent: int = 75, id_column: str = "doc_id") -> DataFrame:
@@ -338,26 +397,29 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75, id_colum
 
     ``component`` names the group also where ids are null or repeat (null for empty sets), ``mark`` is a hash of the text.
     """
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
-    nodes = texts.withColumn("mark", F.xxhash64("text")).mapInArrow(_nodes(width), "id long, mark long, node long, n long")
+    nodes = texts.withColumn("mark", F.xxhash64("text")).mapInArrow(_nodes(width), "id long, mark long, node long, n long, cells binary")
     rows = stored(nodes, "sets")
     ranked = F.coalesce(F.col("id"), F.lit(NULL_ID))
-    classes = stored(rows.where("n > 0").groupBy("node").agg(F.min(ranked).alias("rep"), F.max("n").alias("n")), "classes")
-    shingles = classes.agg(F.sum("n")).first()[0] or 0
+    classes = stored(rows.where("n > 0").groupBy("node").agg(F.min(ranked).alias("rep"), F.max("n").alias("n"), F.min("cells").alias("cells")), "classes")
+    n_classes, shingles = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    frequent = spark.sparkContext.broadcast(frequent_shingles(texts, n_classes, width))  # at most MOST_FREQUENT hashes
     slices = 64
     while slices * 2_000_000 < shingles:
         slices *= 2
-    signatures = texts.select("text").mapInArrow(_signatures(width, percent, slices), "slice long, node long, signatures array<long>")
-    dealt = signatures.repartition("slice").select("node", F.explode("signatures").alias("signature"))
-    dealt = dealt.sortWithinPartitions("signature", "node").select("signature", "node")
+    signatures = texts.select("text").mapInArrow(_signatures(width, percent, slices, frequent), "slice long, node long, signatures array<int>")
+    number = F.col("slice").bitwiseOR(F.shiftleft(F.col("_signature").cast("long"), 24))
+    dealt = signatures.repartition("slice").select("slice", "node", F.explode("signatures").alias("_signature"))
+    dealt = dealt.select(number.alias("signature"), "node").sortWithinPartitions("signature", "node")
     groups = stored(dealt.mapInArrow(_groups(), "name long, node long, leader long"), "groups")
-    sizes = classes.select("node", "n")
     # A text of every class: that of its smallest id.
     reps = classes.select("node", F.when(F.col("rep") < NULL_ID, F.col("rep")).alias("rep"))
-    first = groups.where("node != leader").groupBy("node").agg(F.min("leader").alias("a")).select("a", F.col("node").alias("b"))
+    stars = groups.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    first = possible(stars, classes, percent).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = verify(stored(first, "pairs"), texts, reps, width, percent)
     labels = components(links)
-    more = stored(cross_pairs(groups, labels, sizes, percent), "pairs")
+    more = stored(possible(cross_pairs(groups, labels), classes, percent), "pairs")
     if not more.isEmpty():
         links = links.unionByName(verify(more, texts, reps, width, percent))
         labels = components(links)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.llm.mixing import as_units, mix_plan, mix_sources
 
-from .conftest import ODD_ROWS
+from odd_rows import ODD_ROWS
 
 
 def filled(sizes, weights, share, cap):

@@ -5,7 +5,7 @@ from collections import Counter
 
 from shelfspark.llm.quality import binomial_cdf, proven, quality_rules, text_counts
 
-from .conftest import ODD_ROWS
+from odd_rows import ODD_ROWS
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
