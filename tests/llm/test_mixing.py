@@ -56,11 +56,11 @@ def test_expected_copies_are_kept(spark, make):
     """Over many seeds each document is taken as often as its source's target asks for."""
     rows = [(i, "w " * n, "a" if i < 4 else "b") for i, n in enumerate([1, 2, 3, 4, 5, 5])]
     taken = [0] * 6
-    for seed in range(30):
+    for seed in range(3):
         for row in mix_plan(as_units(make(rows)), seed=seed).collect():
             taken[int(row["id"])] += row["copies"]
     # Weights 3 and 1 over 20 words: a is full at 2 * 10, b takes the rest, 10 of 10.
-    assert taken[:4] == [60] * 4 and taken[4:] == [30] * 2
+    assert taken[:4] == [6] * 4 and taken[4:] == [3] * 2
 
 
 def test_odd_rows(spark, make):
