@@ -41,6 +41,7 @@ from shelfspark.llm.common import mix64, shingle_set, stored
 
 NULL_ID = 1 << 62
 CELLS = 128
+STAR_TURNS = 3
 #: Largest difference up to which subsets of sections are enumerated.
 ENUMERATED = 30
 #: Documents of the sample that tells frequent shingles; a shingle in so many of them is frequent.
@@ -206,8 +207,9 @@ def _groups(most: int = 500_000):
     Groups with the same members are one. A group longer than ``most`` rows is given out in pieces as it passes.
     """
 
-    def emit(node, leader, name) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(node), pa.array(leader)], ["name", "node", "leader"])
+    def emit(node, leader, name, size) -> pa.RecordBatch:
+        columns = [pa.array(name.view(np.int64)), pa.array(node), pa.array(leader), pa.array(size)]
+        return pa.RecordBatch.from_arrays(columns, ["name", "node", "leader", "size"])
 
     def whole(signature: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
         keep = np.concatenate([[True], (signature[1:] != signature[:-1]) | (node[1:] != node[:-1])])
@@ -223,7 +225,7 @@ def _groups(most: int = 500_000):
         chosen[several[index]] = True
         rows = np.repeat(chosen, sizes)
         if rows.any():
-            yield emit(node[rows], np.repeat(node[first], sizes)[rows], np.repeat(names, sizes)[rows])
+            yield emit(node[rows], np.repeat(node[first], sizes)[rows], np.repeat(names, sizes)[rows], np.repeat(sizes, sizes)[rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, m = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -237,7 +239,7 @@ def _groups(most: int = 500_000):
                 end = int(np.searchsorted(s, open_group[0], side="right"))
                 if end:
                     name = np.full(end, open_group[0], dtype=np.int64).view(np.uint64)
-                    yield emit(m[:end], np.full(end, open_group[1]), name)
+                    yield emit(m[:end], np.full(end, open_group[1]), name, np.full(end, most))
                     s, m = s[end:], m[end:]
                 if not len(s):
                     continue
@@ -248,7 +250,8 @@ def _groups(most: int = 500_000):
                 s, m = s[tail:], m[tail:]
             if len(s) > most:
                 open_group = (int(s[0]), int(m[0]))
-                yield emit(m, np.full(len(m), m[0]), np.full(len(s), s[0], dtype=np.int64).view(np.uint64))
+                name = np.full(len(s), s[0], dtype=np.int64).view(np.uint64)
+                yield emit(m, np.full(len(m), m[0]), name, np.full(len(m), most))
                 s, m = s[:0], m[:0]
         if len(s) and open_group is None:
             yield from whole(s, m)
@@ -336,18 +339,23 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _cells(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, CELLS).astype(np.int16)
+
+
+def _fit(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the difference of two sets may be small enough; a full cell tells nothing beyond 255, on either side."""
+    return np.abs(x - y).sum(axis=1) <= (n + m) * (100 - percent) // (100 + percent)
+
+
 def _possible(percent: int):
     """Pairs that their sizes and cell counts do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, CELLS).astype(np.int16) for c in ("x", "y")
-            )
             n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
-            # A full cell tells nothing beyond 255, so the sum stays a lower bound of the difference.
-            fits = np.abs(a - b).sum(axis=1) <= (n + m) * (100 - percent) // (100 + percent)
-            fits &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+            fits = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+            fits &= _fit(_cells(batch.column("x")), _cells(batch.column("y")), n, m, percent)
             keep = pa.array(np.flatnonzero(fits))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["a", "b"])
 
@@ -362,20 +370,74 @@ def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(_possible(percent), "a long, b long")
 
 
-def cross_pairs(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of members of one group that lie in different components.
-
-    Only members outside a group's largest component are paired, with the members of other components.
-    """
-    member = groups.select("name", "node").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(name, node, label, main) of the groups whose members lie in several components; main is the largest of these."""
+    member = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     parts = member.groupBy("name", "label").agg(F.count(F.lit(1)).alias("size"))
     main = parts.groupBy("name").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("parts"))
-    rows = stored(member.join(main.where("parts > 1").drop("parts"), "name"), "open-groups")
-    outside = rows.where("label != main").select("name", F.col("node").alias("x"), F.col("label").alias("x_label"))
-    met = rows.join(outside, "name").where(
-        (F.col("label") != F.col("x_label")) & ((F.col("label") == F.col("main")) | (F.col("node") < F.col("x")))
-    )
-    return met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+    return stored(member.join(main.where("parts > 1").drop("parts"), "name").select("name", "node", "label", "main"), "open-groups")
+
+
+def stars(rows: DataFrame, turn: int) -> DataFrame:
+    """One pair for every member outside its group's largest component, with some member of that component."""
+    hub = rows.where("label = main").groupBy("name").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("a"))
+    met = rows.where("label != main").join(hub, "name")
+    return met.groupBy(F.col("node").alias("b"), "main").agg(F.min_by("a", F.xxhash64("a", "node")).alias("a")).select("a", "b").distinct()
+
+
+def _cross(percent: int, chunk: int = 200):
+    """Streams rows sorted by (name, block, outsiders of the block first): pairs that may be links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current: tuple | None = None
+        held: list[tuple] = []
+        own: tuple = ()
+        for batch in batches:
+            for start in range(0, batch.num_rows, chunk):
+                part = batch.slice(start, chunk)
+                keys = list(zip(part.column("name").to_pylist(), part.column("block").to_pylist(), strict=True))
+                node, label, main, n, first = (part.column(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "main", "n", "own"))
+                cells = _cells(part.column("cells"))
+                edges = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+                for low, high in zip(edges, edges[1:]):
+                    if keys[low] != current:
+                        current, held, own = keys[low], [], ()
+                    mine = low + int(first[low:high].sum())  # outsiders come first
+                    if mine > low:
+                        held.append((node[low:mine], label[low:mine], n[low:mine], cells[low:mine]))
+                        own = tuple(np.concatenate(c) for c in zip(*held, strict=True))
+                    if mine == high or not own:
+                        continue
+                    y = slice(mine, high)
+                    big, small = np.maximum.outer(own[2], n[y]), np.minimum.outer(own[2], n[y])
+                    fits = (100 * small >= percent * big) & (own[1][:, None] != label[y])
+                    fits &= (label[y] == main[y]) | (node[y] < own[0][:, None])
+                    i, j = np.nonzero(fits)
+                    j += mine
+                    good = _fit(own[3][i], cells[j], own[2][i], n[j], percent)
+                    a, b = own[0][i[good]], node[j[good]]
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return run
+
+
+def cross_pairs(rows: DataFrame, classes: DataFrame, percent: int, block: int = 256) -> DataFrame:
+    """Pairs of members of one group in different components that may be links.
+
+    Only members outside a group's largest component are paired, with the members of other components; they are cut into
+    blocks, and every block meets the whole group in a task of its own.
+    """
+    outside = F.col("label") != F.col("main")
+    blocks = rows.groupBy("name").agg(F.ceil(F.count_if(outside) / block).cast("int").alias("blocks"))
+    seen = rows.join(blocks, "name").join(classes.select("node", "n", "cells"), "node")
+    columns = ["name", "node", "label", "main", "n", "cells"]
+    own = seen.where(outside).select(*columns, F.pmod(F.hash("node"), F.col("blocks")).alias("block"), F.lit(True).alias("own"))
+    one = seen.where("blocks = 1").select(*columns, F.lit(0).alias("block"), F.lit(False).alias("own"))
+    many = seen.where("blocks > 1").select(*columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("own"))
+    dealt = own.unionByName(one).unionByName(many).repartition("name", "block")
+    dealt = dealt.sortWithinPartitions("name", "block", F.desc("own"), "node")
+    return dealt.mapInArrow(_cross(percent), "a long, b long").distinct()
 
 
 def frequent_shingles(texts: DataFrame, rows: int, width: int) -> np.ndarray:
@@ -412,17 +474,37 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75, id_colum
     number = F.col("slice").bitwiseOR(F.shiftleft(F.col("_signature").cast("long"), 24))
     dealt = signatures.repartition("slice").select("slice", "node", F.explode("signatures").alias("_signature"))
     dealt = dealt.select(number.alias("signature"), "node").sortWithinPartitions("signature", "node")
-    groups = stored(dealt.mapInArrow(_groups(), "name long, node long, leader long"), "groups")
+    groups = stored(dealt.mapInArrow(_groups(), "name long, node long, leader long, size long"), "groups")
     # A text of every class: that of its smallest id.
     reps = classes.select("node", F.when(F.col("rep") < NULL_ID, F.col("rep")).alias("rep"))
-    stars = groups.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    first = possible(stars, classes, percent).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = verify(stored(first, "pairs"), texts, reps, width, percent)
+    near = groups.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    near = stored(possible(near, classes, percent), "pairs")
+    links = verify(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, reps, width, percent)
     labels = components(links)
-    more = stored(possible(cross_pairs(groups, labels), classes, percent), "pairs")
-    if not more.isEmpty():
-        links = links.unionByName(verify(more, texts, reps, width, percent))
+
+    def add(pairs: DataFrame) -> bool:
+        """Compare the pairs; whether there are new links."""
+        nonlocal links, labels
+        pairs = stored(pairs, "pairs")
+        found = None if pairs.isEmpty() else verify(pairs, texts, reps, width, percent)
+        if found is None or found.isEmpty():
+            return False
+        links = links.unionByName(found)
         labels = components(links)
+        return True
+
+    # The other smallest members, then some member of the largest component, then all that is left.
+    place = labels.select(F.col("node").alias("a"), F.col("label").alias("at"))
+    place_b = labels.select(F.col("node").alias("b"), F.col("label").alias("bt"))
+    apart = near.join(place, "a", "left").join(place_b, "b", "left")
+    add(apart.where(~F.coalesce("at", "a").eqNullSafe(F.coalesce("bt", "b"))).select("a", "b"))
+    members = stored(groups.where("size > 2").select("name", "node").distinct(), "members")
+    rows_open = open_groups(members, labels)
+    for turn in range(STAR_TURNS):
+        if not add(possible(stars(rows_open, turn), classes, percent)):
+            break
+        rows_open = open_groups(members, labels)
+    add(cross_pairs(rows_open, classes, percent))
     lowest = classes.join(labels, "node").groupBy("label").agg(F.min("rep").alias("lowest"))
     named = labels.join(lowest, "label").select("node", "label", "lowest")
     joined = rows.join(classes.select("node", "rep"), "node", "left").join(named, "node", "left")
