@@ -114,3 +114,17 @@ def test_run_ingest_folds_the_rest(spark, tmp_path):
     root = streams.run_ingest(stream, "shop", compact_every=2)
     assert store.versions(spark, f"{root}/products") == [1, 2]
     assert [r.price for r in store.read_version(spark, f"{root}/products").collect()] == [7.0]
+
+
+def test_folding_does_not_depend_on_the_batches(spark, tmp_path):
+    """Sightings that arrive in any order and are folded at any time give the same table."""
+    batches = [[("1", 20.0, 10), ("2", 1.0, 1)], [("1", 10.0, 1), ("3", 3.0, 5)], [("2", 2.0, 4), ("3", 9.0, 2)], [("1", 15.0, 9)]]
+    tables = set()
+    for every, order in ((1, (0, 1, 2, 3)), (1, (3, 2, 1, 0)), (2, (1, 3, 0, 2)), (4, (2, 0, 3, 1))):
+        root = str(tmp_path / f"{every}-{order[0]}")
+        run = streams.ingest(root, compact_every=every)
+        for number, k in enumerate(order):
+            run(listing(spark, *batches[k]), number)
+        table = store.read_version(spark, f"{root}/products").collect()
+        tables.add(frozenset((r.product_id, r.price) for r in table))
+    assert tables == {frozenset({("1", 20.0), ("2", 2.0), ("3", 3.0)})}
