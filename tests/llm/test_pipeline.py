@@ -24,7 +24,7 @@ def folder(spark, tmp_path_factory):
             for _ in range(4):
                 words[rng.randrange(len(words))] = "idiot" + rng.choice(["", "s", "ic"])
         if kind == "copy" and i > 6:
-            words = docs[i - 3 - i % 6 + 5][1].split() if i % 12 == 1 else docs[i - 4][1].split() + ["tail"]
+            words = docs[i - 4][1].split() + (["tail"] if i % 12 == 1 else [])
         if kind == "leak":
             words[5:5] = items[rng.randrange(10)][1].split()
         docs.append((i, " ".join(words), "en", f"s{i % 3}", 0))
