@@ -4,8 +4,7 @@ The test items are the documents of an inverted index, the corpus is the stream
 ``PART`` words are indexed in parts. Every text is cut into passages of two adjacent chunks of ``PART`` words, each chunk
 in two passages. A passage retrieves every part whose BM25 score reaches the share ``threshold`` of the part's score
 against itself; block-max WAND leaves out what cannot reach it: postings are kept in blocks of parts with the largest
-impact of each term per block, and a passage looks into a block only when the sum of these maxima (and before, of the
-maxima over all blocks) could reach the threshold. What is retrieved is verified on the words themselves: the share of
+impact of each term per block, and a passage looks into a block only when the sum of these maxima could reach the threshold. What is retrieved is verified on the words themselves: the share of
 the question's and of the answer's word n-grams found around the passage, and the longest run of words in common.
 
 The index is built for blocks of items of bounded size, so a test set of any size is worked off in as many passes over the
@@ -29,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PART = 64
-BLOCK = 32
+BLOCK = 64
 K1, B = 1.2, 0.75
 NGRAM = 5
 _KEEP = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -54,6 +53,7 @@ class ItemIndex:
             pieces = -(-len(words) // PART)
             for k in range(pieces):
                 parts.append((place, words[k * len(words) // pieces : (k + 1) * len(words) // pieces]))
+        parts.sort(key=lambda part: len(part[1]))  # parts of like length have like impacts, so the maxima of a block are tight
         self.owner = np.array([p for p, _ in parts], dtype=np.int64)
         df = Counter(w for _, words in parts for w in set(words))
         self.vocabulary = {w: t for t, w in enumerate(df)}
@@ -61,44 +61,53 @@ class ItemIndex:
         idf = {w: math.log(1 + (len(parts) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
         self.blocks = -(-len(parts) // BLOCK)
         self.block_max = np.zeros((len(df) + 1, self.blocks), dtype=np.float32)
-        self.postings: list[dict[int, list[tuple[int, float]]]] = [{} for _ in range(self.blocks)]
-        for part, (_, words) in enumerate(parts):
-            scores = {}
-            for w, tf in Counter(words).items():
-                scores[w] = idf[w] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean))
-            own, block = sum(scores.values()), part // BLOCK
-            for w, score in scores.items():
-                t = self.vocabulary[w]
-                share = score / own  # of the part's score against itself
-                self.postings[block].setdefault(t, []).append((part, share))
-                self.block_max[t, block] = max(self.block_max[t, block], share)
-        self.term_max = self.block_max.max(axis=1) if self.blocks else np.zeros(len(df) + 1, dtype=np.float32)
+        # Postings of a block: its terms in order, and their impacts on its parts.
+        self.postings: list[tuple[np.ndarray, np.ndarray]] = []
+        for block in range(self.blocks):
+            rows: dict[int, np.ndarray] = {}
+            for column, (_, words) in enumerate(parts[block * BLOCK : (block + 1) * BLOCK]):
+                scores = {}
+                for w, tf in Counter(words).items():
+                    scores[w] = idf[w] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean))
+                own = sum(scores.values())  # the part's score against itself
+                for w, score in scores.items():
+                    rows.setdefault(self.vocabulary[w], np.zeros(BLOCK))[column] = score / own
+            terms = np.array(sorted(rows), dtype=np.int64)
+            impacts = np.array([rows[t] for t in terms.tolist()])
+            self.postings.append((terms, np.vstack([impacts, np.zeros(BLOCK)])))
+            self.block_max[terms, block] = impacts.max(axis=1)
 
     def retrieve(self, words: list[bytes], threshold: float) -> dict[int, tuple[float, int]]:
         """Best score and passage (first word) of every item that some passage of the text retrieves."""
         get = self.vocabulary.get
         terms = np.array([get(w, -1) for w in words], dtype=np.int64)
-        chunks = np.arange(len(words)) // PART
-        inside = terms >= 0
-        pairs = np.unique(chunks[inside] * (len(self.vocabulary) + 1) + terms[inside])
+        at = np.flatnonzero(terms >= 0)
+        if not len(at):
+            return {}
+        pairs = np.unique((at // PART) * (len(self.vocabulary) + 1) + terms[at])
         chunk, term = np.divmod(pairs, len(self.vocabulary) + 1)
         n = -(-len(words) // PART)
-        bound = np.bincount(chunk, self.term_max[term], n)
-        passage_bound = bound + np.append(bound[1:], 0.0)
-        slack = 1e-5  # the maxima are stored in single precision
+        first = np.searchsorted(chunk, np.arange(n + 2))
+        # Bounds of a passage are those of its two chunks together.
+        sums = np.zeros((len(term) + 1, self.blocks), dtype=np.float32)
+        np.cumsum(self.block_max[term], axis=0, out=sums[1:])
+        ends = first[np.minimum(np.arange(n) + 2, n)]
+        slack = 1e-4  # the maxima are summed in single precision
         found: dict[int, tuple[float, int]] = {}
-        for p in np.flatnonzero(passage_bound >= threshold - slack):
-            a, b = np.searchsorted(chunk, [p, p + 2])
-            here = np.unique(term[a:b])
-            for block in np.flatnonzero(self.block_max[here].sum(axis=0) >= threshold - slack):
-                postings, scores = self.postings[block], {}
-                for t in here.tolist():
-                    for part, share in postings.get(t, ()):
-                        scores[part] = scores.get(part, 0.0) + share
-                for part, score in scores.items():
-                    item = int(self.owner[part])
-                    if score >= threshold - 1e-9 and score > found.get(item, (0.0, 0))[0]:
-                        found[item] = (score, int(p) * PART)
+        may = sums[ends] - sums[first[:n]] >= threshold - slack
+        for block in np.flatnonzero(may.any(axis=0)).tolist():
+            own, impacts = self.postings[block]
+            rows = np.searchsorted(own, term)
+            rows[own[np.minimum(rows, len(own) - 1)] != term] = len(own)  # the row of zeros
+            sums_of_parts = np.zeros((len(term) + 1, impacts.shape[1]))
+            np.cumsum(impacts[rows], axis=0, out=sums_of_parts[1:])
+            reached = (sums_of_parts[ends] - sums_of_parts[first[:n]] >= threshold - slack) & may[:, block, None]
+            for p, column in zip(*(x.tolist() for x in np.nonzero(reached)), strict=True):
+                # A term in both chunks counts once.
+                here = np.unique(rows[first[p] : ends[p]])
+                score, item = float(impacts[here, column].sum()), int(self.owner[block * BLOCK + column])
+                if score >= threshold - 1e-9 and score > found.get(item, (0.0, 0))[0]:
+                    found[item] = (score, p * PART)
         return found
 
     def verify(self, item: int, words: list[bytes], start: int) -> tuple[float, float, int]:
@@ -173,7 +182,7 @@ def _search(items, name: str, threshold: float, overlap: float, run_words: int,
 def find_leaks(
     docs: DataFrame,
     items: DataFrame,
-    threshold: float = 0.3,
+    threshold: float = 0.5,
     overlap: float = 0.5,
     run_words: int = 13,
     id_column: str = "doc_id",

@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from shelfspark.llm.decontamination import PART, ItemIndex, benchmark_items, find_leaks, longest_run, words_of
+from shelfspark.llm.decontamination import BLOCK, PART, ItemIndex, benchmark_items, find_leaks, longest_run, words_of
 
 from odd_rows import ODD_ROWS
 
@@ -23,14 +24,11 @@ def test_pruning_loses_nothing():
         expected = {}
         for start in range(0, len(words), PART):
             terms = {index.vocabulary[w] for w in words[start : start + 2 * PART] if w in index.vocabulary}
-            for block in index.postings:
-                scores = {}
-                for t in terms:
-                    for part, share in block.get(t, ()):
-                        scores[part] = scores.get(part, 0.0) + share
-                for part, score in scores.items():
-                    item = int(index.owner[part])
+            for block, (own, impacts) in enumerate(index.postings):
+                scores = sum((row for t, row in zip(own.tolist(), impacts) if t in terms), np.zeros(BLOCK))
+                for column, score in enumerate(scores):
                     if score >= 0.3:
+                        item = int(index.owner[block * BLOCK + column])
                         expected[item] = max(expected.get(item, 0.0), score)
         got = {item: score for item, (score, _) in index.retrieve(words, 0.3).items()}
         assert got.keys() == expected.keys() and all(abs(got[i] - expected[i]) < 1e-9 for i in got)
