@@ -70,3 +70,39 @@ def test_odd_rows(spark, make):
     assert find_leaks(make(ODD_ROWS), benchmark_items(benchmark.limit(0))).count() == 0
     assert find_leaks(make(ODD_ROWS).limit(0), benchmark_items(benchmark)).count() == 0
     assert found.where(F.col("answer_overlap").isNull()).count() == 3
+
+
+def test_partial_leaks_of_everyday_words(spark, make):
+    """A run of thirteen words is found even if it carries a small share of its item's score, and if two parts share it."""
+    rng = random.Random(8)
+    other = [(i, " ".join(w)) for i, w in enumerate(texts(6, 40, 30, 90))]
+    common = "the of and to the and of to of the to and the".split()
+    short = [f"rare{i}" for i in range(24)] + common + [f"rare{i}" for i in range(24, 48)]
+    long = [f"long{i}" for i in range(200)]
+    items = [*other, (100, " ".join(short)), (101, " ".join(long))]
+    filler = [[f"z{rng.randrange(5000)}" for _ in range(300)] for _ in range(4)]
+    rows = [(1, " ".join(filler[0] + common + filler[1]), "s")]
+    rows += [(2 + k, " ".join(filler[2] + long[at : at + 13] + filler[3]), "s") for k, at in enumerate(range(0, 187, 11))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in find_leaks(make(rows), benchmark_items(benchmark)).collect()}
+    assert found == {(1, 100)} | {(r[0], 101) for r in rows[1:]}
+
+
+def test_nothing_verified_is_missed():
+    """Candidates, thresholds and bounds lose no pair whose run of words or overlaps stand in one passage."""
+    rng = random.Random(12)
+    items = [(i, " ".join(w[:-k]), " ".join(w[len(w) - k :])) for i, w in enumerate(texts(13, 80, 6, 150)) for k in [rng.randrange(1, 5)]]
+    index = ItemIndex(items)
+    for i, (_, q, a) in enumerate(items):
+        own = words_of(q) + words_of(a)
+        at = rng.randrange(len(own))
+        piece = own[at : at + rng.choice([13, 20, 40])] if i % 2 else own[: len(own) // 2 + 5] + own[-6:]
+        words = [b"z"] * rng.randrange(200) + piece[:60] + [b"z"] * 100
+        got = {m[0] for m in index.leaks(words, 0.3)}
+        expected = set()
+        for item in range(len(items)):
+            for start in range(0, len(words), PART):
+                q_share, a_share, longest = index.verify(item, words, start)
+                if (q_share >= 0.5 and a_share >= 0.5) or longest >= 13:
+                    expected.add(item)
+        assert got == expected
