@@ -7,8 +7,10 @@ part whose BM25 score reaches a share of the part's score against itself: ``thre
 accepts less, that is the smallest share of a run of ``run_words`` words of the part or of the words that its overlaps
 ask for. Block-max WAND leaves out what cannot reach it: postings are kept in blocks of parts with the largest impact of
 each term per block, and a passage looks into a block only when the sum of these maxima could reach the threshold.
-The best passage of an item is verified on the words themselves: the share of the question's and of the
-answer's word n-grams found around the passage, and the longest run of words in common. 
+Everything retrieved is verified on the words themselves, passage after passage: the share of the question's and of the
+answer's word n-grams found around the passage, and the longest run of words in common. The verified passage with the
+highest score is given.
+
 Before, a text is looked up in the n-grams and runs of the items: an item is passed over only if the whole text holds
 less of them than the verification of any of its passages asks for. This loses nothing and spares most texts the scores.
 
@@ -215,7 +217,7 @@ class ItemIndex:
         for item, score, start in self.passages(terms, np.minimum(threshold, self.least), items) if items else ():
             found.setdefault(item, []).append((-score, start))
         for item, places in found.items():
-            for score, start in sorted(places)[:1]:
+            for score, start in sorted(places):
                 q, a, longest = self.verify(item, words, start)
                 if (q >= self.overlap and a >= self.overlap) or longest >= self.run_words:
                     yield item, -score, q, a, longest, start

@@ -106,3 +106,16 @@ def test_nothing_verified_is_missed():
                 if (q_share >= 0.5 and a_share >= 0.5) or longest >= 13:
                     expected.add(item)
         assert got == expected
+
+
+def test_copy_behind_scattered_words(spark, make):
+    """A passage that holds an item's words out of order does not hide the copy elsewhere in the text."""
+    rng = random.Random(9)
+    item = [f"q{i}" for i in range(30)]
+    shuffled = sorted(item, key=lambda w: rng.random())
+    filler = [f"z{i}" for i in range(400)]
+    rows = [(1, " ".join(shuffled + filler + item), "s"), (2, " ".join(shuffled + filler + item[:20]), "s"), (3, " ".join(shuffled + filler), "s")]
+    benchmark = spark.createDataFrame([(7, " ".join(item)), (8, "nothing of this stands in any text")], "item_id long, text string")
+    found = find_leaks(make(rows), benchmark_items(benchmark)).collect()
+    assert sorted((r.doc_id, r.item_id, r.longest_run) for r in found) == [(1, 7, 30), (2, 7, 20)]
+    assert all(r.start_word > 300 for r in found)
