@@ -185,10 +185,9 @@ class ItemIndex:
             wanted.setdefault(part // BLOCK, []).append(part % BLOCK)
         for block, columns in wanted.items():
             asked = least[[block * BLOCK + c for c in columns]]
-            # Bounds of a passage are those of its two chunks together.
-            sums = np.zeros(len(term) + 1, dtype=np.float32)
-            np.cumsum(self.block_max[term, block], out=sums[1:])
-            may = np.flatnonzero(sums[ends] - sums[first[:n]] >= asked.min() - slack)
+            # Bounds of a passage are those of its two chunks together, each summed by itself in double precision.
+            bound = np.bincount(chunk, self.block_max[term, block], n)
+            may = np.flatnonzero(bound + np.append(bound[1:], 0.0) >= asked.min() - slack)
             if not len(may):
                 continue
             own, impacts = self.postings[block]

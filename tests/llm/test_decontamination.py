@@ -119,3 +119,13 @@ def test_copy_behind_scattered_words(spark, make):
     found = find_leaks(make(rows), benchmark_items(benchmark)).collect()
     assert sorted((r.doc_id, r.item_id, r.longest_run) for r in found) == [(1, 7, 30), (2, 7, 20)]
     assert all(r.start_word > 300 for r in found)
+
+
+def test_bounds_in_long_texts():
+    """The error of the bounds does not grow with the text: a score at the threshold is found behind 320,000 words."""
+    item = [f"q{i}".encode() for i in range(60)]
+    index = ItemIndex([(1, " ".join(w.decode() for w in item), "")])
+    for k in range(8):
+        words = (item[:54] + [b"z"] * (PART - 54)) * 5000 + [b"z"] * 2 * PART + item[: 55 + k % 4] + [b"z"] * k
+        score = float(sum(index.postings[0][1][index.vocabulary[w], 0] for w in item[: 55 + k % 4]))
+        assert 0 in index.retrieve(words, score)
