@@ -11,8 +11,10 @@ the largest differences, over its most toxic stretch of words, and the excess of
 evidence, per word and per square root of words; a logistic function of these and of the length, fitted on labelled rows
 that the counts did not use, gives a value between 0 and 1.
 
-Bounds (parameters): class counts and the fit use at most ``max_labelled`` labelled rows, those with the smallest hash;
-the counts have at most ``buckets`` entries of five characters, others share by hash. Shared counts cover all rows.
+Bounds (parameters): class counts and the fit use at most ``max_labelled`` labelled rows, those with the smallest hash.
+Shared counts cover all rows, and every distinct gram of five characters has its own. The counts are a table that grows
+with the corpus. Up to ``most_grams`` grams they are broadcast; beyond, the grams' values are computed in Spark and joined
+with the distinct grams of each chunk of texts, and every chunk is scored beside its own grams only.
 
 Cases. Null and empty texts score as texts without evidence. Rows that repeat are scored alike. Null labels, and labels
 of unknown documents, are ignored; with labels of one class only every text gets the share of that class. Empty tables
@@ -27,30 +29,48 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.llm.common import mix64, stored
 
 ORDER = 5
+PIECE = 64
 DISCOUNT = 0.75
 _EDGES = b"\"'.,;:!?()[]{}<>|-*#$%&+_=/\\~`"
 FEATURES = ("mean_llr", "top_llr", "third_llr", "window_llr", "excess_llr", "evidence_llr", "log_words")
 #: A word's difference counts as evidence above this value: about twelve to one.
 EVIDENCE = 2.5
+#: Bound of a word's difference.
+LIMIT = 12.0
 MODELS, CALIBRATION = 2, 1  # shares of the labelled rows
 
 
-def form(word: bytes) -> str:
-    """A word as the models see it: lower case, without punctuation around it, its end marked."""
-    return word.strip(_EDGES).decode("utf-8", "replace").lower()[:64]
+def pieces(word: bytes) -> list[str]:
+    """A word as the models see it: lower case, without punctuation around it, four blanks before, its end marked."""
+    text = word.strip(_EDGES).decode("utf-8", "replace").lower()[:PIECE]
+    padded = "    " + text + "\n"
+    if len(text) <= PIECE:
+        return [padded]
+    cut = [padded[i : i + PIECE + ORDER - 1] for i in range(0, len(text) - PIECE, PIECE)]
+    return [*cut, padded[len(cut) * PIECE :]]
 
 
-def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of padded words (four blanks before, one end mark) in one array, and the words' lengths."""
-    text = "".join("    " + w + "\n" for w in words)
-    points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    return points, np.array([len(w) + 5 for w in words])
+def slices(padded: list[str], characters: int = 650_000) -> Iterator[list[str]]:
+    """Consecutive pieces with about so many characters together."""
+    ends = np.cumsum([len(p) for p in padded])
+    start = 0
+    while start < len(padded):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + characters, "right")))
+        yield padded[start:end]
+        start = end
+
+
+def codes(padded: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of pieces in one array, and the pieces' lengths."""
+    points = np.frombuffer("".join(padded).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    return points, np.array([len(p) for p in padded])
 
 
 def _tails(characters: list[np.ndarray]) -> list[np.ndarray]:
@@ -67,61 +87,104 @@ def _hashes(characters: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.nda
     return _tails(characters), [np.zeros(len(characters[0]), dtype=np.uint64), *_tails(characters[1:])]
 
 
-def grams(words: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-    """For every character of every word (end mark included): it and the four before, backwards; and its word."""
-    points, lengths = codes(words)
+def grams(padded: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """For every character of every piece (end mark included): it and the four before, backwards; and its piece."""
+    points, lengths = codes(padded)
     inside = np.ones(len(points), dtype=bool)
     for k in range(ORDER - 1):
         inside[np.cumsum(lengths) - lengths + k] = False
     at = np.flatnonzero(inside)
-    return [points[at - k] for k in range(ORDER)], np.repeat(np.arange(len(words)), lengths - (ORDER - 1))
+    return [points[at - k] for k in range(ORDER)], np.repeat(np.arange(len(padded)), lengths - (ORDER - 1))
+
+
+def spelled(characters: list[np.ndarray], places: np.ndarray) -> list[str]:
+    """The grams at these places."""
+    rows = np.stack([c[places] for c in reversed(characters)], axis=1).astype("<u4")
+    whole = rows.tobytes().decode("utf-32-le", "replace")
+    return [whole[i : i + ORDER] for i in range(0, len(whole), ORDER)]
 
 
-def _gather(buckets: int, flush: int = 200_000):
+def _gather(flush: int = 200_000, flush_bytes: int = 1 << 28):
     """Counts of five-character grams in a task: in all rows, in toxic and in ordinary labelled rows."""
 
     def emit(counters: list[Counter]) -> Iterator[pa.RecordBatch]:
-        words = list(counters[0])
-        weights = np.array([[c[w] for w in words] for c in counters], dtype=np.float64)
-        for start in range(0, len(words), 50_000):
-            part = words[start : start + 50_000]
+        for part in slices(list(counters[0])):
             characters, owner = grams(part)
-            hashes = _tails(characters)
-            bucket = (hashes[ORDER - 1] % np.uint64(buckets)).astype(np.int64)
-            slots, first, inverse = np.unique(bucket, return_index=True, return_inverse=True)
-            sums = [np.bincount(inverse, w[start : start + 50_000][owner], len(slots)).astype(np.int64) for w in weights]
-            spelled = np.stack([c[first] for c in reversed(characters)], axis=1).astype("<u4")
-            spellings = [row.tobytes().decode("utf-32-le", "replace") for row in spelled]
+            keys, first, inverse = np.unique(_tails(characters)[ORDER - 1], return_index=True, return_inverse=True)
+            weights = [np.array([c[w] for w in part], dtype=np.float64) for c in counters]
+            sums = [np.bincount(inverse, w[owner], len(keys)).astype(np.int64) for w in weights]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(slots), pa.array(spellings), *[pa.array(s) for s in sums]], ["bucket", "gram", "n_all", "n_toxic", "n_plain"]
+                [pa.array(spelled(characters, first)), *[pa.array(s) for s in sums]], ["gram", "n_all", "n_toxic", "n_plain"]
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = [Counter(), Counter(), Counter()]
+        raw, held = [Counter(), Counter(), Counter()], 0
 
         def flushed() -> Iterator[pa.RecordBatch]:
             formed = [Counter(), Counter(), Counter()]
             for source, target in zip(raw, formed, strict=True):
                 for word, n in source.items():
-                    if key := form(word):
-                        target[key] += n
+                    for piece in pieces(word):
+                        if len(piece) > ORDER:
+                            target[piece] += n
             if formed[0]:
                 yield from emit(formed)
 
         for batch in batches:
             for text, kind in zip(batch.column("text"), batch.column("kind").to_pylist(), strict=True):
-                words = (text.as_py() or b"").split()
+                text = text.as_py() or b""
+                words = text.split()
+                held += len(text)
                 raw[0].update(words)
                 if kind is not None:
                     raw[1 if kind else 2].update(words)
-                if len(raw[0]) >= flush:
+                if len(raw[0]) >= flush or held >= flush_bytes:
                     yield from flushed()
-                    raw = [Counter(), Counter(), Counter()]
+                    raw, held = [Counter(), Counter(), Counter()], 0
         yield from flushed()
 
     return run
 
 
+def gram_values(counts: DataFrame) -> DataFrame:
+    """``value``: the log-likelihood difference of every gram of the counts, as ``Backoff`` gives it, as a table."""
+    # The one gram that is scored but not counted: that of words of punctuation only.
+    empty = counts.sparkSession.createDataFrame([("    \n", 0, 0, 0)], counts.schema)
+    counts = counts.unionByName(empty)
+    longest = counts.groupBy(F.substring("gram", 2, ORDER - 1).alias("s")).agg(F.count_if(F.col("n_all") > 0).alias("kinds"))
+    orders = {ORDER - 1: stored(longest, "char-kinds")}
+    for n in range(ORDER - 2, 0, -1):
+        orders[n] = orders[n + 1].groupBy(F.substring("s", 2, n).alias("s")).agg(F.count_if(F.col("kinds") > 0).alias("kinds"))
+    # One row.
+    total, types = orders[1].agg(F.sum("kinds").cast("double"), F.count_if(F.col("kinds") > 0).cast("double")).first()
+    own = F.greatest(F.col("kinds") - DISCOUNT, F.lit(0.0))
+    shared = orders[1].select("s", (own / total + DISCOUNT * types / total / (types + 1)).alias("prob"))
+    for n in range(2, ORDER):
+        # As many rows as there are characters in a context.
+        context = Window.partitionBy(F.substring("s", 1, n - 1))
+        rows = orders[n].select(
+            "s", "kinds", F.sum("kinds").over(context).alias("total"), F.count_if(F.col("kinds") > 0).over(context).alias("types"),
+            F.substring("s", 2, n - 1).alias("shorter"),
+        )
+        below = shared.select(F.col("s").alias("shorter"), F.col("prob").alias("below"))
+        prob = own / F.col("total") + DISCOUNT * F.col("types") / F.col("total") * F.col("below")
+        shared = rows.join(below, "shorter").select("s", F.when(F.col("total") > 0, prob).otherwise(F.col("below")).alias("prob"))
+    context = Window.partitionBy(F.substring("gram", 1, ORDER - 1))
+    rows = counts.select("gram", "n_toxic", "n_plain", F.substring("gram", 2, ORDER - 1).alias("s"), *[
+        f(c).over(context).alias(f"{name}_{c}")
+        for c in ("n_toxic", "n_plain")
+        for name, f in (("sum", F.sum), ("types", lambda c: F.count_if(F.col(c) > 0)))
+    ])
+
+    def log(c: str) -> Column:
+        n, prob = F.col(f"sum_{c}").cast("double"), F.col("prob")
+        mixed = (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"types_{c}") * prob) / F.greatest(n, F.lit(1.0))
+        trust = n / (n + 5.0)
+        return F.log(trust * F.when(n > 0, mixed).otherwise(prob) + (1 - trust) * prob)
+
+    return rows.join(shared, "s").select("gram", (log("n_toxic") - log("n_plain")).alias("value"))
+
+
 class Backoff:
     """Log-likelihood differences of words from the gathered counts."""
 
@@ -169,9 +232,13 @@ class Backoff:
 
     def differences(self, words: list[str]) -> np.ndarray:
         """ln P(word | toxic) - ln P(word | ordinary), a bounded value for each word."""
-        if not words:
+        return self.of_pieces(["    " + w + "\n" for w in words])
+
+    def of_pieces(self, padded: list[str]) -> np.ndarray:
+        """The same for pieces."""
+        if not padded:
             return np.zeros(0)
-        characters, owner = grams(words)
+        characters, owner = grams(padded)
         hashes, contexts = _hashes(characters)
         prob = np.full(len(owner), self.floor)
         for n in range(1, ORDER):
@@ -194,7 +261,26 @@ class Backoff:
             # A context the class has met a few times only says little: it is weighed with the shared model.
             trust = n / (n + 5.0)
             logs.append(np.log(trust * np.where(n > 0, mixed, prob) + (1 - trust) * prob))
-        return np.clip(np.bincount(owner, logs[0] - logs[1], len(words)), -12.0, 12.0)
+        return np.clip(np.bincount(owner, logs[0] - logs[1], len(padded)), -LIMIT, LIMIT)
+
+
+class GramValues:
+    """Log-likelihood differences of words from a table that has the value of each of their grams."""
+
+    def __init__(self, spellings: list[str], values: np.ndarray):
+        points = np.frombuffer("".join(spellings).encode("utf-32-le"), dtype=np.uint32).reshape(-1, ORDER).astype(np.uint64)
+        keys = _tails([points[:, ORDER - 1 - k] for k in range(ORDER)])[ORDER - 1]
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+
+    def of_pieces(self, padded: list[str]) -> np.ndarray:
+        if not padded or not len(self.keys):
+            return np.zeros(len(padded))
+        characters, owner = grams(padded)
+        hashes = _tails(characters)[ORDER - 1]
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        values = np.where(self.keys[at] == hashes, self.values[at], 0.0)
+        return np.clip(np.bincount(owner, values, len(padded)), -LIMIT, LIMIT)
 
 
 def features(values: np.ndarray, lengths: np.ndarray, window: int = 8) -> tuple[float, ...]:
@@ -219,31 +305,125 @@ def features(values: np.ndarray, lengths: np.ndarray, window: int = 8) -> tuple[
 _MODEL: dict = {}
 
 
-def _score(model, name: str, known_words: int = 400_000):
+class Scorer:
+    """Features of texts; the values of words are kept for the next texts."""
+
+    def __init__(self, model: Backoff | GramValues, known_pieces: int = 400_000):
+        self.model, self.known_pieces = model, known_pieces
+        self.known: dict[bytes, list[tuple[float, int]]] = {}
+        self.held = 0
+
+    def columns(self, column: pa.Array) -> list[pa.Array]:
+        texts = [(t.as_py() or b"").split() for t in column]
+        if self.held > self.known_pieces:
+            self.known, self.held = {}, 0
+        known = self.known
+        new = [w for w in set().union(*texts) if w not in known]
+        cut = [pieces(w) for w in new]
+        flat = [p for c in cut for p in c]
+        values = np.concatenate([np.zeros(0), *[self.model.of_pieces(part) for part in slices(flat)]]).tolist()
+        self.held += len(flat)
+        pairs = iter(zip(values, [len(p) - (ORDER - 1) for p in flat], strict=True))
+        known.update((w, [next(pairs) for _ in c]) for w, c in zip(new, cut, strict=True))
+        rows = []
+        for words in texts:
+            scored = np.array([pair for w in words for pair in known[w]], dtype=np.float64).reshape(-1, 2)
+            rows.append(features(scored[:, 0], scored[:, 1]))
+        return [pa.array(c, pa.float64()) for c in zip(*rows, strict=True)]
+
+
+def _score(model, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if _MODEL.get("name") != name:
-            _MODEL.update(name=name, backoff=Backoff(*model.value), known={})
-        backoff = _MODEL["backoff"]
+            _MODEL.update(name=name, scorer=Scorer(Backoff(*model.value)))
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                texts = [(t.as_py() or b"").split() for t in part.column("text")]
-                if len(_MODEL["known"]) > known_words:
-                    _MODEL["known"] = {}
-                known = _MODEL["known"]
-                new = [w for w in set().union(*texts) if w not in known]
-                spelled = [form(w) for w in new]
-                known.update(zip(new, zip(backoff.differences(spelled).tolist(), [len(s) + 1 for s in spelled], strict=True), strict=True))
-                rows = []
-                for words in texts:
-                    pairs = np.array([known[w] for w in words], dtype=np.float64).reshape(-1, 2)
-                    rows.append(features(pairs[:, 0], pairs[:, 1]))
-                columns = [pa.array(c, pa.float64()) for c in zip(*rows, strict=True)]
+                columns = _MODEL["scorer"].columns(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("mark"), *columns], ["id", "mark", *FEATURES])
 
     return run
 
 
+def _cut(flush: int, flush_bytes: int = 1 << 25):
+    """Texts in numbered chunks, each followed by rows with the distinct grams of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, words, held = TaskContext.get().partitionId() << 32, set(), 0
+        names = ["chunk", "id", "mark", "text", "gram"]
+
+        def gram_rows(kinds: list) -> Iterator[pa.RecordBatch]:
+            seen = np.empty(0, dtype=np.uint64)
+            for part in slices([p for w in words for p in pieces(w)]):
+                characters, _ = grams(part)
+                keys, first = np.unique(_tails(characters)[ORDER - 1], return_index=True)
+                new = ~np.isin(keys, seen)
+                seen = np.union1d(seen, keys)
+                spellings = spelled(characters, first[new])
+                nulls = [pa.nulls(len(spellings), kind) for kind in kinds]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(spellings), pa.int64()), *nulls, pa.array(spellings, pa.string())], names)
+
+        kinds: list = []
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in names[1:4]]
+            texts, start = batch.column("text"), 0
+            for place in range(batch.num_rows):
+                text = texts[place].as_py() or b""
+                words.update(text.split())
+                held += len(text)
+                full = len(words) >= flush or held >= flush_bytes
+                if full or place == batch.num_rows - 1:
+                    part = batch.slice(start, place + 1 - start)
+                    start = place + 1
+                    numbers, none = pa.array([chunk] * part.num_rows, pa.int64()), pa.nulls(part.num_rows, pa.string())
+                    yield pa.RecordBatch.from_arrays([numbers, *[part.column(c) for c in names[1:4]], none], names)
+                if full:
+                    yield from gram_rows(kinds)
+                    chunk, words, held = chunk + 1, set(), 0
+        if words:
+            yield from gram_rows(kinds)
+
+    return run
+
+
+def _score_chunks():
+    """Scores texts in the order of chunks, each chunk's grams with their values before its texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, spellings, values, scorer = None, [], [], None
+        for batch in batches:
+            chunks, is_text = batch.column("chunk").to_numpy(), batch.column("gram").is_null().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(chunks) != 0) | (np.diff(is_text.astype(np.int8)) != 0)) + 1
+            for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if start == end:
+                    continue
+                if chunks[start] != current:
+                    current, spellings, values, scorer = chunks[start], [], [], None
+                if not is_text[start]:
+                    spellings.extend(batch.column("gram").slice(start, end - start).to_pylist())
+                    values.append(batch.column("value").slice(start, end - start).to_numpy())
+                    continue
+                if scorer is None:
+                    scorer = Scorer(GramValues(spellings, np.concatenate([np.zeros(0), *values])))
+                    spellings, values = [], []
+                for first in range(start, end, 500):
+                    part = batch.slice(first, min(500, end - first))
+                    columns = scorer.columns(part.column("text"))
+                    yield pa.RecordBatch.from_arrays([part.column("id"), part.column("mark"), *columns], ["id", "mark", *FEATURES])
+
+    return run
+
+
+def score_by_chunks(rows: DataFrame, counts: DataFrame, schema: str, chunk_words: int = 200_000) -> DataFrame:
+    """Features of every row from counts of any size: texts are shuffled once, beside the values of their grams."""
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("id", "mark", "text"))
+    cut = stored(rows.mapInArrow(_cut(chunk_words), f"chunk long, {kinds}, gram string"), "toxicity-chunks")
+    valued = cut.where("gram is not null").join(stored(gram_values(counts), "char-values"), "gram")
+    texts = cut.where("gram is null").withColumn("value", F.lit(None).cast("double"))
+    both = texts.unionByName(valued).repartition("chunk").sortWithinPartitions("chunk", F.col("gram").isNull())
+    return both.mapInArrow(_score_chunks(), schema)
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
     """Weights (the last is the constant) of a ridge-penalised logistic regression, by Newton's method."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -265,7 +445,7 @@ def score_toxicity(
     id_column: str = "doc_id",
     label_column: str = "toxic",
     max_labelled: int = 50_000,
-    buckets: int = 1 << 20,
+    most_grams: int = 1 << 20,
 ) -> DataFrame:
     """id, ``score`` and a hash of the text (``mark``) of every row of ``docs``.
 
@@ -280,16 +460,16 @@ def score_toxicity(
     sample = stored(sample.withColumn("fit", F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(MODELS + CALIBRATION)) >= MODELS), "labelled")
     # At most max_labelled rows of an id and two flags.
     counted = rows.join(F.broadcast(sample.where("not fit").drop("fit")), "id", "left").select("text", "kind")
-    counts = counted.mapInArrow(_gather(buckets), "bucket long, gram string, n_all long, n_toxic long, n_plain long")
-    counts = counts.groupBy("bucket").agg(F.min("gram").alias("gram"), *[F.sum(c).alias(c) for c in ("n_all", "n_toxic", "n_plain")])
-    # At most ``buckets`` rows.
-    model = stored(counts, "char-counts").orderBy("bucket").toArrow()
-    name = uuid.uuid4().hex
-    spellings = model.column("gram").to_pylist()
-    arrays = [model.column(c).to_numpy() for c in ("n_all", "n_toxic", "n_plain")]
-    shared = spark.sparkContext.broadcast((spellings, *arrays))
-    id_type = docs.schema[id_column].dataType.simpleString()
-    scored = rows.mapInArrow(_score(shared, name), f"id {id_type}, mark long, " + ", ".join(f"{f} double" for f in FEATURES))
+    counts = counted.mapInArrow(_gather(), "gram string, n_all long, n_toxic long, n_plain long")
+    counts = stored(counts.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n_all", "n_toxic", "n_plain")]), "char-counts")
+    schema = f"id {docs.schema[id_column].dataType.simpleString()}, mark long, " + ", ".join(f"{f} double" for f in FEATURES)
+    if counts.count() <= most_grams:
+        model = counts.orderBy("gram").toArrow()  # at most ``most_grams`` rows
+        arrays = [model.column(c).to_numpy() for c in ("n_all", "n_toxic", "n_plain")]
+        shared = spark.sparkContext.broadcast((model.column("gram").to_pylist(), *arrays))
+        scored = rows.mapInArrow(_score(shared, uuid.uuid4().hex), schema)
+    else:
+        scored = score_by_chunks(rows, counts, schema)
     scored = stored(scored, "toxicity")
     fit = scored.join(F.broadcast(sample.where("fit")), "id").select(*FEATURES, F.col("kind").cast("int").alias("kind")).toArrow()
     y = fit.column("kind").to_numpy().astype(float)

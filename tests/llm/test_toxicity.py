@@ -1,9 +1,10 @@
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from shelfspark.llm.toxicity import ORDER, Backoff, features, fit_logistic, score_toxicity
+from shelfspark.llm.toxicity import FEATURES, ORDER, Backoff, _gather, features, fit_logistic, score_toxicity
 
 from odd_rows import ODD_ROWS
 
@@ -66,3 +67,25 @@ def test_odd_rows(spark, make):
     assert len(out) == len(ODD_ROWS) and out["score"].between(0, 1).all()
     assert score_toxicity(make(ODD_ROWS), labels.limit(0)).where("score >= 0.3").count() == 0
     assert score_toxicity(make(ODD_ROWS).limit(0), labels).count() == 0
+
+
+def test_every_gram_has_its_own_counts(spark, make):
+    """Counts beyond what is broadcast are joined as a table; the features are the same as with the whole table at hand."""
+    rows, labels = corpus(300)
+    rows += [(1000, None, "s"), (1001, "", "s"), (1002, "x" * 300 + " " + "-" * 5 + " ok", "s"), (1002, "twice", "s"), (None, "no id", "s")]
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    names = ["doc_id", "mark", "score", *FEATURES]
+    small = sorted(map(tuple, score_toxicity(make(rows), table).select(names).collect()), key=str)
+    large = sorted(map(tuple, score_toxicity(make(rows), table, most_grams=10).select(names).collect()), key=str)
+    assert [r[:2] for r in small] == [r[:2] for r in large] and len(small) == len(rows)
+    assert np.allclose([r[2:] for r in small], [r[2:] for r in large])
+
+
+def test_counts_are_whole(spark):
+    """No gram vanishes however many there are: the counts are those of plain Python."""
+    rng = random.Random(4)
+    words = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(rng.randrange(1, 60))) for _ in range(300)]
+    expected = Counter(("    " + w + "\n")[i : i + ORDER] for w in words for i in range(len(w) + 1))
+    texts = spark.createDataFrame([(" ".join(words[k::3]).encode(), None) for k in range(3)], "text binary, kind boolean")
+    got = texts.mapInArrow(_gather(), "gram string, n_all long, n_toxic long, n_plain long").groupBy("gram").sum("n_all")
+    assert {r[0]: r[1] for r in got.collect()} == expected
