@@ -16,6 +16,9 @@ Shared counts cover all rows, and every distinct gram of five characters has its
 with the corpus. Up to ``most_grams`` grams they are broadcast; beyond, the grams' values are computed in Spark and joined
 with the distinct grams of each chunk of texts, and every chunk is scored beside its own grams only.
 
+Words longer than ``PIECE`` characters, as in texts without blanks, are cut into consecutive pieces that are counted and
+scored like words; a piece carries the four characters before it, and only the last has an end mark.
+
 Cases. Null and empty texts score as texts without evidence. Rows that repeat are scored alike. Null labels, and labels
 of unknown documents, are ignored; with labels of one class only every text gets the share of that class. Empty tables
 give empty results. Extra columns are ignored.
@@ -48,8 +51,11 @@ MODELS, CALIBRATION = 2, 1  # shares of the labelled rows
 
 
 def pieces(word: bytes) -> list[str]:
-    """A word as the models see it: lower case, without punctuation around it, four blanks before, its end marked."""
-    text = word.strip(_EDGES).decode("utf-8", "replace").lower()[:PIECE]
+    """A word as the models see it: lower case, without punctuation around it, four blanks before, its end marked.
+
+    Long words are several pieces, each behind the four characters before it.
+    """
+    text = word.strip(_EDGES).decode("utf-8", "replace").lower()
     padded = "    " + text + "\n"
     if len(text) <= PIECE:
         return [padded]

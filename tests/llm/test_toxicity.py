@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from shelfspark.llm.toxicity import FEATURES, ORDER, Backoff, _gather, features, fit_logistic, score_toxicity
+from shelfspark.llm.toxicity import FEATURES, ORDER, Backoff, _gather, features, fit_logistic, pieces, score_toxicity
 
 from odd_rows import ODD_ROWS
 
@@ -84,8 +84,23 @@ def test_every_gram_has_its_own_counts(spark, make):
 def test_counts_are_whole(spark):
     """No gram vanishes however many there are: the counts are those of plain Python."""
     rng = random.Random(4)
-    words = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(rng.randrange(1, 60))) for _ in range(300)]
+    words = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(rng.randrange(1, 90))) for _ in range(300)]
     expected = Counter(("    " + w + "\n")[i : i + ORDER] for w in words for i in range(len(w) + 1))
     texts = spark.createDataFrame([(" ".join(words[k::3]).encode(), None) for k in range(3)], "text binary, kind boolean")
     got = texts.mapInArrow(_gather(), "gram string, n_all long, n_toxic long, n_plain long").groupBy("gram").sum("n_all")
     assert {r[0]: r[1] for r in got.collect()} == expected
+
+
+def test_the_end_of_long_words_counts(spark, make):
+    """Texts without blanks are counted and scored to their end, wherever what tells them apart stands."""
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(400):
+        text = "".join(rng.choice(SYLLABLES) for _ in range(200))
+        rows.append((i, text + "zumpelidio" * 3 * (i % 4 == 0) + "the" * 10, "s"))
+        labels.append((i, 1, int(i % 4 == 0)))
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    scores = score_toxicity(make(rows), table, F.col("doc_id") % 5 != 2).toPandas().set_index("doc_id")["score"]
+    assert np.mean([(scores[i] >= 0.3) == t for i, _, t in labels if i % 5 == 2]) > 0.97
+    assert pieces(b"a" * 64) == ["    " + "a" * 64 + "\n"]
+    assert pieces("一".encode() * 130) == ["    " + "一" * 64, "一" * 68, "一" * 6 + "\n"]
