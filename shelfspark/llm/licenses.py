@@ -6,6 +6,8 @@ band retrieves its template. ``band_count`` chooses the number of bands so that
 ``similarity`` to a piece agrees in at least one band with the stated probability. Retrieved templates are then compared
 exactly: the share of the template's word shingles that stand in the stretch of text where it should lie.
 
+Texts shorter than a template's window are compared whole with it, if they have shingles enough for the containment.
+
 Texts that have no shingle in common with any template cannot agree in any band and are passed over.
 
 Cases. Null and empty texts have no matches. Several places of one template in a text are several rows; places that
@@ -56,6 +58,7 @@ class TemplateBands:
         self.factors = rng.integers(1, 2**63, self.bands * rows_per_band, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.names, self.sets, self.lengths = [], [], []
         self.tables: dict[int, list[dict[int, list[tuple[int, int]]]]] = {}
+        self.by_length: dict[int, list[int]] = {}
         every = []
         for name, text in templates.items():
             hashes = word_hashes(words_of(text.encode()))
@@ -65,6 +68,7 @@ class TemplateBands:
             self.sets.append(np.unique(shingles(hashes)))
             every.append(self.sets[-1])
             length = min(PIECE, len(hashes))
+            self.by_length.setdefault(length, []).append(template)
             last = len(hashes) - length
             for offset in sorted({*range(0, last + 1, PIECE // 2), last}):
                 tables = self.tables.setdefault(length, [{} for _ in range(self.bands)])
@@ -72,7 +76,6 @@ class TemplateBands:
                 for band in range(self.bands):
                     tables[band].setdefault(int(keys[band][0]), []).append((template, offset))
         self.every = np.unique(np.concatenate(every))
-        self.short = min(self.lengths)
         self.known = {n: [np.array(sorted(t), dtype=np.uint64) for t in tables] for n, tables in self.tables.items()}
 
     def keys(self, marks: np.ndarray, length: int) -> list[np.ndarray]:
@@ -101,7 +104,7 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 def scan(text: bytes, bands: TemplateBands, containment: float) -> list[tuple[int, float, int, int]]:
     """(template, containment, first word, word after the last) of every place of a template in the text."""
     words = words_of(text)
-    if len(words) < bands.short:
+    if not words:
         return []
     hashes = word_hashes(words)
     marks = shingles(hashes)
@@ -111,6 +114,7 @@ def scan(text: bytes, bands: TemplateBands, containment: float) -> list[tuple[in
     places = set()
     for length, tables in bands.tables.items():
         if len(words) < length:
+            places.update((template, 0) for template in bands.by_length[length] if len(marks) >= containment * len(bands.sets[template]))
             continue
         for band, keys in enumerate(bands.keys(marks, length)):
             known = bands.known[length][band]

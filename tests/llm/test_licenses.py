@@ -65,3 +65,18 @@ def test_odd_rows(spark, make):
     assert scan_licenses(make(ODD_ROWS), {"two": "one two"}).count() == 0
     assert {str(r.doc_id) for r in scan_licenses(make(ODD_ROWS), {"t": "two three four"}).collect()} == {"9", "10", "None"}
     assert scan_licenses(make(ODD_ROWS).limit(0)).count() == 0
+
+
+def test_texts_shorter_than_the_window():
+    """A short text that is a notice without its first or last words is compared whole."""
+    bands = TemplateBands(TEMPLATES, 0.5, 1, 0.999)
+    short = set()
+    for name, template in TEMPLATES.items():
+        words = template.split()
+        for cut in range(1, 9):
+            for text in (" ".join(words[cut:]), " ".join(words[:-cut])):
+                if len(text.split()) < min(32, len(words)) and name in plain(text, 0.75):
+                    assert name in {bands.names[m[0]] for m in scan(text.encode(), bands, 0.75)}, (name, cut)
+                    short.add(name)
+    assert {"isc", "mpl-2.0"} <= short
+    assert scan(b"", bands, 0.75) == [] and scan(b"permission to use", bands, 0.75) == []
