@@ -13,6 +13,7 @@ from shelfspark.llm.decontamination import benchmark_items, find_leaks
 from shelfspark.llm.licenses import scan_licenses
 from shelfspark.llm.mixing import as_units, mix_plan
 from shelfspark.llm.ngram_join import link_components
+from shelfspark.llm.periodic_runs import find_periodic_runs, longest_exponent, with_planted_period
 from shelfspark.llm.quality import quality_rules
 from shelfspark.llm.sharding import shard_by_curve
 from shelfspark.llm.substrings import remove_repeated_substrings
@@ -101,5 +102,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.crc32(F.col("doc_id").cast("string"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", with_planted_period(F.col("text"), number).alias("text"))
+    found = find_periodic_runs(docs).withColumn("best", longest_exponent(F.col("runs")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def load() -> tuple[dict, dict]:
     return dict(QUERIES), dict(ORACLES)
