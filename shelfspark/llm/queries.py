@@ -16,6 +16,7 @@ from shelfspark.llm.ngram_join import link_components
 from shelfspark.llm.periodic_runs import find_periodic_runs, longest_exponent, with_planted_period
 from shelfspark.llm.quality import quality_rules
 from shelfspark.llm.sharding import shard_by_curve
+from shelfspark.llm.skip_list import fill_in_middle, restored
 from shelfspark.llm.substrings import remove_repeated_substrings
 from shelfspark.llm.token_counts import count_tokens
 from shelfspark.llm.toxicity import fold, score_toxicity
@@ -116,5 +117,43 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+ORACLES["op12_fill_in_middle"] = """
+WITH units AS (
+    SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest,
+        regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u
+    FROM documents
+), drawn AS (
+    SELECT *, CAST(len(u) AS BIGINT) AS n,
+        CAST('0x' || digest[1:8] AS BIGINT) % (len(u) + 1) AS c1, CAST('0x' || digest[9:16] AS BIGINT) % (len(u) + 1) AS c2,
+        CAST('0x' || digest[17:24] AS BIGINT) % 100 AS d3, CAST('0x' || digest[25:32] AS BIGINT) % 100 AS d4
+    FROM units
+), cut AS (
+    SELECT doc_id, text, n,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR d3 >= 90 THEN 'plain'
+            WHEN d4 < 20 THEN 'spm' ELSE 'psm' END AS form,
+        array_to_string(u[1:least(c1, c2)], '') AS prefix,
+        array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS middle,
+        array_to_string(u[greatest(c1, c2) + 1:], '') AS suffix
+    FROM drawn
+)
+SELECT doc_id, n, form,
+    CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+    sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM cut
+"""
+
+
 def load() -> tuple[dict, dict]:
     return dict(QUERIES), dict(ORACLES)
