@@ -16,6 +16,7 @@ from shelfspark.llm.ngram_join import link_components
 from shelfspark.llm.periodic_runs import find_periodic_runs, longest_exponent, with_planted_period
 from shelfspark.llm.quality import quality_rules
 from shelfspark.llm.sharding import shard_by_curve
+from shelfspark.llm.simhash import simhash_components
 from shelfspark.llm.skip_list import fill_in_middle, restored
 from shelfspark.llm.substrings import remove_repeated_substrings
 from shelfspark.llm.token_counts import count_tokens
@@ -155,5 +156,11 @@ FROM cut
 """
 
 
+@query
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
+    return simhash_components(table(spark, sf_dir, "documents")).select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
 def load() -> tuple[dict, dict]:
     return dict(QUERIES), dict(ORACLES)
