@@ -348,40 +348,72 @@ def route(df: DataFrame) -> DataFrame:
     return df.withColumn("scraper_type", mode)
 
 
-# A start tag up to its end; quoted attribute values may hold the closing bracket.
-_ATTRIBUTES_OF_TAG = r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*)"
-_HREF = r"(?is)(?:^|\s)href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+# Patterns over whole pages. Every loop is possessive, so it neither goes back nor recurses, however long the page; a tag
+# ends its attempt at the next "<" outside quotes, and unclosed comments and scripts run to the end of the page, so a
+# page is read once from start to end. Quotes enclose only after an equals sign, as in browsers.
+_ASSIGNED = r"=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s<>\"'][^\s<>]*+|(?=[\s/>]))"
+_IN_TAG = rf"(?:[^<>=]++|{_ASSIGNED})*+"
+_UNSEEN = r"!--.*?(?:-->|\z)|(script|style)(?=[\s/>])[^>]*+>.*?(?:</\3\s*+>|\z)"
+# Attributes up to the address, which may not start inside a name or a value.
+_TO_HREF = rf"(?:[\s/]++|(?!href\s*+=)[^\s/<>=]++|{_ASSIGNED})*+"
+_HREF = r"href\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s<>\"'][^\s<>]*+)"
+_ANCHOR = rf"(?is)<(?:a(?=[\s/]){_TO_HREF}{_HREF}{_IN_TAG}>((?:[^<]++|<!--.*?-->|<(?!/?a[\s/>]))*+)|{_UNSEEN})"
+_HEADING = rf"(?is)<(?:(h1|title)(?=[\s/>]){_IN_TAG}>((?:[^<]++|<!--.*?-->|<(?!/?(?:h1|title|body|p|div)[\s/>]))*+)|{_UNSEEN})"
+_TAG = r"(?is)<!--.*?-->|</?[a-z!](?:[^<>=]++|" + _ASSIGNED + r")*+>"
+
+
+def page_error(html: Column) -> Column:
+    """Why a page cannot be read; null for pages that can."""
+    return (
+        F.when(html.isNull(), F.lit("no page"))
+        .when(~F.is_valid_utf8(html), F.lit("not UTF-8"))
+        .when(F.contains(html, F.lit("\x00")), F.lit("binary content"))
+        .when(~F.regexp_like(html, F.lit(r"\S")), F.lit("empty page"))
+        .when(~F.regexp_like(html, F.lit(r"<[a-zA-Z!/]")), F.lit("no markup"))
+    )
+
+
+def _readable(html: Column) -> Column:
+    return F.when(page_error(html).isNull(), html)
+
+
+def _elements(html: Column, pattern: str) -> Column:
+    """First and second group of a pattern: what names an element, and its inner markup. Comments and scripts have no name."""
+    found = F.arrays_zip(
+        F.regexp_extract_all(html, F.lit(pattern), F.lit(1)).alias("name"), F.regexp_extract_all(html, F.lit(pattern), F.lit(2)).alias("inner")
+    )
+    return F.filter(found, lambda e: e["name"] != "")
+
+
+def _inner_text(inner: Column) -> Column:
+    return clean_text(F.regexp_replace(inner, _TAG, ""))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """Anchors of a page in order: position, address as written and resolved, text.
 
-    Attributes may stand in any order, case and quotes; anchors without an address are no links.
+    Attributes may stand in any order, case and quotes; anchors without an address are no links. The text ends at the
+    closing tag, the next anchor or the end of the page. Pages that cannot be read have none (see page_errors).
     """
-    pattern = F.lit(rf"(?is)<a(?=[\s/>]){_ATTRIBUTES_OF_TAG}>(.*?)</a\s*>")
-    pairs = F.arrays_zip(
-        F.regexp_extract_all("html", pattern, F.lit(1)).alias("tag"),
-        F.regexp_extract_all("html", pattern, F.lit(2)).alias("text"),
-    )
-    links = F.transform(
-        F.filter(pairs, lambda p: F.regexp(p["tag"], F.lit(_HREF))),
-        lambda p: F.struct(
-            F.concat(*[F.regexp_extract(p["tag"], _HREF, i) for i in (1, 2, 3)]).alias("href"), p["text"].alias("text")
-        ),
-    )
-    return pages.select("page_id", "url", F.posexplode(links).alias("_at", "_link")).select(
+    anchors = _elements(_readable(F.col("html")), _ANCHOR)
+    found = pages.select("page_id", "url", F.posexplode(anchors).alias("_at", "_link"))
+    return found.withColumn("href", F.regexp_replace("_link.name", r"(?s)^([\"'])(.*)\1$", "$2")).select(
         "page_id",
         (F.col("_at") + 1).alias("position"),
-        F.col("_link.href").alias("href"),
-        normalize_url(F.col("_link.href"), F.col("url")).alias("link"),
-        clean_text(F.regexp_replace("_link.text", r"<[^>]*>", "")).alias("text"),
+        "href",
+        normalize_url(F.col("href"), F.col("url")).alias("link"),
+        _inner_text(F.col("_link.inner")).alias("text"),
     )
 
 
 def page_headings(pages: DataFrame) -> DataFrame:
     """Title and top headings of a page in order; an unclosed one ends where the next element starts."""
-    pattern = F.lit(rf"(?is)<(?:h1|title)(?=[\s/>]){_ATTRIBUTES_OF_TAG}>((?:[^<]|<(?!/?(?:h1|title|body|p|div)\b))*)")
-    found = F.regexp_extract_all("html", pattern, F.lit(2))
-    return pages.select("page_id", F.posexplode(found).alias("_at", "_text")).select(
-        "page_id", (F.col("_at") + 1).alias("position"), clean_text(F.col("_text")).alias("heading")
+    found = _elements(_readable(F.col("html")), _HEADING)
+    return pages.select("page_id", F.posexplode(found).alias("_at", "_heading")).select(
+        "page_id", (F.col("_at") + 1).alias("position"), _inner_text(F.col("_heading.inner")).alias("heading")
     )
+
+
+def page_errors(pages: DataFrame) -> DataFrame:
+    """The pages that cannot be read, with the reason; all others go through links and headings."""
+    return pages.select("page_id", "url", page_error(F.col("html")).alias("error")).where("error IS NOT NULL")

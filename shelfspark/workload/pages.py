@@ -234,6 +234,27 @@ def x12_page_headings(spark, sf):
     return extract.page_headings(read_pages(spark, f"{sf}/pages.parquet"))
 
 
+# Damage put into pages, by page_id % 9; the other pages stay as they are.
+DAMAGE = {2: "CAST(NULL AS STRING)", 4: "''", 5: "concat(html, chr(0))", 7: "regexp_replace(html, '<', '(')"}
+
+
+@query(
+    r"""WITH p AS (SELECT page_id, url, CASE page_id % 9 WHEN 2 THEN NULL WHEN 4 THEN '' WHEN 5 THEN html || chr(0)
+        WHEN 7 THEN replace(html, '<', '(') ELSE html END AS html FROM pages),
+    e AS (SELECT page_id, html, CASE WHEN html IS NULL THEN 'no page' WHEN contains(html, chr(0)) THEN 'binary content'
+        WHEN trim(html) = '' THEN 'empty page' WHEN NOT regexp_matches(html, '<[a-zA-Z!/]') THEN 'no markup' END AS error FROM p)
+    SELECT page_id, error, CASE WHEN error IS NULL
+        THEN CAST(len(regexp_extract_all(html, '(?s)<a\s[^>]*href="[^"]*"[^>]*>.*?</a>')) AS BIGINT) ELSE 0 END AS links FROM e"""
+)
+def x12_damaged_pages(spark, sf):
+    cases = " ".join(f"WHEN {k} THEN {v}" for k, v in DAMAGE.items())
+    damaged = read_pages(spark, f"{sf}/pages.parquet").withColumn("html", F.expr(f"CASE page_id % 9 {cases} ELSE html END"))
+    # One row a page: a page that cannot be read is told with its error, and the others go on.
+    counted = extract.page_links(damaged).groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
+    told = damaged.select("page_id", extract.page_error(F.col("html")).alias("error"))
+    return told.join(counted, "page_id", "left").select("page_id", "error", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 # --- Classification ----------------------------------------------------------------------------------
 
 # Markup placed into every page, by page_id % 8, so that each rule has something to find.

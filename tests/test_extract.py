@@ -137,3 +137,61 @@ def test_links_of_any_form(spark):
         (1, "/one", "1"), (2, "/two", "2"), (3, "/three", "3"), (4, "", "4"),
     ]
     assert [r.heading for r in extract.page_headings(page).collect()][0] == "Head"
+
+
+def linked(spark, *htmls):
+    rows = spark.createDataFrame([(i, "https://s.com/p/", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    return [(r.page_id, r.href, r.text) for r in extract.page_links(rows).collect()], [
+        (r.page_id, r.heading) for r in extract.page_headings(rows).collect()
+    ]
+
+
+def test_pages_that_broke_the_stack(spark):
+    """Long headings, blanks, attributes and texts, each alone and unclosed."""
+    million = "x" * 1_000_000
+    links, headings = linked(
+        spark, f"<h1>{million}</h1>", "<h1>" + "<i>y</i>" * 200_000, f"<a{' ' * 100_000}href=/b>t</a>", f"<a title={'z' * 100_000} href=/c>t</a>",
+        f"<a title='{'<b> ' * 100_000}' href=\"/d\">t</a>", "<a " * 300_000, "<a x='" * 100_001, "<script>" * 100_000, "<!--" * 100_000,
+        f"<a href=/e>{'<b>q</b> ' * 100_000}", "<a href=/f " + "k=v " * 50_000 + ">t</a>", "<h1" * 300_000, "<a href=" + "'" * 300_001,
+    )
+    assert [(p, h) for p, h, _ in links if p != 6] == [(2, "/b"), (3, "/c"), (4, "/d"), (9, "/e"), (10, "/f")]
+    assert [(p, len(h)) for p, h in headings] == [(0, 1_000_000), (1, 200_000)]
+
+
+def test_addresses_as_browsers_read_them(spark):
+    cases = {
+        "<a href=/one>1</a>": "/one", "<a class=x href=/two/>1</a>": "/two/", "<a HREF = '/three'>1</a>": "/three",
+        "<a title='href=/no' href='/four'>1</a>": "/four", '<a title="x href=\'/no\' y" href="/five">1</a>': "/five",
+        "<a data-href=/no href=/six>1</a>": "/six", "<a href=/it's>1</a>": "/it's", "<a x=1\nhref=\n'/seven'>1</a>": "/seven",
+        "<a/href=/eight>1</a>": "/eight", "<a alt='a>b' href=/nine>1</a>": "/nine", "<a href=/ten?a=1&b=2#c>1</a>": "/ten?a=1&b=2#c",
+        "<a href=''>1</a>": "", "<a rel='x'href='/eleven'>1</a>": "/eleven", "<a href='/first' href='/second'>1</a>": "/first",
+        "<a it's href=/twelve>1</a>": "/twelve",
+    }
+    links, _ = linked(spark, *cases)
+    assert links == [(i, h, "1") for i, h in enumerate(cases.values())]
+    nothing = ["<a>1</a>", "<a name=x>1</a>", "<abbr href=/x>1</abbr>", "<a title='href=/no'>1</a>", "<a data-href=/x>1</a>", "< a href=/x>1</a>", "<a href=/x", "<a href='/x>1</a>"]
+    assert linked(spark, *nothing)[0] == []
+
+
+def test_comments_and_scripts_are_not_read(spark):
+    links, headings = linked(
+        spark,
+        "<!-- <a href=/no>no</a> --><a href=/yes>y<!-- <a href=/no>x</a> -->es</a><h1>A<!-- b -->B</h1>",
+        "<script>var s = '<a href=/no>no</a><h1>no</h1>';</script><style>a{}</style><a href=/yes>yes</a><title>T</title>",
+        "<a href=/yes>yes</a><!-- never closed <a href=/no>no</a><h1>no</h1>",
+        "<a href=/one>1<a href=/two>2</a><h1>open <b title='a > b'>bold</b><p>rest",
+        "<scripted><a href=/yes>yes</a></scripted>",
+    )
+    assert links == [(0, "/yes", "yes"), (1, "/yes", "yes"), (2, "/yes", "yes"), (3, "/one", "1"), (3, "/two", "2"), (4, "/yes", "yes")]
+    assert headings == [(0, "AB"), (1, "T"), (3, "open bold")]
+
+
+def test_errors_of_pages(spark):
+    rows = spark.createDataFrame(
+        [(1, b"<a href=/x>1</a>"), (2, None), (3, b""), (4, b" \n\t"), (5, b"plain text"), (6, b"<a href=/x>\xff\xfe</a>"), (7, b"<a\x00>"), (8, b"1 < 2")],
+        "page_id long, html binary",
+    )
+    rows = rows.selectExpr("page_id", "'u' AS url", "CAST(html AS STRING) AS html")
+    errors = {r.page_id: r.error for r in extract.page_errors(rows).collect()}
+    assert errors == {2: "no page", 3: "empty page", 4: "empty page", 5: "no markup", 6: "not UTF-8", 7: "binary content", 8: "no markup"}
+    assert [r.page_id for r in extract.page_links(rows).collect()] == [1]
