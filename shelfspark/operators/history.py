@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.operators.skew import HOT_FLOOR_ROWS, HOT_SHARE, hot_groups
+from shelfspark.session import checkpointed
 
-# Rows a time slice of a hot product should hold, and how many times more slices are made for uneven times.
+# Rows a slice of hot products should hold at most; half of them are aimed at, as slices are drawn from a sample.
 SLICE_ROWS = 2_000_000
-SLICE_SPREAD = 8
 
 
 def split_null_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -34,50 +34,48 @@ def price_changes(
     """Ticks whose price differs from the previous non-null price of the same product.
 
     Null prices are neither recorded nor a change; rows with a null key go elsewhere (split_null_keys).
-    Products that hold a large share of all ticks are cut into time slices that compare separately.
+    Products that hold a large share of all ticks are cut into slices by rank, which compare separately; ticks of one
+    instant may lie in several slices.
     """
     keys = list(keys)
     rows, _ = split_null_keys(ticks.where(F.col("price").isNotNull()), keys)
-    span = (F.min(_micros(ts)).alias("_from"), F.max(_micros(ts)).alias("_to"))
-    hot = hot_groups(rows, keys, span, hot_share, hot_floor)
+    hot = hot_groups(rows, keys, share=hot_share, floor_rows=hot_floor)
     if hot is None:
         changes = _changes_in_window(rows, keys, ts, tiebreak)
     else:
-        # At most hot_share rows of three numbers each.
-        slices = F.ceil(F.col("group_rows") / slice_rows) * SLICE_SPREAD
-        width = F.greatest((F.col("_to") - F.col("_from")) / slices, F.lit(1.0))
-        widths = F.broadcast(hot.select(*keys, "_from", width.alias("_width")))
-        cold_rows = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-        sliced = rows.join(widths, keys).withColumn(
-            "_slice", F.floor((_micros(ts) - F.col("_from")) / F.col("_width"))
-        )
-        changes = _changes_in_window(cold_rows, keys, ts, tiebreak).unionByName(
-            _changes_in_slices(sliced.drop("_from", "_width"), keys, ts, tiebreak)
-        )
+        # At most hot_share keys.
+        names = F.broadcast(hot.select(*keys))
+        count = max(2, -(-2 * hot.agg(F.sum("group_rows")).first()[0] // slice_rows))
+        slices = rank_slices(rows.join(names, keys, "left_semi"), count, [*keys, ts, tiebreak])
+        cold = _changes_in_window(rows.join(names, keys, "left_anti"), keys, ts, tiebreak)
+        changes = cold.unionByName(_changes_in_slices(slices, count, keys, ts, tiebreak))
     return changes.where(F.col("previous_price").isNull() | (F.col("price") != F.col("previous_price")))
 
 
-def _micros(ts: str) -> Column:
-    return F.unix_micros(F.col(ts).cast("timestamp"))
-
-
 def _changes_in_window(rows: DataFrame, keys: list[str], ts: str, tiebreak: str) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy(ts, tiebreak)
     return rows.withColumn("previous_price", F.lag("price").over(order))
 
 
-def _changes_in_slices(sliced: DataFrame, keys: list[str], ts: str, tiebreak: str) -> DataFrame:
-    """Previous price inside each time slice; the first row of a slice looks at the slice before."""
-    last = sliced.groupBy(*keys, "_slice").agg(
-        F.max_by("price", F.struct(F.col(ts), F.col(tiebreak))).alias("_last")
-    )
-    slices = Window.partitionBy(*keys).orderBy("_slice")
-    carried = last.select(*keys, "_slice", F.lag("_last").over(slices).alias("_carried"))
-    inside = Window.partitionBy(*keys, "_slice").orderBy(ts, tiebreak)
-    # The rows already lie by key and slice, so only the short table of slices moves for the join.
+def rank_slices(rows: DataFrame, count: int, order: Sequence[str]) -> DataFrame:
+    """The rows with ``_slice``, 0 to ``count`` - 1: ranges of the order, alike in size as far as a sample of it tells.
+
+    The numbers depend on the sample, so the rows are stored with them.
+    """
+    return checkpointed(rows.repartitionByRange(count, *order).withColumn("_slice", F.spark_partition_id()))
+
+
+def _changes_in_slices(slices: DataFrame, count: int, keys: list[str], ts: str, tiebreak: str) -> DataFrame:
+    """Previous price inside each slice; the first row of a product in a slice takes the last one of the slice before."""
+    # One task a slice; the windows and the ends below need no other arrangement.
+    sliced = slices.repartitionByRange(count, "_slice")
+    ends = slices.groupBy("_slice", *keys).agg(F.max_by("price", F.struct(F.col(ts), F.col(tiebreak))).alias("_last"))
+    carried = ends.select("_slice", *keys, F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slice")).alias("_carried"))
+    inside = Window.partitionBy("_slice", *keys).orderBy(ts, tiebreak)
+    # At most as many ends as slices and hot products together.
     return (
         sliced.withColumn("_before", F.lag("price").over(inside))
-        .join(carried, [*keys, "_slice"])
+        .join(F.broadcast(carried), ["_slice", *keys])
         .withColumn("previous_price", F.coalesce("_before", "_carried"))
         .drop("_slice", "_before", "_carried")
     )

@@ -463,3 +463,16 @@ def h1_price_changes(spark, sf):
     return price_changes(ticks(spark, sf)).select(
         "id", "source", "product_id", "price", "previous_price", "recorded_at"
     )
+
+
+@query(
+    """WITH days AS (SELECT id, source, price, CAST(recorded_at AS DATE) AS day FROM ticks)
+    SELECT id, source, price, day, previous_price FROM (
+    SELECT *, lag(price) OVER (PARTITION BY source ORDER BY day, id) AS previous_price FROM days)
+    WHERE previous_price IS NULL OR price <> previous_price""",
+    ("ticks",),
+)
+def h1_bursts_of_hot_products(spark, sf):
+    """A source taken as one product, and all ticks of a day as one instant: slices cut through instants."""
+    days = ticks(spark, sf).select("id", "source", "price", F.to_date("recorded_at").alias("day"))
+    return price_changes(days, ("source",), "day", hot_share=1000, hot_floor=500, slice_rows=20_000)

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.operators.history import price_changes, split_null_keys
+from shelfspark.operators.history import price_changes, rank_slices, split_null_keys
 from shelfspark.sources.store import append_history, history_rows, new_history
 
 SCHEMA = "source string, product_id string, price double, recorded_at timestamp_ntz, id long"
@@ -66,8 +66,30 @@ def test_slices_need_no_second_shuffle_of_the_rows(spark):
         text = price_changes(df, hot_floor=10, slice_rows=10)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    # Cold rows by product; hot rows by product and slice; slice ends by product and slice, by product, and back.
-    assert text.count("Exchange hashpartitioning") == 5
+    # Cold rows by product, and hot rows by slice; slice ends by product and slice, and by product.
+    assert text.count("Exchange hashpartitioning") == 3 and text.count("Exchange rangepartitioning(_slice") == 1
+
+
+@pytest.mark.parametrize("instants", [1, 7])
+def test_a_burst_is_spread_over_tasks(spark, instants):
+    """20,000 ticks of one product at one instant: no task holds more than slice_rows."""
+    rng = random.Random(instants)
+    rows = [("s", "hot", float(rng.randint(1, 3)), START + timedelta(hours=i % instants), i) for i in range(20_000)]
+    rows += [("s", f"p{i % 50}", float(rng.randint(1, 3)), START, 20_000 + i) for i in range(500)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    expected, last = set(), {}
+    for _, p, price, moment, i in sorted(rows, key=lambda r: (r[3], r[4])):
+        if last.get(p) != price:
+            expected.add((i, last.get(p)))
+        last[p] = price
+    got = price_changes(df, hot_share=50, hot_floor=1000, slice_rows=2000)
+    assert {(r.id, r.previous_price) for r in got.collect()} == expected
+    hot = df.where("product_id = 'hot'")
+    sizes = rank_slices(hot, 20, ["source", "product_id", "recorded_at", "id"]).groupBy("_slice").count().collect()
+    assert len(sizes) == 20 and max(r["count"] for r in sizes) <= 2000
+    tasks = got.withColumn("_task", F.spark_partition_id()).where("product_id = 'hot'").groupBy("_task").count().collect()
+    assert len(tasks) > 10 and max(r["count"] for r in tasks) <= 4000
 
 
 def test_history_of_a_batch(spark, tmp_path):
