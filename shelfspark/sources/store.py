@@ -6,7 +6,10 @@ its success marker exists, so a failed or repeated write never harms the readers
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -148,3 +151,55 @@ def read_version(spark: SparkSession, root: str, before: int | None = None) -> D
     """Newest complete version (older than ``before``), or None."""
     found = [v for v in versions(spark, root) if before is None or v < before]
     return spark.read.parquet(f"{root}/v={found[-1]:09d}") if found else None
+
+
+def folders(spark: SparkSession, root: str) -> list[str]:
+    """Names of the folders directly below a folder; none when it does not exist."""
+    fs, path = _file_system(spark, root)
+    return sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()) if fs.exists(path) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, found = _file_system(spark, path)
+    fs.delete(found, True)
+
+
+@contextmanager
+def reading(spark: SparkSession, root: str, version: int | None = None) -> Iterator[DataFrame]:
+    """The newest version, or a stated one, kept from :func:`vacuum` as long as the block runs.
+
+    A lease is an empty file ``_leases/v=N-<id>`` that every process sees; its time tells how old it is.
+    """
+    fs, path = _file_system(spark, root)
+    number = version if version is not None else versions(spark, root)[-1]
+    lease = spark._jvm.org.apache.hadoop.fs.Path(path, f"_leases/v={number:09d}-{uuid.uuid4().hex}")
+    fs.create(lease, True).close()
+    try:
+        yield spark.read.parquet(f"{root}/v={number:09d}")
+    finally:
+        fs.delete(lease, False)
+
+
+def vacuum(spark: SparkSession, root: str, keep: int = 2, lease_hours: float = 24.0) -> list[int]:
+    """Remove all but the newest ``keep`` versions, and what failed writes left before them; returns the versions removed.
+
+    Versions that somebody reads (see :func:`reading`) stay. A lease older than ``lease_hours`` was left by a reader that
+    died, and holds nothing any more.
+    """
+    fs, path = _file_system(spark, root)
+    new_path = spark._jvm.org.apache.hadoop.fs.Path
+    kept = set(versions(spark, root)[-max(keep, 1) :])
+    if not kept:
+        return []
+    leases, oldest = new_path(path, "_leases"), time.time() * 1000 - lease_hours * 3_600_000
+    for status in fs.listStatus(leases) if fs.exists(leases) else ():
+        if status.getModificationTime() >= oldest:
+            kept.add(int(status.getPath().getName()[2:].split("-")[0]))
+        else:
+            fs.delete(status.getPath(), False)
+    names = [status.getPath().getName() for status in fs.listStatus(path)]
+    old = sorted(int(n[2:]) for n in names if n.startswith("v="))
+    removed = [v for v in old if v < max(kept) and v not in kept]
+    for number in removed:
+        fs.delete(new_path(path, f"v={number:09d}"), True)
+    return removed

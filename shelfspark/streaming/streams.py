@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -14,8 +15,9 @@ from shelfspark.operators.quality import clean_listings, validate, with_listing_
 from shelfspark.operators.history import price_changes, split_null_keys
 from shelfspark.operators.skew import first_per_key, join_group_table
 from shelfspark.schemas import LISTING
-from shelfspark.session import scratch_path
-from shelfspark.sources.store import KEYS, publish, read_version, upsert, versions
+from shelfspark.session import checkpointed, scratch_path
+from shelfspark.sources.buckets import BUCKETS, KeyedState
+from shelfspark.sources.store import KEYS, folders, publish, read_version, remove, upsert, vacuum, versions
 
 EVENT_TIME = "event_time"
 DEFAULT_STATE_STORE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
@@ -98,6 +100,91 @@ class PriceChanges(StatefulProcessor):
         pass
 
 
+class OrderedPriceChanges(StatefulProcessor):
+    """Holds ticks back until the watermark has passed them, then compares them in order of time and id.
+
+    State of a product: its ticks that wait, and its last released tick. A tick older than the watermark comes too late and is
+    told so. Timers stand on a grid of ``step`` milliseconds, so that the ticks of a stretch need one. A product without a
+    tick for ``keep`` milliseconds is forgotten.
+    """
+
+    def __init__(self, step: int, keep: int | None):
+        self.step, self.keep = max(step, 1), keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "price double, recorded_at timestamp_ntz, id long")
+        self.last = handle.getValueState("last", "price double, recorded_at timestamp_ntz")
+
+    def _wake_after(self, moment: int) -> None:
+        self.handle.registerTimer((moment // self.step + 1) * self.step)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        passed = timer_values.getCurrentWatermarkInMs()
+        for ticks in rows:
+            late = ticks["recorded_at"].isna()
+            if passed:
+                late |= ticks["recorded_at"] < pd.Timestamp(passed, unit="ms")
+            fresh = ticks[~late]
+            if len(fresh):
+                self.waiting.appendList(_state_rows(fresh))
+                self._wake_after(_millis(fresh["recorded_at"].min()))
+            if late.any():
+                yield ticks[late].assign(previous_price=float("nan"), late=True)[[f.name for f in CHANGE.fields]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N803
+        passed = timerValues.getCurrentWatermarkInMs()
+        ticks = pd.DataFrame(list(self.waiting.get()), columns=["price", "recorded_at", "id"])
+        ticks["recorded_at"] = pd.to_datetime(ticks["recorded_at"])
+        free = ticks["recorded_at"] < pd.Timestamp(passed, unit="ms")
+        price, seen = self.last.get() or (None, None)
+        ready, rest = ticks[free].sort_values(["recorded_at", "id"]), ticks[~free]
+        if len(ready):
+            before, earlier = ready["price"].shift(1), ready["recorded_at"].shift(1)
+            if price is not None:
+                before.iloc[0], earlier.iloc[0] = price, pd.Timestamp(seen)
+            if self.keep is not None:
+                before[(ready["recorded_at"] - earlier) > pd.Timedelta(self.keep, "ms")] = float("nan")
+            end = ready.iloc[-1]
+            price, seen = float(end["price"]), end["recorded_at"].to_pydatetime()
+            self.last.update((price, seen))
+            ready = ready.assign(source=key[0], product_id=key[1], previous_price=before, late=False)
+            yield ready[before.isna() | (ready["price"] != before)][[f.name for f in CHANGE.fields]]
+            if len(rest):
+                self.waiting.put(_state_rows(rest))
+            else:
+                self.waiting.clear()
+        if len(rest):
+            self._wake_after(max(_millis(rest["recorded_at"].min()), passed))
+        if self.keep is not None and seen is not None:
+            forgotten = _millis(pd.Timestamp(seen)) + self.keep
+            if forgotten < passed:
+                self.last.clear()
+            else:
+                self._wake_after(forgotten)
+
+    def close(self) -> None:
+        pass
+
+
+def _state_rows(ticks: pd.DataFrame) -> list[tuple]:
+    return list(zip(ticks["price"].tolist(), [t.to_pydatetime() for t in ticks["recorded_at"]], ticks["id"].tolist(), strict=True))
+
+
+def _millis(moment: pd.Timestamp) -> int:
+    return (moment - pd.Timestamp(0)) // pd.Timedelta(1, "ms")
+
+
+def _interval_millis(spark: SparkSession, interval: str) -> int:
+    length = F.expr(f"CAST(INTERVAL {interval} AS INTERVAL DAY TO SECOND)")
+    return spark.range(1).select(length.alias("i")).first().i // timedelta(milliseconds=1)
+
+
+def _ticks_only(ticks: DataFrame) -> DataFrame:
+    rows, _ = split_null_keys(ticks.where(F.col("price").isNotNull()), KEYS)
+    return rows.select(*KEYS, "id", F.col("price").cast("double").alias("price"), "recorded_at")
+
+
 def keyed_price_changes(ticks: DataFrame) -> DataFrame:
     """First sightings and price changes as ticks arrive; ticks older than the last one are marked late.
 
@@ -105,44 +192,109 @@ def keyed_price_changes(ticks: DataFrame) -> DataFrame:
     task, so the source must bound its micro-batches (maxBytesPerTrigger, maxFilesPerTrigger). For micro-batches of
     any size there is :func:`price_change_batches`.
     """
-    rows, _ = split_null_keys(ticks.where(F.col("price").isNotNull()), KEYS)
-    ticks_only = rows.select(*KEYS, "id", F.col("price").cast("double").alias("price"), "recorded_at")
-    changes = ticks_only.groupBy(*KEYS).transformWithStateInPandas(
+    changes = _ticks_only(ticks).groupBy(*KEYS).transformWithStateInPandas(
         PriceChanges(), outputStructType=CHANGE, outputMode="append", timeMode="none"
     )
     previous = F.when(~F.isnan("previous_price"), F.col("previous_price"))
     return changes.withColumn("previous_price", previous)
 
 
-def price_change_batches(root: str) -> Callable[[DataFrame, int], None]:
+def stream_price_changes(ticks: DataFrame, delay: str, keep: str | None = None) -> DataFrame:
+    """First sightings and price changes in order of time, whatever order ticks arrive in within ``delay``.
+
+    Ticks wait until the watermark, the newest time seen less ``delay``, has passed them; ticks older than it, or without a
+    time, are marked late and change nothing. So the changes equal those of the batch form over all ticks that are not late.
+    With ``keep`` (``"90 days"``), a tick that comes longer than that after the one before is a first sighting again, and the
+    state of products without newer ticks is given up.
+
+    Keyed state in the RocksDB store, one task per product: the ticks of a product within the delay must fit a task.
+    For more there is :func:`price_change_batches`.
+    """
+    step = _interval_millis(ticks.sparkSession, delay) // 8
+    kept = None if keep is None else _interval_millis(ticks.sparkSession, keep)
+    # The column with the watermark stays out of the state's input: Spark would drop late rows there unseen.
+    rows = _ticks_only(with_event_time(ticks, "recorded_at").withWatermark(EVENT_TIME, delay))
+    changes = rows.groupBy(*KEYS).transformWithStateInPandas(
+        OrderedPriceChanges(step, kept), outputStructType=CHANGE, outputMode="append", timeMode="eventTime"
+    )
+    previous = F.when(~F.isnan("previous_price"), F.col("previous_price"))
+    return changes.withColumn("previous_price", previous)
+
+
+LAST = T.StructType([CHANGE[c] for c in (*KEYS, "id", "price", "recorded_at")])
+_PENDING = T.StructType([*LAST.fields, T.StructField("slice", T.LongType()), T.StructField("batch", T.LongType())])
+
+
+def _slice(width: int) -> Column:
+    """Number of the stretch of ``width`` microseconds a tick lies in."""
+    return F.expr(f"unix_micros(CAST(recorded_at AS TIMESTAMP)) - pmod(unix_micros(CAST(recorded_at AS TIMESTAMP)), {width}L)")
+
+
+def price_change_batches(
+    root: str, delay: str | None = None, buckets: int = BUCKETS, tidy_every: int = 10
+) -> Callable[[DataFrame, int], None]:
     """Batch function with the same results, for micro-batches of any size and with hot products.
 
-    Below ``root``: ``changes/batch=N`` and ``last/v=N``, the last tick of every product. Both are replaced when a
-    batch is repeated.
+    Below ``root``: ``changes/batch=N``, and ``last``, the last tick of every product as :class:`KeyedState`, of which a batch
+    reads and writes only what its products touch. With ``delay``, ticks wait in ``pending/batch=N/slice=S`` until
+    the watermark has passed their slice, an eighth of the delay; waiting ticks are written once and read once.
+    ``progress/v=N`` tells the newest time seen. Everything a batch writes is replaced when it is repeated. Every
+    ``tidy_every`` batches, runs and slices that no repetition can need are removed.
+
+    Without ``delay``, ticks not newer than the last one of their product are late; with it, those behind the watermark,
+    and those without a time.
     """
 
+    def state(spark: SparkSession) -> KeyedState:
+        return KeyedState(spark, f"{root}/last", LAST, KEYS, ("recorded_at", "id"), buckets)
+
+    def against_last(ticks: DataFrame, last: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Ticks newer than the last one of their product, the others, and the last ones themselves."""
+        known = ticks.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).join(last, list(KEYS), "left")
+        known = checkpointed(known.select(*KEYS, "_n", F.col("id").alias("_id"), F.col("recorded_at").alias("_at"), F.col("price").alias("_price")))
+        is_late = F.coalesce(F.struct(F.col("recorded_at"), F.col("id")) <= F.when(F.col("_at").isNotNull(), F.struct("_at", "_id")), F.lit(False))
+        marked = checkpointed(join_group_table(ticks, known, KEYS, "_n").select(*ticks.columns, is_late.alias("_late")))
+        seeds = known.where(F.col("_at").isNotNull()).select(
+            *KEYS, F.col("_id").alias("id"), F.col("_price").alias("price"), F.col("_at").alias("recorded_at")
+        )
+        return marked.where("NOT _late").drop("_late"), marked.where("_late").drop("_late"), seeds
+
+    def released(ticks: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame]:
+        """Ticks that the watermark passes with this batch, and the late ones of the batch."""
+        spark = ticks.sparkSession
+        width = max(_interval_millis(spark, delay) * 1000 // 8, 1)
+        progress = read_version(spark, f"{root}/progress", before=batch_id)
+        before = progress.first().seen if progress is not None else None
+        newest = ticks.agg(F.max(F.expr("unix_micros(CAST(recorded_at AS TIMESTAMP))"))).first()[0]
+        seen = max((m for m in (before, newest) if m is not None), default=None)
+        edge = lambda m: None if m is None else (m - 8 * width) // width * width
+        passed, passing = edge(before), edge(seen)
+        late = F.col("recorded_at").isNull() | (F.lit(False) if passed is None else _slice(width) < passed)
+        waiting = ticks.where(~late).withColumn("slice", _slice(width))
+        waiting.write.mode("overwrite").partitionBy("slice").parquet(f"{root}/pending/batch={batch_id:09d}")
+        publish(spark.createDataFrame([(seen,)], "seen long"), f"{root}/progress", batch_id)
+        held = spark.read.schema(_PENDING).option("basePath", f"{root}/pending").parquet(f"{root}/pending").where(F.col("batch") <= batch_id)
+        lower = F.lit(True) if passed is None else F.col("slice") >= passed
+        upper = F.lit(False) if passing is None else F.col("slice") < passing
+        return held.where(lower & upper).select(*LAST.names), ticks.where(late)
+
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        priced, _ = split_null_keys(batch.where(F.col("price").isNotNull()), KEYS)
-        ticks = priced.select(*KEYS, "id", F.col("price").cast("double").alias("price"), "recorded_at")
-        last = read_version(spark, f"{root}/last", before=batch_id)
-        if last is None:
-            fresh, late, seeds = ticks, ticks.where(F.lit(False)), ticks.where(F.lit(False))
+        ticks, last = _ticks_only(batch), state(spark)
+        late = seeds = ticks.where(F.lit(False))
+        if delay is not None:
+            # What the watermark passes is newer than all that was released before.
+            free, late = released(checkpointed(ticks), batch_id)
+            fresh = checkpointed(free)
         else:
-            # Keys of this batch with their last known tick; only they can make a tick late or a change.
-            known = ticks.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).join(last, list(KEYS), "left")
-            known = known.select(
-                *KEYS, "_n", F.col("id").alias("_id"), F.col("recorded_at").alias("_at"), F.col("price").alias("_price")
-            )
-            marked = join_group_table(ticks, known, KEYS, "_n")
-            is_late = F.coalesce(
-                F.struct(F.col("recorded_at"), F.col("id")) <= F.when(F.col("_at").isNotNull(), F.struct("_at", "_id")),
-                F.lit(False),
-            )
-            fresh, late = marked.where(~is_late).select(*ticks.columns), marked.where(is_late).select(*ticks.columns)
-            seeds = known.where(F.col("_at").isNotNull()).select(
-                *KEYS, F.col("_id").alias("id"), F.col("_price").alias("price"), F.col("_at").alias("recorded_at")
-            )
+            fresh = ticks
+        if last.manifest(batch_id):
+            if delay is None:
+                ticks = checkpointed(ticks)
+                fresh, late, seeds = against_last(ticks, last.read(batch_id, last.touched(ticks)))
+            else:
+                named = fresh.select(*KEYS).distinct()
+                seeds = last.read(batch_id, last.touched(fresh)).join(named, list(KEYS), "left_semi").select(*LAST.names)
         rows = fresh.withColumn("_seed", F.lit(False)).unionByName(seeds.withColumn("_seed", F.lit(True)))
         changes = price_changes(rows, KEYS).where(~F.col("_seed")).drop("_seed").withColumn("late", F.lit(False))
         dropped = late.withColumns({"previous_price": F.lit(None).cast("double"), "late": F.lit(True)})
@@ -150,28 +302,45 @@ def price_change_batches(root: str) -> Callable[[DataFrame, int], None]:
         changes.select(*names).unionByName(dropped.select(*names)).write.mode("overwrite").parquet(
             f"{root}/changes/batch={batch_id:09d}"
         )
-        ends = fresh if last is None else fresh.unionByName(last.select(*fresh.columns))
-        publish(first_per_key(ends, list(KEYS), ("recorded_at", "id"), last=True), f"{root}/last", batch_id)
+        last.add(first_per_key(fresh, list(KEYS), ("recorded_at", "id"), last=True), batch_id)
+        if (batch_id + 1) % tidy_every == 0:
+            last.vacuum()
+            tidy(spark, batch_id)
+
+    def tidy(spark: SparkSession, batch_id: int) -> None:
+        """Remove the slices that batches before this one released; this one may have to be repeated."""
+        progress = read_version(spark, f"{root}/progress", before=batch_id) if delay is not None else None
+        seen = progress.first().seen if progress is not None else None
+        if seen is None:
+            return
+        width = max(_interval_millis(spark, delay) * 1000 // 8, 1)
+        passed = (seen - 8 * width) // width * width
+        for batch in folders(spark, f"{root}/pending"):
+            for name in folders(spark, f"{root}/pending/{batch}"):
+                if name.startswith("slice=") and int(name[6:]) < passed:
+                    remove(spark, f"{root}/pending/{batch}/{name}")
+        vacuum(spark, f"{root}/progress", 2)
 
     return run
 
 
-def run_price_changes(ticks: DataFrame, name: str) -> DataFrame:
+def run_price_changes(ticks: DataFrame, name: str, delay: str | None = None) -> DataFrame:
     """Run price changes over everything available now and read them."""
     root = scratch_path(ticks.sparkSession, name)
-    _run_batches(ticks, root, price_change_batches(root))
+    _run_batches(ticks, root, price_change_batches(root, delay))
     return ticks.sparkSession.read.schema(CHANGE).parquet(f"{root}/changes").drop("batch")
 
 
 # --- ingestion --------------------------------------------------------------------------------------
 
 
-def ingest(root: str, compact_every: int = 10) -> Callable[[DataFrame, int], None]:
+def ingest(root: str, compact_every: int = 10, keep: int = 3) -> Callable[[DataFrame, int], None]:
     """Batch function: clean, validate, append to the log, and now and then fold the log into the product table.
 
     Below ``root``: ``checked/batch=N/outcome=accepted`` and ``=rejected`` rows, and ``products/v=N``, the table.
     Repeating a batch replaces its own folders, so a retry adds nothing twice. A batch costs its own size;
-    the table is rewritten only every ``compact_every`` batches.
+    the table is rewritten only every ``compact_every`` batches, and its newest ``keep`` versions stay, besides those
+    that are being read.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -186,6 +355,7 @@ def ingest(root: str, compact_every: int = 10) -> Callable[[DataFrame, int], Non
         ).parquet(f"{root}/checked/batch={batch_id:09d}")
         if (batch_id + 1) % compact_every == 0:
             compact(spark, root, batch_id)
+            vacuum(spark, f"{root}/products", max(keep, 2))
 
     return run
 
@@ -236,6 +406,7 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
 
 
 def _run_batches(stream: DataFrame, root: str, run: Callable[[DataFrame, int], None]) -> None:
+    """A run that was ended goes on where its checkpoint stands; the batch it was in is done again."""
     writer = stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
     writer.foreachBatch(run).start().awaitTermination()
 

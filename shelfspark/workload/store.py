@@ -614,14 +614,9 @@ def d7_price_comparison(spark, sf):
 # --- S1-S4: streams over the events files ---------------------------------------------------------------------
 
 
-# Bound of a micro-batch of the keyed-state stream.
-MICRO_BATCH_BYTES = 64 * 1024 * 1024
-
-
-def _tick_stream(spark, sf, max_bytes: int | None = None):
+def _tick_stream(spark, sf):
     schema = table(spark, sf, "events").schema
-    source = spark.readStream.schema(schema).format("parquet").option("pathGlobFilter", "events*.parquet")
-    raw = (source if max_bytes is None else source.option("maxBytesPerTrigger", max_bytes)).load(sf)
+    raw = spark.readStream.schema(schema).format("parquet").option("pathGlobFilter", "events*.parquet").load(sf)
     return raw.select(
         F.col("event_type").alias("source"),
         F.col("user_id").cast("string").alias("product_id"),
@@ -681,22 +676,50 @@ def s3_stream_weekly_mean(spark, sf):
     return rounded(streams.run_available(means, "weekly"))
 
 
-@query(
-    """SELECT id, source, product_id, price, previous_price, recorded_at, false AS late FROM (
+#: How far ticks arrive out of order in the shuffled files, and the delay the streams allow for it.
+DISORDER_DAYS, DELAY = 4, "20 days"
+
+
+def _shuffled_tick_stream(spark, sf, files: int = 4):
+    """The ticks as files in the order of their arrival, up to some days after their time, and one tick far later.
+
+    Every file is a micro-batch of its own, so most products have ticks that arrive after newer ones.
+    """
+    path = scratch_path(spark, "shuffled-ticks")
+    rows = ticks(spark, sf).withColumn("_arrival", F.unix_seconds(F.col("recorded_at").cast("timestamp")) + F.pmod(F.xxhash64("id"), F.lit(DISORDER_DAYS * 86400)))
+    low, high = rows.agg(F.min("_arrival"), F.max("_arrival")).first()
+    place = F.least(F.floor((F.col("_arrival") - low) * files / max(high - low, 1)), F.lit(files - 1))
+    last = rows.orderBy(F.col("id").desc()).limit(1).withColumns({"recorded_at": F.col("recorded_at") + F.expr("INTERVAL 400 DAYS"), "id": F.lit(-1).cast("long")})
+    rows.where("price IS NOT NULL").withColumn("_file", place).unionByName(last.withColumn("_file", F.lit(files))).drop("_arrival").repartition(
+        files + 1, "_file"
+    ).write.partitionBy("_file").parquet(path)
+    schema = ticks(spark, sf).schema
+    # The folders become files of a stream one after another: sources take files by the time of their last change.
+    landed = scratch_path(spark, "landed-ticks")
+    for k in range(files + 1):
+        spark.read.schema(schema).parquet(f"{path}/_file={k}").coalesce(1).write.parquet(f"{landed}/part{k}")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+    return source.parquet(landed)
+
+
+ORDERED_CHANGES = """SELECT id, source, product_id, price, previous_price, recorded_at, false AS late FROM (
     SELECT *, lag(price) OVER (PARTITION BY source, product_id ORDER BY recorded_at, id) AS previous_price FROM ticks)
-    WHERE previous_price IS NULL OR price <> previous_price""",
-    ("ticks",),
-)
+    WHERE previous_price IS NULL OR price <> previous_price"""
+
+
+@query(ORDERED_CHANGES, ("ticks",))
 def s4_stream_price_changes(spark, sf):
     return streams.run_price_changes(_tick_stream(spark, sf), "changes")
 
 
-@query(
-    """SELECT id, source, product_id, price, previous_price, recorded_at, false AS late FROM (
-    SELECT *, lag(price) OVER (PARTITION BY source, product_id ORDER BY recorded_at, id) AS previous_price FROM ticks)
-    WHERE previous_price IS NULL OR price <> previous_price""",
-    ("ticks",),
-)
+@query(ORDERED_CHANGES, ("ticks",))
+def s4_shuffled_price_changes(spark, sf):
+    """Out of order over several micro-batches, equal to the batch form."""
+    return streams.run_price_changes(_shuffled_tick_stream(spark, sf), "shuffled-changes", DELAY).where("id >= 0")
+
+
+@query(ORDERED_CHANGES, ("ticks",))
 def s4_keyed_price_changes(spark, sf):
     streams.use_rocksdb(spark)
-    return streams.run_available(streams.keyed_price_changes(_tick_stream(spark, sf, MICRO_BATCH_BYTES)), "keyed-changes")
+    changes = streams.stream_price_changes(_shuffled_tick_stream(spark, sf), DELAY)
+    return streams.run_available(changes, "keyed-changes").where("id >= 0")

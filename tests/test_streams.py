@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from shelfspark.operators.history import price_changes
 from shelfspark.operators.trends import weekly_mean
 from shelfspark.sources import store
+from shelfspark.sources.buckets import KeyedState
 from shelfspark.streaming import streams
 
 START = datetime(2024, 1, 1)
@@ -60,6 +62,116 @@ def test_repeated_batch_changes_nothing(spark, tmp_path):
     assert sorted((r.id, r.previous_price) for r in rows) == [(0, None), (1, 1.0)]
 
 
+def ordered(stream, delay):
+    streams.use_rocksdb(stream.sparkSession)
+    return streams.run_available(streams.stream_price_changes(stream, delay), "ordered")
+
+
+def ordered_batches(stream, delay):
+    return streams.run_price_changes(stream, "ordered-batches", delay)
+
+
+FAR = START + timedelta(days=2000)
+
+
+def shuffled_files(seed, n=400, disorder=40, files=5):
+    """Ticks that arrive up to ``disorder`` hours late, cut into files, and a tick far later that closes all."""
+    rng = random.Random(seed)
+    ticks = [tick(rng.randint(0, 300), float(rng.randint(1, 4)), i, f"p{rng.randint(0, 6)}") for i in range(n)]
+    ticks += [("s", "p0", None, START, n), ("s", None, 1.0, START, n + 1)]
+    arrived = sorted(ticks, key=lambda t: t[3] + timedelta(hours=rng.uniform(0, disorder)))
+    cuts = sorted(rng.sample(range(1, len(ticks)), files - 1))
+    files = [arrived[a:b] for a, b in zip([0, *cuts], [*cuts, None])]
+    for file in files:
+        rng.shuffle(file)
+    return files, [("s", "end", 1.0, FAR, -1)]
+
+
+@pytest.mark.parametrize("run,seed", [(ordered, 1), (ordered, 4), (ordered_batches, 2)])
+def test_any_order_within_the_delay_equals_batch(spark, tmp_path, run, seed):
+    files, end = shuffled_files(seed)
+    got = run(land(spark, tmp_path, *files, end), "60 hours").where("product_id <> 'end'").collect()
+    batch = price_changes(spark.createDataFrame([t for f in files for t in f], TICK)).collect()
+    assert sorted((r.id, r.previous_price or 0.0, r.late) for r in got) == sorted((r.id, r.previous_price or 0.0, False) for r in batch)
+
+
+@pytest.mark.parametrize("run", [ordered, ordered_batches])
+def test_the_earlier_tick_may_come_second(spark, tmp_path, run):
+    files = [tick(2, 20.0, 2)], [tick(1, 10.0, 1)], [tick(9, 20.0, 9)], [("s", "end", 1.0, FAR, -1)]
+    got = run(land(spark, tmp_path, *files), "5 hours").where("product_id = 'p'").collect()
+    assert sorted((r.id, r.price, r.previous_price, r.late) for r in got) == [(1, 10.0, None, False), (2, 20.0, 10.0, False)]
+
+
+@pytest.mark.parametrize("run", [ordered, ordered_batches])
+def test_beyond_the_delay_is_late(spark, tmp_path, run):
+    files = [tick(0, 1.0, 0), tick(50, 2.0, 1)], [tick(1, 9.0, 2), tick(49, 3.0, 3)], [("s", "p", 5.0, None, 4), tick(100, 2.0, 5)], [("s", "end", 1.0, FAR, -1)]
+    got = run(land(spark, tmp_path, *files), "8 hours").where("product_id = 'p'").collect()
+    assert {(r.id, r.previous_price, r.late) for r in got} == {(0, None, False), (2, None, True), (3, 1.0, False), (1, 3.0, False), (4, None, True)}
+
+
+def test_forgotten_products(spark, tmp_path):
+    streams.use_rocksdb(spark)
+    files = [tick(0, 1.0, 0)], [tick(10, 1.0, 1, "q")], [tick(200, 1.0, 2, "q")], [tick(210, 1.0, 3)], [("s", "end", 1.0, FAR, -1)]
+    for keep, expected in ((None, [0, 1]), ("100 hours", [0, 1, 2, 3])):
+        folder = tmp_path / str(keep)
+        got = streams.run_available(streams.stream_price_changes(land(spark, folder, *files), "2 hours", keep), "kept")
+        assert sorted(r.id for r in got.where("product_id <> 'end'").collect()) == expected
+
+
+def folder_bytes(path):
+    return sum(f.stat().st_size for f in path.rglob("*.parquet"))
+
+
+def test_a_batch_writes_what_it_touches(spark, tmp_path):
+    """Bytes follow the batch, not the table."""
+    root = tmp_path / "r"
+    run = streams.price_change_batches(str(root), buckets=16)
+    run(spark.createDataFrame([tick(0, 1.0, i, f"p{i}") for i in range(20_000)], TICK), 0)
+    table = folder_bytes(root / "last")
+    sizes, seen = [], table
+    for n in range(1, 6):
+        run(spark.createDataFrame([tick(n, 2.0 + n, 20_000 + n, f"p{n}")], TICK), n)
+        sizes.append(folder_bytes(root / "last") - seen)
+        seen += sizes[-1]
+    assert max(sizes) < table / 20
+    state = KeyedState(spark, f"{root}/last", streams.LAST, store.KEYS, ("recorded_at", "id"), 16)
+    assert state.read().count() == 20_000
+    assert {r.product_id: r.price for r in state.read().where("price > 1").collect()} == {f"p{n}": 2.0 + n for n in range(1, 6)}
+
+
+def test_runs_of_a_bucket_stay_few(spark, tmp_path):
+    state = KeyedState(spark, str(tmp_path / "s"), streams.LAST, store.KEYS, ("recorded_at", "id"), 2)
+    for n in range(8):
+        rows = [("s", f"p{(n * 7 + k) % 30}", n, float(n), START + timedelta(hours=n)) for k in range(6)]
+        for _ in range(2 if n % 5 == 0 else 1):  # repeated versions change nothing
+            state.add(spark.createDataFrame(rows, streams.LAST), n)
+    expected = {}
+    for n in range(8):
+        expected |= {f"p{(n * 7 + k) % 30}": float(n) for k in range(6)}
+    assert {r.product_id: r.price for r in state.read().collect()} == expected
+    sizes = [rows for _, rows in state.manifest()]
+    assert len(sizes) <= 4 and all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
+    assert {r.price for r in state.read(before=1).collect()} == {0.0}
+    before, removed = {tuple(r) for r in state.read().collect()}, state.vacuum()
+    assert len(removed) >= 4 and {tuple(r) for r in state.read().collect()} == before
+    some = state.touched(spark.createDataFrame([("s", "p1", 0, 0.0, START)], streams.LAST))
+    assert len(some) == 1 and state.read(touched=some).where("product_id = 'p1'").count() == 1
+
+
+def test_a_repeated_batch_with_delay_changes_nothing(spark, tmp_path):
+    files, end = shuffled_files(3, 120, files=3)
+    results = []
+    for repeats in (1, 2):
+        root = str(tmp_path / str(repeats))
+        run = streams.price_change_batches(root, "60 hours", buckets=4, tidy_every=repeats)
+        for number, rows in enumerate([*files, end]):
+            for _ in range(repeats):
+                run(spark.createDataFrame(rows, TICK), number)
+        found = spark.read.parquet(f"{root}/changes").where("product_id <> 'end'").collect()
+        results.append(sorted((r.id, r.previous_price or 0.0, r.late) for r in found))
+    assert results[0] == results[1] and len(results[0]) > 30
+
+
 def test_windows_equal_batch(spark, tmp_path):
     files = [[tick(h, float(h), h) for h in range(0, 300, 7)], [tick(h, float(h), h) for h in range(300, 700, 7)]]
     stream = land(spark, tmp_path, *files)
