@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.llm.common import mix64, shingle_set, stored
+from shelfspark.llm.toxicity import release
 
 NULL_ID = 1 << 62
 CELLS = 128
@@ -146,22 +147,25 @@ class Bands:
         return np.concatenate(out)
 
 
-def _nodes(width: int):
+def _nodes(width: int, rows: int = 512):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # a scorer of an earlier stage may still fill this Python worker
         for batch in batches:
-            sets = [set_of(t.as_py(), width) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"), batch.column("mark"), pa.array([fingerprint(s) for s in sets], pa.int64()),
-                    pa.array([len(s) for s in sets], pa.int64()), pa.array([cell_counts(s) for s in sets], pa.binary()),
-                ],
-                ["id", "mark", "node", "n", "cells"],
-            )
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                sets = [set_of(t.as_py(), width) for t in part.column("text")]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("id"), part.column("mark"), pa.array([fingerprint(s) for s in sets], pa.int64()),
+                        pa.array([len(s) for s in sets], pa.int64()), pa.array([cell_counts(s) for s in sets], pa.binary()),
+                    ],
+                    ["id", "mark", "node", "n", "cells"],
+                )
 
     return run
 
 
-def _signatures(width: int, percent: int, slices: int, frequent, flush: int = 2_000_000):
+def _signatures(width: int, percent: int, slices: int, frequent, flush: int = 500_000):
     """(slice, node, its signatures in the slice); sets seen before in the task are passed over.
 
     A slice holds some two million signatures, so 32 bits tell them apart there but for a few in ten thousand.
@@ -180,6 +184,7 @@ def _signatures(width: int, percent: int, slices: int, frequent, flush: int = 2_
         return pa.RecordBatch.from_arrays([pa.array(piece[first]), pa.array(members), lists], ["slice", "node", "signatures"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         bands, seen = Bands(percent, frequent.value), set()
         nodes, found, n = [], [], 0
         for batch in batches:

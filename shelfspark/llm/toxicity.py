@@ -311,6 +311,11 @@ def features(values: np.ndarray, lengths: np.ndarray, window: int = 8) -> tuple[
 _MODEL: dict = {}
 
 
+def release() -> None:
+    """Give up the scorer that a task of this Python worker has left behind."""
+    _MODEL.clear()
+
+
 class Scorer:
     """Features of texts; the values of words are kept for the next texts."""
 
