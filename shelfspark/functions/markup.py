@@ -189,3 +189,42 @@ class FirstFinder:
             if len(found) == open_count:
                 break
         return {self.selectors[place]: e for place, e in found.items()}
+
+
+def label_values(root: Element) -> list[tuple[str, str]]:
+    """Labels with their values, from the rows of tables and from definition lists, in order.
+
+    The first cell of a row names the others; rows of heading cells only, and rows of one cell, name nothing. Terms that follow
+    one another share the definitions after them. Cells, rows and terms need not be closed; the page may be deep.
+    """
+    groups: list[list[tuple[str, list[str]]]] = []
+    stack: list[tuple] = [(root, None, None)]
+    while stack:
+        node, group, cell = stack.pop()
+        if isinstance(node, str):
+            if cell is not None:
+                cell[1].append(node)
+            continue
+        if node.tag in ("script", "style"):
+            continue
+        if node.tag in ("tr", "dl"):
+            group, cell = [], None
+            groups.append(group)
+        elif node.tag in ("td", "th", "dt", "dd") and group is not None:
+            cell = (node.tag, [])
+            group.append(cell)
+        stack.extend((child, group, cell) for child in reversed(node.content))
+    pairs = []
+    for group in groups:
+        cells = [(tag, " ".join("".join(parts).split())) for tag, parts in group]
+        if any(tag in ("dt", "dd") for tag, _ in cells):
+            labels, before = [], "dd"
+            for tag, text in cells:
+                if tag == "dt":
+                    labels = [text] if before == "dd" else [*labels, text]
+                else:
+                    pairs += [(label, text) for label in labels]
+                before = tag
+        elif len(cells) > 1 and any(tag == "td" for tag, _ in cells):
+            pairs.append((cells[0][1], " ".join(text for _, text in cells[1:] if text)))
+    return [(label.rstrip(" :"), value) for label, value in pairs if label.rstrip(" :")]

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.functions.markup import Element, FirstFinder, parse
+from shelfspark.functions.markup import Element, FirstFinder, label_values, parse
 from shelfspark.functions.numbers import extract_price, extract_rating
 from shelfspark.functions.text import (
     PROMOTIONAL_TITLES,
@@ -336,6 +336,41 @@ def extract_details(pages: DataFrame, rules: dict = DETAIL_RULES) -> DataFrame:
     )
 
 
+def extract_specifications(pages: DataFrame, rules: dict = DETAIL_RULES) -> DataFrame:
+    """The columns of the page without html, and ``specifications``: a map of labels to values, one row per page.
+
+    Read from the element the rules name for the source, else from all tables and definition lists of the page. Values of
+    a repeated label are joined by "; ". Pages without any have an empty map, null pages a null one.
+    """
+    carried = [f for f in pages.schema.fields if f.name != "html"]
+    pairs = T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("value", T.StringType())]))
+    schema = T.StructType([*carried, T.StructField("_pairs", pairs)])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kind = to_arrow_type(pairs)
+        for batch in batches:
+            for start in range(0, batch.num_rows, CARDS_PER_BATCH):
+                part = batch.slice(start, CARDS_PER_BATCH)
+                found = []
+                for html, source in zip(part.column("html"), part.column("source"), strict=True):
+                    if html.as_py() is None:
+                        found.append(None)
+                        continue
+                    page, held = parse(html.as_py()), {}
+                    selectors = rules.get(source.as_py(), {}).get("specifications", ())
+                    place = next((e for e in (page.first(s) for s in selectors) if e is not None), page)
+                    for label, value in label_values(place):
+                        held.setdefault(label, {})[value] = True
+                    found.append([{"label": label, "value": "; ".join(values)} for label, values in held.items()])
+                columns = [part.column(f.name) for f in carried]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, kind)], [f.name for f in schema.fields])
+
+    rows = pages.select(*[f.name for f in carried], "html").mapInArrow(read, schema)
+    return rows.withColumn("specifications", F.map_from_entries("_pairs")).drop("_pairs")
+
+
 # Sources read as plain pages, and sources that need a browser.
 STATIC_SOURCES = ("ebay", "walmart")
 RENDERED_SOURCES = ("amazon",)

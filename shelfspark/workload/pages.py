@@ -194,6 +194,38 @@ def x9_amazon_details(spark, sf):
     return extract.extract_details(pages).select("page_id", "description", "availability")
 
 
+@query(
+    """SELECT p_partkey AS page_id, ['ebay', 'walmart', 'elsewhere'][p_partkey % 3 + 1] AS source,
+    CASE WHEN p_partkey % 3 = 2 THEN 'All about ' || p_name END AS description,
+    CASE WHEN p_partkey % 3 = 0 THEN p_type || ' (98.7%)' END AS seller_name,
+    CASE WHEN p_partkey % 3 = 1 THEN 'Brand' || p_brand || 'Size:' || p_size || ' cm' END AS specifications,
+    p_brand AS brand, p_size || ' cm' AS size, CASE WHEN p_partkey % 3 = 2 THEN p_type || '; ' || p_brand END AS kind,
+    CAST(CASE WHEN p_partkey % 3 = 2 THEN 4 ELSE 2 END AS INTEGER) AS labels FROM part"""
+)
+def x9_detail_pages(spark, sf):
+    """Detail pages of three kinds, written from the catalogue: a table, a table with the cells left open, a definition list."""
+    text = lambda *parts: F.concat(*[F.col(p[1:]).cast("string") if p.startswith("$") else F.lit(p) for p in parts])
+    ebay = text('<div class="seller-persona"> ', "$p_type", "  (98.7%)\n</div><table><tr><th>Item</th><th>Specifics</th></tr><tr><th>Brand</th><td>",
+                "$p_brand", "</td></tr><tr><td>Size:</td><td> ", "$p_size", " </td><td>cm</td></tr><tr><td>alone</td></tr></table>")
+    walmart = text("<table><tr><td>Brand</td><td>other</td></tr></table><table class='specs-table'><tr><td>Brand<td>", "$p_brand",
+                   "<tr><td>Size:<td>", "$p_size", " cm</table>")
+    other = text("<p class='long-description'>All about ", "$p_name", "</p><dl><dt>Brand<dd>", "$p_brand", "<dt>Size</dt><dt>Height</dt><dd>", "$p_size",
+                 " cm</dd><dt>Kind</dt><dd>", "$p_type", "</dd><dd>", "$p_brand", "</dd><dd>", "$p_type", "</dd></dl>")
+    number = F.col("p_partkey") % 3
+    pages = spread(table(spark, sf, "part"), "p_partkey").select(
+        F.col("p_partkey").alias("page_id"),
+        F.when(number == 0, "ebay").when(number == 1, "walmart").otherwise("elsewhere").alias("source"),
+        F.when(number == 0, ebay).when(number == 1, walmart).otherwise(other).alias("html"),
+    )
+    details = extract.extract_details(pages).drop("availability", "position")
+    pairs = extract.extract_specifications(pages).select("page_id", F.col("specifications").alias("map"))
+    of = lambda label: F.try_element_at("map", F.lit(label))
+    return details.join(pairs, "page_id").select(
+        "page_id", "source", "description", "seller_name", "specifications", of("Brand").alias("brand"), of("Size").alias("size"),
+        of("Kind").alias("kind"), F.size("map").alias("labels"),
+    )
+
+
 @query(
     """SELECT page_id, CAST(regexp_extract(html, '(?s)<article>(.*)</article>', 1) <> '' AS BOOLEAN) AS has_article,
     CASE WHEN contains(html, '<div class="ad">') THEN true ELSE false END AS has_ad FROM pages"""

@@ -374,6 +374,27 @@ def _runs(spark, sf):
     )
 
 
+@query(
+    """SELECT source, list_sort(list(DISTINCT search_keyword)) AS search_keywords, CAST(3 AS INTEGER) AS max_pages, 'running' AS status,
+    '2024-02-01 00:00:00' AS started_at, '3' AS max_pages_setting, true AS unique_ids
+    FROM (SELECT DISTINCT source, search_keyword FROM listings) GROUP BY source""",
+    ("listings",),
+)
+def w3_start_runs(spark, sf):
+    """A run for every source of the listings with the source's keywords, stored and read back; a handful of sources."""
+    wanted = listings(spark, sf).groupBy("source").agg(F.sort_array(F.collect_set("search_keyword")).alias("keywords"))
+    path = scratch_path(spark, "runs")
+    for r in wanted.orderBy("source").collect():
+        started = runs.start_run(spark, r.source, r.keywords, {"max_pages": 3, "delay": 1.5}, "2024-02-01 00:00:00")
+        started.write.mode("append").parquet(path)
+    stored = spark.read.parquet(path)
+    total = stored.agg(F.count(F.lit(1)) == F.count_distinct("session_id")).scalar()
+    return stored.select(
+        "source", "search_keywords", "max_pages", "status", F.col("started_at").cast("string").alias("started_at"),
+        F.col("scraper_config")["max_pages"].alias("max_pages_setting"), total.alias("unique_ids"),
+    )
+
+
 @query(
     """WITH u AS (SELECT l_orderkey, max(l_shipdate) AS completed_at, count(*) AS found FROM lineitem GROUP BY l_orderkey)
     SELECT CAST(o_orderkey AS VARCHAR) AS session_id, o_orderdate AS started_at, u.completed_at,

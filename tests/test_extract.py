@@ -195,3 +195,13 @@ def test_errors_of_pages(spark):
     errors = {r.page_id: r.error for r in extract.page_errors(rows).collect()}
     assert errors == {2: "no page", 3: "empty page", 4: "empty page", 5: "no markup", 6: "not UTF-8", 7: "binary content", 8: "no markup"}
     assert [r.page_id for r in extract.page_links(rows).collect()] == [1]
+
+
+def test_specifications(spark):
+    deep = "<table><tr><td>a<td>b" * 20_000
+    rows = pages(
+        spark, ("walmart", "<table><tr><td>x<td>no</table><div class='specs-table'><table><tr><th>Color :<td> dark  <b>red</b><tr><td><td>y</table></div>"),
+        ("ebay", "<dl><dt>A<dd>1<dd>2<dt>B<dt>C<dd>3<script>4</script></dl><td>out</td><tr><td>one</td></tr>"), ("x", None), ("x", "<p>none"), ("x", deep),
+    )
+    got = {r.page_id: r.specifications for r in extract.extract_specifications(rows).collect()}
+    assert got == {0: {"Color": "dark red"}, 1: {"A": "1; 2", "B": "3", "C": "3"}, 2: None, 3: {}, 4: {"a": "b"}}

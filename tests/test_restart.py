@@ -34,10 +34,9 @@ def dying(run, at, before):
     return wrapped
 
 
-@pytest.mark.parametrize("before", [True, False])
-def test_price_changes_go_on_after_a_kill(spark, tmp_path, before):
-    stream, root = files(spark, tmp_path / "in"), str(tmp_path / "out")
-    for at in (1, 3):
+def test_price_changes_go_on_after_a_kill(spark, tmp_path):
+    stream, root = files(spark, tmp_path / "in", 4), str(tmp_path / "out")
+    for at, before in ((1, True), (2, False)):
         with pytest.raises(Exception, match="killed"):
             streams._run_batches(stream, root, dying(streams.price_change_batches(root), at, before))
     streams._run_batches(stream, root, streams.price_change_batches(root))
@@ -81,13 +80,13 @@ def test_versions_stay_bounded(spark, tmp_path):
     run = streams.ingest(root, compact_every=1, keep=2)
     run(listing(spark, 0), 0)
     with store.reading(spark, f"{root}/products") as held:
-        for n in range(1, 5):
+        for n in range(1, 4):
             run(listing(spark, n), n)
-        assert store.versions(spark, f"{root}/products") == [0, 3, 4]
+        assert store.versions(spark, f"{root}/products") == [0, 2, 3]
         assert {r.price for r in held.collect()} == {5.0}
-    run(listing(spark, 5), 5)
-    assert store.versions(spark, f"{root}/products") == [4, 5]
-    assert {r.price for r in store.read_version(spark, f"{root}/products").collect()} == {10.0}
+    run(listing(spark, 4), 4)
+    assert store.versions(spark, f"{root}/products") == [3, 4]
+    assert {r.price for r in store.read_version(spark, f"{root}/products").collect()} == {9.0}
 
 
 def test_vacuum(spark, tmp_path):

@@ -74,7 +74,7 @@ def ordered_batches(stream, delay):
 FAR = START + timedelta(days=2000)
 
 
-def shuffled_files(seed, n=400, disorder=40, files=5):
+def shuffled_files(seed, n=400, disorder=40, files=4):
     """Ticks that arrive up to ``disorder`` hours late, cut into files, and a tick far later that closes all."""
     rng = random.Random(seed)
     ticks = [tick(rng.randint(0, 300), float(rng.randint(1, 4)), i, f"p{rng.randint(0, 6)}") for i in range(n)]
@@ -87,7 +87,7 @@ def shuffled_files(seed, n=400, disorder=40, files=5):
     return files, [("s", "end", 1.0, FAR, -1)]
 
 
-@pytest.mark.parametrize("run,seed", [(ordered, 1), (ordered, 4), (ordered_batches, 2)])
+@pytest.mark.parametrize("run,seed", [(ordered, 1), (ordered_batches, 2)])
 def test_any_order_within_the_delay_equals_batch(spark, tmp_path, run, seed):
     files, end = shuffled_files(seed)
     got = run(land(spark, tmp_path, *files, end), "60 hours").where("product_id <> 'end'").collect()
@@ -129,37 +129,37 @@ def test_a_batch_writes_what_it_touches(spark, tmp_path):
     run(spark.createDataFrame([tick(0, 1.0, i, f"p{i}") for i in range(20_000)], TICK), 0)
     table = folder_bytes(root / "last")
     sizes, seen = [], table
-    for n in range(1, 6):
+    for n in range(1, 4):
         run(spark.createDataFrame([tick(n, 2.0 + n, 20_000 + n, f"p{n}")], TICK), n)
         sizes.append(folder_bytes(root / "last") - seen)
         seen += sizes[-1]
     assert max(sizes) < table / 20
     state = KeyedState(spark, f"{root}/last", streams.LAST, store.KEYS, ("recorded_at", "id"), 16)
     assert state.read().count() == 20_000
-    assert {r.product_id: r.price for r in state.read().where("price > 1").collect()} == {f"p{n}": 2.0 + n for n in range(1, 6)}
+    assert {r.product_id: r.price for r in state.read().where("price > 1").collect()} == {f"p{n}": 2.0 + n for n in range(1, 4)}
 
 
 def test_runs_of_a_bucket_stay_few(spark, tmp_path):
     state = KeyedState(spark, str(tmp_path / "s"), streams.LAST, store.KEYS, ("recorded_at", "id"), 2)
-    for n in range(8):
+    for n in range(6):
         rows = [("s", f"p{(n * 7 + k) % 30}", n, float(n), START + timedelta(hours=n)) for k in range(6)]
         for _ in range(2 if n % 5 == 0 else 1):  # repeated versions change nothing
             state.add(spark.createDataFrame(rows, streams.LAST), n)
     expected = {}
-    for n in range(8):
+    for n in range(6):
         expected |= {f"p{(n * 7 + k) % 30}": float(n) for k in range(6)}
     assert {r.product_id: r.price for r in state.read().collect()} == expected
     sizes = [rows for _, rows in state.manifest()]
     assert len(sizes) <= 4 and all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
     assert {r.price for r in state.read(before=1).collect()} == {0.0}
     before, removed = {tuple(r) for r in state.read().collect()}, state.vacuum()
-    assert len(removed) >= 4 and {tuple(r) for r in state.read().collect()} == before
+    assert len(removed) >= 2 and {tuple(r) for r in state.read().collect()} == before
     some = state.touched(spark.createDataFrame([("s", "p1", 0, 0.0, START)], streams.LAST))
     assert len(some) == 1 and state.read(touched=some).where("product_id = 'p1'").count() == 1
 
 
 def test_a_repeated_batch_with_delay_changes_nothing(spark, tmp_path):
-    files, end = shuffled_files(3, 120, files=3)
+    files, end = shuffled_files(3, 120, files=2)
     results = []
     for repeats in (1, 2):
         root = str(tmp_path / str(repeats))
