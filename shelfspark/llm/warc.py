@@ -111,8 +111,11 @@ def revisit_plan(pages: DataFrame, min_revisit_bytes: int) -> DataFrame:
     keyed = pages.withColumns({"digest": F.sha1("payload"), "length": F.octet_length("payload")})
     long_enough = keyed.select("id", "digest", "length").where(F.col("length") >= min_revisit_bytes)
     groups = long_enough.groupBy("digest").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # Only rows with a copy elsewhere meet a partner; a large group of copies is split by adaptive execution.
-    joined = keyed.join(groups.drop("n"), "digest", "left")
+    # Shorter payloads can have no partner: null and empty pages get keys of their own instead of meeting in one task. A large
+    # group of copies is split by adaptive execution.
+    alone = F.concat(F.lit("-"), F.xxhash64("id", "url").cast("string"))
+    sought = keyed.withColumn("digest", F.when(F.col("length") >= min_revisit_bytes, F.col("digest")).otherwise(alone))
+    joined = sought.join(groups.drop("n"), "digest", "left")
     other = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")) & (F.col("length") >= min_revisit_bytes)
     name = "urn:page:%s"
     return joined.select(
@@ -252,6 +255,11 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch(rows)
 
 
-def read_archives(paths: DataFrame) -> DataFrame:
-    """Every record of the archives in a column ``path``; each archive is read by one task, in order."""
-    return paths.select("path").repartition(F.col("path")).mapInArrow(_reader, RECORD)
+def read_archives(paths: DataFrame, most_tasks: int = 100_000) -> DataFrame:
+    """Every record of the archives in a column ``path``; each archive is read by one task, in order.
+
+    The archives are dealt to as many tasks as there are archives. The number is given, so that adaptive execution does not merge
+    the few bytes of the paths into one task.
+    """
+    tasks = min(max(paths.count(), 1), most_tasks)
+    return paths.select("path").repartition(tasks, "path").mapInArrow(_reader, RECORD)

@@ -70,3 +70,23 @@ def test_damage_is_told(spark, tmp_path):
     (tmp_path / "bad.warc.gz").write_bytes(good + b"no gzip")
     found = read_archives(spark.createDataFrame([(f"file://{tmp_path}/bad.warc.gz",)], "path string")).toPandas()
     assert len(found) == 2 and found["error"].notna().sum() == 1
+
+
+def test_archives_spread_over_tasks(spark):
+    """As many tasks as archives read them, also where the paths are a few bytes."""
+    rows = [(i, f"u{i}", f"{i} " * 400) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    paths = write_archives(pages, archive_bytes=1)
+    records = read_archives(paths)
+    parts = records.selectExpr("spark_partition_id() AS part", "path").distinct().groupBy("part").count().collect()
+    assert paths.count() == 40 and records.rdd.getNumPartitions() == 40
+    assert len(parts) > 15 and max(r["count"] for r in parts) < 10
+
+
+def test_short_payloads_meet_nobody(spark):
+    """Null and empty pages, thousands of them, have no join key in common."""
+    from shelfspark.llm.warc import revisit_plan
+
+    pages = spark.range(3000).selectExpr("id", "CAST(NULL AS string) AS url", "CAST('' AS binary) AS payload")
+    plan = revisit_plan(pages, 1000)
+    assert plan.count() == 3000 and plan.where("refers_to IS NOT NULL").isEmpty()
