@@ -9,16 +9,19 @@ hundred shingles; larger ones have parts enough to ask for equal parts). Linked
 a reason to compare.
 
 Signatures over very few telling shingles would bring unrelated sets together. Telling are the shingles that are not
-frequent in a sample of ``SAMPLE`` documents. A set leaves out its weakest parts' signatures, as long as fewer parts are
-affected than agree for certain: whatever two linked sets leave out, one common signature remains. The sample only
-decides which signatures are left out, never which links are found.
+frequent: not in ``FREQUENT`` or more of every eighth distinct set, chosen by its fingerprint. That is about thirty sets at any
+size of the corpus, so the groups that a passage of fewer sets may form stay as small as they are. At most ``MOST_FREQUENT``
+hashes, the most frequent ones, are sent to the tasks. A set leaves out its weakest parts' signatures, as long as fewer parts are
+affected than agree for certain: whatever two linked sets leave out, one common signature remains. The frequent shingles
+only decide which signatures are left out, never which links are found.
 
 Equal sets are one node from the start. Candidates are first compared by counts of their shingles in 128 cells, which bound
 the difference from below, then exactly. Within a signature's group every member is first compared with the smallest one
 only; links found make components, and only members of different components of a group are compared after that. So every
 link between different components is found, while groups of near copies cost one comparison per member. Unrelated sets that
 share a signature in spite of all that are still compared in pairs.
-Nodes are known by 64-bit fingerprints of their sets; shingles by 64-bit hashes.
+Nodes are known by 64-bit fingerprints of their sets; shingles by 64-bit hashes. Texts are cut into sets once; the sets are
+stored, and signatures and comparisons start from them. A very long text is one row with one set, which a task holds whole.
 
 Cases. Null, empty and blank texts have empty sets and are linked with nothing. Rows that repeat an id are nodes by their
 texts, and each row gets the component of its own text. Null ids (and ids are below 2 ** 62) rank last: a component of
@@ -45,8 +48,10 @@ CELLS = 128
 STAR_TURNS = 3
 #: Largest difference up to which subsets of sections are enumerated.
 ENUMERATED = 30
-#: Documents of the sample that tells frequent shingles; a shingle in so many of them is frequent.
-SAMPLE, FREQUENT, MOST_FREQUENT = 5_000, 5, 200_000
+#: Of one in ``EVERY`` distinct sets, a shingle in ``FREQUENT`` of them is frequent; 4 million hashes are 32 MB.
+EVERY, FREQUENT, MOST_FREQUENT = 8, 4, 4_000_000
+#: Rows that a task of the set table buffers before they are written.
+SET_BLOCK = {"parquet.block.size": str(16 << 20), "parquet.enable.dictionary": "false"}
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -148,25 +153,39 @@ class Bands:
 
 
 def _nodes(width: int, rows: int = 512):
+    """(id, mark, node, n, place, cells, marks) of every text; the set itself only with the first text of a node in a task.
+
+    ``place`` is the number of the row in the stored table.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         release()  # a scorer of an earlier stage may still fill this Python worker
+        place, seen = TaskContext.get().partitionId() << 40, {0}
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
                 part = batch.slice(start, rows)
-                sets = [set_of(t.as_py(), width) for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("id"), part.column("mark"), pa.array([fingerprint(s) for s in sets], pa.int64()),
-                        pa.array([len(s) for s in sets], pa.int64()), pa.array([cell_counts(s) for s in sets], pa.binary()),
-                    ],
-                    ["id", "mark", "node", "n", "cells"],
-                )
+                nodes, sizes, cells, marks = [], [], [], []
+                for text in part.column("text"):
+                    values = set_of(text.as_py(), width)
+                    nodes.append(fingerprint(values))
+                    sizes.append(len(values))
+                    fresh = nodes[-1] not in seen
+                    seen.add(nodes[-1])
+                    cells.append(cell_counts(values) if fresh else None)
+                    marks.append(values.tobytes() if fresh else None)
+                places = pa.array(range(place, place + len(nodes)), pa.int64())
+                place += len(nodes)
+                columns = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), places, pa.array(cells, pa.binary()), pa.array(marks, pa.binary())]
+                names = ["id", "mark", "node", "n", "place", "cells", "marks"]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("mark"), *columns], names)
 
     return run
 
 
-def _signatures(width: int, percent: int, slices: int, frequent, flush: int = 500_000):
-    """(slice, node, its signatures in the slice); sets seen before in the task are passed over.
+def _signatures(percent: int, slices: int, frequent, flush: int = 500_000):
+    """(slice, node, its signatures in the slice) of rows (node, marks).
 
     A slice holds some two million signatures, so 32 bits tell them apart there but for a few in ten thousand.
     """
@@ -184,18 +203,12 @@ def _signatures(width: int, percent: int, slices: int, frequent, flush: int = 50
         return pa.RecordBatch.from_arrays([pa.array(piece[first]), pa.array(members), lists], ["slice", "node", "signatures"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        bands, seen = Bands(percent, frequent.value), set()
+        bands = Bands(percent, frequent.value)
         nodes, found, n = [], [], 0
         for batch in batches:
-            for text in batch.column("text"):
-                marks = set_of(text.as_py(), width)
-                node = fingerprint(marks)
-                if not len(marks) or node in seen:
-                    continue
-                seen.add(node)
+            for node, marks in zip(batch.column("node").to_pylist(), batch.column("marks"), strict=True):
                 nodes.append(node)
-                found.append(bands.signatures(marks))
+                found.append(bands.signatures(np.frombuffer(marks.as_py(), dtype=np.uint64)))
                 n += len(found[-1])
                 if n >= flush:
                     yield emit(nodes, found)
@@ -264,27 +277,6 @@ def _groups(most: int = 500_000):
     return run
 
 
-def _marks(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                sets, last, held = [], None, None
-                for text in part.column("text"):
-                    data = text.as_py()
-                    if data != last or held is None:  # one text stands here once for every hub
-                        last, held = data, set_of(data, width)
-                    sets.append(held)
-                # Ids may repeat: only the text whose set is the node's counts.
-                own = [i for i, (s, n) in enumerate(zip(sets, part.column("node").to_pylist(), strict=True)) if fingerprint(s) == n]
-                arrays = [part.column(c).take(pa.array(own, pa.int64())) for c in ("hub", "salt", "node")]
-                yield pa.RecordBatch.from_arrays(
-                    [*arrays, pa.array([sets[i].tobytes() for i in own], pa.binary())], ["hub", "salt", "node", "marks"]
-                )
-
-    return run
-
-
 def _compare(percent: int):
     """Streams rows sorted by (hub, salt, hub's own row first): links of the hub with the others."""
 
@@ -307,22 +299,22 @@ def _compare(percent: int):
     return run
 
 
-def verify(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, percent: int, hub_rows: int = 5000) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough. ``nodes`` (node, rep) tells the id of a text of every node.
+def verify(pairs: DataFrame, sets: DataFrame, places: DataFrame, percent: int, hub_rows: int = 5000, small_rows: int = 400_000) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough. ``places`` (node, place) tells where the set of every node stands.
 
-    Only the texts of the pairs' nodes are read again. A node with very many partners is compared in several tasks.
+    Only the sets of the pairs' nodes are read. A node with very many partners is compared in several tasks. Up to
+    ``small_rows`` wanted rows (some fifty bytes each) are broadcast, more are shuffled.
     """
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / hub_rows).cast("int").alias("salts"))
     partners = pairs.join(salts, "a").select(
         F.col("b").alias("node"), F.col("a").alias("hub"), F.pmod(F.hash("b"), F.col("salts")).alias("salt")
     )
     own = salts.select(F.col("a").alias("node"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    needed = stored(partners.unionByName(own).join(nodes, "node"), "to-compare")
-    small = needed.count() <= 400_000  # some fifty bytes a row
+    needed = stored(partners.unionByName(own).join(places, "node"), "to-compare")
+    small = needed.count() <= small_rows
     wanted = F.broadcast(needed) if small else needed.hint("shuffle_hash")
-    rows = texts.join(wanted, texts["id"].eqNullSafe(F.col("rep"))).select("hub", "salt", "node", "text")
-    sets = rows.mapInArrow(_marks(width), "hub long, salt int, node long, marks binary")
-    dealt = sets.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("node") != F.col("hub"), "node")
+    rows = sets.select("place", "marks").join(wanted, "place").select("hub", "salt", "node", "marks")
+    dealt = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("node") != F.col("hub"), "node")
     return stored(dealt.mapInArrow(_compare(percent), "a long, b long"), "links").distinct()
 
 
@@ -445,18 +437,20 @@ def cross_pairs(rows: DataFrame, classes: DataFrame, percent: int, block: int =
     return dealt.mapInArrow(_cross(percent), "a long, b long").distinct()
 
 
-def frequent_shingles(texts: DataFrame, rows: int, width: int) -> np.ndarray:
-    """Sorted hashes of the shingles that many documents of a bounded sample share."""
+def frequent_shingles(sets: DataFrame, every: int = EVERY, least: int = FREQUENT, most: int = MOST_FREQUENT) -> np.ndarray:
+    """Sorted hashes of the shingles in ``least`` or more of one in ``every`` distinct sets (node, marks)."""
 
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column("text"):
-                yield pa.RecordBatch.from_arrays([pa.array(set_of(text.as_py(), width).view(np.int64))], ["mark"])
+            for node, marks in zip(batch.column("node").to_pylist(), batch.column("marks"), strict=True):
+                values = np.frombuffer(marks.as_py(), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.full(len(values), node))], ["mark", "node"])
 
-    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(rows // SAMPLE)) == 0) if rows > SAMPLE else texts
-    counts = sample.select("text").mapInArrow(marks, "mark long").groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
-    most = counts.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "mark").limit(MOST_FREQUENT)
-    return np.sort(most.toArrow().column("mark").to_numpy().view(np.uint64))
+    chosen = sets.where(F.pmod("node", F.lit(every)) == 0).select("node", "marks")
+    # A set may stand once in every task; the distinct pairs count it once.
+    counts = chosen.mapInArrow(unfold, "mark long, node long").distinct().groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "mark").limit(most)
+    return np.sort(found.toArrow().column("mark").to_numpy().view(np.uint64))
 
 
 def link_components(docs: DataFrame, width: int = 5, percent: int = 75, id_column: str = "doc_id") -> DataFrame:
@@ -466,32 +460,34 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75, id_colum
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
-    nodes = texts.withColumn("mark", F.xxhash64("text")).mapInArrow(_nodes(width), "id long, mark long, node long, n long, cells binary")
-    rows = stored(nodes, "sets")
+    shape = "id long, mark long, node long, n long, place long, cells binary, marks binary"
+    rows = stored(texts.withColumn("mark", F.xxhash64("text")).mapInArrow(_nodes(width), shape), "sets", SET_BLOCK)
+    sets = rows.where("marks IS NOT NULL")
     ranked = F.coalesce(F.col("id"), F.lit(NULL_ID))
-    classes = stored(rows.where("n > 0").groupBy("node").agg(F.min(ranked).alias("rep"), F.max("n").alias("n"), F.min("cells").alias("cells")), "classes")
-    n_classes, shingles = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    frequent = spark.sparkContext.broadcast(frequent_shingles(texts, n_classes, width))  # at most MOST_FREQUENT hashes
-    slices = 64
+    place = F.min(F.when(F.col("cells").isNotNull(), F.col("place")))
+    one = rows.where("n > 0").groupBy("node").agg(F.min(ranked).alias("rep"), F.max("n").alias("n"), F.min("cells").alias("cells"), place.alias("place"))
+    classes = stored(one, "classes")
+    shingles = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequent = spark.sparkContext.broadcast(frequent_shingles(sets))  # at most MOST_FREQUENT hashes
+    slices = 16
     while slices * 2_000_000 < shingles:
         slices *= 2
-    signatures = texts.select("text").mapInArrow(_signatures(width, percent, slices, frequent), "slice long, node long, signatures array<int>")
+    signatures = sets.select("node", "marks").mapInArrow(_signatures(percent, slices, frequent), "slice long, node long, signatures array<int>")
     number = F.col("slice").bitwiseOR(F.shiftleft(F.col("_signature").cast("long"), 24))
     dealt = signatures.repartition("slice").select("slice", "node", F.explode("signatures").alias("_signature"))
     dealt = dealt.select(number.alias("signature"), "node").sortWithinPartitions("signature", "node")
     groups = stored(dealt.mapInArrow(_groups(), "name long, node long, leader long, size long"), "groups")
-    # A text of every class: that of its smallest id.
-    reps = classes.select("node", F.when(F.col("rep") < NULL_ID, F.col("rep")).alias("rep"))
+    places = classes.select("node", "place")
     near = groups.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     near = stored(possible(near, classes, percent), "pairs")
-    links = verify(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, reps, width, percent)
+    links = verify(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, places, percent)
     labels = components(links)
 
     def add(pairs: DataFrame) -> bool:
         """Compare the pairs; whether there are new links."""
         nonlocal links, labels
         pairs = stored(pairs, "pairs")
-        found = None if pairs.isEmpty() else verify(pairs, texts, reps, width, percent)
+        found = None if pairs.isEmpty() else verify(pairs, sets, places, percent)
         if found is None or found.isEmpty():
             return False
         links = links.unionByName(found)

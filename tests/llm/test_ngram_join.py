@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from shelfspark.llm.common import shingle_set
-from shelfspark.llm.ngram_join import Bands, _groups, components, link_components
+from shelfspark.llm.ngram_join import Bands, _groups, components, frequent_shingles, link_components, verify
 
 from odd_rows import LONG, ODD_ROWS
 
@@ -134,3 +134,26 @@ def test_components(spark):
     got = {r.node: r.label for r in components(links).collect()}
     assert got == {**dict.fromkeys(range(21), 0), **dict.fromkeys((50, 40, 60, -5), -5), 70: 70, 71: 70}
     assert components(links.limit(0)).count() == 0
+
+
+def test_frequent_shingles_cover_all_sets(spark):
+    """Counted over distinct sets, whatever tasks hold them, and not over copies."""
+    common, other = np.arange(10, dtype=np.uint64), np.arange(100, 104, dtype=np.uint64)
+    sets = [(8 * i, np.append(common, np.uint64(1000 + i)).tobytes()) for i in range(4)]
+    sets += [(80, other.tobytes())] * 50  # one set that stands in many tasks
+    sets += [(8 * i + 1, np.append(other, np.uint64(2000 + i)).tobytes()) for i in range(20)]  # not among those counted
+    rows = spark.createDataFrame(sets, "node long, marks binary").repartition(7)
+    assert frequent_shingles(rows).tolist() == list(range(10))
+    assert frequent_shingles(rows, every=1).tolist() == [*range(10), *range(100, 104)]
+    assert len(frequent_shingles(rows, most=3)) == 3
+    assert not len(frequent_shingles(rows.limit(0)))
+
+
+@pytest.mark.parametrize("small_rows", [0, 400_000])
+def test_sets_are_compared_exactly(spark, small_rows):
+    """Both ways to bring the sets to their pairs."""
+    marks = {1: range(75), 2: range(100), 3: range(26, 101), 4: range(74)}
+    sets = spark.createDataFrame([(n, 10 * n, np.array(m, dtype=np.uint64).tobytes()) for n, m in marks.items()], "node long, place long, marks binary")
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (2, 4), (1, 4), (1, 3)], "a long, b long")
+    found = verify(pairs, sets, sets.select("node", "place"), 75, hub_rows=1, small_rows=small_rows)
+    assert sorted((r.a, r.b) for r in found.collect()) == [(1, 2), (1, 4)]
