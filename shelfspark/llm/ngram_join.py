@@ -437,18 +437,20 @@ def cross_pairs(rows: DataFrame, classes: DataFrame, percent: int, block: int =
     return dealt.mapInArrow(_cross(percent), "a long, b long").distinct()
 
 
-def frequent_shingles(sets: DataFrame, every: int = EVERY, least: int = FREQUENT, most: int = MOST_FREQUENT) -> np.ndarray:
-    """Sorted hashes of the shingles in ``least`` or more of one in ``every`` distinct sets (node, marks)."""
+def frequent_shingles(sets: DataFrame, places: DataFrame, every: int = EVERY, least: int = FREQUENT, most: int = MOST_FREQUENT) -> np.ndarray:
+    """Sorted hashes of the shingles in ``least`` or more of one in ``every`` distinct sets (node, place, marks).
+
+    A set may stand once in every task; that at its node's place (``places``) counts.
+    """
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, marks in zip(batch.column("node").to_pylist(), batch.column("marks"), strict=True):
-                values = np.frombuffer(marks.as_py(), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.full(len(values), node))], ["mark", "node"])
+            for marks in batch.column("marks"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(marks.as_py(), dtype=np.int64))], ["mark"])
 
-    chosen = sets.where(F.pmod("node", F.lit(every)) == 0).select("node", "marks")
-    # A set may stand once in every task; the distinct pairs count it once.
-    counts = chosen.mapInArrow(unfold, "mark long, node long").distinct().groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
+    counted = F.pmod("node", F.lit(every)) == 0
+    chosen = sets.where(counted).join(places.where(counted).select("place"), "place", "left_semi").select("marks")
+    counts = chosen.mapInArrow(unfold, "mark long").groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
     found = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "mark").limit(most)
     return np.sort(found.toArrow().column("mark").to_numpy().view(np.uint64))
 
@@ -468,8 +470,9 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75, id_colum
     one = rows.where("n > 0").groupBy("node").agg(F.min(ranked).alias("rep"), F.max("n").alias("n"), F.min("cells").alias("cells"), place.alias("place"))
     classes = stored(one, "classes")
     shingles = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    frequent = spark.sparkContext.broadcast(frequent_shingles(sets))  # at most MOST_FREQUENT hashes
-    slices = 16
+    places = classes.select("node", "place")
+    frequent = spark.sparkContext.broadcast(frequent_shingles(sets, places))  # at most MOST_FREQUENT hashes
+    slices = 64
     while slices * 2_000_000 < shingles:
         slices *= 2
     signatures = sets.select("node", "marks").mapInArrow(_signatures(percent, slices, frequent), "slice long, node long, signatures array<int>")
@@ -477,7 +480,6 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75, id_colum
     dealt = signatures.repartition("slice").select("slice", "node", F.explode("signatures").alias("_signature"))
     dealt = dealt.select(number.alias("signature"), "node").sortWithinPartitions("signature", "node")
     groups = stored(dealt.mapInArrow(_groups(), "name long, node long, leader long, size long"), "groups")
-    places = classes.select("node", "place")
     near = groups.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     near = stored(possible(near, classes, percent), "pairs")
     links = verify(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, places, percent)

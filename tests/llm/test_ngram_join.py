@@ -142,11 +142,12 @@ def test_frequent_shingles_cover_all_sets(spark):
     sets = [(8 * i, np.append(common, np.uint64(1000 + i)).tobytes()) for i in range(4)]
     sets += [(80, other.tobytes())] * 50  # one set that stands in many tasks
     sets += [(8 * i + 1, np.append(other, np.uint64(2000 + i)).tobytes()) for i in range(20)]  # not among those counted
-    rows = spark.createDataFrame(sets, "node long, marks binary").repartition(7)
-    assert frequent_shingles(rows).tolist() == list(range(10))
-    assert frequent_shingles(rows, every=1).tolist() == [*range(10), *range(100, 104)]
-    assert len(frequent_shingles(rows, most=3)) == 3
-    assert not len(frequent_shingles(rows.limit(0)))
+    rows = spark.createDataFrame([(i, *s) for i, s in enumerate(sets)], "place long, node long, marks binary").repartition(7)
+    places = rows.groupBy("node").agg({"place": "min"}).toDF("node", "place")
+    assert frequent_shingles(rows, places).tolist() == list(range(10))
+    assert frequent_shingles(rows, places, every=1).tolist() == [*range(10), *range(100, 104)]
+    assert len(frequent_shingles(rows, places, most=3)) == 3
+    assert not len(frequent_shingles(rows.limit(0), places))
 
 
 @pytest.mark.parametrize("small_rows", [0, 400_000])
