@@ -52,6 +52,44 @@ def test_clean_text(spark):
     assert got == [p for _, p in TEXTS]
 
 
+def test_unescape_agrees_with_the_standard(spark):
+    """Every name of the table, numbers of all kinds, and random strings made of the pieces of references."""
+    import html
+    import random
+    from html.entities import html5
+
+    rng = random.Random(5)
+    numbers = [0, 1, 8, 9, 10, 11, 13, 14, 31, 65, 127, 128, 129, 150, 159, 160, 0xD800, 0xDFFF, 0xFDD0, 0xFFFD, 0xFFFE, 0x1F600, 0x1FFFF, 0x10FFFF, 0x110000, 10**9, 10**20]
+    shown = [f"a&{name}b" for name in html5] + [f"&{name.rstrip(';')}" for name in html5]
+    shown += [f"x&#{z}{n}{end}y" for n in numbers for z in ("", "000") for end in (";", "")]
+    shown += [f"x&#{x}0{n:x}{end}z" for n in numbers for x in "xX" for end in (";", "")]
+    bits = ["&", "&amp", ";", "#", "x", "X", "41", "lt", "amp;", "not", "it;", "notin", "nbsp;", " ", "\t", "\n", "\f", "<", "é", "😀", "&#", "&#x", "A", "copy", "frac12", "0", "q" * 40]
+    shown += ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 9))) for _ in range(6000)]
+    shown += ["", "&", "&&", "a&", "&;", "&#;", "&#x;", "&amp;lt;", "&amp;amp;amp;", "AT&T", "&" * 5000, "&lt;" * 20_000, None]
+    got = values(spark, [(t,) for t in shown], "t string", text.unescape(F.col("t")))
+    wrong = [(t[:60], g[:60], html.unescape(t)[:60]) for t, g in zip(shown, got, strict=True) if t is not None and g != html.unescape(t)]
+    assert not wrong, wrong[:10]
+    assert got[-1] is None
+
+
+def test_squeeze_agrees_with_split(spark):
+    """Every blank character there is, alone and in runs."""
+    import random
+    import sys
+
+    rng = random.Random(6)
+    blanks = [chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace()]
+    shown = [f"a{b}b" for b in blanks] + [f" {b}a {b}{b}c{b}" for b in blanks]
+    shown += ["".join(rng.choice([*blanks, " ", " ", "x", "yz", "é"]) for _ in range(rng.randrange(12))) for _ in range(2000)]
+    got = values(spark, [(t,) for t in shown], "t string", text.squeeze(F.col("t")))
+    assert got == ["".join(c for c in " ".join(t.split()) if " " <= c <= "~") for t in shown]
+
+
+def test_clean_text_stays_in_the_jvm(spark):
+    plan = spark.createDataFrame([("a &amp; b",)], "t string").select(text.clean_text(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+
+
 def test_normalize_url(spark):
     got = values(spark, [x[:2] for x in LINKS], "u string, b string", urls.normalize_url(F.col("u"), F.col("b")))
     assert got == [x[2] for x in LINKS]
