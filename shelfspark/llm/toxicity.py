@@ -29,6 +29,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,18 @@ def pieces(word: bytes) -> list[str]:
     return [*cut, padded[len(cut) * PIECE :]]
 
 
+def pieces_of(words: list[bytes]) -> tuple[list[str], np.ndarray]:
+    """The pieces of many words one after the other, and how many each word has."""
+    if not words:
+        return [], np.zeros(0, dtype=np.int64)
+    # Words hold no line break, so they can be decoded and lowered together.
+    texts = b"\n".join([w.strip(_EDGES) for w in words]).decode("utf-8", "replace").lower().split("\n")
+    if max(map(len, texts)) <= PIECE:
+        return ["    " + t + "\n" for t in texts], np.ones(len(texts), dtype=np.int64)
+    cut = [["    " + t + "\n"] if len(t) <= PIECE else pieces(w) for w, t in zip(words, texts, strict=True)]
+    return list(chain.from_iterable(cut)), np.array([len(c) for c in cut])
+
+
 def slices(padded: list[str], characters: int = 650_000) -> Iterator[list[str]]:
     """Consecutive pieces with about so many characters together."""
     ends = np.cumsum([len(p) for p in padded])
@@ -113,12 +126,13 @@ def spelled(characters: list[np.ndarray], places: np.ndarray) -> list[str]:
 def _gather(flush: int = 200_000, flush_bytes: int = 1 << 28):
     """Counts of five-character grams in a task: in all rows, in toxic and in ordinary labelled rows."""
 
-    def emit(counters: list[Counter]) -> Iterator[pa.RecordBatch]:
-        for part in slices(list(counters[0])):
+    def emit(padded: list[str], weights: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        done = 0
+        for part in slices(padded):
             characters, owner = grams(part)
             keys, first, inverse = np.unique(_tails(characters)[ORDER - 1], return_index=True, return_inverse=True)
-            weights = [np.array([c[w] for w in part], dtype=np.float64) for c in counters]
-            sums = [np.bincount(inverse, w[owner], len(keys)).astype(np.int64) for w in weights]
+            sums = [np.bincount(inverse, w[done : done + len(part)][owner], len(keys)).astype(np.int64) for w in weights]
+            done += len(part)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(spelled(characters, first)), *[pa.array(s) for s in sums]], ["gram", "n_all", "n_toxic", "n_plain"]
             )
@@ -127,14 +141,13 @@ def _gather(flush: int = 200_000, flush_bytes: int = 1 << 28):
         raw, held = [Counter(), Counter(), Counter()], 0
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            formed = [Counter(), Counter(), Counter()]
-            for source, target in zip(raw, formed, strict=True):
-                for word, n in source.items():
-                    for piece in pieces(word):
-                        if len(piece) > ORDER:
-                            target[piece] += n
-            if formed[0]:
-                yield from emit(formed)
+            words = list(raw[0])
+            padded, per_word = pieces_of(words)
+            # Words of punctuation only are not counted.
+            real = np.fromiter(map(len, padded), dtype=np.int64, count=len(padded)) > ORDER
+            weights = [np.fromiter(map(c.get, words, repeat(0)), dtype=np.float64, count=len(words)) for c in raw]
+            weights = [np.repeat(w, per_word)[real] for w in weights]
+            yield from emit([p for p, wanted in zip(padded, real.tolist(), strict=True) if wanted], weights)
 
         for batch in batches:
             for text, kind in zip(batch.column("text"), batch.column("kind").to_pylist(), strict=True):
@@ -195,8 +208,7 @@ class Backoff:
     """Log-likelihood differences of words from the gathered counts."""
 
     def __init__(self, spellings: list[str], n_all: np.ndarray, n_toxic: np.ndarray, n_plain: np.ndarray):
-        grams_ = np.frombuffer("".join(spellings).encode("utf-32-le"), dtype=np.uint32).reshape(-1, ORDER).astype(np.uint64)
-        self_hash, contexts = _hashes([grams_[:, ORDER - 1 - k] for k in range(ORDER)])
+        self_hash, contexts = _hashes(backwards(spellings))
         # Shared model: order n counts the different characters seen before each gram of n characters.
         lower = np.zeros(0)
         shared = None
@@ -245,8 +257,12 @@ class Backoff:
         if not padded:
             return np.zeros(0)
         characters, owner = grams(padded)
+        return np.clip(np.bincount(owner, self.of_grams(characters), len(padded)), -LIMIT, LIMIT)
+
+    def of_grams(self, characters: list[np.ndarray]) -> np.ndarray:
+        """ln P(character | toxic) - ln P(character | ordinary) for grams of five characters, given backwards."""
         hashes, contexts = _hashes(characters)
-        prob = np.full(len(owner), self.floor)
+        prob = np.full(len(characters[0]), self.floor)
         for n in range(1, ORDER):
             keys, probs = self.shared[n - 1]
             names, rest = self.rest[n - 1]
@@ -267,18 +283,27 @@ class Backoff:
             # A context the class has met a few times only says little: it is weighed with the shared model.
             trust = n / (n + 5.0)
             logs.append(np.log(trust * np.where(n > 0, mixed, prob) + (1 - trust) * prob))
-        return np.clip(np.bincount(owner, logs[0] - logs[1], len(padded)), -LIMIT, LIMIT)
+        return logs[0] - logs[1]
+
+
+def backwards(spellings: list[str]) -> list[np.ndarray]:
+    """The characters of grams, the last ones first."""
+    points = np.frombuffer("".join(spellings).encode("utf-32-le"), dtype=np.uint32).reshape(-1, ORDER).astype(np.uint64)
+    return [points[:, ORDER - 1 - k] for k in range(ORDER)]
 
 
 class GramValues:
     """Log-likelihood differences of words from a table that has the value of each of their grams."""
 
-    def __init__(self, spellings: list[str], values: np.ndarray):
-        points = np.frombuffer("".join(spellings).encode("utf-32-le"), dtype=np.uint32).reshape(-1, ORDER).astype(np.uint64)
-        keys = _tails([points[:, ORDER - 1 - k] for k in range(ORDER)])[ORDER - 1]
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
 
+    @staticmethod
+    def names(spellings: list[str]) -> np.ndarray:
+        """The hashes by which grams are found."""
+        return _tails(backwards(spellings))[ORDER - 1]
+
     def of_pieces(self, padded: list[str]) -> np.ndarray:
         if not padded or not len(self.keys):
             return np.zeros(len(padded))
@@ -291,21 +316,44 @@ class GramValues:
 
 def features(values: np.ndarray, lengths: np.ndarray, window: int = 8) -> tuple[float, ...]:
     """Length-normalised differences of one text: whole, top words, most toxic stretch, excess over the evidence level."""
-    if not len(values):
-        return (0.0,) * len(FEATURES)
-    top = np.sort(values)[-3:]
-    sums = np.concatenate([[0.0], np.cumsum(values)])
-    width = min(window, len(values))
-    excess = float(np.maximum(values - EVIDENCE, 0.0).sum())
-    return (
-        float(values.sum() / lengths.sum()) * 5.0,
-        float(top[-1]),
-        float(top[0]) if len(top) == 3 else 0.0,
-        float((sums[width:] - sums[:-width]).max() / width),
-        excess / len(values) * 10.0,
-        excess / len(values) ** 0.5,
-        float(np.log(len(values))),
-    )
+    return tuple(c[0] for c in batch_features(values, lengths, np.array([len(values)]), window).tolist())
+
+
+def batch_features(values: np.ndarray, lengths: np.ndarray, per_text: np.ndarray, window: int = 8) -> np.ndarray:
+    """The features of many texts, one row a feature; text after text, ``per_text`` tells how many values each has.
+
+    Every figure comes from its text's values alone, in their order, so it does not depend on the other texts.
+    """
+    out = np.zeros((len(FEATURES), len(per_text)))
+    texts = np.flatnonzero(per_text)
+    if not len(texts):
+        return out
+    n = per_text[texts]
+    ends = np.cumsum(n)
+    starts = ends - n
+    owner = np.repeat(np.arange(len(texts)), n)
+
+    def largest(v: np.ndarray) -> np.ndarray:
+        return np.maximum.reduceat(v, starts)
+
+    total = np.add.reduceat(values, starts)
+    top = largest(values)
+    # The third largest: the largest once the two before it are out, each time one place a text.
+    rest, third = values.copy(), top
+    for _ in range(2):
+        places = np.flatnonzero(rest == third[owner])
+        rest[places[np.unique(owner[places], return_index=True)[1]]] = -np.inf
+        third = largest(rest)
+    stretch = np.zeros(len(values))
+    for k in range(min(window, len(values))):
+        stretch[: len(values) - k] += values[k:]
+    # Stretches that reach into the next text do not count.
+    stretch[ends[owner] - np.arange(len(values)) < window] = -np.inf
+    best = np.where(n >= window, largest(stretch) / window, total / n)
+    excess = np.add.reduceat(np.maximum(values - EVIDENCE, 0.0), starts)
+    normalised = total / np.add.reduceat(lengths, starts) * 5.0
+    out[:, texts] = [normalised, top, np.where(n >= 3, third, 0.0), best, excess / n * 10.0, excess / n**0.5, np.log(n)]
+    return out
 
 
 _MODEL: dict = {}
@@ -321,32 +369,41 @@ class Scorer:
 
     def __init__(self, model: Backoff | GramValues, known_pieces: int = 400_000):
         self.model, self.known_pieces = model, known_pieces
-        self.known: dict[bytes, list[tuple[float, int]]] = {}
-        self.held = 0
+        self._forget()
+
+    def _forget(self) -> None:
+        # Number of each word; of word k, the pieces first[k] to first[k + 1] with their values and lengths.
+        self.known: dict[bytes, int] = {}
+        self.first, self.values, self.lengths = np.zeros(1, dtype=np.int64), np.zeros(0), np.zeros(0)
+
+    def _learn(self, new: list[bytes]) -> None:
+        padded, per_word = pieces_of(new)
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(per_word)])
+        self.values = np.concatenate([self.values, *[self.model.of_pieces(part) for part in slices(padded)]])
+        lengths = np.fromiter(map(len, padded), dtype=np.float64, count=len(padded))
+        self.lengths = np.concatenate([self.lengths, lengths - (ORDER - 1)])
 
     def columns(self, column: pa.Array) -> list[pa.Array]:
         texts = [(t.as_py() or b"").split() for t in column]
-        if self.held > self.known_pieces:
-            self.known, self.held = {}, 0
-        known = self.known
-        new = [w for w in set().union(*texts) if w not in known]
-        cut = [pieces(w) for w in new]
-        flat = [p for c in cut for p in c]
-        values = np.concatenate([np.zeros(0), *[self.model.of_pieces(part) for part in slices(flat)]]).tolist()
-        self.held += len(flat)
-        pairs = iter(zip(values, [len(p) - (ORDER - 1) for p in flat], strict=True))
-        known.update((w, [next(pairs) for _ in c]) for w, c in zip(new, cut, strict=True))
-        rows = []
-        for words in texts:
-            scored = np.array([pair for w in words for pair in known[w]], dtype=np.float64).reshape(-1, 2)
-            rows.append(features(scored[:, 0], scored[:, 1]))
-        return [pa.array(c, pa.float64()) for c in zip(*rows, strict=True)]
+        if len(self.values) > self.known_pieces:
+            self._forget()
+        self._learn([w for w in set().union(*texts) if w not in self.known])
+        per_text = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        words = np.fromiter(map(self.known.__getitem__, chain.from_iterable(texts)), dtype=np.int64, count=int(per_text.sum()))
+        # Places of the words' pieces, and pieces of each text.
+        n = self.first[words + 1] - self.first[words]
+        before = np.concatenate([[0], np.cumsum(n)])
+        places = np.repeat(self.first[words] - before[:-1], n) + np.arange(before[-1])
+        ends = np.cumsum(per_text)
+        rows = batch_features(self.values[places], self.lengths[places], before[ends] - before[ends - per_text])
+        return [pa.array(row, pa.float64()) for row in rows]
 
 
 def _score(model, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if _MODEL.get("name") != name:
-            _MODEL.update(name=name, scorer=Scorer(Backoff(*model.value)))
+            _MODEL.update(name=name, scorer=Scorer(GramValues(*model.value)))
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
@@ -415,7 +472,7 @@ def _score_chunks():
                     values.append(batch.column("value").slice(start, end - start).to_numpy())
                     continue
                 if scorer is None:
-                    scorer = Scorer(GramValues(spellings, np.concatenate([np.zeros(0), *values])))
+                    scorer = Scorer(GramValues(GramValues.names(spellings), np.concatenate([np.zeros(0), *values])))
                     spellings, values = [], []
                 for first in range(start, end, 500):
                     part = batch.slice(first, min(500, end - first))
@@ -476,8 +533,12 @@ def score_toxicity(
     schema = f"id {docs.schema[id_column].dataType.simpleString()}, mark long, " + ", ".join(f"{f} double" for f in FEATURES)
     if counts.count() <= most_grams:
         model = counts.orderBy("gram").toArrow()  # at most ``most_grams`` rows
-        arrays = [model.column(c).to_numpy() for c in ("n_all", "n_toxic", "n_plain")]
-        shared = spark.sparkContext.broadcast((model.column("gram").to_pylist(), *arrays))
+        spellings = model.column("gram").to_pylist()
+        backoff = Backoff(spellings, *[model.column(c).to_numpy() for c in ("n_all", "n_toxic", "n_plain")])
+        # The one gram that is scored but not counted is that of words of punctuation only. Sixteen bytes a gram.
+        spellings.append("    \n")
+        shared = spark.sparkContext.broadcast((GramValues.names(spellings), backoff.of_grams(backwards(spellings))))
+        del model, backoff, spellings
         scored = rows.mapInArrow(_score(shared, uuid.uuid4().hex), schema)
     else:
         scored = score_by_chunks(rows, counts, schema)

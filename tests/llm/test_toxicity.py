@@ -1,10 +1,13 @@
+import math
 import random
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from shelfspark.llm.toxicity import FEATURES, ORDER, Backoff, _gather, features, fit_logistic, pieces, score_toxicity
+from shelfspark.llm.toxicity import (
+    DISCOUNT, EVIDENCE, FEATURES, ORDER, Backoff, _gather, batch_features, features, fit_logistic, pieces, pieces_of, score_toxicity,
+)
 
 from odd_rows import ODD_ROWS
 
@@ -104,3 +107,89 @@ def test_the_end_of_long_words_counts(spark, make):
     assert np.mean([(scores[i] >= 0.3) == t for i, _, t in labels if i % 5 == 2]) > 0.97
     assert pieces(b"a" * 64) == ["    " + "a" * 64 + "\n"]
     assert pieces("一".encode() * 130) == ["    " + "一" * 64, "一" * 68, "一" * 6 + "\n"]
+
+
+def plain_features(values, lengths, window=8):
+    """The features of one text, figure by figure."""
+    if not len(values):
+        return (0.0,) * len(FEATURES)
+    ranked = sorted(values)
+    width = min(window, len(values))
+    excess = sum(max(v - EVIDENCE, 0.0) for v in values)
+    return (
+        sum(values) / sum(lengths) * 5.0, ranked[-1], ranked[-3] if len(values) > 2 else 0.0,
+        max(sum(values[i : i + width]) for i in range(len(values) - width + 1)) / width,
+        excess / len(values) * 10.0, excess / len(values) ** 0.5, math.log(len(values)),
+    )
+
+
+def test_features_of_many_texts():
+    """Texts of all lengths, with ties, one after the other: the same as text by text, and no text depends on the others."""
+    rng = random.Random(8)
+    texts = [[rng.choice([-3.0, 0.5, 2.75, 2.75, rng.gauss(0, 4)]) for _ in range(n)] for n in [0, 1, 2, 3, 7, 8, 9, 0, 0, 200, 1, 8, 0]]
+    texts += [[rng.gauss(0, 4) for _ in range(rng.randrange(30))] for _ in range(200)]
+    lengths = [[rng.randrange(1, 20) for _ in t] for t in texts]
+    flat = [np.array([x for t in column for x in t], dtype=float) for column in (texts, lengths)]
+    got = batch_features(*flat, np.array([len(t) for t in texts])).T
+    assert np.allclose(got, [plain_features(t, n) for t, n in zip(texts, lengths, strict=True)])
+    alone = [features(np.array(t), np.array(n, dtype=float)) for t, n in zip(texts, lengths, strict=True)]
+    assert (got == np.array(alone)).all()
+    assert batch_features(np.zeros(0), np.zeros(0), np.zeros(0, dtype=int)).shape == (len(FEATURES), 0)
+
+
+def test_pieces_of_many_words():
+    words = [b"Plain", b"--", "ΣΑΣ".encode(), b"(quoted)", b"\xff\xc3", "İx".encode(), b"b"]
+    long = [*words, b"a" * 64, b"a" * 65, "一".encode() * 130, b"'" * 200]
+    for some in (words, long, []):
+        padded, per_word = pieces_of(some)
+        assert padded == [p for w in some for p in pieces(w)] and per_word.tolist() == [len(pieces(w)) for w in some]
+
+
+def plain_kneser_ney(counted, word):
+    """ln P(word | toxic) - ln P(word | ordinary) character by character, from dictionaries of strings."""
+    seen = {g for g, (n, _, _) in counted.items() if n > 0}
+    kinds = {ORDER - 1: Counter(g[1:] for g in seen)}
+    for n in range(ORDER - 2, 0, -1):
+        kinds[n] = Counter(g[1:] for g in kinds[n + 1])
+
+    def shared(gram):
+        if not gram:
+            return 1.0 / (len(kinds[1]) + 1)
+        n = len(gram)
+        inside = [k for g, k in kinds[n].items() if g[:-1] == gram[:-1]]
+        below = shared(gram[1:])
+        if not inside:
+            return below
+        return max(kinds[n][gram] - DISCOUNT, 0.0) / sum(inside) + DISCOUNT * len(inside) / sum(inside) * below
+
+    def of_class(gram, which):
+        inside = [c[which] for g, c in counted.items() if g[:-1] == gram[:-1]]
+        total, backed = sum(inside), shared(gram[1:])
+        if not total:
+            return backed
+        own = max(counted.get(gram, (0, 0, 0))[which] - DISCOUNT, 0.0)
+        mixed = (own + DISCOUNT * sum(c > 0 for c in inside) * backed) / total
+        trust = total / (total + 5.0)
+        return trust * mixed + (1 - trust) * backed
+
+    padded = "    " + word + "\n"
+    return sum(math.log(of_class(padded[i : i + ORDER], 1)) - math.log(of_class(padded[i : i + ORDER], 2)) for i in range(len(word) + 1))
+
+
+def test_against_plain_kneser_ney():
+    """Words that were seen, partly seen and never seen, with unknown characters, against dictionaries of strings."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(1, 7)))
+    counted: dict = {}
+    for kind in (0, 1, 2):
+        for _ in range(60):
+            padded = "    " + word() + "\n"
+            for i in range(len(padded) - ORDER + 1):
+                row = counted.setdefault(padded[i : i + ORDER], [0, 0, 0])
+                row[0] += 1
+                row[kind] += kind > 0
+    spellings = sorted(counted)
+    model = Backoff(spellings, *[np.array([counted[g][k] for g in spellings]) for k in range(3)])
+    words = [word() for _ in range(80)] + ["", "zz", "abzcd"]
+    expected = [plain_kneser_ney(counted, w) for w in words]
+    assert np.allclose(model.differences(words), np.clip(expected, -12, 12)) and max(map(abs, expected)) > 0.5
