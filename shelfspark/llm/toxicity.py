@@ -9,11 +9,12 @@ compounded expressions share evidence with those that were seen.
 Score of a text: the length-normalised difference of the two log-likelihoods over the whole text, over its words with
 the largest differences, over its most toxic stretch of words, and the excess of words over a level that counts as
 evidence, per word and per square root of words; a logistic function of these and of the length, fitted on labelled rows
-that the counts did not use, gives a value between 0 and 1.
+that the counts did not use, gives a value between 0 and 1. The difference of a single word, or piece of a long one, counts
+with ``LIMIT`` (12) at most in either direction, so that no single word decides about a text.
 
 Bounds (parameters): class counts and the fit use at most ``max_labelled`` labelled rows, those with the smallest hash.
 Shared counts cover all rows, and every distinct gram of five characters has its own. The counts are a table that grows
-with the corpus. Up to ``most_grams`` grams they are broadcast; beyond, the grams' values are computed in Spark and joined
+with the corpus. Up to ``most_grams`` grams, each gram's value is broadcast (16 bytes a gram); beyond, the grams' values are computed in Spark and joined
 with the distinct grams of each chunk of texts, and every chunk is scored beside its own grams only.
 
 Words longer than ``PIECE`` characters, as in texts without blanks, are cut into consecutive pieces that are counted and
