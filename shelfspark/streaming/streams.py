@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from datetime import timedelta
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,6 +72,15 @@ CHANGE = T.StructType(
 )
 
 
+#: Packed rows of a bucket of products: waiting ticks, and last ticks.
+_LAST_TICK = pa.schema([("source", pa.string()), ("product_id", pa.string()), ("price", pa.float64()), ("recorded_at", pa.timestamp("us"))])
+_TICK = _LAST_TICK.append(pa.field("id", pa.int64()))
+#: Buckets of products in keyed state; fixed as long as a checkpoint lives.
+STATE_BUCKETS = 64
+#: Bytes of pieces that are put into the state at once.
+PIECE_BYTES = 16 << 20
+
+
 class PriceChanges(StatefulProcessor):
     """Keeps the last price and time per product; reports changes, and late ticks marked as such."""
 
@@ -103,9 +113,10 @@ class PriceChanges(StatefulProcessor):
 class OrderedPriceChanges(StatefulProcessor):
     """Holds ticks back until the watermark has passed them, then compares them in order of time and id.
 
-    State of a product: its ticks that wait, and its last released tick. A tick older than the watermark comes too late and is
-    told so. Timers stand on a grid of ``step`` milliseconds, so that the ticks of a stretch need one. A product without a
-    tick for ``keep`` milliseconds is forgotten.
+    A key is a bucket of products, so the calls to the state store, which are slow, grow with the buckets and batches, not with the
+    products. State of a bucket: its waiting ticks in pieces by stretches of ``step`` milliseconds, and the last released tick of
+    each of its products; both as packed tables. A tick older than the watermark comes too late and is told so. A timer stands at
+    the end of the first stretch with waiting ticks. A product without a tick for ``keep`` milliseconds is forgotten.
     """
 
     def __init__(self, step: int, keep: int | None):
@@ -113,66 +124,105 @@ class OrderedPriceChanges(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "price double, recorded_at timestamp_ntz, id long")
-        self.last = handle.getValueState("last", "price double, recorded_at timestamp_ntz")
+        self.waiting = handle.getListState("waiting", "stretch long, rows binary")
+        self.last = handle.getValueState("last", "rows binary")
 
     def _wake_after(self, moment: int) -> None:
         self.handle.registerTimer((moment // self.step + 1) * self.step)
 
+    def _pieces(self, ticks: pd.DataFrame) -> list[tuple]:
+        stretches = ticks.groupby(_millis(ticks["recorded_at"]) // self.step)
+        return [(int(stretch), _pack(part[_TICK.names], _TICK)) for stretch, part in stretches]
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         passed = timer_values.getCurrentWatermarkInMs()
+        pieces, first = [], None
         for ticks in rows:
             late = ticks["recorded_at"].isna()
             if passed:
                 late |= ticks["recorded_at"] < pd.Timestamp(passed, unit="ms")
-            fresh = ticks[~late]
-            if len(fresh):
-                self.waiting.appendList(_state_rows(fresh))
-                self._wake_after(_millis(fresh["recorded_at"].min()))
+            if not late.all():
+                pieces += self._pieces(ticks[~late])
+                stretch = min(piece[0] for piece in pieces)
+                first = stretch if first is None else min(first, stretch)
+                if sum(len(piece[1]) for piece in pieces) > PIECE_BYTES:
+                    self.waiting.appendList(pieces)
+                    pieces = []
             if late.any():
                 yield ticks[late].assign(previous_price=float("nan"), late=True)[[f.name for f in CHANGE.fields]]
+        if pieces:
+            self.waiting.appendList(pieces)
+        if first is not None:
+            self._wake_after(first * self.step)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N803
         passed = timerValues.getCurrentWatermarkInMs()
-        ticks = pd.DataFrame(list(self.waiting.get()), columns=["price", "recorded_at", "id"])
-        ticks["recorded_at"] = pd.to_datetime(ticks["recorded_at"])
-        free = ticks["recorded_at"] < pd.Timestamp(passed, unit="ms")
-        price, seen = self.last.get() or (None, None)
-        ready, rest = ticks[free].sort_values(["recorded_at", "id"]), ticks[~free]
-        if len(ready):
-            before, earlier = ready["price"].shift(1), ready["recorded_at"].shift(1)
-            if price is not None:
-                before.iloc[0], earlier.iloc[0] = price, pd.Timestamp(seen)
-            if self.keep is not None:
-                before[(ready["recorded_at"] - earlier) > pd.Timedelta(self.keep, "ms")] = float("nan")
-            end = ready.iloc[-1]
-            price, seen = float(end["price"]), end["recorded_at"].to_pydatetime()
-            self.last.update((price, seen))
-            ready = ready.assign(source=key[0], product_id=key[1], previous_price=before, late=False)
-            yield ready[before.isna() | (ready["price"] != before)][[f.name for f in CHANGE.fields]]
-            if len(rest):
-                self.waiting.put(_state_rows(rest))
+        held, rest = {}, []
+        for stretch, rows in self.waiting.get():
+            if stretch * self.step < passed:
+                held.setdefault(stretch, []).append(rows)
             else:
-                self.waiting.clear()
-        if len(rest):
-            self._wake_after(max(_millis(rest["recorded_at"].min()), passed))
-        if self.keep is not None and seen is not None:
-            forgotten = _millis(pd.Timestamp(seen)) + self.keep
-            if forgotten < passed:
-                self.last.clear()
-            else:
-                self._wake_after(forgotten)
+                rest.append((stretch, rows))
+        if not held and self.keep is None:
+            return
+        packed = self.last.get()
+        last = _unpack(packed[0]) if packed else None
+        # One stretch is unpacked after the other.
+        for stretch in sorted(held):
+            ticks = pd.concat([_unpack(rows) for rows in held.pop(stretch)], ignore_index=True)
+            free = ticks["recorded_at"] < pd.Timestamp(passed, unit="ms")
+            if not free.all():
+                rest += self._pieces(ticks[~free])
+            if free.any():
+                changed, last = self._compare(ticks[free], last)
+                yield changed
+        if rest:
+            self.waiting.put(rest)
+            self._wake_after(min(stretch for stretch, _ in rest) * self.step)
+        else:
+            self.waiting.clear()
+        if last is not None and self.keep is not None:
+            forgotten = _millis(last["recorded_at"]) + self.keep
+            last = last[forgotten >= passed]
+            if len(last):
+                self._wake_after(int(forgotten[forgotten >= passed].min()))
+        if last is not None and len(last):
+            self.last.update((_pack(last, _LAST_TICK),))
+        else:
+            self.last.clear()
+
+    def _compare(self, ticks: pd.DataFrame, last: pd.DataFrame | None) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """The changes among the ticks, and the last ticks after them."""
+        keys = list(KEYS)
+        rows = ticks.sort_values([*keys, "recorded_at", "id"])
+        if last is not None:
+            rows = pd.concat([last.assign(id=0, known=True), rows.assign(known=False)], ignore_index=True).sort_values(keys, kind="stable")
+        else:
+            rows = rows.assign(known=False)
+        of_product = rows.groupby(keys, sort=False)
+        before = of_product["price"].shift(1)
+        if self.keep is not None:
+            before[(rows["recorded_at"] - of_product["recorded_at"].shift(1)) > pd.Timedelta(self.keep, "ms")] = float("nan")
+        changed = rows.assign(previous_price=before, late=False)[~rows["known"] & (before.isna() | (rows["price"] != before))]
+        return changed[[f.name for f in CHANGE.fields]], rows.drop_duplicates(keys, keep="last")[_LAST_TICK.names]
 
     def close(self) -> None:
         pass
 
 
-def _state_rows(ticks: pd.DataFrame) -> list[tuple]:
-    return list(zip(ticks["price"].tolist(), [t.to_pydatetime() for t in ticks["recorded_at"]], ticks["id"].tolist(), strict=True))
+def _pack(rows: pd.DataFrame, schema: pa.Schema) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema) as out:
+        out.write_table(pa.Table.from_pandas(rows, schema, preserve_index=False))
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(packed: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(packed).read_pandas()
 
 
-def _millis(moment: pd.Timestamp) -> int:
-    return (moment - pd.Timestamp(0)) // pd.Timedelta(1, "ms")
+def _millis(moments: pd.Series) -> pd.Series:
+    return (moments - pd.Timestamp(0)) // pd.Timedelta(1, "ms")
 
 
 def _interval_millis(spark: SparkSession, interval: str) -> int:
@@ -199,7 +249,7 @@ def keyed_price_changes(ticks: DataFrame) -> DataFrame:
     return changes.withColumn("previous_price", previous)
 
 
-def stream_price_changes(ticks: DataFrame, delay: str, keep: str | None = None) -> DataFrame:
+def stream_price_changes(ticks: DataFrame, delay: str, keep: str | None = None, buckets: int = STATE_BUCKETS) -> DataFrame:
     """First sightings and price changes in order of time, whatever order ticks arrive in within ``delay``.
 
     Ticks wait until the watermark, the newest time seen less ``delay``, has passed them; ticks older than it, or without a
@@ -207,14 +257,15 @@ def stream_price_changes(ticks: DataFrame, delay: str, keep: str | None = None)
     With ``keep`` (``"90 days"``), a tick that comes longer than that after the one before is a first sighting again, and the
     state of products without newer ticks is given up.
 
-    Keyed state in the RocksDB store, one task per product: the ticks of a product within the delay must fit a task.
-    For more there is :func:`price_change_batches`.
+    Keyed state in the RocksDB store, by ``buckets`` of products: the packed ticks of a bucket within the delay (some 40 bytes
+    each), those of an eighth of it unpacked, and the last ticks of its products must fit a task. For more there is :func:`price_change_batches`. A checkpoint keeps its number of buckets.
     """
     step = _interval_millis(ticks.sparkSession, delay) // 8
     kept = None if keep is None else _interval_millis(ticks.sparkSession, keep)
     # The column with the watermark stays out of the state's input: Spark would drop late rows there unseen.
     rows = _ticks_only(with_event_time(ticks, "recorded_at").withWatermark(EVENT_TIME, delay))
-    changes = rows.groupBy(*KEYS).transformWithStateInPandas(
+    bucket = F.pmod(F.xxhash64(*KEYS), F.lit(buckets)).cast("int")
+    changes = rows.withColumn("bucket", bucket).groupBy("bucket").transformWithStateInPandas(
         OrderedPriceChanges(step, kept), outputStructType=CHANGE, outputMode="append", timeMode="eventTime"
     )
     previous = F.when(~F.isnan("previous_price"), F.col("previous_price"))

@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +119,85 @@ def test_forgotten_products(spark, tmp_path):
         assert sorted(r.id for r in got.where("product_id <> 'end'").collect()) == expected
 
 
+class Held:
+    """State of one key in memory that counts the calls."""
+
+    def __init__(self):
+        self.value, self.rows, self.calls, self.timers = None, [], 0, []
+
+    def getListState(self, name, schema):  # noqa: N802
+        return self
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return Last(self)
+
+    def registerTimer(self, moment):  # noqa: N802
+        self.calls += 1
+        self.timers.append(moment)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.passed
+
+    def appendList(self, rows):  # noqa: N802
+        self.calls += 1
+        self.rows = self.rows + rows
+
+    def put(self, rows):
+        self.calls += 1
+        self.rows = rows
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def clear(self):
+        self.put([])
+
+
+class Last:
+    def __init__(self, held):
+        self.held = held
+
+    def get(self):
+        self.held.calls += 1
+        return self.held.value
+
+    def update(self, value):
+        self.held.calls += 1
+        self.held.value = value
+
+    def clear(self):
+        self.update(None)
+
+
+def test_calls_to_the_state_do_not_grow_with_the_products():
+    held, step, products = Held(), 3_600_000, 500
+    processor = streams.OrderedPriceChanges(step, None)
+    processor.init(held)
+    passed = lambda hour: int((START + timedelta(hours=hour) - datetime(1970, 1, 1)).total_seconds() * 1000)
+    found = []
+    for number, hours in enumerate(((1, 0), (3, 2), (5, 4))):
+        rows = [(3, "s", f"p{k}", h * 1000 + k, float((h + k) % 5 // 2), START + timedelta(hours=h)) for h in hours for k in range(products)]
+        frame = pd.DataFrame(rows, columns=["bucket", "source", "product_id", "id", "price", "recorded_at"])
+        held.passed = passed(2 * number)
+        found += [f for f in processor.handleInputRows((3,), iter([frame[:700], frame[700:]]), held)]
+        held.passed = passed(2 * number + 1)
+        found += [f for f in processor.handleExpiredTimer((3,), held, None)]
+    held.passed = passed(9)
+    found += [f for f in processor.handleExpiredTimer((3,), held, None)]
+    got = {r.id: r.previous_price for f in found for r in f.itertuples()}
+    expected = {}
+    for k in range(products):
+        before = None
+        for h in range(6):
+            price = float((h + k) % 5 // 2)
+            if price != before:
+                expected[h * 1000 + k] = before
+            before = price
+    assert {i: None if p != p else p for i, p in got.items()} == expected
+    assert held.calls < 40
+
+
 def folder_bytes(path):
     return sum(f.stat().st_size for f in path.rglob("*.parquet"))
 
