@@ -205,3 +205,49 @@ def test_specifications(spark):
     )
     got = {r.page_id: r.specifications for r in extract.extract_specifications(rows).collect()}
     assert got == {0: {"Color": "dark red"}, 1: {"A": "1; 2", "B": "3", "C": "3"}, 2: None, 3: {}, 4: {"a": "b"}}
+
+
+TAGS = (
+    "<div>", '<p class="a b">', '<a href="/x?a=1&amp;b=2" id="k">', "<br/>", "<IMG SRC=x>", '<img src="a>b"  alt="">', "<li data-x='1' data-x=2>", "</div>",
+    "</p>", "</a >", "</LI>", "< 5 &lt; 6", "text &amp; more", "<!-- <p> -->", "<script>if (a<b) '</p>'</script>", "<textarea><b></textarea>", "</script>",
+    '<td\nclass="x"\t>', "<b", "</", '<i title="a"title="b">', '<u a="1" a="2">', "<!DOCTYPE html>", "</>", "<title>a<b>c</title>",
+)
+
+
+def test_plain_tags_read_as_the_standard_parser_reads_them(monkeypatch):
+    import gc
+    import random
+    import weakref
+
+    from shelfspark.functions import markup
+
+    def tree(element):
+        return (element.tag, list(element.attrs.items()), [c if isinstance(c, str) else tree(c) for c in element.content])
+
+    draw = random.Random(5)
+    pages = ["".join(draw.choices(TAGS, k=draw.randint(1, 14))) for _ in range(4000)]
+    quick = [tree(markup.parse(p)) for p in pages]
+    monkeypatch.setattr(markup, "_PLAIN_START", markup.re.compile("(?!)"))
+    monkeypatch.setattr(markup, "_PLAIN_END", markup.re.compile("(?!)"))
+    assert quick == [tree(markup.parse(p)) for p in pages]
+
+    class Watched(markup.Element):
+        __slots__ = ("__weakref__",)
+
+    monkeypatch.setattr(markup, "Element", Watched)
+    gc.disable()
+    try:
+        page = markup.parse("<div><p>a</p></div>")
+        inner = weakref.ref(page.first("p"))
+        page.release()
+        del page
+        assert inner() is None
+    finally:
+        gc.enable()
+
+
+def test_picked_values_are_cleaned_once(spark):
+    pages = spark.createDataFrame([(1, "shop", "u", "<p>")], "page_id long, source string, url string, html string")
+    plan = extract.extract_listings(pages)._jdf.queryExecution().optimizedPlan().toString()
+    # Once where a title is picked, once where listings are cleaned; filters take the picked value.
+    assert not [line for line in plan.split("\n") if "Filter (" in line and "regexp_replace" in line]
