@@ -15,11 +15,16 @@ hashes, the most frequent ones, are sent to the tasks. A set leaves out its weak
 affected than agree for certain: whatever two linked sets leave out, one common signature remains. The frequent shingles
 only decide which signatures are left out, never which links are found.
 
-Equal sets are one node from the start. Candidates are first compared by counts of their shingles in 128 cells, which bound
-the difference from below, then exactly. Within a signature's group every member is first compared with the smallest one
+Equal sets are one node from the start. Candidates are first compared by sketches, then exactly. A sketch holds one bit for every
+cell of the shingle domain, whether it has an odd number of shingles; two sets differ in at least as many shingles as bits.
+Sketches have two to four bits a shingle, so they also tell apart sets that are nearly similar enough.
+Within a signature's group every member is first compared with the smallest one
 only; links found make components, and only members of different components of a group are compared after that. So every
-link between different components is found, while groups of near copies cost one comparison per member. Unrelated sets that
-share a signature in spite of all that are still compared in pairs.
+link between different components is found, while groups of near copies cost one comparison per member. Sets that are nearly
+similar share many signatures, hence groups: they are compared by sketch once or twice, not once per group, as every member
+outside its group's largest component has one home, its largest group, and meets the members of all its groups there.
+Sets of different components that share a signature are still compared in pairs there, inside the tasks; only pairs that their
+sketches do not rule out leave them.
 Nodes are known by 64-bit fingerprints of their sets; shingles by 64-bit hashes. Texts are cut into sets once; the sets are
 stored, and signatures and comparisons start from them. A very long text is one row with one set, which a task holds whole.
 
@@ -44,7 +49,8 @@ from shelfspark.llm.common import mix64, shingle_set, stored
 from shelfspark.llm.toxicity import release
 
 NULL_ID = 1 << 62
-CELLS = 128
+#: Bits of the smallest sketch.
+LEAST_BITS = 1024
 STAR_TURNS = 3
 #: Largest difference up to which subsets of sections are enumerated.
 ENUMERATED = 30
@@ -67,10 +73,22 @@ def fingerprint(marks: np.ndarray) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def cell_counts(marks: np.ndarray) -> bytes:
-    """How many shingles fall into each of 128 cells, up to 255."""
-    cells = np.bincount((marks >> np.uint64(57)).astype(np.int64), minlength=CELLS)
-    return np.minimum(cells, 255).astype(np.uint8).tobytes()
+def sketch(marks: np.ndarray) -> bytes:
+    """Parities of the counts of shingles in at least two cells a shingle, a power of two of cells."""
+    bits = max(LEAST_BITS, 1 << (2 * len(marks) - 1).bit_length())
+    counts = np.bincount((marks & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits(counts.astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ, the larger one folded to the size of the smaller."""
+    if len(x) > len(y):
+        x, y = y, x
+    value, size = int.from_bytes(y, "little"), 4 * len(y)
+    while size >= 8 * len(x):
+        value = (value >> size) ^ (value & ((1 << size) - 1))
+        size //= 2
+    return (value ^ int.from_bytes(x, "little")).bit_count()
 
 
 class Scheme:
@@ -173,7 +191,7 @@ def _nodes(width: int, rows: int = 512):
                     sizes.append(len(values))
                     fresh = nodes[-1] not in seen
                     seen.add(nodes[-1])
-                    cells.append(cell_counts(values) if fresh else None)
+                    cells.append(sketch(values) if fresh else None)
                     marks.append(values.tobytes() if fresh else None)
                 places = pa.array(range(place, place + len(nodes)), pa.int64())
                 place += len(nodes)
@@ -185,7 +203,7 @@ def _nodes(width: int, rows: int = 512):
 
 
 def _signatures(percent: int, slices: int, frequent, flush: int = 500_000):
-    """(slice, node, its signatures in the slice) of rows (node, marks).
+    """(slice, nodes, counts, signatures) of rows (node, marks): packed arrays of a slice's nodes, how many signatures each has, and these.
 
     A slice holds some two million signatures, so 32 bits tell them apart there but for a few in ten thousand.
     """
@@ -195,12 +213,18 @@ def _signatures(percent: int, slices: int, frequent, flush: int = 500_000):
         owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
         piece = ((values >> np.uint64(32)) % np.uint64(slices)).astype(np.int64)
         order = np.argsort(piece * len(found) + owner, kind="stable")
-        values, owner, piece = values[order], owner[order], piece[order]
+        values, owner, piece = values[order].astype(np.uint32), owner[order], piece[order]
         first = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (owner[1:] != owner[:-1])]))
-        offsets = pa.array(np.append(first, len(values)), pa.int32())
-        lists = pa.ListArray.from_arrays(offsets, pa.array(values.astype(np.uint32).view(np.int32)))
-        members = np.array(nodes, dtype=np.int64)[owner[first]]
-        return pa.RecordBatch.from_arrays([pa.array(piece[first]), pa.array(members), lists], ["slice", "node", "signatures"])
+        members, counts = np.array(nodes, dtype=np.int64)[owner[first]], np.diff(np.append(first, len(values))).astype(np.uint32)
+        begin = np.flatnonzero(np.concatenate([[True], piece[first][1:] != piece[first][:-1]]))  # of every slice
+        cut, at = np.append(begin, len(first)), np.append(first[begin], len(values))
+        packed = [
+            [members[i:j].tobytes() for i, j in zip(cut, cut[1:])],
+            [counts[i:j].tobytes() for i, j in zip(cut, cut[1:])],
+            [values[i:j].tobytes() for i, j in zip(at, at[1:])],
+        ]
+        columns = [pa.array(piece[first][begin]), *(pa.array(c, pa.binary()) for c in packed)]
+        return pa.RecordBatch.from_arrays(columns, ["slice", "nodes", "counts", "signatures"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent, frequent.value)
@@ -219,6 +243,51 @@ def _signatures(percent: int, slices: int, frequent, flush: int = 500_000):
     return run
 
 
+def _unpacked(most: int = 8_000_000, passes: int = 8):
+    """(signature, node) of packed rows sorted by slice, without those whose signature stands once in the slice.
+
+    A slice of more than ``most`` signatures is given out whole, as it passes. Several passes save memory.
+    """
+
+    def rows(piece: int, values: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        number = (values.view(np.int32).astype(np.int64) << 24) | piece
+        for i in range(0, len(number), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(number[i : i + 100_000]), pa.array(nodes[i : i + 100_000])], ["signature", "node"])
+
+    def several(piece: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        values, nodes, counts = map(np.concatenate, zip(*held, strict=True))
+        ends = np.cumsum(counts, dtype=np.int64)
+        for k in range(passes):
+            places = np.flatnonzero(values % passes == k)
+            if not len(places):
+                continue
+            places = np.sort(values[places].astype(np.uint64) << np.uint64(32) | places.view(np.uint64))
+            same = (places[1:] >> np.uint64(32)) == (places[:-1] >> np.uint64(32))
+            places = places[np.append(same, False) | np.append(False, same)] & np.uint64(0xFFFFFFFF)
+            places = np.sort(places.view(np.int64))
+            yield from rows(piece, values[places], nodes[np.searchsorted(ends, places, side="right")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, n = -1, [], 0
+        for batch in batches:
+            for piece, *packed in zip(batch.column("slice").to_pylist(), *(batch.column(c) for c in ("signatures", "nodes", "counts")), strict=True):
+                if piece != current:
+                    if held:
+                        yield from several(current, held)
+                    current, held, n = piece, [], 0
+                values, nodes, counts = (np.frombuffer(x.as_py(), dtype=t) for x, t in zip(packed, (np.uint32, np.int64, np.uint32), strict=True))
+                held.append((values, nodes, counts))
+                n += len(values)
+                if n > most:
+                    for values, nodes, counts in held:
+                        yield from rows(current, values, np.repeat(nodes, counts))
+                    held = []
+        if held:
+            yield from several(current, held)
+
+    return run
+
+
 def _groups(most: int = 500_000):
     """Streams rows sorted by (signature, node); gives the groups of two nodes or more, each with its smallest node.
 
@@ -336,37 +405,45 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _cells(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, CELLS).astype(np.int16)
-
-
-def _fit(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    """Whether the difference of two sets may be small enough; a full cell tells nothing beyond 255, on either side."""
-    return np.abs(x - y).sum(axis=1) <= (n + m) * (100 - percent) // (100 + percent)
+def _allowed(n, m, percent: int):
+    """Largest difference of two linked sets of these sizes."""
+    return (n + m) * (100 - percent) // (100 + percent)
 
 
 def _possible(percent: int):
-    """Pairs that their sizes and cell counts do not rule out."""
+    """Pairs that their sizes and sketches do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
-            fits = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-            fits &= _fit(_cells(batch.column("x")), _cells(batch.column("y")), n, m, percent)
-            keep = pa.array(np.flatnonzero(fits))
+            fits, most = 100 * np.minimum(n, m) >= percent * np.maximum(n, m), _allowed(n, m, percent)
+            x, y = batch.column("x"), batch.column("y")
+            keep = pa.array([i for i in np.flatnonzero(fits).tolist() if differing(x[i].as_py(), y[i].as_py()) <= most[i]], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["a", "b"])
 
     return run
 
 
 def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that may be links by their sizes and cell counts."""
+    """The pairs (a, b) that may be links by their sizes and sketches."""
     left = classes.select(F.col("node").alias("a"), "n", F.col("cells").alias("x"))
     right = classes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("cells").alias("y"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y")
     return joined.mapInArrow(_possible(percent), "a long, b long")
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after further links: components of the labels that these connect."""
+    of_a = labels.select(F.col("node").alias("a"), F.col("label").alias("at"))
+    of_b = labels.select(F.col("node").alias("b"), F.col("label").alias("bt"))
+    ends = links.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("at", "a").alias("a"), F.coalesce("bt", "b").alias("b"))
+    moved = components(ends.where("a != b"))
+    new = moved.join(labels, "node", "left_anti")
+    moved = moved.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    known = labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return stored(known.unionByName(new), "labels")
+
+
 def open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(name, node, label, main) of the groups whose members lie in several components; main is the largest of these."""
     member = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -383,37 +460,43 @@ def stars(rows: DataFrame, turn: int) -> DataFrame:
 
 
 def _cross(percent: int, chunk: int = 200):
-    """Streams rows sorted by (name, block, outsiders of the block first): pairs that may be links."""
+    """Streams rows sorted by (home, block, the block's own rows first): pairs of an own row and another that may be links."""
+
+    def folded(sketches: list[bytes]) -> np.ndarray:
+        shape = (-1, LEAST_BITS // 64)
+        return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, dtype=np.uint64).reshape(shape), axis=0) for x in sketches])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: tuple | None = None
         held: list[tuple] = []
         own: tuple = ()
+        whole: list[bytes] = []  # the sketches of the own rows
         for batch in batches:
             for start in range(0, batch.num_rows, chunk):
                 part = batch.slice(start, chunk)
-                keys = list(zip(part.column("name").to_pylist(), part.column("block").to_pylist(), strict=True))
-                node, label, main, n, first = (part.column(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "main", "n", "own"))
-                cells = _cells(part.column("cells"))
+                keys = list(zip(part.column("home").to_pylist(), part.column("block").to_pylist(), strict=True))
+                node, label, n, first = (part.column(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "n", "own"))
+                sketches = part.column("cells").to_pylist()
+                short = folded(sketches)
                 edges = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
                 for low, high in zip(edges, edges[1:]):
                     if keys[low] != current:
-                        current, held, own = keys[low], [], ()
-                    mine = low + int(first[low:high].sum())  # outsiders come first
+                        current, held, own, whole = keys[low], [], (), []
+                    mine = low + int(first[low:high].sum())  # own rows come first
                     if mine > low:
-                        held.append((node[low:mine], label[low:mine], n[low:mine], cells[low:mine]))
+                        held.append((node[low:mine], label[low:mine], n[low:mine], short[low:mine]))
                         own = tuple(np.concatenate(c) for c in zip(*held, strict=True))
+                        whole += sketches[low:mine]
                     if mine == high or not own:
                         continue
-                    y = slice(mine, high)
-                    big, small = np.maximum.outer(own[2], n[y]), np.minimum.outer(own[2], n[y])
-                    fits = (100 * small >= percent * big) & (own[1][:, None] != label[y])
-                    fits &= (label[y] == main[y]) | (node[y] < own[0][:, None])
-                    i, j = np.nonzero(fits)
+                    big, small = np.maximum.outer(own[2], n[mine:high]), np.minimum.outer(own[2], n[mine:high])
+                    i, j = np.nonzero((100 * small >= percent * big) & (own[1][:, None] != label[mine:high]))
                     j += mine
-                    good = _fit(own[3][i], cells[j], own[2][i], n[j], percent)
-                    a, b = own[0][i[good]], node[j[good]]
-                    if len(a):
+                    most = _allowed(own[2][i], n[j], percent)
+                    near = np.flatnonzero(np.bitwise_count(own[3][i] ^ short[j]).sum(axis=1, dtype=np.int64) <= most).tolist()
+                    good = [p for p in near if differing(whole[i[p]], sketches[j[p]]) <= most[p]]
+                    if good:
+                        a, b = own[0][i[good]], node[j[good]]
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return run
@@ -422,18 +505,19 @@ def _cross(percent: int, chunk: int = 200):
 def cross_pairs(rows: DataFrame, classes: DataFrame, percent: int, block: int = 256) -> DataFrame:
     """Pairs of members of one group in different components that may be links.
 
-    Only members outside a group's largest component are paired, with the members of other components; they are cut into
-    blocks, and every block meets the whole group in a task of its own.
+    Every member outside the largest component of some group has a home, the largest of these groups. The members at home in one
+    group are cut into blocks, and every block meets the members of all the groups of its own members, each of them once.
     """
-    outside = F.col("label") != F.col("main")
-    blocks = rows.groupBy("name").agg(F.ceil(F.count_if(outside) / block).cast("int").alias("blocks"))
-    seen = rows.join(blocks, "name").join(classes.select("node", "n", "cells"), "node")
-    columns = ["name", "node", "label", "main", "n", "cells"]
-    own = seen.where(outside).select(*columns, F.pmod(F.hash("node"), F.col("blocks")).alias("block"), F.lit(True).alias("own"))
-    one = seen.where("blocks = 1").select(*columns, F.lit(0).alias("block"), F.lit(False).alias("own"))
-    many = seen.where("blocks > 1").select(*columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("own"))
-    dealt = own.unionByName(one).unionByName(many).repartition("name", "block")
-    dealt = dealt.sortWithinPartitions("name", "block", F.desc("own"), "node")
+    outside = rows.where("label != main").select("name", "node")
+    sizes = rows.groupBy("name").agg(F.count(F.lit(1)).alias("size"))
+    home = outside.join(sizes, "name").groupBy("node").agg(F.max(F.struct("size", "name")).alias("home")).select("node", F.col("home.name").alias("home"))
+    blocks = home.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    own = stored(home.join(blocks, "home").select("home", F.pmod(F.hash("node"), F.col("blocks")).alias("block"), "node"), "homes")
+    met = outside.join(own, "node").select("name", "home", "block").distinct()
+    others = rows.select("name", "node").join(met, "name").select("home", "block", "node").distinct()
+    nodes = rows.groupBy("node").agg(F.min("label").alias("label")).join(classes.select("node", "n", "cells"), "node")
+    dealt = own.withColumn("own", F.lit(True)).unionByName(others.withColumn("own", F.lit(False))).join(nodes, "node")
+    dealt = dealt.repartition("home", "block").sortWithinPartitions("home", "block", F.desc("own"), "node")
     return dealt.mapInArrow(_cross(percent), "a long, b long").distinct()
 
 
@@ -475,26 +559,26 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75, id_colum
     slices = 64
     while slices * 2_000_000 < shingles:
         slices *= 2
-    signatures = sets.select("node", "marks").mapInArrow(_signatures(percent, slices, frequent), "slice long, node long, signatures array<int>")
-    number = F.col("slice").bitwiseOR(F.shiftleft(F.col("_signature").cast("long"), 24))
-    dealt = signatures.repartition("slice").select("slice", "node", F.explode("signatures").alias("_signature"))
-    dealt = dealt.select(number.alias("signature"), "node").sortWithinPartitions("signature", "node")
+    packed = "slice long, nodes binary, counts binary, signatures binary"
+    signatures = sets.select("node", "marks").mapInArrow(_signatures(percent, slices, frequent), packed)
+    # One task a slice, about: all its packed rows are one Arrow batch.
+    dealt = signatures.repartition(slices, "slice").sortWithinPartitions("slice").mapInArrow(_unpacked(), "signature long, node long")
+    dealt = dealt.sortWithinPartitions("signature", "node")
     groups = stored(dealt.mapInArrow(_groups(), "name long, node long, leader long, size long"), "groups")
+    frequent.destroy()
     near = groups.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     near = stored(possible(near, classes, percent), "pairs")
-    links = verify(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, places, percent)
-    labels = components(links)
+    labels = components(verify(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, places, percent))
 
-    def add(pairs: DataFrame) -> bool:
-        """Compare the pairs; whether there are new links."""
-        nonlocal links, labels
+    def add(pairs: DataFrame) -> int:
+        """Compare the pairs; the number of new links."""
+        nonlocal labels
         pairs = stored(pairs, "pairs")
-        found = None if pairs.isEmpty() else verify(pairs, sets, places, percent)
-        if found is None or found.isEmpty():
-            return False
-        links = links.unionByName(found)
-        labels = components(links)
-        return True
+        found = 0 if pairs.isEmpty() else verify(pairs, sets, places, percent)
+        new = found and found.count()
+        if new:
+            labels = merged(labels, found)
+        return new
 
     # The other smallest members, then some member of the largest component, then all that is left.
     place = labels.select(F.col("node").alias("a"), F.col("label").alias("at"))
@@ -504,9 +588,11 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75, id_colum
     members = stored(groups.where("size > 2").select("name", "node").distinct(), "members")
     rows_open = open_groups(members, labels)
     for turn in range(STAR_TURNS):
-        if not add(possible(stars(rows_open, turn), classes, percent)):
+        new = add(possible(stars(rows_open, turn), classes, percent))
+        if new:
+            rows_open = open_groups(members, labels)
+        if new * 50 < labels.count():  # further turns would find little
             break
-        rows_open = open_groups(members, labels)
     add(cross_pairs(rows_open, classes, percent))
     lowest = classes.join(labels, "node").groupBy("label").agg(F.min("rep").alias("lowest"))
     named = labels.join(lowest, "label").select("node", "label", "lowest")

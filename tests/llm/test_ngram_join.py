@@ -4,8 +4,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from shelfspark.llm import ngram_join
 from shelfspark.llm.common import shingle_set
-from shelfspark.llm.ngram_join import Bands, _groups, components, frequent_shingles, link_components, verify
+from shelfspark.llm.ngram_join import Bands, _groups, components, cross_pairs, differing, frequent_shingles, link_components, merged, sketch, verify
 
 from odd_rows import LONG, ODD_ROWS
 
@@ -158,3 +159,61 @@ def test_sets_are_compared_exactly(spark, small_rows):
     pairs = spark.createDataFrame([(1, 2), (2, 3), (2, 4), (1, 4), (1, 3)], "a long, b long")
     found = verify(pairs, sets, sets.select("node", "place"), 75, hub_rows=1, small_rows=small_rows)
     assert sorted((r.a, r.b) for r in found.collect()) == [(1, 2), (1, 4)]
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for size in (1, 5, 300, 511, 513, 1500, 9000):
+        for other in (1, size, size * 5 // 4, 3 * size):
+            common = min(size, other) * 3 // 4
+            values = rng.integers(0, 2**64, size + other, dtype=np.uint64)
+            a, b = np.unique(values[:size]), np.unique(np.append(values[:common], values[size : size + other - common]))
+            bits = differing(sketch(a), sketch(b))
+            assert bits == differing(sketch(b), sketch(a)) <= len(np.setxor1d(a, b)) and bits % 2 == len(np.setxor1d(a, b)) % 2
+            assert not differing(sketch(a), sketch(a))
+
+
+def test_nearly_similar_sets_are_crossed_once(spark, monkeypatch):
+    """Sets a little less similar than asked, in forty groups together: one row each arrives, and only linked pairs leave."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**64, 390, dtype=np.uint64)
+    marks = [np.unique(np.append(base[rng.random(390) < 0.8], rng.integers(0, 2**64, 78, dtype=np.uint64))) for _ in range(60)]
+    marks[41] = np.unique(np.append(marks[40][20:], base[:20]))
+    classes = spark.createDataFrame([(i, len(m), sketch(m)) for i, m in enumerate(marks)], "node long, n long, cells binary")
+    rows = [(g, i, i, 0) for g in range(40) for i in range(60) if i < 3 or (i + g) % 7]
+    rows = spark.createDataFrame(rows, "name long, node long, label long, main long")
+    found = {(r.a, r.b) for r in cross_pairs(rows, classes, 75).collect()}
+    both = {(i, j): len(np.intersect1d(marks[i], marks[j])) for i in range(60) for j in range(i + 1, 60)}
+    links = {p for p, n in both.items() if 100 * n >= 75 * (len(marks[p[0]]) + len(marks[p[1]]) - n)}
+    assert (40, 41) in links and links <= found and len(found) < 30
+
+    def arriving(percent):
+        def run(batches):
+            for k, batch in enumerate(batches):
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(range(k << 32, (k << 32) + batch.num_rows), pa.int64())], ["a", "b"])
+
+        return run
+
+    monkeypatch.setattr(ngram_join, "_cross", arriving)
+    assert cross_pairs(rows, classes, 75).count() <= 2 * 60 + 60  # about two thousand with one meeting per group
+
+
+def test_merged_labels(spark):
+    known = components(spark.createDataFrame([(1, 2), (2, 3), (7, 8), (10, 11)], "a long, b long"))
+    links = spark.createDataFrame([(3, 8), (8, 20), (20, 21), (0, 11), (30, 31), (1, 3)], "a long, b long")
+    got = {r.node: r.label for r in merged(known, links).collect()}
+    assert got == {**dict.fromkeys((1, 2, 3, 7, 8, 20, 21), 1), **dict.fromkeys((0, 10, 11), 0), 30: 30, 31: 30}
+    assert {r.node: r.label for r in merged(known, links.limit(0)).collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 10: 10, 11: 10}
+
+
+@pytest.mark.parametrize("most", [3, 100])
+def test_lone_signatures_stay_behind(most):
+    packed = [(0, [5, 6], [2, 1], [1, 2, 1]), (0, [7], [2], [3, 2**32 - 1]), (1, [5], [1], [9]), (3, [8], [2], [2**32 - 1, 4]), (3, [9], [2], [4, 2**32 - 1])]
+    names = ["slice", "nodes", "counts", "signatures"]
+    rows = [(s, np.array(n, np.int64).tobytes(), np.array(c, np.uint32).tobytes(), np.array(v, np.uint32).tobytes()) for s, n, c, v in packed]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 2])], names) for i in range(0, len(rows), 2)]
+    got = sorted((v, n) for b in ngram_join._unpacked(most)(iter(batches)) for v, n in zip(*(c.to_pylist() for c in b.columns)))
+    number = lambda piece, v: (int(np.uint32(v).view(np.int32)) << 24) | piece
+    kept = [(number(0, 1), 5), (number(0, 1), 6), (number(3, -1 % 2**32), 8), (number(3, -1 % 2**32), 9), (number(3, 4), 8), (number(3, 4), 9)]
+    alone = [(number(0, 2), 5), (number(0, 3), 7), (number(0, -1 % 2**32), 7)]  # a slice too long to look at as a whole
+    assert got == sorted(kept + alone * (most == 3))
