@@ -243,16 +243,47 @@ def _signatures(percent: int, slices: int, frequent, flush: int = 500_000):
     return run
 
 
-def _unpacked(most: int = 8_000_000, passes: int = 8):
+def _group_rows(signature: np.ndarray, node: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(name, node, leader, size) of the groups of two nodes or more in rows sorted by (signature, node); of groups with the same members, one."""
+    keep = np.concatenate([[True], (signature[1:] != signature[:-1]) | (node[1:] != node[:-1])])
+    signature, node = signature[keep], node[keep]
+    first = np.flatnonzero(np.concatenate([[True], signature[1:] != signature[:-1]]))
+    sizes = np.diff(np.append(first, len(node)))
+    names = mix64(np.add.reduceat(mix64(node.view(np.uint64)), first) ^ sizes.astype(np.uint64))
+    several = np.flatnonzero(sizes > 1)
+    if not len(several):
+        return
+    _, index = np.unique(names[several], return_index=True)
+    chosen = np.zeros(len(sizes), dtype=bool)
+    chosen[several[index]] = True
+    rows = np.repeat(chosen, sizes)
+    if rows.any():
+        yield np.repeat(names, sizes)[rows].view(np.int64), node[rows], np.repeat(node[first], sizes)[rows], np.repeat(sizes, sizes)[rows]
+
+
+def _unpacked(most: int = 8_000_000, passes: int = 8, grouped: bool = False, longest: int = 1_000_000):
     """(signature, node) of packed rows sorted by slice, without those whose signature stands once in the slice.
 
     A slice of more than ``most`` signatures is given out whole, as it passes. Several passes save memory.
+    With ``grouped`` the rows leave as groups, (name, node, leader, size) and no signature. Only those of too long a slice, or of a pass
+    of more than ``longest`` rows, still have to be sorted and grouped: they leave with their signature and without a name.
     """
 
     def rows(piece: int, values: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
         number = (values.view(np.int32).astype(np.int64) << 24) | piece
         for i in range(0, len(number), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(number[i : i + 100_000]), pa.array(nodes[i : i + 100_000])], ["signature", "node"])
+            signature, node = pa.array(number[i : i + 100_000]), pa.array(nodes[i : i + 100_000])
+            none = pa.nulls(len(node), pa.int64())
+            columns = {"name": none, "node": node, "leader": none, "size": none, "signature": signature} if grouped else {"signature": signature, "node": node}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    def groups(values: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((nodes, values))
+        for columns in _group_rows(values[order], nodes[order]):
+            for i in range(0, len(columns[0]), 100_000):
+                name, node, leader, size = (pa.array(c[i : i + 100_000]) for c in columns)
+                none = pa.nulls(len(node), pa.int64())
+                yield pa.RecordBatch.from_pydict({"name": name, "node": node, "leader": leader, "size": size, "signature": none})
 
     def several(piece: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
         values, nodes, counts = map(np.concatenate, zip(*held, strict=True))
@@ -265,7 +296,10 @@ def _unpacked(most: int = 8_000_000, passes: int = 8):
             same = (places[1:] >> np.uint64(32)) == (places[:-1] >> np.uint64(32))
             places = places[np.append(same, False) | np.append(False, same)] & np.uint64(0xFFFFFFFF)
             places = np.sort(places.view(np.int64))
-            yield from rows(piece, values[places], nodes[np.searchsorted(ends, places, side="right")])
+            if not len(places):
+                continue
+            found = values[places], nodes[np.searchsorted(ends, places, side="right")]
+            yield from groups(*found) if grouped and len(places) <= longest else rows(piece, *found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held, n = -1, [], 0
@@ -294,26 +328,10 @@ def _groups(most: int = 500_000):
     Groups with the same members are one. A group longer than ``most`` rows is given out in pieces as it passes.
     """
 
-    def emit(node, leader, name, size) -> pa.RecordBatch:
-        columns = [pa.array(name.view(np.int64)), pa.array(node), pa.array(leader), pa.array(size)]
+    def emit(name, node, leader, size) -> pa.RecordBatch:
+        columns = [pa.array(name), pa.array(node), pa.array(leader), pa.array(size)]
         return pa.RecordBatch.from_arrays(columns, ["name", "node", "leader", "size"])
 
-    def whole(signature: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keep = np.concatenate([[True], (signature[1:] != signature[:-1]) | (node[1:] != node[:-1])])
-        signature, node = signature[keep], node[keep]
-        first = np.flatnonzero(np.concatenate([[True], signature[1:] != signature[:-1]]))
-        sizes = np.diff(np.append(first, len(node)))
-        names = mix64(np.add.reduceat(mix64(node.view(np.uint64)), first) ^ sizes.astype(np.uint64))
-        several = np.flatnonzero(sizes > 1)
-        if not len(several):
-            return
-        _, index = np.unique(names[several], return_index=True)
-        chosen = np.zeros(len(sizes), dtype=bool)
-        chosen[several[index]] = True
-        rows = np.repeat(chosen, sizes)
-        if rows.any():
-            yield emit(node[rows], np.repeat(node[first], sizes)[rows], np.repeat(names, sizes)[rows], np.repeat(sizes, sizes)[rows])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, m = np.empty(0, np.int64), np.empty(0, np.int64)
         open_group: tuple[int, int] | None = None  # signature and smallest node of a group that is given out in pieces
@@ -325,27 +343,45 @@ def _groups(most: int = 500_000):
             if open_group is not None:
                 end = int(np.searchsorted(s, open_group[0], side="right"))
                 if end:
-                    name = np.full(end, open_group[0], dtype=np.int64).view(np.uint64)
-                    yield emit(m[:end], np.full(end, open_group[1]), name, np.full(end, most))
+                    yield emit(np.full(end, open_group[0], dtype=np.int64), m[:end], np.full(end, open_group[1]), np.full(end, most))
                     s, m = s[end:], m[end:]
                 if not len(s):
                     continue
                 open_group = None
             tail = int(np.searchsorted(s, s[-1]))
             if tail:
-                yield from whole(s[:tail], m[:tail])
+                yield from (emit(*found) for found in _group_rows(s[:tail], m[:tail]))
                 s, m = s[tail:], m[tail:]
             if len(s) > most:
                 open_group = (int(s[0]), int(m[0]))
-                name = np.full(len(s), s[0], dtype=np.int64).view(np.uint64)
-                yield emit(m, np.full(len(m), m[0]), name, np.full(len(m), most))
+                yield emit(np.full(len(s), s[0], dtype=np.int64), m, np.full(len(m), m[0]), np.full(len(m), most))
                 s, m = s[:0], m[:0]
         if len(s) and open_group is None:
-            yield from whole(s, m)
+            yield from (emit(*found) for found in _group_rows(s, m))
 
     return run
 
 
+def signature_groups(sets: DataFrame, percent: int, slices: int, frequent, most: int = 8_000_000) -> DataFrame:
+    """(name, node, leader, size): the sets (node, marks) that share a signature, with the smallest node of each group.
+
+    The rows of a slice are grouped where they are unpacked, in one Python step: a second one in the same tasks would keep twice as
+    many Python workers. Slices of more than ``most`` signatures are sorted by Spark and grouped afterwards.
+    """
+    packed = "slice long, nodes binary, counts binary, signatures binary"
+    signatures = sets.select("node", "marks").mapInArrow(_signatures(percent, slices, frequent), packed)
+    # One task a slice, about: all its packed rows are one Arrow batch.
+    dealt = signatures.repartition(slices, "slice").sortWithinPartitions("slice")
+    shape = "name long, node long, leader long, size long"
+    found = stored(dealt.mapInArrow(_unpacked(most, grouped=True), f"{shape}, signature long"), "groups")
+    long = found.where("signature IS NOT NULL").select("signature", "node")
+    found = found.where("signature IS NULL").drop("signature")
+    if not long.count():
+        return found
+    dealt = long.repartition("signature").sortWithinPartitions("signature", "node")
+    return found.unionByName(stored(dealt.mapInArrow(_groups(), shape), "long-groups"))
+
+
 def _compare(percent: int):
     """Streams rows sorted by (hub, salt, hub's own row first): links of the hub with the others."""
 
@@ -559,12 +595,7 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75, id_colum
     slices = 64
     while slices * 2_000_000 < shingles:
         slices *= 2
-    packed = "slice long, nodes binary, counts binary, signatures binary"
-    signatures = sets.select("node", "marks").mapInArrow(_signatures(percent, slices, frequent), packed)
-    # One task a slice, about: all its packed rows are one Arrow batch.
-    dealt = signatures.repartition(slices, "slice").sortWithinPartitions("slice").mapInArrow(_unpacked(), "signature long, node long")
-    dealt = dealt.sortWithinPartitions("signature", "node")
-    groups = stored(dealt.mapInArrow(_groups(), "name long, node long, leader long, size long"), "groups")
+    groups = signature_groups(sets, percent, slices, frequent)
     frequent.destroy()
     near = groups.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     near = stored(possible(near, classes, percent), "pairs")

@@ -217,3 +217,45 @@ def test_lone_signatures_stay_behind(most):
     kept = [(number(0, 1), 5), (number(0, 1), 6), (number(3, -1 % 2**32), 8), (number(3, -1 % 2**32), 9), (number(3, 4), 8), (number(3, 4), 9)]
     alone = [(number(0, 2), 5), (number(0, 3), 7), (number(0, -1 % 2**32), 7)]  # a slice too long to look at as a whole
     assert got == sorted(kept + alone * (most == 3))
+
+
+@pytest.mark.parametrize("most", [50, 8_000_000])
+def test_slices_are_grouped_in_one_python_step(spark, monkeypatch, most):
+    rng = random.Random(11)
+    family = [rng.getrandbits(64) for _ in range(60)]
+    sets = [np.array(sorted({*rng.sample(family, 57), rng.getrandbits(64)}), np.uint64) for _ in range(40)]
+    sets += [np.array(sorted(rng.getrandbits(64) for _ in range(30)), np.uint64) for _ in range(40)]
+    rows = spark.createDataFrame([(n - 40, s.tobytes()) for n, s in enumerate(sets)], "node long, marks binary")
+    plans, plain_stored = [], ngram_join.stored
+
+    def watched(df, name, *options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain_stored(df, name, *options)
+
+    monkeypatch.setattr(ngram_join, "stored", watched)
+    frequent = spark.sparkContext.broadcast(np.empty(0, np.uint64))
+    got = {}
+    for r in ngram_join.signature_groups(rows, 75, 2, frequent, most).collect():
+        got.setdefault((r.name, r.leader, r.size), set()).add(r.node)
+    expected = {}
+    for n, marks in enumerate(sets):
+        for value in set(Bands(75).signatures(marks).tolist()):
+            expected.setdefault(value, set()).add(n - 40)
+    expected = {frozenset(v) for v in expected.values() if len(v) > 1}
+    assert len(expected) > 10 and {frozenset(v) for v in got.values()} == expected
+    assert all(leader == min(v) and size == len(v) for (_, leader, size), v in got.items())
+    assert len(plans) == 1 + (most == 50)
+    for plan in plans:  # tasks between two shuffles take no more than one Python worker each
+        assert all(part.count("MapInArrow") <= 1 for part in plan.split("Exchange"))
+
+
+def test_a_pass_too_long_is_left_to_the_sort():
+    values, nodes = np.array([8, 8, 16, 3, 3, 5], np.uint32), np.array([4, 9, 2, 4, 9, 7], np.int64)
+    columns = [pa.array([0]), *(pa.array([x.tobytes()]) for x in (nodes, np.ones(6, np.uint32), values))]
+    batch = pa.RecordBatch.from_arrays(columns, ["slice", "nodes", "counts", "signatures"])
+
+    def rows(longest):
+        return [r for b in ngram_join._unpacked(grouped=True, longest=longest)(iter([batch])) for r in b.to_pylist()]
+
+    assert sorted((r["node"], r["leader"], r["size"], r["signature"]) for r in rows(2)) == [(4, 4, 2, None)] * 2 + [(9, 4, 2, None)] * 2
+    assert sorted((r["signature"] >> 24, r["node"], r["name"]) for r in rows(1)) == [(3, 4, None), (3, 9, None), (8, 4, None), (8, 9, None)]
