@@ -36,13 +36,14 @@ null ids only has a null component. Empty tables give an empty result. Extra col
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm.common import mix64, shingle_set, stored
@@ -56,11 +57,25 @@ STAR_TURNS = 3
 ENUMERATED = 30
 #: Of one in ``EVERY`` distinct sets, a shingle in ``FREQUENT`` of them is frequent; 4 million hashes are 32 MB.
 EVERY, FREQUENT, MOST_FREQUENT = 8, 4, 4_000_000
+#: Rows of an Arrow batch: texts and sets take kilobytes each, and a task holds a batch in the JVM and in Python.
+BATCH_ROWS = 1000
 #: Rows that a task of the set table buffers before they are written.
 SET_BLOCK = {"parquet.block.size": str(16 << 20), "parquet.enable.dictionary": "false"}
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Plans made meanwhile hand Python at most so many rows at once; the session's own limit is put back, and holds if it is smaller."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def set_of(text: bytes | None, width: int) -> np.ndarray:
     return shingle_set((text or b"").translate(_LOWER).split(), width)
 
@@ -580,6 +595,11 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 75, id_colum
 
     ``component`` names the group also where ids are null or repeat (null for empty sets), ``mark`` is a hash of the text.
     """
+    with small_batches(docs.sparkSession):
+        return _linked(docs, width, percent, id_column)
+
+
+def _linked(docs: DataFrame, width: int, percent: int, id_column: str) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
     shape = "id long, mark long, node long, n long, place long, cells binary, marks binary"

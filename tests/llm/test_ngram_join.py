@@ -259,3 +259,30 @@ def test_a_pass_too_long_is_left_to_the_sort():
 
     assert sorted((r["node"], r["leader"], r["size"], r["signature"]) for r in rows(2)) == [(4, 4, 2, None)] * 2 + [(9, 4, 2, None)] * 2
     assert sorted((r["signature"] >> 24, r["node"], r["name"]) for r in rows(1)) == [(3, 4, None), (3, 9, None), (8, 4, None), (8, 9, None)]
+
+
+@pytest.mark.parametrize("limit", ["10000", "0", "70"])
+def test_texts_reach_python_in_small_batches(spark, make, monkeypatch, limit):
+    key, nodes = "spark.sql.execution.arrow.maxRecordsPerBatch", ngram_join._nodes
+    most = min(int(limit) or 10000, 1000)
+
+    def arriving(*args):
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    assert batch.num_rows <= most
+                    yield batch
+
+            yield from nodes(*args)(seen())
+
+        return run
+
+    before = spark.conf.get(key)
+    spark.conf.set(key, limit)
+    try:
+        docs = make([(i, f"a{i} b{i} c{i} d{i} e{i}", "s") for i in range(4000)]).coalesce(1)
+        monkeypatch.setattr(ngram_join, "_nodes", arriving)
+        assert link_components(docs).where("component_id = doc_id AND n_shingles = 1").count() == 4000
+        assert spark.conf.get(key) == limit
+    finally:
+        spark.conf.set(key, before)
