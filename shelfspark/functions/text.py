@@ -21,6 +21,8 @@ _BLANKS = r"(?U)[\s\x1c-\x1f]+"
 
 # A reference as it stands after its ampersand: a number, or a name of at most 32 characters.
 _REFERENCE = r"^(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+# An ampersand that a reference follows.
+_REFERS = r"&(?:#(?:[0-9]|[xX][0-9a-fA-F])|[^\t\n\f <&#;])"
 # Names that older pages write without a semicolon also count as the beginning of a longer word; the longest one does.
 _OPEN_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
 # The names most pages use, asked for before the whole table is.
@@ -82,12 +84,14 @@ def unescape(text: Column) -> Column:
     """
     pieces = F.split(text, "&", -1)
     resolved = F.transform(F.slice(pieces, 2, F.size(pieces)), _after_ampersand)
-    return F.when(F.contains(text, F.lit("&")), F.concat(F.element_at(pieces, 1), F.array_join(resolved, ""))).otherwise(text)
+    return F.when(F.contains(text, F.lit("&")) & F.regexp_like(text, F.lit(_REFERS)), F.concat(F.element_at(pieces, 1), F.array_join(resolved, ""))).otherwise(text)
 
 
 def squeeze(text: Column) -> Column:
     """Blanks collapsed and trimmed, then every character outside printable ASCII dropped."""
-    return F.regexp_replace(F.trim(F.regexp_replace(text, _BLANKS, " ")), r"[^\x20-\x7E]++", "")
+    # Most texts are printable ASCII without two blanks in a row; there is nothing to collapse or drop in them.
+    collapsed = F.regexp_replace(F.trim(F.regexp_replace(text, _BLANKS, " ")), r"[^\x20-\x7E]++", "")
+    return F.when(F.regexp_like(text, F.lit(r"[^\x20-\x7E]|  ")), collapsed).otherwise(F.trim(text))
 
 
 def strip(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -31,6 +32,9 @@ BROWSER_ID_PATTERNS = {**PRODUCT_ID_PATTERNS, "ebay": r"/itm/([^/?]+)"}
 _ORIGIN = r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)"
 # Root-relative addresses that need no more than the origin in front.
 _SIMPLE_PATH = r"^/(?!/)[^\s#;]*[^\s#;?]$"
+_PLAIN_ORIGIN = re.compile(_ORIGIN)
+# Java's pattern ends before a last line break of any kind, too.
+_PLAIN_PATH = re.compile(_SIMPLE_PATH.replace("$", r"(?:\r\n|\r|\n)?\Z"), re.ASCII)
 
 
 @F.pandas_udf(T.StringType())
@@ -59,6 +63,18 @@ def normalize_url(url: Column, base: Column) -> Column:
     return F.coalesce(easy, hard, F.lit(""))
 
 
+def normalized(url: str, base: str) -> str:
+    """``normalize_url`` for an address inside a task."""
+    if url.startswith("//"):
+        return "https:" + url
+    if not base or not url or url.startswith(("http://", "https://")):
+        return url
+    if _PLAIN_PATH.match(url) and "/." not in url:
+        origin = _PLAIN_ORIGIN.match(base)
+        return origin[1] + url if origin else url
+    return urljoin(base, url)
+
+
 def is_valid_url(url: Column) -> Column:
     """True when scheme and host are present."""
     host = url_authority(url)

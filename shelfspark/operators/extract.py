@@ -25,11 +25,13 @@ from shelfspark.functions.text import (
     squeeze,
     title_fallback,
 )
-from shelfspark.functions.urls import BASE_URLS, by_source, normalize_url, product_id_from_url
+from shelfspark.functions.urls import BASE_URLS, by_source, normalize_url, normalized, product_id_from_url
 from shelfspark.operators.quality import clean_listings
 
 CARDS_PER_BATCH = 2_000
 FIELDS = ("title", "link", "price", "rating", "image", "condition", "shipping")
+# What the rows of a page's cards take over from the page.
+PAGE_COLUMNS = ("page_id", "source", "search_keyword", "page_number", "scraped_at")
 _ATTRIBUTES = {
     "href": "href",
     "src": "src",
@@ -141,67 +143,159 @@ def _hits(flat: list[tuple | None], ends: list[int]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), structs)
 
 
-def _cards(page: Element, rules: dict, max_cards: int | None) -> list[Element]:
-    if "containers" not in rules:
-        return [page]
-    for selector in rules["containers"]:
-        found = list(page.select(selector))
-        if found:
-            return found[:max_cards]
-    return []
+class _Findings:
+    """What every selector of every field found, card by card."""
 
+    def __init__(self, fields: tuple[str, ...]):
+        self.fields = fields
+        self.empty()
 
-def find_cards(
-    pages: DataFrame, rules: dict, fields: tuple[str, ...] = FIELDS, max_cards: int | None = None
-) -> DataFrame:
-    """One row per card: the columns of the page without html, position over all cards, and findings per field.
+    def empty(self) -> None:
+        self.cards, self.flat, self.ends = [], [[] for _ in self.fields], [[] for _ in self.fields]
 
-    ``pages`` needs html and source. Each field is an array with one entry per selector, null where the selector
-    found nothing. ``max_cards`` limits the cards of a page; by default all count.
+    def add(self, source: str | None, position: int, card: Element, found: dict[int, Element], places: list[list[int]]) -> None:
+        read_once = {place: _finding(e) for place, e in found.items()}
+        for flat, ends, of_field in zip(self.flat, self.ends, places):
+            flat += [read_once.get(place) for place in of_field]
+            ends.append(len(flat))
+        # Without containers the card is the page itself.
+        self.cards.append((position, card.attrs.get("data-asin"), card.lines() if card.parent is not None else None))
+
+    def take(self) -> list[pa.Array]:
+        columns = [*map(pa.array, zip(*self.cards)), *map(_hits, self.flat, self.ends)]
+        self.empty()
+        return columns
+
+
+def _first_found(found: dict[int, Element], places: list[int]) -> Element | None:
+    for place in places:
+        if place in found:
+            return found[place]
+    return None
+
+
+def _text(element: Element | None) -> str | None:
+    if element is None:
+        return None
+    text = element.text()
+    return html_entities.unescape(text) if "&" in text else text
+
+
+class _Listings:
+    """What a listing takes from a card: of a field the first finding, of the price all.
+
+    Addresses are resolved here: ``link`` as listings are read, ``url`` and ``image`` as they are cleaned after that.
     """
+
+    def __init__(self, rules: dict, base_urls: dict[str, str]):
+        self.base_urls = base_urls
+        self.prices = max((len(rule.get("price", ())) for rule in rules.values()), default=0)
+        prices = [f"price_{n}" for n in range(1, self.prices + 1)]
+        self.names = ("title", "link", "url", "image", "rating", "condition", "shipping", *prices)
+        self.empty()
+
+    def empty(self) -> None:
+        self.cards = []
+
+    def add(self, source: str | None, position: int, card: Element, found: dict[int, Element], places: list[list[int]]) -> None:
+        titles, links, prices, ratings, images, conditions, shippings = places
+        base = "" if source is None else self.base_urls.get(source) or ""
+        link, image = _first_found(found, links), _first_found(found, images)
+        link, image = link and link.attrs.get("href"), image and image.attrs.get("src")
+        if source != "ebay":
+            link = normalized(link, base) if link else None
+        rating = _first_found(found, ratings) if ratings else None
+        if rating is not None:
+            rating = _text(rating) if source == "walmart" else rating.attrs.get("alt")
+        # An element that several selectors find in a row gives its price once.
+        texts, before = [], None
+        for place in prices:
+            element = found.get(place)
+            if element is not None and element is not before:
+                texts.append(_text(element))
+                before = element
+        self.cards.append(
+            (
+                position, _text(_first_found(found, titles)), link, normalized(link, base) if link else link,
+                normalized(image, base) if image else image, rating,
+                _text(_first_found(found, conditions)) if conditions else None,
+                _text(_first_found(found, shippings)) if shippings else None,
+                *texts, *[None] * (self.prices - len(texts)),
+            )
+        )
+
+    def take(self) -> list[pa.Array]:
+        positions, *columns = zip(*self.cards)
+        self.empty()
+        return [pa.array(positions, pa.int32()), *[pa.array(c, pa.string()) for c in columns]]
+
+
+def _read_cards(
+    pages: DataFrame, rules: dict, fields: tuple[str, ...], held: _Findings | _Listings, added: list[T.StructField], max_cards: int | None
+) -> DataFrame:
+    """One row per card: the columns of the page without html, and those added, which ``held`` gathers."""
     carried = [f for f in pages.schema.fields if f.name != "html"]
-    added = [
-        T.StructField("position", T.IntegerType()),
-        T.StructField("card_id", T.StringType()),
-        T.StructField("card_text", T.StringType()),
-        *[T.StructField(f, T.ArrayType(_HIT)) for f in fields],
-    ]
     schema = T.StructType(carried + added)
-    fallback = rules.get(None)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        finders = {k: FirstFinder([s for f in fields for s in rule.get(f, ())]) for k, rule in rules.items()}
         names = [f.name for f in carried]
+        readers = {}
+        for kind, rule in rules.items():
+            finder = FirstFinder([s for f in fields for s in rule.get(f, ())])
+            places = [[finder.selectors.index(s) for s in rule.get(f, ())] for f in fields]
+            readers[kind] = FirstFinder(rule["containers"]) if "containers" in rule else None, finder, places
         for batch in batches:
-            # Findings leave in small batches, column by column; many long pages never pile up in a worker.
+            # Cards leave in small batches, column by column; many long pages never pile up in a worker.
             sources, markups = batch.column("source"), batch.column("html")
-            at, places, flat, ends = [], [], {f: [] for f in fields}, {f: [] for f in fields}
+            at = []
             for i in range(batch.num_rows):
                 source, markup = sources[i].as_py(), markups[i].as_py()
-                kind = source if source in rules else None
-                rule = rules.get(kind, fallback)
-                if markup is not None and rule is not None:
+                reader = readers.get(source if source in rules else None)
+                if markup is not None and reader is not None:
                     page = parse(markup)
-                    for position, card in enumerate(_cards(page, rule, max_cards), 1):
-                        read_once = {s: _finding(e) for s, e in finders[kind].find(card).items()}
-                        for f in fields:
-                            flat[f] += [read_once.get(s) for s in rule.get(f, ())]
-                            ends[f].append(len(flat[f]))
+                    containers, finder, places = reader
+                    order = page.order
+                    cards = [page] if containers is None else containers.all(order)[:max_cards]
+                    for position, card in enumerate(cards, 1):
+                        held.add(source, position, card, finder.first(order[card.place + 1 : card.last]), places)
                         at.append(i)
-                        places.append((position, card.attrs.get("data-asin"), card.lines() if "containers" in rule else None))
                     page.release()
                 if at and (len(at) >= CARDS_PER_BATCH or i == batch.num_rows - 1):
-                    of_page = batch.select(names).take(pa.array(at)).columns
-                    columns = [*of_page, *map(pa.array, zip(*places)), *[_hits(flat[f], ends[f]) for f in fields]]
+                    columns = [*batch.select(names).take(pa.array(at)).columns, *held.take()]
                     yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
-                    at, places, flat, ends = [], [], {f: [] for f in fields}, {f: [] for f in fields}
+                    at = []
 
     return pages.mapInArrow(read, schema)
 
 
+def find_cards(
+    pages: DataFrame, rules: dict, fields: tuple[str, ...] = FIELDS, max_cards: int | None = None
+) -> DataFrame:
+    """One row per card: the columns of the page without html, position over all cards, and findings per field.
+
+    ``pages`` needs html and source. Each field is an array with one entry per selector, null where the selector
+    found nothing. ``max_cards`` limits the cards of a page; by default all count.
+    """
+    added = [
+        T.StructField("position", T.IntegerType()),
+        T.StructField("card_id", T.StringType()),
+        T.StructField("card_text", T.StringType()),
+        *[T.StructField(f, T.ArrayType(_HIT)) for f in fields],
+    ]
+    return _read_cards(pages, rules, fields, _Findings(fields), added, max_cards)
+
+
+def find_listings(pages: DataFrame, rules: dict, base_urls: dict[str, str], max_cards: int | None = None) -> DataFrame:
+    """One row per card as ``find_cards`` finds them, with only what a listing takes from the findings (see ``_Listings``)."""
+    held = _Listings(rules, base_urls)
+    added = [T.StructField("position", T.IntegerType()), *[T.StructField(n, T.StringType()) for n in held.names]]
+    used = [c for c in PAGE_COLUMNS if c in pages.columns]
+    return _read_cards(pages.select(*used, "html"), rules, FIELDS, held, added, max_cards)
+
+
 def _first(hits: Column, good=None) -> Column:
     found = F.filter(hits, lambda h: h.isNotNull() if good is None else (h.isNotNull() & good(h)))
     return F.try_element_at(found, F.lit(1))
@@ -219,12 +313,15 @@ def _filled(text: Column) -> Column:
 
 
 def _rows(cards: DataFrame, scraper_type: str, picked: dict[str, Column]) -> DataFrame:
-    # One struct a card is generated, so that filters on the picked values do not choose and clean them over again.
-    return cards.select(
-        *[c for c in ("page_id", "source", "search_keyword", "page_number", "scraped_at") if c in cards.columns],
+    carried = [c for c in PAGE_COLUMNS if c in cards.columns]
+    values = cards.select(*carried, "position", *[value.alias(name) for name, value in picked.items()])
+    # One struct a card is generated, so that filters on the picked values do not choose and clean them over again. The
+    # values are picked before, as a generator would compute a term anew wherever it occurs.
+    return values.select(
+        *carried,
         F.col("position").alias("position_on_page"),
         F.lit(scraper_type).alias("scraper_type"),
-        F.inline(F.array(F.struct(*[value.alias(name.removeprefix("_")) for name, value in picked.items()]))),
+        F.inline(F.array(F.struct(*[F.col(name).alias(name.removeprefix("_")) for name in picked]))),
     )
 
 
@@ -232,29 +329,27 @@ def extract_listings(
     pages: DataFrame, rules: dict = LISTING_RULES, base_urls: dict = BASE_URLS, max_cards: int | None = None
 ) -> DataFrame:
     """Listing rows of fetched pages: page_id, url, html, source and, where known, keyword and page number."""
-    cards = find_cards(pages, rules, max_cards=max_cards)
+    cards = find_listings(pages, rules, base_urls, max_cards)
     source = F.col("source")
-    base = F.coalesce(by_source(source, base_urls), F.lit(""))
-    href, src = _first(F.col("link")).getField("href"), _first(F.col("image")).getField("src")
-    rating_text = F.when(source == "walmart", _first(F.col("rating")).getField("text")).otherwise(
-        _first(F.col("rating")).getField("alt")
-    )
-    prices = F.transform(F.filter("price", lambda h: h.isNotNull()), lambda h: extract_price(_filled(h.text)))
+    price_texts = [c for c in cards.columns if c.startswith("price_")]
+    cards = cards.withColumns({f"_{c}": extract_price(_filled(F.col(c))) for c in price_texts})
+    last = F.lit(None).cast("double")
+    for c in price_texts:
+        last = F.when(F.col(c).isNotNull(), F.col(f"_{c}")).otherwise(last)
     picked = {
-        "_title": clean_text(_first(F.col("title")).getField("text")),
-        "_url": F.when(source == "ebay", href).otherwise(F.when(href != "", normalize_url(href, base))),
-        "_price": _first_truthy_else_last(prices),
-        "_rating": extract_rating(_filled(rating_text)),
-        "_image_url": src,
-        "_condition": F.when(source == "ebay", clean_text(_first(F.col("condition")).getField("text"))),
-        "_shipping_cost": F.when(
-            source == "ebay", extract_price(_filled(squeeze(_first(F.col("shipping")).getField("text"))))
-        ),
+        "_title": clean_text(F.col("title")),
+        "_url": F.col("url"),
+        "_price": F.coalesce(*[F.when(F.col(f"_{c}") != 0, F.col(f"_{c}")) for c in price_texts], last),
+        "_rating": extract_rating(_filled(F.col("rating"))),
+        "_image_url": F.col("image"),
+        "_condition": F.when(source == "ebay", clean_text(F.col("condition"))),
+        "_shipping_cost": F.when(source == "ebay", extract_price(_filled(squeeze(F.col("shipping"))))),
+        "_link": F.col("link"),
     }
     rows = _rows(cards, "static", picked).where(F.col("title") != "")
     rows = rows.where((source != "ebay") | ~contains_any(F.col("title"), PROMOTIONAL_TITLES[:1]))
-    rows = rows.withColumn("product_id", product_id_from_url(F.col("url"), source))
-    return clean_listings(rows, base_urls)
+    rows = rows.withColumn("product_id", product_id_from_url(F.col("link"), source)).drop("link")
+    return clean_listings(rows, base_urls, resolved=("url", "image_url"))
 
 
 def extract_framework_listings(

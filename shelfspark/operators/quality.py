@@ -24,8 +24,8 @@ TEXT_FIELDS = ("title", "description", "brand", "condition", "availability")
 URL_FIELDS = ("url", "image_url")
 
 
-def clean_listings(df: DataFrame, base_urls: dict[str, str] = BASE_URLS) -> DataFrame:
-    """Text fields cleaned, price and rating taken out of text, addresses made absolute."""
+def clean_listings(df: DataFrame, base_urls: dict[str, str] = BASE_URLS, resolved: Sequence[str] = ()) -> DataFrame:
+    """Text fields cleaned, price and rating taken out of text, addresses made absolute unless they are ``resolved`` already."""
     types = dict(df.dtypes)
     changed = {}
     for field in TEXT_FIELDS:
@@ -36,7 +36,7 @@ def clean_listings(df: DataFrame, base_urls: dict[str, str] = BASE_URLS) -> Data
             changed[field] = reader(F.col(field))
     base = F.coalesce(by_source(F.col("source"), base_urls), F.lit(""))
     for field in URL_FIELDS:
-        if field in types:
+        if field in types and field not in resolved:
             changed[field] = F.when(F.length(field) > 0, normalize_url(F.col(field), base)).otherwise(F.col(field))
     return df.withColumns(changed)
 

@@ -145,6 +145,17 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Narrow rows that become long work, over several tasks a core, however the scan cuts them.
+
+    Splits of a scan tell nothing of their rows, as a file of few row groups leaves most of them empty; and while executors
+    still register, few cores are known.
+    """
+    spark = df.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, key)
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages as (page_id, url, html)."""
     return spread(spark.read.parquet(path).select("page_id", "url", "html"), "page_id")

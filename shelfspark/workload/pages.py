@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.adapters import table
 from shelfspark.operators import classify, extract
-from shelfspark.sources.readers import read_pages, spread
+from shelfspark.sources.readers import dealt, read_pages, spread
 from shelfspark.workload.registry import query, rounded
 
 # --- Pages written from the catalogue: a complete card, one without title, one without price ----------
@@ -18,8 +18,8 @@ def _parts(spark, sf) -> DataFrame:
     dollars = F.expr("CAST(round(p_retailprice * 100) AS BIGINT) div 100")
     amount = F.concat(F.lit("$"), F.format_number(dollars, 0), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
     asin = F.concat(F.lit("B"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"))
-    # Few narrow rows become long pages, so they are spread before the markup is written.
-    return spread(table(spark, sf, "part"), "p_partkey").select(
+    # Few narrow rows become long pages, so they are dealt out before the markup is written.
+    return dealt(table(spark, sf, "part"), "p_partkey").select(
         "p_partkey",
         F.concat_ws(" ", "p_name", "p_brand", F.lit("&amp; more")).alias("label"),
         F.col("p_type").alias("keyword"),

@@ -251,3 +251,81 @@ def test_picked_values_are_cleaned_once(spark):
     plan = extract.extract_listings(pages)._jdf.queryExecution().optimizedPlan().toString()
     # Once where a title is picked, once where listings are cleaned; filters take the picked value.
     assert not [line for line in plan.split("\n") if "Filter (" in line and "regexp_replace" in line]
+
+
+def test_what_a_listing_takes_is_what_the_selectors_found(spark):
+    """Cards narrowed inside the tasks give the rows that all findings of all selectors give."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from shelfspark.functions.numbers import extract_price
+    from shelfspark.functions.text import clean_text
+    from shelfspark.functions.urls import by_source, normalize_url
+
+    draw = random.Random(7)
+    urls = ("p/1", "/ip/x/2", "//c.d/e", "https://a.b/c", "../up", "/a/./b", "/cr\r", "", "?q", "javascript:x", "HTTP://Y", " /z", "/\u00e9?", "https:rel")
+    texts = ("$1,234.56", "$0", "0", "free", "", " ", "1,5", "T &amp;amp; U", "a  b", "caf\u00e9", "$7")
+    elements = (
+        '<h2>%s</h2>', '<b class="title">%s</b>', '<i class="price x-price">%s</i>', '<b class="my-price">%s</b>', '<em data-testid="price">%s</em>', "<p>%s",
+    )
+    def card():
+        inner = "".join(draw.choice(elements) % draw.choice(texts) for _ in range(5))
+        return f'<div class="{draw.choice(("product", "item"))}">{inner}<a href="{draw.choice(urls)}">l</a><img src="{draw.choice(urls)}"></div>'
+
+    source = ("shop", "walmart", "x", None)
+    html = ["".join(card() for _ in range(draw.randint(0, 4))) for _ in range(400)]
+    page = pages(spark, *[(draw.choice(source), h) for h in html]).repartition(4)
+    bases = {"shop": "shop.com/dir/", "walmart": "https://www.walmart.com"}
+    rules = {None: extract.LISTING_RULES[None]}
+    hit = lambda field, name: F.try_element_at(F.filter(field, lambda h: h.isNotNull()), F.lit(1)).getField(name)
+    base = F.coalesce(by_source(F.col("source"), bases), F.lit(""))
+    prices = F.transform(F.filter("price", lambda h: h.isNotNull()), lambda h: extract_price(F.nullif(h.text, F.lit(""))))
+    url = F.when(hit("link", "href") != "", normalize_url(hit("link", "href"), base))
+    whole = extract.find_cards(page, rules).select(
+        "page_id", F.col("position").alias("position_on_page"), clean_text(clean_text(hit("title", "text"))).alias("title"),
+        F.coalesce(F.try_element_at(F.filter(prices, lambda n: n != 0), F.lit(1)), F.try_element_at(prices, F.lit(-1))).alias("price"),
+        F.when(F.length(url) > 0, normalize_url(url, base)).otherwise(url).alias("url"),
+        F.when(F.length(hit("image", "src")) > 0, normalize_url(hit("image", "src"), base)).otherwise(hit("image", "src")).alias("image_url"),
+    )
+    got = extract.extract_listings(page, rules, bases).select(*whole.columns)
+    expected = [r for r in whole.orderBy("page_id", "position_on_page").collect() if r.title != ""]
+    assert len(expected) > 300 and got.orderBy("page_id", "position_on_page").collect() == expected
+
+
+def test_a_listing_needs_one_step_in_python(spark):
+    """Addresses are resolved where pages are read; findings that no listing takes stay there, and no findings are filtered row by row."""
+    page = pages(spark, ("shop", GENERIC))
+    plan = extract.extract_listings(page)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan and "_joined" not in plan
+    read = extract.find_listings(page, extract.LISTING_RULES, extract.BASE_URLS)
+    assert all(kind in ("bigint", "int", "string") for _, kind in read.dtypes)
+    assert read.first().asDict() == {
+        "page_id": 0, "source": "shop", "search_keyword": "kw", "page_number": 1, "position": 1, "title": "Title", "link": "p/1", "url": "p/1",
+        "image": "i.jpg", "rating": None, "condition": None, "shipping": None, "price_1": "$5.00", "price_2": None, "price_3": None,
+    }
+
+
+def test_elements_below_an_element_stand_together():
+    page = parse('<div><p>a<br><b>b</div><ul/><i class="x y">c</i><a href="1" class="z">d<p>e')
+    for at, element in enumerate(page.order):
+        assert page.order[element.place] is element and element.place == at
+        assert page.order[element.place + 1 : element.last] == list(element.walk())
+    assert page.order == list(page.walk())
+
+
+def test_catalogue_rows_are_dealt_out_however_the_scan_cuts_them(spark, tmp_path):
+    from shelfspark.workload import pages as workload
+
+    part = spark.createDataFrame(
+        [(i, "n", "b", "t", 1, 9.5) for i in range(4000)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+    )
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        # More splits than cores, but one row group: all rows would stand in one task.
+        assert spark.read.parquet(f"{tmp_path}/part.parquet").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        rows = workload.generic_pages(spark, str(tmp_path)).rdd.mapPartitions(lambda found: [sum(1 for _ in found)]).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sum(rows) == 4000 and len(rows) >= 4 * spark.sparkContext.defaultParallelism and max(rows) < 4000 / 8
