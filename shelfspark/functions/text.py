@@ -15,8 +15,9 @@ PROMOTIONAL_TITLES = ("shop on ebay", "sponsored", "advertisement")
 TITLE_LINE_STOP_WORDS = {"amazon": "rating", "ebay": "bid"}
 TITLE_LINE_MIN_CHARS = 15
 
-# Blanks as Python sees them: Unicode white space plus the four separators x1C-x1F.
-_BLANKS = r"(?U)[\s\x1c-\x1f]+"
+# Blanks as Python sees them: Unicode white space plus the four separators x1C-x1F. A space alone needs no collapsing, and
+# most characters are told by the first look.
+_BLANKS = r"(?U)(?![\x21-\x7E])(?: [\s\x1c-\x1f]++|[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*+)"
 
 
 # A reference as it stands after its ampersand: a number, or a name of at most 32 characters.
@@ -89,9 +90,7 @@ def unescape(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Blanks collapsed and trimmed, then every character outside printable ASCII dropped."""
-    # Most texts are printable ASCII without two blanks in a row; there is nothing to collapse or drop in them.
-    collapsed = F.regexp_replace(F.trim(F.regexp_replace(text, _BLANKS, " ")), r"[^\x20-\x7E]++", "")
-    return F.when(F.regexp_like(text, F.lit(r"[^\x20-\x7E]|  ")), collapsed).otherwise(F.trim(text))
+    return F.regexp_replace(F.trim(F.regexp_replace(text, _BLANKS, " ")), r"[^\x20-\x7E]++", "")
 
 
 def strip(text: Column) -> Column:

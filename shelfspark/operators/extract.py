@@ -189,8 +189,9 @@ class _Listings:
 
     def __init__(self, rules: dict, base_urls: dict[str, str]):
         self.base_urls = base_urls
-        self.prices = max((len(rule.get("price", ())) for rule in rules.values()), default=0)
-        prices = [f"price_{n}" for n in range(1, self.prices + 1)]
+        count = max((len(rule.get("price", ())) for rule in rules.values()), default=0)
+        self.no_prices = (None,) * count
+        prices = [f"price_{n}" for n in range(1, count + 1)]
         self.names = ("title", "link", "url", "image", "rating", "condition", "shipping", *prices)
         self.empty()
 
@@ -200,27 +201,32 @@ class _Listings:
     def add(self, source: str | None, position: int, card: Element, found: dict[int, Element], places: list[list[int]]) -> None:
         titles, links, prices, ratings, images, conditions, shippings = places
         base = "" if source is None else self.base_urls.get(source) or ""
-        link, image = _first_found(found, links), _first_found(found, images)
-        link, image = link and link.attrs.get("href"), image and image.attrs.get("src")
+        link = image = rating = condition = shipping = None
+        for place in links:
+            if place in found:
+                link = found[place].attrs.get("href")
+                break
+        for place in images:
+            if place in found:
+                image = found[place].attrs.get("src")
+                break
         if source != "ebay":
             link = normalized(link, base) if link else None
-        rating = _first_found(found, ratings) if ratings else None
-        if rating is not None:
-            rating = _text(rating) if source == "walmart" else rating.attrs.get("alt")
+        if ratings:
+            rating = _first_found(found, ratings)
+            rating = _text(rating) if source == "walmart" else rating and rating.attrs.get("alt")
+        if conditions or shippings:
+            condition, shipping = _text(_first_found(found, conditions)), _text(_first_found(found, shippings))
         # An element that several selectors find in a row gives its price once.
         texts, before = [], None
         for place in prices:
-            element = found.get(place)
-            if element is not None and element is not before:
-                texts.append(_text(element))
-                before = element
+            if place in found and found[place] is not before:
+                before = found[place]
+                texts.append(_text(before))
         self.cards.append(
             (
                 position, _text(_first_found(found, titles)), link, normalized(link, base) if link else link,
-                normalized(image, base) if image else image, rating,
-                _text(_first_found(found, conditions)) if conditions else None,
-                _text(_first_found(found, shippings)) if shippings else None,
-                *texts, *[None] * (self.prices - len(texts)),
+                normalized(image, base) if image else image, rating, condition, shipping, *texts, *self.no_prices[len(texts) :],
             )
         )
 
